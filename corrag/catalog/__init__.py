@@ -1,4 +1,4 @@
 """Registered queries over the test tables, each with its SQL counterpart where one exists."""
 
 from corrag.catalog.registry import ORACLES, QUERIES  # noqa: F401
-from corrag.catalog import ingest, retrieval  # noqa: F401
+from corrag.catalog import dialogue, ingest, retrieval  # noqa: F401
