@@ -26,27 +26,29 @@ from corrag.sources.evalsets import load_eval_dataset_json, load_qrels_json, par
 # --- Relevance from verbatim passages -----------------------------------------------------
 
 def verbatim_qrels(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a benchmark passage word for word.
+    """Documents that hold a benchmark passage (of three or more tokens) word for word.
 
-    Candidates share the hash of three successive inner tokens of the passage, an equi-join;
-    only these are compared in full. A passage of fewer than five tokens has no such run and
-    is looked up by its first word part instead.
+    Candidates share the hash of up to three successive inner tokens of the passage, an
+    equi-join on short keys; the texts of these few pairs are then compared in full.
     """
     passages = tables.read(spark, sf, "benchmark").select(
         F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("passage"))
-    inner = passages.withColumn("_t", tokens(F.col("passage")))
-    keyed = inner.filter(F.size("_t") >= 5).withColumn(
-        "_key", F.xxhash64(F.array_join(F.slice("_t", 2, 3), " "))).drop("_t")
+    cut = passages.withColumn("_t", tokens(F.col("passage")))
+    keyed = cut.filter(F.size("_t") >= 3).select("query_id", F.xxhash64(F.array_join(F.slice(
+        "_t", F.lit(2), F.least(F.lit(3), F.size("_t") - 2)), " ")).alias("_key"))
     docs = tables.documents(spark, sf).select("paper_id", "text")
-    runs = docs.withColumn("_t", tokens(F.col("text"))).filter(F.size("_t") >= 3)
-    shingled = runs.select("paper_id", "text", F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size("_t") - 2),
-        lambda i: F.xxhash64(F.array_join(F.slice("_t", i, F.lit(3)), " ")))).alias("_keys"))
-    wanted = keyed.select("_key").distinct().agg(F.collect_set("_key")).scalar()
-    # Only keys of some passage leave the row: the benchmark is a short fixed list.
-    hits = shingled.select("paper_id", "text", F.explode(F.array_intersect("_keys", wanted)).alias("_key"))
-    return hits.join(keyed, "_key").filter(F.contains("text", F.col("passage"))).select(
-        "query_id", F.col("paper_id").alias("chunk_id"), F.lit(1).alias("relevance")).distinct()
+    split = docs.select("paper_id", tokens(F.col("text")).alias("_t"))
+    places = split.select("paper_id", F.arrays_zip(
+        F.col("_t").alias("a"), F.slice("_t", F.lit(2), F.size("_t")).alias("b"),
+        F.slice("_t", F.lit(3), F.size("_t")).alias("c")).alias("_z"))
+    words_at = places.select("paper_id", F.explode("_z").alias("_w"))
+    shingles = words_at.select("paper_id", F.explode(F.array(
+        F.xxhash64("_w.a"), F.xxhash64(F.concat_ws(" ", "_w.a", "_w.b")),
+        F.xxhash64(F.concat_ws(" ", "_w.a", "_w.b", "_w.c")))).alias("_key"))
+    pairs = shingles.join(keyed, "_key").select("paper_id", "query_id").distinct()
+    return (docs.join(staged(pairs, "pairs"), "paper_id").join(passages, "query_id")
+            .filter(F.contains("text", F.col("passage")))
+            .select("query_id", F.col("paper_id").alias("chunk_id"), F.lit(1).alias("relevance")))
 
 
 _QRELS = """qrels AS MATERIALIZED (

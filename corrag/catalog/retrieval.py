@@ -337,3 +337,98 @@ def ask_evidence(spark: SparkSession, sf: str) -> DataFrame:
     corpus = corpus_of(spark, sf)
     queries = prepare_queries(tables.questions(spark, sf), corpus)
     return summarize(gather_evidence(queries, corpus, limit=_LIMIT))
+
+
+# --- Suggestions, candidates, correction --------------------------------------------------
+
+_SUGGEST = f"""{sql.PAPERS}, {sql.children()}, {sql.bm25(*_PASSAGES, idf=False, avg_len="256")},
+{sql.ranked("sparse", "top", 1)},
+asked AS (SELECT query_id, paper_id AS own FROM top),
+corpus_score AS (SELECT s.* FROM sparse s JOIN labels l ON CAST(l.doc_id AS VARCHAR) = s.paper_id WHERE l.quality = 1),
+{sql.ranked("corpus_score", "hits", 3)},
+own_hits AS (SELECT DISTINCT h.query_id FROM hits h JOIN asked a ON a.query_id = h.query_id AND a.own = h.paper_id),
+healthy AS (SELECT * FROM asked WHERE query_id IN (SELECT query_id FROM own_hits) OR CAST(query_id AS BIGINT) % 2 = 0),
+usable AS (SELECT h.query_id, h.paper_id, min(h.rank) AS best FROM hits h JOIN healthy a USING (query_id)
+           WHERE h.paper_id <> a.own GROUP BY ALL),
+{sql.ranked("usable", "corpus", 5, "best, paper_id")},
+spare AS (SELECT s.query_id, s.paper_id, s.score, s.chunk_id FROM sparse s LEFT JOIN labels l
+          ON CAST(l.doc_id AS VARCHAR) = s.paper_id WHERE l.doc_id IS NULL),
+{sql.ranked("spare", "spare_top", 30)},
+spare_best AS (SELECT query_id, paper_id, min(rank) AS best FROM spare_top
+  WHERE query_id IN (SELECT query_id FROM healthy) AND query_id NOT IN (SELECT query_id FROM usable) GROUP BY ALL),
+{sql.ranked("spare_best", "reserve", 5, "best, paper_id")}"""
+
+
+@query("suggest_papers", f"""WITH {_SUGGEST}
+SELECT c.query_id, c.rank AS position, c.paper_id, p.title,
+  CASE WHEN length(p.abstract) > 0 THEN substr(p.abstract, 1, 200) END AS abstract_snippet, 'corpus' AS reason
+FROM corpus c JOIN papers p USING (paper_id)
+UNION ALL SELECT query_id, 1, NULL, '', NULL, 'index_drift' FROM asked
+  WHERE CAST(query_id AS BIGINT) % 2 = 1 AND query_id NOT IN (SELECT query_id FROM own_hits)
+UNION ALL SELECT r.query_id, r.rank, r.paper_id, p.title, substr(p.abstract, 1, 200), 'reserve'
+FROM reserve r JOIN papers p USING (paper_id)""")
+def suggest_papers_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Good documents are the corpus, unlabelled ones the reserve. Odd questions are deep dives
+    into the paper that matches best."""
+    docs = tables.documents(spark, sf)
+    children = staged(tables.children(docs), "children")
+    postings = _postings(children, 256.0)
+    terms = sparse_encode_queries(tables.questions(spark, sf))
+    odd = F.col("query_id").cast("bigint") % 2 == 1
+    queries = staged(sparse_search(terms, postings, 1).select(
+        "query_id", "paper_id", F.when(odd, "deep_dive").otherwise("ask").alias("mode")), "asked")
+    labels = tables.read(spark, sf, "labels").withColumn("paper_id", F.col("doc_id").cast("string"))
+    corpus = postings.join(labels.filter("quality = 1").select("paper_id"), "paper_id", "left_semi")
+    reserve = postings.join(labels.select("paper_id"), "paper_id", "left_anti")
+    hits = staged(sparse_search(terms, corpus, 3), "hits")
+    own = hits.join(queries.select("query_id", "paper_id"), ["query_id", "paper_id"], "left_semi")
+    papers = tables.papers(docs)
+    return suggest_papers(queries, hits, papers, own, sparse_search(terms, reserve, 30), papers)
+
+
+@query("candidates", f"""WITH {sql.PAPERS},
+heads AS (SELECT paper_id, title || ' ' || abstract AS text FROM papers), {sql.bm25("heads", "paper_id", "paper_id", "text", idf=True)},
+{sql.ranked("sparse", "list0", 5)},
+{sql.bm25("papers", "paper_id", "paper_id", "text", idf=True)
+    .replace("doc_words", "doc_words1").replace("doc_terms", "doc_terms1").replace("tf AS", "tf1 AS").replace("FROM tf)", "FROM tf1)")
+    .replace("FROM tf GROUP", "FROM tf1 GROUP").replace("postings", "postings1").replace("stats", "stats1")
+    .replace("query_terms", "query_terms1").replace("sparse AS", "sparse1 AS")},
+{sql.ranked("sparse1", "list1", 5)},
+seen AS (SELECT query_id, paper_id, min(list_no * 100 + rank) AS first FROM (
+  SELECT query_id, paper_id, 0 AS list_no, rank FROM list0 UNION ALL SELECT query_id, paper_id, 1, rank FROM list1) GROUP BY ALL),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS pool_rank FROM seen),
+marks AS (SELECT query_id, paper_id FROM seen JOIN labels l ON CAST(l.doc_id AS VARCHAR) = paper_id WHERE l.quality = 1),
+kept AS (SELECT p.query_id, p.paper_id, CAST(pool_rank AS INTEGER) AS pool_rank FROM pool p WHERE pool_rank <= 6 AND (
+  (query_id, paper_id) IN (SELECT (query_id, paper_id) FROM marks)
+  OR (pool_rank = 1 AND query_id NOT IN (SELECT query_id FROM marks)))),
+{sql.ranked("kept", "best", 3, "pool_rank")} SELECT query_id, paper_id, pool_rank, rank AS position FROM best""")
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Two result lists per question, by head lines and by whole text; good papers are marked."""
+    docs = tables.documents(spark, sf)
+    heads = tables.papers(docs).select(F.col("paper_id").alias("chunk_id"), "paper_id",
+                                       F.concat_ws(" ", "title", "abstract").alias("text"))
+    lists = []
+    for number, texts in enumerate((heads, _bm25_documents(spark, sf))):
+        counts = stage_term_counts(texts)
+        terms = sparse_encode_queries(
+            tables.questions(spark, sf), term_statistics(counts), texts.agg(F.count("*")).scalar())
+        found = sparse_search(terms, sparse_encode_documents(texts, counts=counts), 5)
+        lists.append(found.select("query_id", F.lit(number).alias("list_no"), "rank", "paper_id"))
+    results = staged(lists[0].unionByName(lists[1]), "lists")
+    good = tables.read(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("paper_id"))
+    relevant = results.select("query_id", "paper_id").join(good, "paper_id", "left_semi")
+    return select_candidates(results, relevant)
+
+
+@query("corrective")
+def corrective(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents are the corpus; questions they cannot answer pull in others."""
+    docs = tables.documents(spark, sf)
+    labelled = tables.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("paper_id"))
+    papers = tables.papers(docs)
+    inside, outside = (papers.join(labelled, "paper_id", how) for how in ("left_semi", "left_anti"))
+    corpus = build_corpus(inside, tables.blocks(docs.join(labelled, "paper_id", "left_semi")), _settings())
+    reserve = build_reserve(outside, tables.blocks(docs))
+    queries = staged(prepare_queries(tables.questions(spark, sf), corpus), "queries")
+    done = corrective_search(queries, corpus, reserve)
+    return summarize(done.evidence)
