@@ -41,7 +41,8 @@ def verbatim_qrels(spark: SparkSession, sf: str) -> DataFrame:
     places = split.select("paper_id", F.arrays_zip(
         F.col("_t").alias("a"), F.slice("_t", F.lit(2), F.size("_t")).alias("b"),
         F.slice("_t", F.lit(3), F.size("_t")).alias("c")).alias("_z"))
-    words_at = places.select("paper_id", F.explode("_z").alias("_w"))
+    words_at = places.select("paper_id", F.explode_outer("_z").alias("_w")).filter(
+        F.col("_w").isNotNull())
     shingles = words_at.select("paper_id", F.explode(F.array(
         F.xxhash64("_w.a"), F.xxhash64(F.concat_ws(" ", "_w.a", "_w.b")),
         F.xxhash64(F.concat_ws(" ", "_w.a", "_w.b", "_w.c")))).alias("_key"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corrag.functions.rules import safe_path_id
+from corrag.functions.text import let
 
 # --- Fixed values -------------------------------------------------------------------------
 ZERO_WIDTH = "[\u200b\u200c\u200d\ufeff]"
@@ -25,18 +26,19 @@ def _markdown_row(cells: Column) -> Column:
 
 def rows_to_markdown(rows: Column) -> Column:
     """``array<array<string>>`` to a pipe table; ``""`` without rows or header cells."""
-    grid = F.transform(rows, lambda row: F.transform(row, lambda cell: F.replace(
+    clean = F.transform(rows, lambda row: F.transform(row, lambda cell: F.replace(
         F.regexp_replace(cell, r"\s+", " "), F.lit("|"), F.lit("\\|"))))
-    header = F.get(grid, F.lit(0))
-    width = F.size(header)
-    body = F.filter(F.slice(grid, F.lit(2), F.greatest(F.size(grid) - 1, F.lit(0))),
-                    lambda row: F.size(row) > 0)
-    fitted = F.transform(body, lambda row: _markdown_row(
-        F.slice(F.concat(row, F.array_repeat(F.lit(""), width)), F.lit(1), width)))
-    rule = _markdown_row(F.array_repeat(F.lit("---"), width))
-    lines = F.concat(F.array(_markdown_row(header), rule), fitted)
-    return F.when(F.coalesce(F.size(rows), F.lit(0)) <= 0, F.lit("")).when(
-        width <= 0, F.lit("")).otherwise(F.array_join(lines, "\n"))
+
+    def table(grid: Column) -> Column:
+        header = F.get(grid, F.lit(0))
+        body = F.filter(F.slice(grid, F.lit(2), F.size(grid) - 1), lambda row: F.size(row) > 0)
+        fitted = F.transform(body, lambda row: _markdown_row(F.slice(
+            F.concat(row, F.array_repeat(F.lit(""), F.size(header))), F.lit(1), F.size(header))))
+        rule = _markdown_row(F.array_repeat(F.lit("---"), F.size(header)))
+        return F.array_join(F.concat(F.array(_markdown_row(header), rule), fitted), "\n")
+
+    header_cells = F.size(F.get(rows, F.lit(0)))
+    return F.when(F.coalesce(header_cells, F.lit(0)) <= 0, F.lit("")).otherwise(let(clean, table))
 
 
 def _without_dot_segments(path: Column) -> Column:

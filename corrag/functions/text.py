@@ -13,6 +13,14 @@ CHILD_TOKENS = 512
 CHILD_OVERLAP = 64
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it.
+
+    A plain expression would be computed anew in every branch and in every step of a lambda.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_ws(text: Column) -> Column:
     """Strip every kind of white space at both ends (``trim`` only strips blanks)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -34,9 +42,8 @@ def count_tokens(text: Column, tokenizer: Tokenizer = tokens) -> Column:
 def truncate_tokens(text: Column, limit: int | Column, tokenizer: Tokenizer = spaced_tokens) -> Column:
     """``text`` unchanged when it has at most ``limit`` tokens, else its first ``limit``."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    pieces = tokenizer(text)
-    return F.when(F.size(pieces) <= limit, text).otherwise(
-        F.array_join(F.slice(pieces, F.lit(1), limit), ""))
+    return let(tokenizer(text), lambda pieces: F.when(F.size(pieces) <= limit, text).otherwise(
+        F.array_join(F.slice(pieces, F.lit(1), limit), "")))
 
 
 def split_tokens(
@@ -50,12 +57,14 @@ def split_tokens(
     A text without tokens yields itself as the only window.
     """
     step = max_tokens - overlap
-    pieces = tokenizer(text)
-    starts = F.sequence(
-        F.lit(0), F.greatest(F.lit(0), F.size(pieces) - F.lit(overlap + 1)), F.lit(step))
-    windows = F.transform(
-        starts, lambda start: F.array_join(F.slice(pieces, start + 1, F.lit(max_tokens)), ""))
-    return F.when(F.size(pieces) == 0, F.array(text)).otherwise(windows)
+
+    def windows(pieces: Column) -> Column:
+        starts = F.sequence(
+            F.lit(0), F.greatest(F.lit(0), F.size(pieces) - F.lit(overlap + 1)), F.lit(step))
+        return F.when(F.size(pieces) == 0, F.array(text)).otherwise(F.transform(
+            starts, lambda start: F.array_join(F.slice(pieces, start + 1, F.lit(max_tokens)), "")))
+
+    return let(tokenizer(text), windows)
 
 
 def words(text: Column) -> Column:

@@ -28,14 +28,17 @@ def child_chunks(
     blocks: DataFrame, max_tokens: int = CHILD_TOKENS, overlap: int = CHILD_OVERLAP,
     tokenizer: Tokenizer = tokens, splitter: Tokenizer = spaced_tokens,
 ) -> DataFrame:
-    """Prose is cut into overlapping windows; tables and figures stay whole."""
+    """Prose is cut into overlapping windows; tables and figures stay whole.
+
+    The outer explode keeps the planner from adding a filter that would cut every text twice.
+    """
     windows = F.when(
         F.col("content_type") == "text",
         split_tokens(F.col("text"), max_tokens, overlap, splitter)).otherwise(F.array("text"))
     cut = blocks.select(
         "paper_id", "content_type", "media_url", "section_name",
-        _parent_id().alias("parent_chunk_id"), F.posexplode(windows).alias("child_idx", "text"))
-    return cut.select(
+        _parent_id().alias("parent_chunk_id"), F.posexplode_outer(windows).alias("child_idx", "text"))
+    return cut.filter(F.col("text").isNotNull()).select(
         F.concat_ws("#", "parent_chunk_id", F.col("child_idx").cast("string")).alias("chunk_id"),
         "paper_id", F.lit("child").alias("chunk_type"), "content_type", "media_url",
         "section_name", "text", "parent_chunk_id",

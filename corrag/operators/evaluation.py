@@ -137,7 +137,8 @@ def attribute_answers(
     if the similarity is positive and reaches ``threshold``. A blank answer is flagged.
     """
     blank = strip_ws(F.coalesce(F.col("answer"), F.lit(""))) == ""
-    split = answers.select("answer_id", F.posexplode(sentences(F.col("answer"))).alias("at", "sentence"))
+    split = answers.select("answer_id", F.posexplode_outer(sentences(F.col("answer"))).alias(
+        "at", "sentence")).filter(F.col("sentence").isNotNull())
 
     def keyed(df: DataFrame, id_: str, vector: str) -> DataFrame:
         return df.select(F.col("answer_id").alias("key"), F.col(id_).alias("id"), F.col(vector).alias("vector"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corrag.functions.text import snippet, strip_ws, words
+from corrag.functions.text import let, snippet, strip_ws, words
 from corrag.operators.blockmatch import unit_rows
 from corrag.operators.topk import top_k
 
@@ -24,9 +24,9 @@ CANDIDATES = 3
 
 def overlap_scorer(query: Column, text: Column) -> Column:
     """Share of the query's distinct terms that the text holds, 0 to 1."""
-    terms = F.array_distinct(words(query))
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(terms, words(text))) / F.size(terms))
+    return let(F.array_distinct(words(query)), lambda terms: F.when(
+        F.size(terms) == 0, F.lit(0.0)).otherwise(
+        F.size(F.array_intersect(terms, words(text))) / F.size(terms)))
 
 
 def rerank(
