@@ -30,7 +30,7 @@ def letter_counts(texts: list[str]) -> list[list[float]]:
 def plugin_embedder(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf).select("paper_id", "text")
     return embed(docs, "text", letter_counts, batch=64).select(
-        "paper_id", F.posexplode("dense_vector").alias("i", "value")).withColumn("value", F.col("value").cast("double"))
+        "paper_id", F.posexplode_outer("dense_vector").alias("i", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 def length_ratio(queries: list[str], texts: list[str]) -> list[float]:

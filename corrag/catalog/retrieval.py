@@ -125,7 +125,7 @@ SELECT id AS paper_id, CAST(bucket AS INTEGER) AS bucket, round(v, 5) AS value F
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
     return embed(docs.select("paper_id", "text"), "text", dim=DIM).select(
-        "paper_id", F.posexplode("dense_vector").alias("bucket", "_v")).filter(F.col("_v") != 0).select(
+        "paper_id", F.posexplode_outer("dense_vector").alias("bucket", "_v")).filter(F.col("_v") != 0).select(
         "paper_id", "bucket", F.round(F.col("_v").cast("double"), 5).alias("value"))
 
 

@@ -92,9 +92,14 @@ def route_after_corrective(retry_count: Column, max_retries: int = MAX_RETRIES)
 
 
 def is_equation_only(text: Column, min_prose: int = EQUATION_MIN_PROSE) -> Column:
-    """Has formula markup and fewer than ``min_prose`` characters besides it."""
+    """Has formula markup and fewer than ``min_prose`` characters besides it.
+
+    Markup needs a dollar sign or a backslash; the plain search for these spares most texts
+    the pattern.
+    """
     prose = strip_ws(F.regexp_replace(text, LATEX_MARKUP, ""))
-    return text.rlike(LATEX_MARKUP) & (F.length(prose) < min_prose)
+    may_have = F.contains(text, F.lit("$")) | F.contains(text, F.lit("\\"))
+    return may_have & text.rlike(LATEX_MARKUP) & (F.length(prose) < min_prose)
 
 
 def valid_paper_id(paper_id: Column) -> Column:

@@ -72,6 +72,8 @@ def dense_search(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIM
         best = [BestPerQuery(len(rows), limit) for _, rows, _ in groups]
         some_scope = any(scope is not None for scope, _, _ in groups)
         for records in batches:
+            # Rows without a vector go here: as a filter the vectors would be computed twice.
+            records = records.filter(pc.is_valid(records.column("dense_vector")))
             records = records.take(pc.sort_indices(records.column("chunk_id")))
             ids = list(zip(*(records.column(c).to_pylist() for c in ("chunk_id", "paper_id"))))
             vectors_here = records.column("dense_vector")
@@ -95,8 +97,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIM
                 [pa.array([f[i] for f in found], type=field.type)
                  for i, field in enumerate(arrow_schema)], schema=arrow_schema)
 
-    found = (vectors.filter(F.col("dense_vector").isNotNull())
-             .select("chunk_id", "paper_id", "dense_vector").mapInArrow(run, schema))
+    found = vectors.select("chunk_id", "paper_id", "dense_vector").mapInArrow(run, schema)
     return top_k(found, ["query_id"], _best_first("chunk_id"), limit)
 
 
