@@ -79,11 +79,18 @@ def pack_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def _members(column: pa.Array, row: int) -> tuple[list, pa.Array]:
     members = column[row].values
-    ids = members.field("id").to_pylist()
+    # Struct ids become tuples, which compare field by field.
+    ids = [tuple(i.values()) if isinstance(i, dict) else i for i in members.field("id").to_pylist()]
     order = sorted(range(len(ids)), key=ids.__getitem__)
     return [ids[i] for i in order], members.field("vector").take(pa.array(order))
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_struct(kind):
+        values = [dict(zip((f.name for f in kind), value)) for value in values]
+    return pa.array(values, type=kind)
+
+
 def pair_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """``key, left_id, right_id, score``: the best ``k`` right rows per left row and block pair."""
     right_blocks = right.select("key", F.col("blocks").alias("_right_blocks")).distinct()
@@ -119,7 +126,7 @@ def pair_blocks(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
                               for q, kept in best.kept.items() for minus, right_id in kept]
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[i] for f in found], type=field.type)
-                     for i, field in enumerate(arrow_schema)], schema=arrow_schema)
+                    [_column([f[i] for f in found], field.type) for i, field in enumerate(arrow_schema)],
+                    schema=arrow_schema)
 
     return met.select("key", "left_members", "right_members").mapInArrow(run, schema)
