@@ -47,8 +47,8 @@ scored AS (SELECT h.query_id, h.chunk_id, round(least(length(p.text), length(b.t
 def plugin_scorer(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf).select(F.col("paper_id").alias("chunk_id"), "paper_id", "text")
     asked = tables.questions(spark, sf)
-    postings = sparse_encode_documents(docs, avg_len=256.0, counts=stage_term_counts(docs))
-    hits = staged(sparse_search(sparse_encode_queries(asked), postings, 10), "hits")
+    sparse = sparse_encode_documents(docs, avg_len=256.0, counts=stage_term_counts(docs))
+    hits = staged(sparse_search(sparse_encode_queries(asked), sparse, 10), "hits")
     chunks = docs.withColumn("parent_chunk_id", F.lit(None).cast("string"))
     return rerank(enrich_hits(hits, chunks), asked, batch_scorer(length_ratio), 5).select(
         "query_id", "chunk_id", "score", "rank")

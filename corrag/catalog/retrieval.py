@@ -10,7 +10,7 @@ from corrag.catalog import tables
 from corrag.catalog.registry import query
 from corrag.operators.embedding import embed, hash_vector
 from corrag.operators.postings import (
-    sparse_encode_documents, sparse_encode_queries, stage_term_counts, term_statistics)
+    postings, sparse_encode_documents, sparse_encode_queries, stage_term_counts, term_statistics)
 from corrag.operators.search import (
     ann_dense_search, ann_index, ann_recall, dense_search, enrich_hits, hybrid_search,
     query_scope, rrf_fuse, sparse_search)
@@ -26,7 +26,7 @@ DIM = 64
 _PASSAGES = ("children", "chunk_id", "paper_id", "text")
 
 
-def _postings(chunks: DataFrame, avg_len: float | None = None) -> DataFrame:
+def _sparse(chunks: DataFrame, avg_len: float | None = None) -> DataFrame:
     return sparse_encode_documents(chunks, avg_len=avg_len, counts=stage_term_counts(chunks))
 
 
@@ -56,7 +56,7 @@ def bm25_topk_noidf(spark: SparkSession, sf: str) -> DataFrame:
     """Saturated term frequency only, over passages, with a fixed reference length."""
     children = tables.children(tables.documents(spark, sf))
     terms = sparse_encode_queries(tables.questions(spark, sf))
-    return sparse_search(terms, _postings(children, 256.0), 10).select(
+    return sparse_search(terms, _sparse(children, 256.0), 10).select(
         "query_id", "chunk_id", "score", "rank")
 
 
@@ -64,8 +64,8 @@ def bm25_topk_noidf(spark: SparkSession, sf: str) -> DataFrame:
 SELECT term, count(*) AS doc_freq, round(sum(weight), 4) AS total_weight FROM postings GROUP BY term""")
 def sparse_index(spark: SparkSession, sf: str) -> DataFrame:
     """The weighted postings of all passages, summed up per term."""
-    postings = _postings(tables.children(tables.documents(spark, sf)))
-    return postings.groupBy("term").agg(
+    entries = postings(_sparse(tables.children(tables.documents(spark, sf))))
+    return entries.groupBy("term").agg(
         F.count("*").alias("doc_freq"), F.round(F.sum("weight"), 4).alias("total_weight"))
 
 
@@ -226,7 +226,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str, corpus) -> DataFrame:
-    return hybrid_search(questions(spark, sf), corpus.vectors, corpus.postings, _LIMIT,
+    return hybrid_search(questions(spark, sf), corpus.vectors, corpus.sparse, _LIMIT,
                          statistics=corpus.statistics, n_docs=corpus.n_docs)
 
 
@@ -250,13 +250,13 @@ own_sparse AS (SELECT d.* FROM sparse d JOIN best b ON b.query_id = d.query_id A
 def hybrid_single_paper(spark: SparkSession, sf: str) -> DataFrame:
     """Deep dives: every question is asked of the paper whose passage matches it best."""
     children = staged(tables.children(tables.documents(spark, sf)), "children")
-    postings = _postings(children, 256.0)
+    sparse = _sparse(children, 256.0)
     asked = questions(spark, sf)
-    best = sparse_search(sparse_encode_queries(asked), postings, 1).select("query_id", F.col("paper_id").alias("_own"))
+    best = sparse_search(sparse_encode_queries(asked), sparse, 1).select("query_id", F.col("paper_id").alias("_own"))
     deep = staged(asked.join(best, "query_id").withColumn("mode", F.lit("deep_dive")).withColumn(
         "paper_id", F.col("_own")).drop("_own"), "deep")
     vectors = embed(children.select("chunk_id", "paper_id", "text"), "text", dim=DIM)
-    return hybrid_search(deep, vectors, postings, _LIMIT).select(
+    return hybrid_search(deep, vectors, sparse, _LIMIT).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -372,14 +372,14 @@ def suggest_papers_query(spark: SparkSession, sf: str) -> DataFrame:
     into the paper that matches best."""
     docs = tables.documents(spark, sf)
     children = staged(tables.children(docs), "children")
-    postings = _postings(children, 256.0)
+    sparse = _sparse(children, 256.0)
     terms = sparse_encode_queries(tables.questions(spark, sf))
     odd = F.col("query_id").cast("bigint") % 2 == 1
-    queries = staged(sparse_search(terms, postings, 1).select(
+    queries = staged(sparse_search(terms, sparse, 1).select(
         "query_id", "paper_id", F.when(odd, "deep_dive").otherwise("ask").alias("mode")), "asked")
     labels = tables.read(spark, sf, "labels").withColumn("paper_id", F.col("doc_id").cast("string"))
-    corpus = postings.join(labels.filter("quality = 1").select("paper_id"), "paper_id", "left_semi")
-    reserve = postings.join(labels.select("paper_id"), "paper_id", "left_anti")
+    corpus = sparse.join(labels.filter("quality = 1").select("paper_id"), "paper_id", "left_semi")
+    reserve = sparse.join(labels.select("paper_id"), "paper_id", "left_anti")
     hits = staged(sparse_search(terms, corpus, 3), "hits")
     own = hits.join(queries.select("query_id", "paper_id"), ["query_id", "paper_id"], "left_semi")
     papers = tables.papers(docs)

@@ -53,8 +53,8 @@ class BestPerQuery:
         self.kept: dict[int, list] = {}
 
     def offer(self, scores: np.ndarray, ids: list) -> None:
-        """``scores`` is queries x rows, the rows in ascending id order."""
-        hopeful = scores >= self.floor[:, None]
+        """``scores`` is queries x rows, the rows in ascending id order; ``-inf`` is no hit."""
+        hopeful = (scores >= self.floor[:, None]) & (scores > -np.inf)
         for query in np.flatnonzero(hopeful.any(axis=1)):
             row = scores[query]
             places = np.flatnonzero(hopeful[query])

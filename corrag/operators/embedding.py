@@ -41,7 +41,8 @@ def hash_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
         flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         cells = np.repeat(np.arange(rows, dtype=np.int64), lengths) * dim + flat // 2
         signs = 1.0 - 2.0 * (flat % 2)
-        matrix = np.bincount(cells, weights=signs, minlength=rows * dim).reshape(rows, dim)
+        matrix = np.bincount(cells, weights=signs, minlength=rows * dim)
+        matrix = matrix.astype(np.float64).reshape(rows, dim)
         norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
         offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrag.functions.text import strip_ws, words
-from corrag.session import new_shared_path
+from corrag.session import staged
 
 # --- Fixed values -------------------------------------------------------------------------
 BM25_K1, BM25_B = 1.2, 0.75
@@ -19,66 +21,63 @@ def saturation(
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
 
 
-def _exploded_words(df: DataFrame, *keep: str) -> DataFrame:
-    """``keep, _length, term``: one row per word.
-
-    The length is its own step, so the word array is not copied into every row; the outer
-    explode keeps the planner from repeating the tokenizer in a filter before it.
-    """
-    split = df.select(*keep, words(F.col("text")).alias("_words"))
-    sized = split.select(*keep, "_words", F.size("_words").alias("_length"))
-    return sized.select(*keep, "_length", F.explode_outer("_words").alias("term")).filter(
-        F.col("term").isNotNull())
-
-
 def count_terms(chunks: DataFrame) -> DataFrame:
-    """``term, chunk_id, paper_id, length, tf``.
+    """One row per chunk: ``chunk_id, paper_id, length, terms, tfs``.
 
-    Texts are placed by ``chunk_id`` before they are taken apart: that one exchange also
-    serves the count per (chunk, term) and any later sum per (query, chunk).
+    The engine cuts the words; the worker tallies a whole batch of word lists at once. The
+    work is row by row, so building the index needs no shuffle.
     """
-    placed = chunks.select("chunk_id", "paper_id", "text").repartition("chunk_id")
-    return _exploded_words(placed, "chunk_id", "paper_id").groupBy(
-        "term", "chunk_id", "paper_id", "_length").agg(F.count("*").alias("tf")).withColumnRenamed(
-        "_length", "length")
+    @F.arrow_udf("struct<terms:array<string>,tfs:array<int>>")
+    def tally(lists: pa.Array) -> pa.Array:
+        lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+        flat = lists.flatten().dictionary_encode()
+        size = max(1, len(flat.dictionary))
+        rows = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+        keys, counts = np.unique(
+            rows * size + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        offsets = pa.array(np.searchsorted(keys // size, np.arange(len(lengths) + 1)).astype(np.int32))
+        return pa.StructArray.from_arrays([
+            pa.ListArray.from_arrays(offsets, flat.dictionary.take(pa.array(keys % size))),
+            pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))], ["terms", "tfs"])
 
+    split = chunks.select("chunk_id", "paper_id", words(F.coalesce("text", F.lit(""))).alias("_words"))
+    tallied = split.select("chunk_id", "paper_id", F.size("_words").alias("length"), tally("_words").alias("_t"))
+    return tallied.select("chunk_id", "paper_id", "length", "_t.terms", "_t.tfs")
 
-def stage_term_counts(chunks: DataFrame, name: str = "terms", buckets: int | None = None) -> DataFrame:
-    """``count_terms`` written once as a table bucketed by chunk.
 
-    Searches read the buckets in place: sums per (query, chunk) need no exchange.
-    """
-    spark = chunks.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = new_shared_path(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    placed = count_terms(chunks.repartition(buckets, "chunk_id"))
-    placed.write.option("path", path).bucketBy(buckets, "chunk_id").saveAsTable(table)
-    return spark.table(table)
+def stage_term_counts(chunks: DataFrame, name: str = "terms") -> DataFrame:
+    """``count_terms`` written once; statistics and searches read the table."""
+    return staged(count_terms(chunks), name)
 
 
 def sparse_encode_documents(
     chunks: DataFrame, k1: float = BM25_K1, b: float = BM25_B, avg_len: float | None = None,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """``term, chunk_id, paper_id, weight`` with saturated term frequency.
+    """The sparse vectors ``chunk_id, paper_id, terms, weights`` (saturated term frequency).
 
     ``counts`` are the staged counts of the same chunks, else they are taken on the way.
     Without ``avg_len`` the corpus average is used.
     """
     counts = count_terms(chunks) if counts is None else counts
-    if avg_len is not None:
-        mean = F.lit(float(avg_len))
-    else:
-        mean = counts.agg(F.sum("tf")).scalar() / chunks.agg(F.count("*")).scalar()
-    return counts.select(
-        "term", "chunk_id", "paper_id",
-        saturation(F.col("tf"), F.col("length"), mean, k1, b).alias("weight"))
-
-
-def term_statistics(postings: DataFrame) -> DataFrame:
-    """``term, doc_freq``; counted on the map side first, so common terms do not pile up."""
-    return postings.groupBy("term").agg(F.count("*").alias("doc_freq"))
+    mean = F.lit(float(avg_len)) if avg_len is not None else counts.agg(F.avg("length")).scalar()
+    base = counts.withColumn("_mean", mean)
+    return base.select("chunk_id", "paper_id", "terms", F.transform("tfs", lambda tf: saturation(
+        tf, F.col("length"), F.col("_mean"), k1, b)).alias("weights"))
+
+
+def postings(vectors: DataFrame) -> DataFrame:
+    """Sparse vectors as a table ``term, chunk_id, paper_id, weight``, one row per entry."""
+    entries = vectors.select("chunk_id", "paper_id", F.explode_outer(
+        F.arrays_zip("terms", "weights")).alias("_p")).filter(F.col("_p").isNotNull())
+    return entries.select(F.col("_p.terms").alias("term"), "chunk_id", "paper_id", F.col("_p.weights").alias("weight"))
+
+
+def term_statistics(counts: DataFrame) -> DataFrame:
+    """``term, doc_freq`` from term counts or sparse vectors; counted on the map side first,
+    so common terms do not pile up."""
+    return counts.select(F.explode("terms").alias("term")).groupBy("term").agg(
+        F.count("*").alias("doc_freq"))
 
 
 def sparse_encode_queries(

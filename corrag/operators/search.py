@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corrag.functions.vectors import cosine
 from corrag.operators.blockmatch import (
     SCORE_DIGITS, BestPerQuery, matrix_of, pack_blocks, pair_blocks, score_block, unit_rows)
-from corrag.operators.postings import sparse_encode_queries
+from corrag.operators.postings import postings, sparse_encode_queries
 from corrag.operators.topk import top_k
 
 SEARCH_LIMIT = 30
@@ -23,12 +23,21 @@ RRF_K = 60
 
 # A query block of at most this many rows travels to the workers with the task.
 BROADCAST_QUERIES = 4096
+# The same for the distinct terms of all queries together.
+BROADCAST_TERMS = 200_000
 
 
 def _best_first(id_col: str) -> list[Column]:
     return [F.desc("score"), F.asc(id_col)]
 
 
+def _hit_schema(queries: DataFrame, stored: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        *(T.StructField(c, stored.schema[c].dataType) for c in ("chunk_id", "paper_id")),
+        T.StructField("score", T.DoubleType())])
+
+
 def _scoped(queries: DataFrame) -> DataFrame:
     """``query_id, scope, query_vector``; scope is the one paper a query may look at."""
     scope = F.col("scope") if "scope" in queries.columns else F.lit(None).cast("string")
@@ -61,10 +70,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIM
     shipped = queries.sparkSession.sparkContext.broadcast([
         (scope, rows, unit_rows(np.array([query_vectors[r] for r in rows], dtype=np.float64)))
         for (scope, _), rows in groups.items()])
-    schema = T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        *(T.StructField(c, vectors.schema[c].dataType) for c in ("chunk_id", "paper_id")),
-        T.StructField("score", T.DoubleType())])
+    schema = _hit_schema(queries, vectors)
     arrow_schema = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +132,81 @@ def dense_search_blocks(queries: DataFrame, vectors: DataFrame, limit: int = SEA
 
 
 def sparse_search(
-    query_terms: DataFrame, postings: DataFrame, limit: int = SEARCH_LIMIT,
+    query_terms: DataFrame, vectors: DataFrame, limit: int | None = SEARCH_LIMIT,
 ) -> DataFrame:
     """Sum of query weight x document weight over shared terms; ties by chunk id.
 
-    ``query_terms`` may carry a ``scope`` column (NULL: all papers). Postings that are placed
-    by chunk keep that placement through the join and the sum, so the only later exchange
-    moves at most ``limit`` rows per query and task.
+    ``query_terms`` (``query_id, term, weight``) may carry a ``scope`` column (NULL: all
+    papers). Up to ``BROADCAST_TERMS`` of them travel to the sparse vectors: a task adds up its
+    chunks' scores and sends on only its own best ``limit`` per query. A larger query table, or
+    a ranking without a limit, is joined on the term instead.
+    """
+    columns = ["query_id", "term", "weight"] + (["scope"] if "scope" in query_terms.columns else [])
+    wanted = query_terms.select(*columns)
+    if limit is None:
+        return sparse_search_join(wanted, vectors, None)
+    first = wanted.limit(BROADCAST_TERMS + 1).toArrow()
+    if first.num_rows > BROADCAST_TERMS:
+        return sparse_search_join(wanted, vectors, limit)
+    entries = first.sort_by("term").combine_chunks()
+    asked = entries.column("query_id").to_pylist()
+    query_ids = list(dict.fromkeys(asked))
+    place = {query: i for i, query in enumerate(query_ids)}
+    vocabulary = entries.column("term").unique()
+    term_of = pc.index_in(entries.column("term"), vocabulary).to_numpy()
+    scopes = dict(zip(asked, entries.column("scope").to_pylist())) if "scope" in columns else {}
+    shipped = query_terms.sparkSession.sparkContext.broadcast((
+        vocabulary, np.searchsorted(term_of, np.arange(len(vocabulary) + 1)),
+        np.array([place[q] for q in asked], dtype=np.int64), entries.column("weight").to_numpy(),
+        {place[q]: scope for q, scope in scopes.items() if scope is not None}))
+    schema = _hit_schema(query_terms, vectors)
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, start_of, entry_query, entry_weight, scoped = shipped.value
+        best = BestPerQuery(len(query_ids), limit)
+        step = max(1, 4_000_000 // max(1, len(query_ids)))
+        for records in batches:
+            records = records.take(pc.sort_indices(records.column("chunk_id")))
+            for begin in range(0, records.num_rows if query_ids else 0, step):
+                part = records.slice(begin, step)
+                ids = list(zip(*(part.column(c).to_pylist() for c in ("chunk_id", "paper_id"))))
+                terms = part.column("terms")
+                found = pc.index_in(terms.flatten(), vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+                lengths = np.asarray(terms.value_lengths().fill_null(0), dtype=np.int64)
+                rows = np.repeat(np.arange(len(ids)), lengths)[found >= 0]
+                weights = part.column("weights").flatten().to_numpy(zero_copy_only=False)[found >= 0]
+                found = found[found >= 0]
+                # Every stored term meets each query that has it.
+                fan = start_of[found + 1] - start_of[found]
+                entry = np.arange(fan.sum()) + np.repeat(start_of[found] - (np.cumsum(fan) - fan), fan)
+                cell = entry_query[entry] * len(ids) + np.repeat(rows, fan)
+                scores = np.bincount(cell, np.repeat(weights, fan) * entry_weight[entry],
+                                     len(query_ids) * len(ids)).reshape(len(query_ids), len(ids))
+                scores = np.round(scores.astype(np.float64), SCORE_DIGITS)
+                scores[scores <= 0] = -np.inf
+                for query, scope in scoped.items():
+                    scores[query, [str(paper) != scope for _, paper in ids]] = -np.inf
+                best.offer(scores, ids)
+        found = [(query_ids[q], *hit, -minus) for q, hits in best.kept.items() for minus, hit in hits]
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], type=field.type)
+                 for i, field in enumerate(arrow_schema)], schema=arrow_schema)
+
+    found = vectors.select("chunk_id", "paper_id", "terms", "weights").mapInArrow(run, schema)
+    return top_k(found, ["query_id"], _best_first("chunk_id"), limit)
+
+
+def sparse_search_join(query_terms: DataFrame, vectors: DataFrame, limit: int | None) -> DataFrame:
+    """The same search for query tables of any size, as a join on the term and a sum.
+
+    Entries are placed by chunk before the join, so the sum per (query, chunk) needs no further
+    exchange when the query side is broadcast, and the last one moves at most ``limit`` rows
+    per query and task.
     """
     terms = query_terms.withColumnRenamed("weight", "_query_weight")
-    met = postings.join(terms, "term")
+    met = postings(vectors.repartition("chunk_id")).join(terms, "term")
     if "scope" in query_terms.columns:
         met = met.filter(F.col("scope").isNull() | (F.col("scope") == F.col("paper_id").cast("string")))
     summed = met.groupBy("query_id", "chunk_id", "paper_id").agg(
@@ -155,7 +226,7 @@ def rrf_fuse(ranked: list[DataFrame], k: int = RRF_K, limit: int | None = SEARCH
 
 
 def hybrid_search(
-    queries: DataFrame, vectors: DataFrame, postings: DataFrame | None, limit: int = SEARCH_LIMIT,
+    queries: DataFrame, vectors: DataFrame, sparse: DataFrame | None, limit: int = SEARCH_LIMIT,
     use_sparse: bool = True, rrf_k: int = RRF_K, statistics: DataFrame | None = None,
     n_docs: Column | None = None,
 ) -> DataFrame:
@@ -171,7 +242,7 @@ def hybrid_search(
     terms = sparse_encode_queries(scoped, statistics, n_docs).join(
         scoped.select("query_id", "scope"), "query_id")
     return rrf_fuse([dense_search(scoped, vectors, 2 * limit),
-                     sparse_search(terms, postings, 2 * limit)], rrf_k, limit)
+                     sparse_search(terms, sparse, 2 * limit)], rrf_k, limit)
 
 
 # --- Approximate dense search -------------------------------------------------------------

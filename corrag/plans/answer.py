@@ -53,7 +53,7 @@ def gather_evidence(
     """
     asked = queries.filter(F.col("route") == "retrieve")
     found = hybrid_search(
-        asked, corpus.vectors, corpus.postings, limit,
+        asked, corpus.vectors, corpus.sparse, limit,
         statistics=corpus.statistics if idf else None, n_docs=corpus.n_docs if idf else None)
     hits = staged(found, "hits")
     reranked = staged(rerank(enrich_hits(hits, corpus.children), asked, scorer), "reranked")

@@ -40,7 +40,7 @@ class Corpus:
         return self.chunks.filter(F.col("chunk_type") == "child")
 
     @property
-    def postings(self) -> DataFrame:
+    def sparse(self) -> DataFrame:
         return sparse_encode_documents(
             self.children, avg_len=self.settings.avg_len, counts=self.counts)
 

@@ -59,9 +59,10 @@ def search_reserve(
     else:
         texts = searches.join(asked.select("query_id", "_recent"), "query_id").select(
             "query_id", "list_no", "_recent", "text")
-    texts = texts.withColumn("_pair", F.struct("query_id", "list_no"))
+    # One search per query and list; the list number ends the key and has no "#" in it.
+    texts = texts.withColumn("_pair", F.concat_ws("#", "query_id", F.col("list_no").cast("string")))
     known = _reserve_texts(reserve.papers)
-    postings = sparse_encode_documents(known, counts=reserve.counts)
+    sparse = sparse_encode_documents(known, counts=reserve.counts)
     terms = sparse_encode_queries(
         texts.select(F.col("_pair").alias("query_id"), "text"), term_statistics(reserve.counts),
         known.agg(F.count("*")).scalar(), "text")
@@ -69,7 +70,7 @@ def search_reserve(
 
     def found(part: DataFrame, limit: int | None) -> DataFrame:
         mine = terms.join(part.select("query_id"), "query_id", "left_semi")
-        return sparse_search(mine, postings, limit)
+        return sparse_search(mine, sparse, limit)
 
     relevant = found(recent.filter(~F.col("_recent")), per_search)
     # Every match competes by date, so nothing is cut by relevance first.
@@ -78,7 +79,9 @@ def search_reserve(
     newest = top_k(matched, ["query_id"], [F.desc("_date"), F.desc("score"), F.asc("chunk_id")], per_search)
     both = relevant.select("query_id", "paper_id", "rank").unionByName(
         newest.select("query_id", "paper_id", "rank"))
-    return both.select("query_id.query_id", "query_id.list_no", "rank", "paper_id")
+    return both.select(
+        F.regexp_replace("query_id", "#[^#]*$", "").alias("query_id"),
+        F.substring_index("query_id", "#", -1).cast("int").alias("list_no"), "rank", "paper_id")
 
 
 def ingest_into(corpus: Corpus, papers: DataFrame, blocks: DataFrame) -> Corpus:

@@ -22,7 +22,7 @@ def retrieval_runs(queries: DataFrame, corpus: Corpus, limit: int = 30, item: st
     """
     dense = staged(dense_search(queries, corpus.vectors, 2 * limit), "dense")
     terms = sparse_encode_queries(queries, corpus.statistics, corpus.n_docs)
-    sparse = sparse_search(terms, corpus.postings, 2 * limit)
+    sparse = sparse_search(terms, corpus.sparse, 2 * limit)
     hybrid = staged(rrf_fuse([dense, sparse], limit=limit), "hybrid")
     reranked = rerank(enrich_hits(hybrid, corpus.children), queries)
     return (build_run(dense.filter(F.col("rank") <= limit), "dense", item)

@@ -110,21 +110,32 @@ def bm25(query, k, idf, avg=None, scope=None):
 
 @pytest.mark.parametrize("idf", [True, False])
 @pytest.mark.parametrize("staged_counts", [True, False])
-def test_sparse_search_is_exact(spark, idf, staged_counts):
+@pytest.mark.parametrize("joined", [True, False])
+def test_sparse_search_is_exact(spark, idf, staged_counts, joined, monkeypatch):
+    if joined:
+        monkeypatch.setattr(search, "BROADCAST_TERMS", 1)
     docs = spark.createDataFrame(TEXTS, "chunk_id string, paper_id string, text string")
     queries = spark.createDataFrame(
         [("a", "The model attention", None), ("b", "unknown", None), ("c", "ünlü the", "p2"), ("d", "", None)],
         "query_id string, user_message string, scope string")
     counts = stage_term_counts(docs) if staged_counts else None
-    postings = sparse_encode_documents(docs, counts=counts)
-    terms = (sparse_encode_queries(queries, term_statistics(postings), F.lit(len(TEXTS))) if idf
+    stored = sparse_encode_documents(docs, counts=counts)
+    terms = (sparse_encode_queries(queries, term_statistics(stored), F.lit(len(TEXTS))) if idf
              else sparse_encode_queries(queries)).join(queries.select("query_id", "scope"), "query_id")
     got = {}
-    for r in sparse_search(terms, postings, 6).orderBy("rank").collect():
+    for r in sparse_search(terms, stored, 6).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.chunk_id)
     assert got == {"a": bm25("the model attention", 6, idf), "c": bm25("ünlü the", 6, idf, scope="p2")}
 
 
+def test_texts_without_words(spark):
+    docs = spark.createDataFrame([("a", "p", ""), ("b", "p", "..."), ("c", "p", None)], "chunk_id string, paper_id string, text string").coalesce(1)
+    queries = spark.createDataFrame([("q", "word"), ("r", "")], "query_id string, user_message string")
+    assert sparse_search(sparse_encode_queries(queries), sparse_encode_documents(docs), 3).count() == 0
+    assert sparse_search(sparse_encode_queries(queries.limit(0)), sparse_encode_documents(docs), 3).count() == 0
+    assert [r.dense_vector for r in embed(docs, "text", dim=2).collect()] == [[0.0, 0.0]] * 3
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([("q", "x", "p", 1), ("q", "y", "p", 2)], "query_id string, chunk_id string, paper_id string, rank int")
     b = spark.createDataFrame([("q", "y", "p", 1), ("q", "z", "p", 2)], "query_id string, chunk_id string, paper_id string, rank int")
