@@ -12,6 +12,7 @@ from corrag.functions.text import sentences, strip_ws
 from corrag.operators.blockmatch import pack_blocks, pair_blocks
 from corrag.operators.embedding import embed
 from corrag.operators.topk import first_per_key, top_k
+from corrag.session import staged
 
 CUTOFF = 5
 ATTRIBUTION_THRESHOLD = 0.75
@@ -148,8 +149,9 @@ def attribute_answers(
     pairs = pair_blocks(pack_blocks(left), pack_blocks(right), 1)
     best = first_per_key(pairs, ["key", "left_id"], [F.desc("score"), F.asc("right_id")]).filter(
         (F.col("score") > 0) & (F.col("score") >= threshold))
-    sourced = best.select(F.col("key").alias("answer_id"), F.col("left_id").alias("at"),
-                          F.col("right_id").alias("chunk_id"))
+    # Staged: two results below read it, and it is at most one row per sentence.
+    sourced = staged(best.select(F.col("key").alias("answer_id"), F.col("left_id").alias("at"),
+                                 F.col("right_id").alias("chunk_id")), "sourced")
     used = sourced.select("answer_id", "chunk_id").distinct().groupBy("answer_id").agg(
         F.count("*").alias("_used"))
     given = chunks.groupBy("answer_id").agg(F.count("*").alias("_given"))
