@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrag.operators.evaluation import build_run, comparison_report
+from corrag import schemas
+from corrag.operators.evaluation import TOLERANCE, build_run, comparison_report, regressions
 from corrag.operators.postings import sparse_encode_queries
 from corrag.operators.search import dense_search, enrich_hits, rrf_fuse, sparse_search
 from corrag.operators.selection import rerank
 from corrag.plans.corpus import Corpus
 from corrag.session import staged
+from corrag.sources.store import read_report, write_report
 
-LEG_LIMIT = 60
+BASELINE = "baseline"
 
 
 def retrieval_runs(queries: DataFrame, corpus: Corpus, limit: int = 30, item: str = "paper_id") -> DataFrame:
@@ -32,3 +34,18 @@ def retrieval_runs(queries: DataFrame, corpus: Corpus, limit: int = 30, item: st
 
 def retrieval_report(queries: DataFrame, qrels: DataFrame, corpus: Corpus) -> DataFrame:
     return comparison_report(qrels, staged(retrieval_runs(queries, corpus), "runs"))
+
+
+def check_baseline(spark: SparkSession, scores: DataFrame, path: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """Regressions of ``scores`` (``paper_id, metric, value``) against the saved baseline.
+
+    Papers without a baseline save theirs on this run and have no regressions.
+    """
+    try:
+        baseline = read_report(spark, path, BASELINE)
+    except FileNotFoundError:
+        baseline = spark.createDataFrame([], schemas.SCORES)
+    fresh = scores.join(baseline.select("paper_id").distinct(), "paper_id", "left_anti")
+    found = staged(regressions(scores, baseline, tolerance), "regressions")
+    write_report(staged(fresh.select("paper_id", "metric", "value"), "baseline"), path, BASELINE, replace=False)
+    return found

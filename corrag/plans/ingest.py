@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corrag import schemas
 from corrag.operators.blocks import extract_blocks, extract_with_fallback, lines_to_blocks
@@ -12,7 +11,7 @@ from corrag.operators.embedding import embed_children
 from corrag.operators.filters import filter_blocks
 from corrag.plans.corpus import Settings
 from corrag.session import staged
-from corrag.sources.store import STORE_BUCKETS, upsert_store
+from corrag.sources.store import STORE_BUCKETS, papers_to_replace, upsert_store
 
 
 def ingest_pages(
@@ -32,10 +31,15 @@ def ingest_pages(
 def ingest_to_store(
     spark: SparkSession, store: str, papers: DataFrame, pages: DataFrame,
     lines: DataFrame | None = None, settings: Settings = Settings(), root: str = "section",
-    buckets: int = STORE_BUCKETS, force: bool = True,
+    buckets: int = STORE_BUCKETS, existing_papers: DataFrame | None = None, force: bool = False,
 ) -> None:
-    """Replace the papers of this run in the chunk and vector tables under ``store``."""
-    _, chunks, vectors = ingest_pages(papers, pages, lines, settings, root)
-    ids = papers.select("paper_id")
-    upsert_store(spark, f"{store}/chunks", chunks, ids, schemas.CHUNKS, buckets, force=force)
-    upsert_store(spark, f"{store}/vectors", vectors, ids, schemas.VECTORS, buckets, force=force)
+    """Replace the papers of this run in the chunk and vector tables under ``store``.
+
+    Papers that ``existing_papers`` knows as ``full`` are not even parsed, unless forced.
+    """
+    ids = papers_to_replace(papers, existing_papers, force)
+    fresh, mine = papers.join(ids, "paper_id", "left_semi"), pages.join(ids, "paper_id", "left_semi")
+    read = None if lines is None else lines.join(ids, "paper_id", "left_semi")
+    _, chunks, vectors = ingest_pages(fresh, mine, read, settings, root)
+    for name, rows, schema in (("chunks", chunks, schemas.CHUNKS), ("vectors", vectors, schemas.VECTORS)):
+        upsert_store(spark, f"{store}/{name}", rows, ids, schema, buckets, force=True)

@@ -42,8 +42,11 @@ def _bucket(buckets: int):
 
 
 def write_store(rows: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
-    """First write of a store, in one folder per paper bucket."""
-    rows.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.partitionBy(
+    """First write of a store, in one folder per paper bucket.
+
+    Rebalancing groups the rows by bucket but splits a bucket that one large paper fills.
+    """
+    rows.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").write.partitionBy(
         "bucket").mode("errorifexists").parquet(path)
 
 
@@ -82,13 +85,13 @@ def upsert_store(
     markers = spark.createDataFrame([(b,) for b in touched], "bucket int").select(
         *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields), "bucket")
     after = after.unionByName(markers)
-    (after.repartition("bucket").write.option("partitionOverwriteMode", "dynamic")
+    (after.hint("rebalance", "bucket").write.option("partitionOverwriteMode", "dynamic")
      .mode("overwrite").partitionBy("bucket").parquet(path))
 
 
-def write_report(scores: DataFrame, path: str, name: str) -> None:
-    """One JSON folder per report name and paper."""
-    scores.write.mode("overwrite").partitionBy("paper_id").json(f"{path}/{name}")
+def write_report(scores: DataFrame, path: str, name: str, replace: bool = True) -> None:
+    """One JSON folder per report name and paper; without ``replace`` papers are added."""
+    scores.write.mode("overwrite" if replace else "append").partitionBy("paper_id").json(f"{path}/{name}")
 
 
 def read_report(spark: SparkSession, path: str, name: str, schema: T.StructType = schemas.SCORES) -> DataFrame:

@@ -10,6 +10,7 @@ from corrag.operators.blocks import documents_to_blocks
 from corrag.plans.answer import prepare_queries, summarize
 from corrag.plans.corpus import Settings, build_corpus
 from corrag.plans.correct import build_reserve, corrective_search, search_reserve
+from corrag.plans.evaluate import check_baseline
 from corrag.plans.ingest import ingest_to_store
 from corrag.session import new_shared_path
 from corrag.sources.store import read_store, upsert_paper_chunks, upsert_store, write_store
@@ -63,6 +64,28 @@ def test_ingest_to_store(spark, rows):
     assert chunks.filter("chunk_type = 'parent'").count() == 5
 
 
+def test_full_papers_are_not_ingested_again(spark, rows):
+    path = new_shared_path(spark, "ingest-skip")
+    papers = spark.createDataFrame([("a", ""), ("b", "")], "paper_id string, abstract string")
+    known = spark.createDataFrame([("a", "full"), ("b", "failed")], "paper_id string, ingestion_status string")
+    pages = lambda text: spark.createDataFrame([(p, PAGE.format("S", text)) for p in "ab"], schemas.PAGES)
+    texts = lambda: rows(read_store(spark, f"{path}/chunks", schemas.CHUNKS).filter("chunk_type = 'child'"), "paper_id", "text")
+    ingest_to_store(spark, path, papers, pages("one"), settings=Settings(dim=4), buckets=2)
+    ingest_to_store(spark, path, papers, pages("two"), settings=Settings(dim=4), buckets=2, existing_papers=known)
+    assert texts() == [("a", "one"), ("b", "two")]
+    ingest_to_store(spark, path, papers, pages("three"), settings=Settings(dim=4), buckets=2, existing_papers=known, force=True)
+    assert texts() == [("a", "three"), ("b", "three")]
+
+
+def test_first_run_saves_the_baseline(spark, rows):
+    path = new_shared_path(spark, "baselines")
+    scores = lambda *x: spark.createDataFrame([(*i,) for i in x], schemas.SCORES)
+    assert check_baseline(spark, scores(("p", "m", 0.9)), path).count() == 0
+    later = check_baseline(spark, scores(("p", "m", 0.8), ("q", "m", 0.1)), path)
+    assert rows(later) == [("p", "m", 0.8, 0.9)]
+    assert rows(check_baseline(spark, scores(("q", "m", 0.0), ("p", "m", 0.86)), path), "paper_id") == [("q",)]
+
+
 def papers_of(spark, items):
     docs = spark.createDataFrame(items, "paper_id string, text string, published_date string")
     papers = docs.select("paper_id", F.concat(F.lit("On "), "text").alias("title"), F.lit("").alias("abstract"),
