@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corrag.functions.markup import HTML_BASE, clean_markup, resolve_media_url, rows_to_markdown
 from corrag.functions.text import strip_ws
 from corrag.operators.topk import joined_in_order
+from corrag.session import staged
 
 log = logging.getLogger(__name__)
 
@@ -238,8 +239,10 @@ def lines_to_blocks(lines: DataFrame, segment: int = 4096) -> DataFrame:
         Window.unboundedPreceding, -1)
     carried = local.groupBy(*here).agg(F.max("_heading").alias("_last")).select(
         *here, F.last("_last", ignorenulls=True).over(across).alias("_carried"))
-    placed = local.join(carried, here, "left").withColumn(
-        "_section", F.coalesce("_local", "_carried"))
+    # Staged: captions, sections, headings and leftovers below all start from these lines.
+    placed = staged(local.join(carried, here, "left").select(
+        "paper_id", "page", "text", "_at", "_caption", "_heading",
+        F.coalesce("_local", "_carried").alias("_section")), "lines")
 
     figures = placed.filter(F.col("_caption").isNotNull()).withColumn(
         "_first", F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("_caption"))
