@@ -143,7 +143,7 @@ all_pairs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, chunk_id, paper_id
               FROM benchmark, children),
 dense AS (
   SELECT p.query_id, p.chunk_id, p.paper_id,
-         round(coalesce(d.dot / (qn.n * dn.n), 0), 6) + 0.0::DOUBLE AS score
+         round(coalesce(CASE WHEN qn.n > 0 AND dn.n > 0 THEN d.dot / (qn.n * dn.n) END, 0), 6) + 0.0::DOUBLE AS score
   FROM all_pairs p LEFT JOIN dots d USING (query_id, chunk_id)
   LEFT JOIN qn ON qn.id = p.query_id LEFT JOIN dn ON dn.id = p.chunk_id)"""
 
@@ -177,7 +177,7 @@ pool_vectors AS MATERIALIZED (SELECT * FROM dv WHERE id IN (SELECT chunk_id FROM
 pool_norms AS MATERIALIZED (SELECT id, sqrt(sum(v * v)) AS n FROM pool_vectors GROUP BY id),
 sims AS MATERIALIZED (
   SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b,
-         sum(x.v * y.v) / any_value(na.n * nb.n) AS sim
+         CASE WHEN any_value(na.n * nb.n) > 0 THEN sum(x.v * y.v) / any_value(na.n * nb.n) ELSE 0 END AS sim
   FROM pool a JOIN pool b USING (query_id)
   JOIN pool_vectors x ON x.id = a.chunk_id
   JOIN pool_vectors y ON y.id = b.chunk_id AND y.bucket = x.bucket
