@@ -1,8 +1,11 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid
+from corrag.llm import langid, quality
 
 QUERIES = {
+    "op3_quality": quality.query_quality,
     "op4_langid": langid.query_langid,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality": quality.ORACLE_QUALITY,
+}
