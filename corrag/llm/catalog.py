@@ -1,10 +1,11 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid, quality
+from corrag.llm import langid, quality, sharding
 
 QUERIES = {
     "op3_quality": quality.query_quality,
     "op4_langid": langid.query_langid,
+    "op5_sharding": sharding.query_sharding,
 }
 ORACLES: dict[str, str] = {
     "op3_quality": quality.ORACLE_QUALITY,
