@@ -93,13 +93,11 @@ def fences(shares: DataFrame, lang_col: str = "lang", source_col: str = "source"
     groups = shares.select(lang.alias("_lang"), source.alias("_source")).distinct()
     fine = sketch("_fine", _l=lang, _s=source)
     middle = sketch("_middle", _ml=lang)
-    coarse = sketch("_coarse", _all=F.lit(1))
+    coarse = sketch("_coarse").select("_coarse").scalar()  # one value
     return (
-        groups.withColumn("_one", F.lit(1))
-        .join(fine, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
+        groups.join(fine, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
         .join(middle, F.col("_lang").eqNullSafe(F.col("_ml")), "left")
-        .join(coarse, F.col("_one") == F.col("_all"), "left")
-        .select("_lang", "_source", F.coalesce("_fine", "_middle", "_coarse").alias("_fence")))
+        .select("_lang", "_source", F.coalesce("_fine", "_middle", coarse).alias("_fence")))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
