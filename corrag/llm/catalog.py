@@ -1,11 +1,12 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid, mixing, quality, sharding, tokenfiles
+from corrag.llm import langid, mixing, quality, sentencepieces, sharding, tokenfiles
 
 QUERIES = {
     "op3_quality": quality.query_quality,
     "op4_langid": langid.query_langid,
     "op5_sharding": sharding.query_sharding,
+    "op7_sentencepiece": sentencepieces.query_sentencepiece,
     "op8_token_files": tokenfiles.query_token_files,
     "op10_mixing": mixing.query_mixing,
 }
