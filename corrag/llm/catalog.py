@@ -1,8 +1,9 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid, mixing, quality, sentencepieces, sharding, tokenfiles
+from corrag.llm import langid, mixing, ngram_join, quality, sentencepieces, sharding, tokenfiles
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query_ngram_join,
     "op3_quality": quality.query_quality,
     "op4_langid": langid.query_langid,
     "op5_sharding": sharding.query_sharding,
