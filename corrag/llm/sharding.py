@@ -23,7 +23,9 @@ from corrag.llm.common import read_table
 from corrag.session import staged
 
 #: Capacities that one round of the search checks.
-PROBES = 255
+PROBES = 63
+#: Blocks that the prefix sums are cut into; the driver holds one number per block.
+BLOCKS = 1 << 14
 
 
 def _numbered(rows: DataFrame, *order) -> DataFrame:
@@ -43,41 +45,44 @@ def prefix_sums(groups: DataFrame, order: str, size: str) -> DataFrame:
             .withColumn("cum", F.col("_before") + F.col("_within")).drop("_part", "_at", "_within", "_before"))
 
 
-def _furthest(spark, cums: DataFrame, width: int, targets: dict[int, int]) -> dict[int, int]:
-    """For each probe the largest prefix sum that is not above its target, or 0.
-
-    No size exceeds ``width``, so that sum lies in the target's block of ``width`` or the one before.
-    """
-    values = ", ".join(f"({k}L, {t}L, {b}L)" for k, t in targets.items() for b in (t // width - 1, t // width))
+def _furthest(spark, blocks: DataFrame, width: int, before: list[int], targets: dict[int, int]) -> dict[int, int]:
+    """For each probe the largest prefix sum that is not above its target, or 0: one in the target's
+    block, or else the last one before that block."""
+    values = ", ".join(f"({k}L, {t}L, {t // width}L)" for k, t in targets.items())
     probes = spark.sql(f"SELECT * FROM VALUES {values} AS p(probe, target, block)")
     found = (
-        cums.join(F.broadcast(probes), "block")  # at most 2 * PROBES rows
+        blocks.join(F.broadcast(probes), "block")  # at most PROBES + 1 rows
         .filter(F.col("cum") <= F.col("target"))
         .groupBy("probe").agg(F.max("cum").alias("cum")).collect())
-    return {k: 0 for k in targets} | {r["probe"]: r["cum"] for r in found}
+    return {k: before[t // width] for k, t in targets.items()} | {r["probe"]: r["cum"] for r in found}
 
 
 def minimax_cuts(cums: DataFrame, n_shards: int) -> tuple[int, list[int]]:
     """The smallest feasible capacity and the prefix sums at which the greedy cut ends each shard."""
     spark = cums.sparkSession
-    total, width = cums.agg(F.max("cum"), F.max("bytes")).first()
+    total, largest = cums.agg(F.max("cum"), F.max("bytes")).first()
     if total is None:
         return 0, []
-    blocks = staged(cums.select(F.expr(f"cum div {width}L").alias("block"), "cum")
-                    .repartitionByRange("block"), "prefix-sums")
+    width = total // BLOCKS + 1
+    blocks = staged(cums.select(F.expr(f"cum div {width}L").alias("block"), "cum").repartitionByRange("block"), "prefix-sums")
+    ends = dict(blocks.groupBy("block").agg(F.max("cum")).collect())  # at most BLOCKS numbers
+    before, last = [], 0
+    for block in range(BLOCKS + 1):
+        before.append(last)
+        last = ends.get(block, last)
 
     def greedy(capacities):
-        ends = {k: [0] for k in range(len(capacities))}
+        cuts = {k: [0] for k in range(len(capacities))}
         for _ in range(n_shards):
-            open_ = {k: e[-1] + capacities[k] for k, e in ends.items() if e[-1] < total}
+            open_ = {k: min(c[-1] + capacities[k], total) for k, c in cuts.items() if c[-1] < total}
             if open_:
-                for k, cum in _furthest(spark, blocks, width, open_).items():
-                    ends[k].append(cum)
-        return [ends[k][1:] for k in range(len(capacities))]
+                for k, cum in _furthest(spark, blocks, width, before, open_).items():
+                    cuts[k].append(cum)
+        return [cuts[k][1:] for k in range(len(capacities))]
 
     # Every group fits into the upper bound's rest, so the upper bound is feasible.
     mean = -(-total // n_shards)
-    low, high = max(mean, width), mean + width
+    low, high = max(mean, largest), mean + largest
     cuts = greedy([high])[0]
     while low < high:
         step = max(1, (high - low) // (PROBES + 1))
