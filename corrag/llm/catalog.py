@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid, mixing, ngram_join, quality, sentencepieces, sharding, tokenfiles
+from corrag.llm import langid, mixing, ngram_join, quality, sentencepieces, sharding, substring, tokenfiles
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query_ngram_join,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_sharding": sharding.query_sharding,
     "op7_sentencepiece": sentencepieces.query_sentencepiece,
     "op8_token_files": tokenfiles.query_token_files,
+    "op9_substring": substring.query_substring,
     "op10_mixing": mixing.query_mixing,
 }
 ORACLES: dict[str, str] = {
