@@ -1,9 +1,10 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid, mixing, ngram_join, quality, sentencepieces, sharding, substring, tokenfiles
+from corrag.llm import langid, mixing, neardup, ngram_join, quality, sentencepieces, sharding, substring, tokenfiles
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query_ngram_join,
+    "op2_neardup": neardup.query_neardup,
     "op3_quality": quality.query_quality,
     "op4_langid": langid.query_langid,
     "op5_sharding": sharding.query_sharding,
@@ -13,5 +14,6 @@ QUERIES = {
     "op10_mixing": mixing.query_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op2_neardup": neardup.query_neardup,
     "op3_quality": quality.ORACLE_QUALITY,
 }
