@@ -4,9 +4,9 @@
    only if some domain has it twice as often as chance and ``MIN_Z`` standard deviations above it, so
    that the many rare words of a text add no noise. It gives each document a posterior over the domains.
 2. Projected-gradient least squares finds document rates ``r >= 0`` whose expected domain totals
-   ``sum(r * tokens * posterior)`` match the targets. Each step is one distributed sum of D numbers
-   and a column update ``r := max(0, r - step * posterior . residual)``; residuals are measured
-   relative to the domain's natural total, in the token-weighted metric.
+   ``sum(r * tokens * posterior)`` match the targets. Each step is one distributed sum of D + D * D
+   numbers and a column update ``r := max(0, r - posterior . slopes)``. The slopes are the residuals in
+   the metric of the moment matrix of the documents whose rate is not yet 0, for D domains.
 
 Defined results: null text and text without words has 0 tokens, the prior as posterior and a rate
 like any other. Without labelled rows, or with one domain, every rate is the ratio of target to
@@ -19,18 +19,20 @@ from __future__ import annotations
 
 from math import log, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from corrag.llm.common import read_table, words_of
+from corrag.llm.common import read_table
 from corrag.session import staged
 
-SYMBOLS = "#*$%&|<>!"
 #: Buckets that words hash to.
 BUCKETS = 1 << 15
+#: Buckets and the places of the three made-up words.
+FEATURES = BUCKETS + 36
 MIN_Z = 5.0
 #: Steps between two written states, which keep the rate's expression short.
 ROUND = 8
-MAX_STEPS = 96
+MAX_STEPS = 48
 #: Largest relative miss of a domain total at which the fit ends.
 TOLERANCE = 1e-3
 #: Shares of the tokens that the mixture shall have, by domain.
@@ -40,38 +42,39 @@ TARGETS = {"high": 0.93, "low": 0.06, "toxic": 0.01}
 def with_features(docs: DataFrame, text_col: str) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``_features``, the distinct buckets of the text.
 
-    Features are the words, lowered and without the marks around them, and one made-up word each for
-    the share of symbols, of capitals and of distinct words.
+    Tokens are runs of letters and digits, lowered. Features are the tokens, and one made-up word each
+    for the share of symbols, of capitals and of distinct tokens.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marks = r"[\p{Punct}]+"
+    # Everything in ASCII that is no letter or digit parts words.
+    words = F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
     rows = docs.withColumns({
-        "n_tokens": F.size(words_of(F.col(text_col))).cast("long"),
-        "_words": F.array_distinct(words_of(F.regexp_replace(F.lower(text), marks, " "))),
-        "_marks": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
-        "_capitals": F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
-        "_length": F.length(text)})
+        "_hashes": F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")),
+        "_length": F.length(text),
+        "_marks": F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>!]+", "")),
+        "_capitals": F.length(text) - F.length(F.regexp_replace(text, r"[A-Z]+", ""))})
+    rows = rows.withColumns({"n_tokens": F.size("_hashes").cast("long"), "_distinct": F.array_distinct("_hashes")}).drop("_hashes")
 
-    def grade(name, part, whole):
-        return F.concat(F.lit(name + " "), F.coalesce(F.floor(F.try_divide(part * 10, whole)), F.lit(-1)).cast("string"))
+    def grade(place, part, whole):  # tenths, and a place for texts without any
+        step = F.coalesce(F.floor(F.try_divide(part * 10, whole)), F.lit(11))
+        return (F.lit(BUCKETS + 12 * place) + step).cast("int")
 
-    made_up = F.array(grade("marks", F.col("_marks"), F.col("_length")), grade("capitals", F.col("_capitals"), F.col("_length")),
-                      grade("distinct", F.size("_words"), F.col("n_tokens")))
-    buckets = F.transform(F.concat("_words", made_up), lambda w: F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int"))
-    return rows.withColumn("_features", F.array_distinct(buckets)).drop("_words", "_marks", "_capitals", "_length")
+    made_up = F.array(grade(0, F.col("_marks"), F.col("_length")), grade(1, F.col("_capitals"), F.col("_length")),
+                      grade(2, F.size("_distinct"), F.col("n_tokens")))
+    return rows.withColumn("_features", F.array_union("_distinct", made_up)).drop("_distinct", "_marks", "_capitals", "_length")
 
 
 def fit_domains(labelled: DataFrame, domains: list[str]) -> tuple[list[float], list[list[float]]]:
     """Per domain its log score of a text without features, and what each bucket adds to it.
 
     Bernoulli naive Bayes over the buckets that stand out in some domain. ``labelled`` has ``_features``
-    and ``domain``. What reaches the driver is at most domains x BUCKETS counts.
+    and ``domain``. What reaches the driver is at most domains x FEATURES counts.
     """
     texts = dict(labelled.groupBy("domain").count().collect())
     counts = (labelled.select("domain", F.explode("_features").alias("bucket"))
               .groupBy("domain", "bucket").count().collect())
     total = sum(texts.values())
-    overall, own, mass = [0] * BUCKETS, {d: [0] * BUCKETS for d in domains}, dict.fromkeys(domains, 0)
+    overall, own, mass = [0] * FEATURES, {d: [0] * FEATURES for d in domains}, dict.fromkeys(domains, 0)
     for d, b, n in counts:
         own[d][b] = n
         mass[d] += n
@@ -82,10 +85,10 @@ def fit_domains(labelled: DataFrame, domains: list[str]) -> tuple[list[float], l
         expected = overall[b] * mass[d] / whole if whole else 0
         return own[d][b] > 2 * expected and own[d][b] - expected > MIN_Z * sqrt(expected) + 1
 
-    chosen = [b for b in range(BUCKETS) if overall[b] and any(stands_out(d, b) for d in domains)]
+    chosen = [b for b in range(FEATURES) if overall[b] and any(stands_out(d, b) for d in domains)]
     bases, weights = [], []
     for d in domains:
-        n, base, line = texts.get(d, 0), log((texts.get(d, 0) + 0.5) / (total + 0.5 * len(domains))), [0.0] * BUCKETS
+        n, base, line = texts.get(d, 0), log((texts.get(d, 0) + 0.5) / (total + 0.5 * len(domains))), [0.0] * FEATURES
         for b in chosen:
             rate = (own[d][b] + 0.5) / (n + 1)
             base += log(1 - rate)
@@ -112,23 +115,29 @@ def fit_rates(soft: DataFrame, targets: list[float]) -> DataFrame:
     size = len(targets)
     p = [F.get("posterior", F.lit(d)) for d in range(size)]
     tokens = F.col("n_tokens").cast("double")
-    sums = soft.agg(*(F.coalesce(F.sum(tokens * p[a]), F.lit(0.0)) for a in range(size)),
-                    *(F.coalesce(F.sum(tokens * p[a] * p[b]), F.lit(0.0)) for a in range(size) for b in range(size))).first()
-    natural = sums[:size]
-    scale = [1.0 / n if n > 0 else 0.0 for n in natural]
-    # The largest row sum bounds the largest eigenvalue of the scaled moment matrix.
-    bound = max([sum(scale[a] * sums[size + a * size + b] for b in range(size)) for a in range(size)] + [1e-12])
-    state, rate, totals = soft.withColumn("rate", F.lit(1.0)), F.col("rate"), list(natural)
+
+    def measure(rows, rate):
+        """Domain totals at these rates, and the moment matrix of the documents that can still go down."""
+        totals = [F.sum(tokens * x * rate) for x in p]
+        moments = [F.sum(F.when(rate > 0, tokens * x * y)) for x in p for y in p]
+        found = rows.agg(*(F.coalesce(x, F.lit(0.0)) for x in totals + moments)).first()
+        return list(found[:size]), found[size:]
+
+    state, rate = soft.withColumn("rate", F.lit(1.0)), F.col("rate")
+    totals, moments = measure(state, rate)
+    reachable = np.array(totals) > 0
     for step in range(MAX_STEPS):
-        miss = [t - g for t, g in zip(totals, targets)]
-        if all(s == 0 or abs(m) <= TOLERANCE * g for m, g, s in zip(miss, (max(t, 1.0) for t in targets), scale)):
+        miss = np.where(reachable, np.subtract(totals, targets), 0.0)
+        if (np.abs(miss) <= TOLERANCE * np.maximum(targets, 1.0)).all():
             break
-        slope = sum(((p[d] * F.lit(miss[d] * scale[d] / bound)) for d in range(size)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - slope)
+        # The gradient's metric is the moment matrix of the documents still free, D x D.
+        metric = np.reshape(moments, (size, size))
+        slopes = np.linalg.lstsq(metric + 1e-9 * np.trace(metric) * np.eye(size), miss, rcond=None)[0]
+        rate = F.greatest(F.lit(0.0), rate - sum((x * F.lit(float(s)) for x, s in zip(p, slopes)), F.lit(0.0)))
         if step % ROUND == ROUND - 1:
             state = staged(state.withColumn("rate", rate), "rates")
             rate = F.col("rate")
-        totals = list(state.agg(*(F.coalesce(F.sum(tokens * x * rate), F.lit(0.0)) for x in p)).first())
+        totals, moments = measure(state, rate)
     return state.withColumn("rate", rate)
 
 
@@ -147,8 +156,8 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     """
     domains = sorted(targets)
     known = labelled.filter(F.col("domain").isin(domains)).select(F.col(id_col).alias("_id"), "domain")
-    slim = with_features(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), text_col).drop(text_col)
-    bases, weights = fit_domains(slim.join(known, "_id"), domains)
+    slim = staged(with_features(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), text_col).drop(text_col), "features")
+    bases, weights = fit_domains(slim.join(known.hint("merge"), "_id"), domains)
     soft = staged(posteriors(slim, bases, weights), "posteriors")
     natural = soft.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), *(
         F.coalesce(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(d))), F.lit(0.0))
