@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid, mixing, neardup, ngram_join, quality, sentencepieces, sharding, substring, tokenfiles
+from corrag.llm import langid, mixing, neardup, ngram_join, quality, sentencepieces, sharding, substring, tokenfiles, wrappers
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query_ngram_join,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality": quality.query_quality,
     "op4_langid": langid.query_langid,
     "op5_sharding": sharding.query_sharding,
+    "op6_html": wrappers.query_html,
     "op7_sentencepiece": sentencepieces.query_sentencepiece,
     "op8_token_files": tokenfiles.query_token_files,
     "op9_substring": substring.query_substring,
