@@ -17,23 +17,25 @@ out.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from corrag.llm.common import read_table, slices
-from corrag.llm.wordcache import PieceCache
+from corrag.llm.wordcache import PieceCache, encode_words, flatten
 from corrag.session import new_shared_path, staged
 
 #: Ids of one sequence.
 LENGTH = 2048
 #: Sequences of one record batch.
 BATCH = 512
-#: Characters whose pieces are looked up at once.
-BLOCK = 1 << 20
+#: Bytes whose pieces are looked up at once.
+BLOCK = 1 << 19
 _MANIFEST = "file string, doc_id long, at long, n_tokens long"
 
 
@@ -54,26 +56,50 @@ def _word_pieces(text: str | None) -> list[str]:
 
 
 def word_encoder(path: str):
-    """Encodes words with a tokenizer that drops white space and never joins across it.
+    """Encodes words with a tokenizer that drops white space and never joins across it, and its id type.
 
     A closing full stop or comma behind an ASCII letter is a piece of its own to that tokenizer, so
-    words are encoded without it and it is put back.
+    words are encoded without it and it is put back. Words of letters alone are one piece each, whose
+    last id is marked as the end of a word; they go to the tokenizer many at a time.
     """
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor share its cores
     tokenizer = Tokenizer.from_file(path)
     many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
-
-    def encode(words):
-        closed = [w[-1] in marks and len(w) > 1 and w[-2].isascii() and w[-2].isalpha() for w in words]
-        bare = [(w[:-1] if c else w) for w, c in zip(words, closed)]
-        bare = [w.lower() if w.isascii() else w for w in bare]
-        distinct = list(dict.fromkeys(bare))
-        known = dict(zip(distinct, (e.ids for e in many(distinct, add_special_tokens=False))))
-        return [known[b] + marks[w[-1]] if c else known[b] for w, b, c in zip(words, bare, closed)]
-
-    return encode, tokenizer.get_vocab_size()
+    size = tokenizer.get_vocab_size()
+    dtype = np.uint16 if size <= 1 << 16 else np.uint32
+    closing = {m: ids[0] for m in ".," if len(ids := tokenizer.encode(m, add_special_tokens=False).ids) == 1}
+    ends = np.zeros(size, bool)
+    suffix = tokenizer.model.end_of_word_suffix
+    if suffix:
+        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def encode(texts):
+        return [e.ids for e in many(texts, add_special_tokens=False)]
+
+    def encode_bare(words):
+        plain = np.fromiter((w.isalpha() for w in words), bool, len(words)) if suffix else np.zeros(len(words), bool)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        a, m = encode_words([w for w, p in zip(words, plain) if p], encode, ends, True, dtype)
+        b, n = flatten(encode([w for w, p in zip(words, plain) if not p]), dtype)
+        flat, counts = np.concatenate((a, b)), np.concatenate((m, n))
+        back = np.argsort(order)  # to the order asked for
+        starts, lengths = (np.cumsum(counts) - counts)[back], counts[back]
+        stops = np.cumsum(lengths)
+        return flat[np.arange(len(flat)) + np.repeat(starts - (stops - lengths), lengths)], lengths
+
+    bare_ids = PieceCache(encode_bare, dtype)
+
+    def encode_all(words):
+        closed = np.fromiter((w[-1] in closing and len(w) > 1 and w[-2].isascii() and w[-2].isalpha() for w in words), bool, len(words))
+        bare = [w[:-1] if c else w for w, c in zip(words, closed)]
+        flat, counts = bare_ids.lookup([w.lower() if w.isascii() else w for w in bare])
+        stops = np.cumsum(counts)
+        flat = np.insert(flat, stops[closed], np.array([closing[w[-1]] for w, c in zip(words, closed) if c], dtype))
+        return flat, counts + closed
+
+    return encode_all, dtype
 
 
 class _Writer:
@@ -119,24 +145,23 @@ def encode_to_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: i
         task, name = TaskContext.get(), None
         place, size, writer, cache, dtype = 0, 0, None, None, None
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             if writer is None:
-                encode, vocabulary = word_encoder(tokenizer_path)
-                dtype = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+                encode, dtype = word_encoder(tokenizer_path)
                 cache = PieceCache(encode, dtype)
                 system, root = open_filesystem(folder)
                 name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
                 sink = system.open_output_stream(f"{root}/{name}")
                 writer = _Writer(sink, dtype)
-            for a, b in slices([len(t or "") for t in texts], BLOCK):
-                flat, counts = cache.ids([_word_pieces(t) for t in texts[a:b]])
+            for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), BLOCK):
+                flat, counts = cache.ids([_word_pieces(t) for t in texts.slice(a, b - a).to_pylist()])
                 ends = np.cumsum(counts)
                 writer.add(np.insert(flat, ends, dtype(end_id)))
                 counts = counts + 1
                 starts = place + np.cumsum(counts) - counts
                 place += int(counts.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (b - a)), pa.array(ids[a:b], pa.int64()), pa.array(starts), pa.array(counts)],
+                    [pa.array([name] * (b - a)), ids.slice(a, b - a), pa.array(starts), pa.array(counts)],
                     names=["file", "doc_id", "at", "n_tokens"])
         if writer is not None:
             writer.close()

@@ -1,55 +1,82 @@
 """Token ids of texts from the ids of their pieces: each distinct piece is encoded once per task.
 
 For tokenizers whose result for a text is the joined result for its pieces. The pieces of a batch
-are looked up in a dictionary; only new ones go to the tokenizer, in one batch call. The dictionary
-is dropped when it holds ``LIMIT`` pieces, which bounds memory and changes no result.
+are looked up in a dictionary; only new ones go to the tokenizer. The dictionary is dropped when it
+holds ``LIMIT`` pieces, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
 LIMIT = 400_000
+#: Plain words that go to the tokenizer as one text.
+JOINED = 64
+
+
+def flatten(lists: Sequence[Sequence[int]], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and the number of each list."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for ids in lists for i in ids), dtype, int(counts.sum())), counts
+
+
+def encode_words(words: list[str], encode: Callable, marks: np.ndarray, marks_end: bool, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of words that a tokenizer never joins, many words to a text.
+
+    Exactly one id of every word is in ``marks``, its last or its first one; so the ids of a text can
+    be cut into words. A text with another number of marks is encoded word by word.
+    """
+    groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+    flat, lengths = [], []
+    for group, ids in zip(groups, encode([" ".join(g) for g in groups])):
+        ids = np.array(ids, dtype)
+        at = np.flatnonzero(marks[ids])
+        if len(at) != len(group):
+            ids, counts = flatten(encode(group), dtype)
+        elif marks_end:
+            counts = np.diff(at, prepend=-1)
+        else:
+            counts = np.diff(np.append(at, len(ids)))
+        flat.append(ids)
+        lengths.append(counts)
+    return (np.concatenate(flat), np.concatenate(lengths)) if flat else (np.empty(0, dtype), np.empty(0, np.int64))
 
 
 class PieceCache:
-    """``encode`` maps a list of pieces to their id lists."""
+    """``encode`` maps a list of pieces to all their ids and the number of each."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], dtype):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype):
         self._encode, self._dtype = encode, dtype
         self._clear()
 
     def _clear(self):
         self._place: dict[str, int] = {}
-        self._chunks: list[np.ndarray] = []
-        self._lengths: list[np.ndarray] = []
+        self._flat, self._lengths = np.empty(0, self._dtype), np.empty(0, np.int64)
 
-    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each given as its pieces, and the number of ids per text."""
+    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and the number of ids per piece."""
         if len(self._place) > LIMIT:
             self._clear()
         place = self._place
-        new = list({piece: None for pieces in texts for piece in pieces if piece not in place})
+        new = [piece for piece in dict.fromkeys(pieces) if piece not in place]
         if new:
-            found = self._encode(new)
+            flat, lengths = self._encode(new)
             place.update(zip(new, range(len(place), len(place) + len(new))))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self._lengths.append(lengths)
-            self._chunks.append(np.fromiter((i for ids in found for i in ids), self._dtype, int(lengths.sum())))
-            if len(self._chunks) > 1:
-                self._chunks = [np.concatenate(self._chunks)]
-                self._lengths = [np.concatenate(self._lengths)]
-        counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        at = np.fromiter((place[piece] for pieces in texts for piece in pieces), np.int64, int(counts.sum()))
-        if not len(at):
-            return np.empty(0, self._dtype), np.zeros(len(texts), np.int64)
-        flat, lengths = self._chunks[0], self._lengths[0]
-        starts = np.cumsum(lengths) - lengths
-        per_piece = lengths[at]
+            self._flat = np.concatenate((self._flat, flat.astype(self._dtype)))
+            self._lengths = np.concatenate((self._lengths, lengths))
+        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        starts = np.cumsum(self._lengths) - self._lengths
+        per_piece = self._lengths[at]
         ends = np.cumsum(per_piece)
-        source = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - per_piece), per_piece)
-        before = np.concatenate(([0], ends))
-        text_ends = np.cumsum(counts)
-        return flat[source], before[text_ends] - before[text_ends - counts]
+        total = int(ends[-1]) if len(ends) else 0
+        return self._flat[np.arange(total) + np.repeat(starts[at] - (ends - per_piece), per_piece)], per_piece
+
+    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each given as its pieces, and the number of ids per text."""
+        flat, per_piece = self.lookup(list(chain.from_iterable(texts)))
+        before = np.concatenate(([0], np.cumsum(per_piece)))
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        return flat, np.diff(before[text_ends], prepend=0)
