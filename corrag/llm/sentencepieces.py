@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corrag.llm.common import read_table, slices
-from corrag.llm.wordcache import PieceCache
+from corrag.llm.wordcache import PieceCache, encode_words, flatten
 
 #: Characters whose pieces are looked up at once.
 BLOCK = 1 << 19
@@ -109,19 +109,37 @@ class Codec:
     def __init__(self, path: str):
         import sentencepiece
 
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # threads of one batch; tasks share an executor's cores
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        model = parse_model(path)
         self.backend = build_backend(path)
         self._reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        self._cut = cut_text if separable(parse_model(path)) else lambda text: [text] if text else []
+        self._separable = separable(model)
+        self._cut = cut_text if self._separable else lambda text: [text] if text else []
+        self._starts = np.array([p.piece.startswith(_SPACE) for p in model.pieces])
         self._many = getattr(self.backend, "encode_batch_fast", self.backend.encode_batch)
         self.differing: set[str] = set()
         self._cache = PieceCache(self._encode, np.int32)
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        ours = [e.ids for e in self._many(pieces, add_special_tokens=False)]
-        theirs = self._reference.encode(pieces, num_threads=1)
-        self.differing.update(p for p, a, b in zip(pieces, ours, theirs) if a != b)
-        return theirs if self.differing else ours
+    def _ours(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._many(texts, add_special_tokens=False)]
+
+    def _theirs(self, texts: list[str]) -> list[list[int]]:
+        return self._reference.encode(texts, num_threads=1)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by both libraries; plain words go many to a text."""
+        plain = [self._separable and p != "" and " " not in p for p in pieces]
+        if all(plain):
+            ours, counts = encode_words(pieces, self._ours, self._starts, False, np.int32)
+            theirs, expected = encode_words(pieces, self._theirs, self._starts, False, np.int32)
+        else:
+            ours, counts = flatten(self._ours(pieces), np.int32)
+            theirs, expected = flatten(self._theirs(pieces), np.int32)
+        if not (np.array_equal(counts, expected) and np.array_equal(ours, theirs)):
+            a, b = (np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((ours, counts), (theirs, expected)))
+            self.differing.update(p for p, x, y in zip(pieces, a, b) if not np.array_equal(x, y))
+        return theirs, expected
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """All ids, the number per text, and whether each text has parity."""
