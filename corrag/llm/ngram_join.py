@@ -39,6 +39,7 @@ SPAN = 1.5
 GROUP_ROWS = 32
 #: Tokens that meet in one reducer block, for the number of buckets.
 BUCKET_ROWS = 1 << 18
+_LOW = np.uint64((1 << 48) - 1)
 
 
 def size_classes(most: int) -> np.ndarray:
@@ -86,7 +87,7 @@ def segment_tokens(elements: np.ndarray, percent: int, bounds: np.ndarray) -> np
 
 
 def _describe(size: int, percent: int):
-    """Batches of (id, text) to one row per document: id, n_shingles, two set hashes, tokens."""
+    """Batches of (id, text) to one row per document: id, n_shingles, two hashes of the set, tokens."""
     def run(batches):
         bounds = size_classes(1 << 12)
         for batch in batches:
@@ -96,13 +97,13 @@ def _describe(size: int, percent: int):
                 most = max(map(len, sets))
                 if most * 2 > bounds[-2]:
                     bounds = size_classes(most * 2)
-                keys = [(int(np.sum(mix(s), dtype=np.uint64)), int(np.sum(mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)))
-                        if len(s) else (None, None) for s in sets]
-                tokens = [segment_tokens(s, percent, bounds).tobytes() for s in sets]
-                signed = [[None if k[i] is None else k[i] - (1 << 64) * (k[i] >> 63) for k in keys] for i in (0, 1)]
+                keys = np.array([(np.sum(mix(s), dtype=np.uint64) & _LOW, np.sum(mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64))
+                                 for s in sets], np.uint64).view(np.int64)
+                empty = np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(signed[0], pa.int64()), pa.array(signed[1], pa.int64()), pa.array(tokens, pa.binary())],
+                     pa.array(keys[:, 0], mask=empty), pa.array(keys[:, 1], mask=empty),
+                     pa.array([segment_tokens(s, percent, bounds).tobytes() for s in sets], pa.binary())],
                     names=["id", "n_shingles", "k1", "k2", "tokens"])
 
     return run
@@ -122,8 +123,21 @@ def _leaders(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 _PACKED = "bucket int, packed binary, a long, b long"
 
 
+def _pack(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Twelve bytes each: the low 48 bits of the token, whose high bits choose the bucket, and the key."""
+    both = np.stack((tokens.view(np.int64), keys), axis=1)
+    return both.view(np.uint8).reshape(-1, 2, 8)[:, :, :6].reshape(-1, 12)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(packed) // 12, 2, 8), np.uint8)
+    wide[:, :, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 2, 6)
+    both = wide.reshape(-1, 16).view(np.int64)
+    return both[:, 0], both[:, 1]
+
+
 def _packed(buckets: int):
-    """Tokens of a block of documents, combined and dealt to buckets; pairs met here come out directly."""
+    """Tokens of a block of documents, combined and dealt to buckets; pairs that meet here go along."""
     def rows(bucket, packed, a, b):
         return pa.RecordBatch.from_arrays(
             [pa.array(bucket, pa.int32()), pa.array(packed, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
@@ -133,12 +147,12 @@ def _packed(buckets: int):
         tokens = np.frombuffer(b"".join(t for _, t in held), np.uint64)
         keys = np.repeat(np.array([k for k, _ in held], np.int64), [len(t) // 8 for _, t in held])
         tokens, keys, a, b = _leaders(tokens, keys)
-        yield rows([None] * len(a), [None] * len(a), a, b)
+        yield rows(a % buckets, [None] * len(a), a, b)
         at = (tokens >> np.uint64(33)).astype(np.int64) * buckets >> 31
-        both = np.stack((tokens.view(np.int64), keys), axis=1)  # tokens are sorted, so buckets are runs
+        packed = _pack(tokens, keys)  # tokens are sorted, so buckets are runs
         cuts = np.searchsorted(at, np.arange(buckets + 1))
         filled = np.flatnonzero(np.diff(cuts))
-        yield rows(filled, [both[cuts[i]:cuts[i + 1]].tobytes() for i in filled], [None] * len(filled), [None] * len(filled))
+        yield rows(filled, [packed[cuts[i]:cuts[i + 1]].tobytes() for i in filled], [None] * len(filled), [None] * len(filled))
 
     def run(batches):
         held, total = [], 0
@@ -158,18 +172,20 @@ def _packed(buckets: int):
 def _meet(batches):
     """The packed tokens of each bucket of a partition to candidate pairs; one bucket is held at a time."""
     def pairs(held):
-        both = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2)
-        _, _, a, b = _leaders(both[:, 0], both[:, 1])
+        _, _, a, b = _leaders(*_unpack(b"".join(held)))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     now, held = None, []
     for batch in batches:
+        met = batch.filter(batch.column(2).is_valid())
+        yield pa.RecordBatch.from_arrays([met.column(2), met.column(3)], names=["a", "b"])
         for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if bucket != now:
                 if held:
                     yield pairs(held)
                 now, held = bucket, []
-            held.append(packed)
+            if packed is not None:
+                held.append(packed)
     if held:
         yield pairs(held)
 
@@ -253,11 +269,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     # Candidate pairs of set keys: each against the smallest key that has the token.
     n_tokens = rows.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 8
     buckets = int(max(8, 1 << int(np.ceil(np.log2(n_tokens / BUCKET_ROWS + 1)))))
-    packed = rows.filter("n_shingles > 0").select("k1", "tokens").mapInArrow(_packed(buckets), _PACKED)
-    dealt = staged(packed, "packed-tokens")
-    met = (dealt.filter("bucket IS NOT NULL").select("bucket", "packed")
-           .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long"))
-    keys = met.unionAll(dealt.filter("bucket IS NULL").select("a", "b")).distinct()
+    keys = (rows.filter("n_shingles > 0").select("k1", "tokens").mapInArrow(_packed(buckets), _PACKED)
+            .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long").distinct())
     one_of = named.filter(F.col("id") == F.col("rep")).select("k1", "rep").distinct()
     pairs = staged(
         keys.join(one_of.select(F.col("k1").alias("a"), F.col("rep").alias("ra")), "a")
