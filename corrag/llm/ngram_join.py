@@ -5,10 +5,12 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|``. Equal sets form
 1. Tokens. A set is cut into segments by hash, ``m`` of them in its size class, with ``m`` larger
    than the number of shingles in which two linked sets of that class can differ. A segment's hash is
    a token, so linked sets share a token, while a common passage alone hardly ever fills a segment.
-2. Groups. Sets that share a token are checked against the smallest of them; connected ones form a
+   Sizes also tell how many tokens of a class they share at least; sets without so many tokens that
+   any other set has are done.
+2. Groups. Sets that share many tokens are checked against the smallest of them; connected ones form a
    group of similar documents, kept in parts of about ``GROUP_ROWS`` members.
-3. Matrix. Tokens of groups: a query set is held against a group only where it shares a token with a
-   group it does not belong to. The group's shingle union then bounds the overlap: if
+3. Matrix. Tokens of groups: a query set is held against a group it does not belong to where it shares
+   enough tokens with it. The group's shingle union then bounds the overlap: if
    ``|Q & union| < percent / 100 * |Q|`` no member can link with Q and the group stays closed.
 4. Qualifying groups are opened and their members compared exactly.
 
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corrag.llm.common import mix, read_table, slices
+from corrag.llm.common import discard, mix, read_table, slices
 from corrag.llm.components import components
 from corrag.llm.shingles import BLOCK, shingle_sets
 from corrag.session import staged
@@ -37,43 +39,50 @@ from corrag.session import staged
 SPAN = 1.5
 #: Members of a part of a group, on average.
 GROUP_ROWS = 32
+#: Share of the segments, about, that two sets have in common to be tried for one group.
+GROUP_SHARE = 0.3
 #: Tokens that meet in one reducer block, for the number of buckets.
 BUCKET_ROWS = 1 << 18
-_LOW = np.uint64((1 << 48) - 1)
+_LOW = np.int64((1 << 48) - 1)
 
 
-def size_classes(most: int) -> np.ndarray:
-    """The first size of each class, up to one class above ``most``."""
+def _bounds() -> list[int]:
     bounds = [1]
-    while bounds[-1] <= most * 2:
+    while len(bounds) < 61:
         bounds.append(max(bounds[-1] + 1, int(np.ceil(bounds[-1] * SPAN))))
-    return np.array(bounds)
+    return bounds
 
 
-def class_segments(upper: int, percent: int) -> tuple[int, int]:
-    """Number of segments for sets of up to ``upper`` elements, and the slack for empty ones.
+#: The first size of each class.
+BOUNDS = _bounds()
 
-    Sizes a and b differ in at most (a + b) (100 - percent) / (100 + percent) elements when linked.
-    """
-    differing = 2 * upper * (100 - percent) // (100 + percent)
-    slack = int(np.ceil(0.02 * differing)) + 2
-    return differing + 1 + slack, slack
+
+def differing(a, b, percent: int):
+    """In how many elements two linked sets of these sizes can differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def class_segments(k: int, percent: int) -> tuple[int, int]:
+    """Number of segments in a size class, and the slack for empty ones."""
+    most = differing(BOUNDS[k + 1] - 1, BOUNDS[k + 1] - 1, percent)
+    slack = int(np.ceil(0.02 * most)) + 2
+    return most + 1 + slack, slack
 
 
-def segment_tokens(elements: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
+def segment_tokens(elements: np.ndarray, percent: int) -> np.ndarray:
     """The tokens of a set: in its own size class, and in the next if a linked set can be there.
 
     Empty segments give no token unless there are more of them than the slack, as only then every
-    segment that two sets have in common could be empty.
+    segment that two sets have in common could be empty. A token's last six bits are its class.
     """
     n = len(elements)
     if not n:
         return np.empty(0, np.uint64)
-    own = int(np.searchsorted(bounds, n, "right")) - 1
-    last = int(np.searchsorted(bounds, n * 100 // percent, "right")) - 1
+    own = int(np.searchsorted(BOUNDS, n, "right")) - 1
+    last = int(np.searchsorted(BOUNDS, n * 100 // percent, "right")) - 1
     mixed, tokens = mix(elements + np.uint64(0x632BE59BD9B4E019)), []
     for k in range(own, last + 1):
-        m, slack = class_segments(int(bounds[k + 1]) - 1, percent)
+        m, slack = class_segments(k, percent)
         at = ((elements >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(m, np.uint64)
         # The elements are sorted, so segments are runs.
@@ -82,45 +91,31 @@ def segment_tokens(elements: np.ndarray, percent: int, bounds: np.ndarray) -> np
         filled = np.zeros(m, bool)
         filled[at[starts]] = True
         use = np.arange(m) if m - len(starts) > slack else np.flatnonzero(filled)
-        tokens.append(mix(sums[use] ^ mix(use.astype(np.uint64) + np.uint64(k << 40))))
+        token = mix(sums[use] ^ mix(use.astype(np.uint64) + np.uint64(k << 40)))
+        tokens.append(token & ~np.uint64(63) | np.uint64(k))
     return np.concatenate(tokens)
 
 
 def _describe(size: int, percent: int):
     """Batches of (id, text) to one row per document: id, n_shingles, two hashes of the set, tokens."""
     def run(batches):
-        bounds = size_classes(1 << 12)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], BLOCK):
                 sets = shingle_sets(texts[a:b], size)
-                most = max(map(len, sets))
-                if most * 2 > bounds[-2]:
-                    bounds = size_classes(most * 2)
-                keys = np.array([(np.sum(mix(s), dtype=np.uint64) & _LOW, np.sum(mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64))
+                keys = np.array([(np.sum(mix(s), dtype=np.uint64) & np.uint64(_LOW), np.sum(mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64))
                                  for s in sets], np.uint64).view(np.int64)
                 empty = np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(keys[:, 0], mask=empty), pa.array(keys[:, 1], mask=empty),
-                     pa.array([segment_tokens(s, percent, bounds).tobytes() for s in sets], pa.binary())],
+                     pa.array([segment_tokens(s, percent).tobytes() for s in sets], pa.binary())],
                     names=["id", "n_shingles", "k1", "k2", "tokens"])
 
     return run
 
 
-def _leaders(tokens: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(one token each, its smallest key, pairs of other key and smallest key)."""
-    order = np.lexsort((keys, tokens))
-    tokens, keys = tokens[order], keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
-    lead = np.repeat(keys[starts], np.diff(np.append(starts, len(tokens))))
-    other = keys != lead
-    pairs = np.unique(np.stack((keys[other], lead[other]), axis=1), axis=0) if other.any() else np.empty((0, 2), keys.dtype)
-    return tokens[starts], keys[starts], pairs[:, 0], pairs[:, 1]
-
-
-_PACKED = "bucket int, packed binary, a long, b long"
+_PACKED = "bucket int, packed binary, token long, key long"
 
 
 def _pack(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -136,23 +131,43 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+def _by_token(tokens: np.ndarray, keys: np.ndarray):
+    """(tokens, keys, first of its token, token shared by different keys), sorted, without repetition."""
+    order = np.lexsort((keys, tokens))
+    tokens, keys = tokens[order], keys[order]
+    fresh = np.ones(len(tokens), bool)
+    fresh[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
+    tokens, keys = tokens[fresh], keys[fresh]
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    shared = ~first
+    shared[:-1] |= shared[1:]
+    return tokens, keys, first, shared
+
+
+def _entries(tokens: np.ndarray, bucket, keys: np.ndarray):
+    return pa.array(tokens.view(np.int64) & _LOW | np.int64(bucket) << np.int64(48)), pa.array(keys)
+
+
 def _packed(buckets: int):
-    """Tokens of a block of documents, combined and dealt to buckets; pairs that meet here go along."""
-    def rows(bucket, packed, a, b):
+    """Tokens of a block of documents, dealt to buckets. Of a token that several have, one goes to the
+    shuffle; all its entries are known to be shared and go along as they are."""
+    def rows(bucket, packed, token, key):
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket, pa.int32()), pa.array(packed, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-            names=["bucket", "packed", "a", "b"])
+            [pa.array(bucket, pa.int32()), pa.array(packed, pa.binary()), token, key], names=["bucket", "packed", "token", "key"])
 
     def flush(held):
         tokens = np.frombuffer(b"".join(t for _, t in held), np.uint64)
         keys = np.repeat(np.array([k for k, _ in held], np.int64), [len(t) // 8 for _, t in held])
-        tokens, keys, a, b = _leaders(tokens, keys)
-        yield rows(a % buckets, [None] * len(a), a, b)
+        tokens, keys, first, shared = _by_token(tokens, keys)
         at = (tokens >> np.uint64(33)).astype(np.int64) * buckets >> 31
-        packed = _pack(tokens, keys)  # tokens are sorted, so buckets are runs
+        n = int(shared.sum())
+        yield rows(keys[shared] % buckets, [None] * n, *_entries(tokens[shared], at[shared], keys[shared]))
+        packed, at = _pack(tokens[first], keys[first]), at[first]  # tokens are sorted, so buckets are runs
         cuts = np.searchsorted(at, np.arange(buckets + 1))
         filled = np.flatnonzero(np.diff(cuts))
-        yield rows(filled, [packed[cuts[i]:cuts[i + 1]].tobytes() for i in filled], [None] * len(filled), [None] * len(filled))
+        nulls = pa.nulls(len(filled), pa.int64())
+        yield rows(filled, [packed[cuts[i]:cuts[i + 1]].tobytes() for i in filled], nulls, nulls)
 
     def run(batches):
         held, total = [], 0
@@ -170,24 +185,24 @@ def _packed(buckets: int):
 
 
 def _meet(batches):
-    """The packed tokens of each bucket of a partition to candidate pairs; one bucket is held at a time."""
-    def pairs(held):
-        _, _, a, b = _leaders(*_unpack(b"".join(held)))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    """``token, key`` of tokens that several keys have; one bucket is held at a time."""
+    def entries(bucket, held):
+        tokens, keys, _, shared = _by_token(*_unpack(b"".join(held)))
+        return pa.RecordBatch.from_arrays([*_entries(tokens[shared], bucket, keys[shared])], names=["token", "key"])
 
     now, held = None, []
     for batch in batches:
-        met = batch.filter(batch.column(2).is_valid())
-        yield pa.RecordBatch.from_arrays([met.column(2), met.column(3)], names=["a", "b"])
+        known = batch.filter(batch.column(2).is_valid())
+        yield pa.RecordBatch.from_arrays([known.column(2), known.column(3)], names=["token", "key"])
         for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if bucket != now:
                 if held:
-                    yield pairs(held)
+                    yield entries(now, held)
                 now, held = bucket, []
             if packed is not None:
                 held.append(packed)
     if held:
-        yield pairs(held)
+        yield entries(now, held)
 
 
 def _recompute(size: int):
@@ -204,17 +219,6 @@ def _recompute(size: int):
     return run
 
 
-def _set_tokens(percent: int):
-    def run(batches):
-        for batch in batches:
-            for rep, elements in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = elements.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                tokens = segment_tokens(values, percent, size_classes(len(values) * 2)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([rep] * len(tokens), pa.int64()), pa.array(tokens)], names=["rep", "token"])
-
-    return run
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of set ids that link."""
     left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("_x"))
@@ -235,17 +239,41 @@ def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(sizes, "comp").select("rep", "comp", F.pmod(F.xxhash64("rep"), parts).alias("part"))
 
 
-def _cross_links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _needed(percent: int):
+    """Column: how many tokens of its class a set of ``n`` elements shares with any set it links with."""
+    k = F.col("token").bitwiseAND(63).cast("int")
+    most = F.get(F.array(*(F.lit(differing(b - 1, b - 1, percent)) for b in BOUNDS[1:])), k)
+    largest = F.least(F.get(F.array(*(F.lit(b - 1) for b in BOUNDS[1:])), k), F.floor(F.col("n") * 100 / percent))
+    apart = F.floor((F.col("n") + largest) * (100 - percent) / (100 + percent))
+    return F.greatest(F.lit(1), most + 1 - apart)
+
+
+def _promising(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries of sets that have enough shared tokens in some class to link with anything."""
+    enough = (entries.groupBy("rep", _needed(percent).alias("need"), F.col("token").bitwiseAND(63).alias("k"))
+              .agg(F.count("*").alias("have")).filter("have >= need").select("rep").distinct())
+    return entries.join(enough, "rep")
+
+
+def _group_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs for grouping: each set with the smallest one of its tokens, if they share many."""
+    lead = entries.groupBy("token").agg(F.min("rep").alias("lead"))
+    shared = (entries.join(lead, "token").filter("rep != lead").groupBy(F.col("rep").alias("a"), F.col("lead").alias("b"), "n")
+              .agg(F.count("*").alias("shared")))
+    return shared.filter(F.col("shared") >= GROUP_SHARE * 2 * F.col("n") * (100 - percent) / (100 + percent)).select("a", "b")
+
+
+def _cross_links(entries: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different groups, through the token-group matrix."""
-    tokens = staged(
-        sets.select("rep", "elements").mapInArrow(_set_tokens(percent), "rep long, token long").join(members, "rep"), "tokens")
-    meeting = tokens.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("token")
-    entries = tokens.join(meeting, "token")
-    matrix = entries.select("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part")).distinct()
-    queries = entries.select("token", F.col("rep").alias("q"), F.col("comp").alias("q_comp"))
+    grouped = staged(entries.join(members, "rep"), "tokens")
+    meeting = grouped.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("token")
+    met = grouped.join(meeting, "token")
+    matrix = met.select("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part")).distinct()
+    queries = met.select("token", "n", F.col("rep").alias("q"), F.col("comp").alias("q_comp"))
     candidates = staged(
         queries.join(matrix, "token").filter(F.col("g_comp") < F.col("q_comp"))
-        .groupBy("q", "g_comp", "g_part").agg(F.count("*").alias("shared")), "candidates")
+        .groupBy("q", "g_comp", "g_part", _needed(percent).alias("need"), F.col("token").bitwiseAND(63).alias("k"))
+        .agg(F.count("*").alias("shared")).filter("shared >= need").select("q", "g_comp", "g_part").distinct(), "candidates")
     held = members.select("rep", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"))
     needed = held.join(candidates.select("g_comp", "g_part").distinct(), ["g_comp", "g_part"])
     unions = needed.join(sets, "rep").groupBy("g_comp", "g_part").agg(
@@ -254,8 +282,10 @@ def _cross_links(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame
     overlap = F.size(F.array_intersect("_q", "_union"))
     opened = (candidates.join(query_sets, "q").join(unions, ["g_comp", "g_part"])
               .filter(100 * overlap >= percent * F.size("_q")).select("q", "g_comp", "g_part"))
-    pairs = opened.join(held, ["g_comp", "g_part"]).select(F.col("q").alias("a"), F.col("rep").alias("b"))
-    return _verified(staged(pairs, "opened"), sets, percent)
+    pairs = staged(opened.join(held, ["g_comp", "g_part"]).select(F.col("q").alias("a"), F.col("rep").alias("b")), "opened")
+    links = staged(_verified(pairs, sets, percent), "cross-links")
+    discard(grouped, candidates, pairs)
+    return links
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,24 +296,23 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     classes = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     named = staged(rows.drop("tokens").join(classes, ["k1", "k2"], "left"), "classes")
 
-    # Candidate pairs of set keys: each against the smallest key that has the token.
     n_tokens = rows.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 8
-    buckets = int(max(8, 1 << int(np.ceil(np.log2(n_tokens / BUCKET_ROWS + 1)))))
-    keys = (rows.filter("n_shingles > 0").select("k1", "tokens").mapInArrow(_packed(buckets), _PACKED)
-            .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long").distinct())
-    one_of = named.filter(F.col("id") == F.col("rep")).select("k1", "rep").distinct()
-    pairs = staged(
-        keys.join(one_of.select(F.col("k1").alias("a"), F.col("rep").alias("ra")), "a")
-        .join(one_of.select(F.col("k1").alias("b"), F.col("rep").alias("rb")), "b")
-        .select(F.col("ra").alias("a"), F.col("rb").alias("b")), "pairs")
-
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = texts.withColumnRenamed("id", "rep")
-    sets = staged(wanted.join(involved, "rep", "left_semi").mapInArrow(_recompute(size), "rep long, elements array<long>"), "elements")
-    links = staged(_verified(pairs, sets, percent), "group-links")
+    buckets = int(min(1 << 14, max(8, 1 << int(np.ceil(np.log2(n_tokens / BUCKET_ROWS + 1))))))
+    shared = (rows.filter("n_shingles > 0").select("k1", "tokens").mapInArrow(_packed(buckets), _PACKED)
+              .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "token long, key long").distinct())
+    one_of = named.filter(F.col("id") == F.col("rep")).select(F.col("k1").alias("key"), "rep", F.col("n_shingles").alias("n")).distinct()
+    entries = staged(shared.join(one_of, "key").drop("key"), "shared-tokens")
+    discard(rows)
+
+    kept = staged(_promising(entries, percent), "entries")
+    involved = staged(kept.select("rep").distinct(), "involved")  # broadcast if its files are small
+    wanted = texts.withColumnRenamed("id", "rep").join(involved, "rep", "left_semi")
+    sets = staged(wanted.mapInArrow(_recompute(size), "rep long, elements array<long>"), "elements")
+    links = staged(_verified(_group_pairs(kept, percent), sets, percent), "group-links")
     members = staged(_grouped(sets, links), "groups")
-    across = _cross_links(sets, members, percent)
+    across = _cross_links(kept, sets, members, percent)
     found = components(links.unionAll(across))
+    discard(entries, kept, involved, sets, links, members, across)
     return named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"),
         F.coalesce("rep", "id").alias("class_id"))
