@@ -39,3 +39,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of staged tables that nothing reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        for folder in {file.rpartition("/")[0] for file in frame.inputFiles()}:
+            if folder.rpartition("/")[0].endswith("/corrag"):  # where staged() writes
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corrag.llm.common import mix, read_table, slices
+from corrag.llm.common import discard, mix, read_table, slices
 from corrag.llm.fmindex import FMIndex, repeated_windows
 from corrag.llm.shingles import BLOCK, _power_tables, shingle_hashes, text_words
 from corrag.session import staged
@@ -259,6 +259,7 @@ def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     masks = staged(
         cut.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_search, "anchor long, piece long, mask long")
         .groupBy("anchor", "piece").agg(F.bit_or("mask").alias("mask")), "masks")
+    discard(repeated)
     places = described.select("id", F.inline("pieces")).join(masks, ["anchor", "piece"])
     return described, places.groupBy("id").agg(F.collect_list(F.struct("at", "mask")).alias("runs"))
 
