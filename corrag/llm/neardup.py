@@ -99,10 +99,11 @@ def _first_meeting(bucket: int, a: np.ndarray, b: np.ndarray, k: int) -> np.ndar
     done, here = np.zeros(len(a), bool), np.zeros(len(a), bool)
     for table in range(TABLES):
         x, y = (m[:, table * (k + 1):(table + 1) * (k + 1)] for m in (a, b))
-        for home, other in ((x[:, 0], y), (y[:, 0], x)):
-            meets = (other == home[:, None]).any(axis=1) & ~done
-            here |= meets & (home == bucket)
-            done |= meets
+        at_x, at_y = (y == x[:, :1]).any(axis=1), (x == y[:, :1]).any(axis=1)
+        where = np.where(at_x & at_y, np.minimum(x[:, 0], y[:, 0]), np.where(at_x, x[:, 0], y[:, 0]))
+        meets = (at_x | at_y) & ~done
+        here |= meets & (where == bucket)
+        done |= meets
     return here
 
 
