@@ -100,7 +100,7 @@ def cut_text(text: str | None) -> list[str]:
     pieces = text.split(" ")
     if "" not in pieces:
         return pieces
-    return [piece[1:] for piece in re.findall(r" +[^ ]+| +", " " + text)]
+    return [piece[1:] for piece in re.findall(r" +[^ ]+(?: +$)?| +$", " " + text)]
 
 
 class Codec:
