@@ -36,14 +36,15 @@ class LanguageModel:
 
 
 def _buckets(points: np.ndarray, size: int) -> np.ndarray:
-    """The bucket of the n-gram that starts at each code point but the last two."""
+    """The bucket of the n-gram that starts at each code point but the last two; ``BUCKETS`` at a zero,
+    which closes a text."""
     n = len(points) - 2
     h = np.full(n, size * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
     for k in range(size):
         h += points[k:k + n] * np.uint32(_FACTORS[k])
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-    return h >> np.uint32(32 - 15)
+    return np.where(points[:n] == 0, np.uint32(BUCKETS), h >> np.uint32(32 - 15))
 
 
 def _blocks(texts: list[str]):
@@ -70,7 +71,7 @@ def count_ngrams(texts: list[str]) -> np.ndarray:
     counts = np.zeros(BUCKETS, np.int64)
     for points, _, _ in _blocks(texts):
         for size in SIZES:
-            counts += np.bincount(_buckets(points, size), minlength=BUCKETS)
+            counts += np.bincount(_buckets(points, size), minlength=BUCKETS + 1)[:BUCKETS]
     return counts
 
 
@@ -108,6 +109,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smo
 def score_texts(texts: list[str], log_probs: np.ndarray) -> np.ndarray:
     """Log-likelihoods, texts x languages. ``log_probs`` is buckets x languages."""
     out = np.zeros((len(texts), log_probs.shape[1]))
+    log_probs = np.vstack((log_probs, np.zeros(log_probs.shape[1])))
     for points, first, starts in _blocks(texts):
         for size in SIZES:
             at = _buckets(points, size)
