@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +27,23 @@ from corrag.sources.evalsets import load_eval_dataset_json, load_qrels_json, par
 
 # --- Relevance from verbatim passages -----------------------------------------------------
 
+#: Short passages that one pass over the documents looks for.
+SHORT_PASSAGES = 256
+
+
 def verbatim_qrels(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a benchmark passage (of three or more tokens) word for word.
+    """Documents that hold a benchmark passage word for word, whatever its length.
 
-    Candidates share the hash of up to three successive inner tokens of the passage, an
-    equi-join on short keys; the texts of these few pairs are then compared in full.
+    Candidates share the hash of up to three successive inner tokens of the passage, an equi-join on
+    short keys; the texts of these few pairs are then compared in full. A passage of one or two
+    tokens has no inner token: such passages are looked for as they are, a block of them a pass.
     """
-    passages = tables.read(spark, sf, "benchmark").select(
+    passages = tables.read(spark, sf, "benchmark").filter(F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("passage"))
+    docs = tables.documents(spark, sf).select("paper_id", "text")
     cut = passages.withColumn("_t", tokens(F.col("passage")))
     keyed = cut.filter(F.size("_t") >= 3).select("query_id", F.xxhash64(F.array_join(F.slice(
         "_t", F.lit(2), F.least(F.lit(3), F.size("_t") - 2)), " ")).alias("_key"))
-    docs = tables.documents(spark, sf).select("paper_id", "text")
     split = docs.select("paper_id", tokens(F.col("text")).alias("_t"))
     places = split.select("paper_id", F.arrays_zip(
         F.col("_t").alias("a"), F.slice("_t", F.lit(2), F.size("_t")).alias("b"),
@@ -47,9 +54,14 @@ def verbatim_qrels(spark: SparkSession, sf: str) -> DataFrame:
         F.xxhash64("_w.a"), F.xxhash64(F.concat_ws(" ", "_w.a", "_w.b")),
         F.xxhash64(F.concat_ws(" ", "_w.a", "_w.b", "_w.c")))).alias("_key"))
     pairs = shingles.join(keyed, "_key").select("paper_id", "query_id").distinct()
-    return (docs.join(staged(pairs, "pairs"), "paper_id").join(passages, "query_id")
-            .filter(F.contains("text", F.col("passage")))
-            .select("query_id", F.col("paper_id").alias("chunk_id"), F.lit(1).alias("relevance")))
+    found = (docs.join(staged(pairs, "pairs"), "paper_id").join(passages, "query_id")
+             .filter(F.contains("text", F.col("passage"))).select("query_id", "paper_id"))
+    short = cut.filter(F.size("_t") < 3).select("query_id", "passage").toLocalIterator()
+    while block := list(islice(short, SHORT_PASSAGES)):
+        wanted = F.array(*(F.struct(F.lit(r.query_id).alias("id"), F.lit(r.passage).alias("passage")) for r in block))
+        held = F.filter(wanted, lambda p: F.contains(F.col("text"), p["passage"]))
+        found = found.unionAll(docs.select(F.explode(held).alias("_p"), "paper_id").select("_p.id", "paper_id"))
+    return found.select("query_id", F.col("paper_id").alias("chunk_id"), F.lit(1).alias("relevance"))
 
 
 _QRELS = """qrels AS MATERIALIZED (

@@ -215,7 +215,8 @@ known AS (SELECT * FROM figures UNION ALL SELECT * FROM sections),
 body AS (
   SELECT paper_id, 0 AS emitted, 'Body' AS section_name, string_agg(text, ' ' ORDER BY n) AS text, 'text' AS content_type
   FROM named WHERE caption IS NULL AND NOT heading AND section IS NULL
-    AND paper_id NOT IN (SELECT paper_id FROM known) GROUP BY paper_id),
+    AND paper_id NOT IN (SELECT paper_id FROM known) AND paper_id NOT IN (SELECT paper_id FROM heads)
+  GROUP BY paper_id),
 line_blocks AS (
   SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY emitted) - 1 AS INTEGER) AS block_idx,
          section_name, text, content_type FROM (SELECT * FROM known UNION ALL SELECT * FROM body))"""
@@ -355,7 +356,21 @@ def store_upsert_twice(spark: SparkSession, sf: str) -> DataFrame:
     return read_store(spark, path, schemas.CHUNKS).select("chunk_id", "paper_id", "section_name")
 
 
-@query("page_ingest")
+#: Chunks of pages: the window rule of production, and one parent for each paper's (empty) abstract.
+PAGE_CHUNKS = rf"""{_PAGE_TEXT},
+kept AS (
+  SELECT p.paper_id, len(regexp_extract_all(r.text, '\S+')) AS n FROM parts p JOIN prose r USING (paper_id)
+  WHERE NOT {sql.equation_only("r.text")}),
+kids AS (SELECT paper_id, n, unnest(range(0, greatest(0, n - 65) + 1, 448)) AS start FROM kept),
+page_chunks AS (
+  SELECT paper_id, 'parent' AS chunk_type, n AS tokens FROM kept
+  UNION ALL SELECT CAST(page_id AS VARCHAR), 'parent', 0 FROM pages
+  UNION ALL SELECT paper_id, 'child', least(512, n - start) FROM kids)"""
+
+
+@query("page_ingest", f"""WITH {PAGE_CHUNKS}, vecs AS (SELECT paper_id, count(*) AS n_vectors FROM kids GROUP BY paper_id)
+SELECT paper_id, chunk_type, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS tokens, any_value(n_vectors) AS n_vectors
+FROM page_chunks LEFT JOIN vecs USING (paper_id) GROUP BY paper_id, chunk_type""")
 def page_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """All pages through the whole ingestion into a store; counts per paper."""
     pages = tables.pages(spark, sf)
@@ -404,5 +419,7 @@ def report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     scores = mean.unpivot(["quality"], ["mean_chars", "n"], "metric", "value").select(
         F.col("quality").cast("string").alias("paper_id"), "metric", "value")
     path = new_shared_path(spark, "reports")
-    write_report(scores, path, "lengths")
+    write_report(scores.withColumn("value", F.lit(-1.0)), path, "lengths")
+    for quality in ("0", "1"):  # replaces its own paper only
+        write_report(scores.filter(F.col("paper_id") == quality), path, "lengths")
     return read_report(spark, path, "lengths")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corrag import schemas
 from corrag.catalog import tables
+from corrag.catalog.ingest import PAGE_CHUNKS
 from corrag.catalog.dialogue import turn_events
 from corrag.catalog.registry import query
 from corrag.session import new_shared_path
@@ -82,7 +83,8 @@ def stream_turns_query(spark: SparkSession, sf: str) -> DataFrame:
                       F.size("cited").alias("n_cited"))
 
 
-@query("stream_ingest")
+@query("stream_ingest", f"""WITH {PAGE_CHUNKS}
+SELECT paper_id, chunk_type, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS tokens FROM page_chunks GROUP BY ALL""")
 def stream_ingest_query(spark: SparkSession, sf: str) -> DataFrame:
     """All pages as a stream into a fresh store; chunk counts per paper."""
     pages = stream_table(spark, sf, "pages.parquet", tables.read(spark, sf, "pages").schema).select(

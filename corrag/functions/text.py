@@ -21,9 +21,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: White space of Unicode; ``\s`` alone is that of ASCII.
+_WHITE = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def strip_ws(text: Column) -> Column:
     """Strip every kind of white space at both ends (``trim`` only strips blanks)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{_WHITE}+|{_WHITE}+$", "")
 
 
 def tokens(text: Column) -> Column:

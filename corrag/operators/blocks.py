@@ -42,32 +42,39 @@ class _Element:
     def __init__(self, tag: str, attrs: dict):
         self.tag, self.attrs, self.children, self.gone = tag, attrs, [], False
 
+    def live(self):
+        """Live descendants and text pieces in document order, without recursion: markup nests deep."""
+        todo = self.children[::-1]
+        while todo:
+            child = todo.pop()
+            if isinstance(child, str):
+                yield child
+            elif not child.gone:
+                yield child
+                todo += child.children[::-1]
+
     def walk(self, tags: set) -> list:
         """Live descendants with one of the tags, in document order."""
-        found = []
-        for child in self.children:
-            if isinstance(child, _Element) and not child.gone:
-                if child.tag in tags:
-                    found.append(child)
-                found += child.walk(tags)
-        return found
+        return [child for child in self.live() if isinstance(child, _Element) and child.tag in tags]
 
     def words(self) -> list:
         """Stripped, non-empty text pieces in document order."""
-        found = []
-        for child in self.children:
+        found, todo = [], self.children[::-1]
+        while todo:
+            child = todo.pop()
             if isinstance(child, str):
                 if child.strip():
                     found.append(child.strip())
             elif not child.gone and child.tag not in _UNSEEN:
-                found += child.words()
+                todo += child.children[::-1]
         return found
 
     def remove(self) -> None:
-        self.gone = True
-        for child in self.children:
-            if isinstance(child, _Element):
-                child.remove()
+        todo = [self]
+        while todo:
+            element = todo.pop()
+            element.gone = True
+            todo += [child for child in element.children if isinstance(child, _Element)]
 
 
 class _Tree(HTMLParser):
@@ -265,8 +272,9 @@ def lines_to_blocks(lines: DataFrame, segment: int = 4096) -> DataFrame:
         "paper_id", F.coalesce("_closed", F.lit(2**62)).alias("_emitted"), "section_name", "text",
         F.lit("text").alias("content_type"))
     found = captions.unionByName(sections)
-    unnamed = prose.filter(F.col("_section").isNull()).join(
-        found.select("paper_id").distinct(), "paper_id", "left_anti")
+    # Lines before the first heading count only in papers that have neither heading nor caption.
+    headed = found.select("paper_id").unionByName(closing.select("paper_id"))
+    unnamed = prose.filter(F.col("_section").isNull()).join(headed.distinct(), "paper_id", "left_anti")
     body = joined_in_order(unnamed, ["paper_id"], "_at", "text", " ").select(
         "paper_id", F.lit(0).cast("bigint").alias("_emitted"), F.lit("Body").alias("section_name"),
         "text", F.lit("text").alias("content_type"))

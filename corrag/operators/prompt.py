@@ -25,8 +25,9 @@ def build_context(
     """``query_id, context, context_tokens, n_sections``.
 
     Whole labelled blocks while the running total fits, then the first that overflows cut to
-    what is left if that is worth it. A block has at least one token, so a query never needs
-    more than ``budget + 1`` blocks; the rest is cut off before the shuffle.
+    what is left if that is worth it. Blocks in which the tokenizer finds no token are left out;
+    of the others a query never needs more than ``budget + 1``, so the rest is cut off before
+    the shuffle.
     """
     source = F.when(_text("paper_title") != "", F.col("paper_title")).otherwise(_text("paper_id"))
     year = F.substring(_text("published_date"), 1, 4)
@@ -35,8 +36,8 @@ def build_context(
         F.lit("]"), F.when(_text("section_title") != "", F.concat(
             F.lit(" ["), F.col("section_title"), F.lit("]"))).otherwise(""))
     labelled = sections.select("query_id", "rank", F.concat(label, F.lit("\n"), _text("text")).alias("_block"))
-    sized = top_k(labelled.withColumn("_tokens", count_tokens(F.col("_block"), tokenizer)),
-                  ["query_id"], [F.asc("rank")], budget + 1, "_row")
+    counted = labelled.withColumn("_tokens", count_tokens(F.col("_block"), tokenizer))
+    sized = top_k(counted.filter(F.col("_tokens") > 0), ["query_id"], [F.asc("rank")], budget + 1, "_row")
     running = Window.partitionBy("query_id").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     summed = sized.withColumn("_used", F.sum("_tokens").over(running))
     left = F.lit(budget) - (F.col("_used") - F.col("_tokens"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corrag.functions.vectors import cosine
 from corrag.operators.blockmatch import (
-    SCORE_DIGITS, BestPerQuery, matrix_of, pack_blocks, pair_blocks, score_block, unit_rows)
+    SCORE_DIGITS, BestPerQuery, matrix_of, score_block, unit_rows)
 from corrag.operators.postings import postings, sparse_encode_queries
 from corrag.operators.topk import top_k
 
 SEARCH_LIMIT = 30
 RRF_K = 60
 
-# A query block of at most this many rows travels to the workers with the task.
-BROADCAST_QUERIES = 4096
-# The same for the distinct terms of all queries together.
-BROADCAST_TERMS = 200_000
+# Queries of a block, which travels to the workers with the task.
+QUERY_BLOCK = 4096
+# The same for the terms of queries.
+TERM_BLOCK = 200_000
 
 
 def _best_first(id_col: str) -> list[Column]:
@@ -53,14 +54,23 @@ def query_scope(queries: DataFrame) -> DataFrame:
 def dense_search(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Exact cosine top ``limit`` per query; ties by chunk id.
 
-    Up to ``BROADCAST_QUERIES`` queries travel to the vectors: every task multiplies its
-    batches with the query matrix and sends on only its own best ``limit`` per query. A larger
-    query table is matched block by block through a shuffle (``dense_search_blocks``).
+    Queries go to the vectors in blocks of about ``QUERY_BLOCK``: every task multiplies its
+    batches with the block's matrix and sends on only its own best ``limit`` per query. One way
+    for any number of queries; a small table is one block.
     """
-    wanted = _scoped(queries)
-    first = wanted.limit(BROADCAST_QUERIES + 1).toArrow()
-    if first.num_rows > BROADCAST_QUERIES:
-        return dense_search_blocks(queries, vectors, limit)
+    parts = [_dense_block(part, vectors, limit) for part in _blocks(_scoped(queries), QUERY_BLOCK)]
+    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], _best_first("chunk_id"), limit)
+
+
+def _blocks(queries: DataFrame, rows: int) -> list[DataFrame]:
+    """The rows cut into parts of about ``rows`` by a hash of the query, which stays whole."""
+    n = max(1, -(-queries.count() // rows))
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def _dense_block(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` of every task for one block of queries."""
+    first = queries.toArrow()
     query_ids, scopes, query_vectors = (
         first.column(c).to_pylist() for c in ("query_id", "scope", "query_vector"))
     groups: dict[tuple, list[int]] = {}
@@ -103,32 +113,7 @@ def dense_search(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIM
                 [pa.array([f[i] for f in found], type=field.type)
                  for i, field in enumerate(arrow_schema)], schema=arrow_schema)
 
-    found = vectors.select("chunk_id", "paper_id", "dense_vector").mapInArrow(run, schema)
-    return top_k(found, ["query_id"], _best_first("chunk_id"), limit)
-
-
-def dense_search_blocks(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """Exact search for query tables of any size: blocks of queries meet blocks of vectors.
-
-    Nothing is broadcast or collected; each block pair is one matrix product that yields at
-    most ``limit`` rows per query.
-    """
-    wanted = _scoped(queries).filter(F.size("query_vector") > 0)
-    stored = vectors.filter(F.col("dense_vector").isNotNull())
-
-    def matched(own: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
-        left = own.select(left_key.alias("key"), F.col("query_id").alias("id"),
-                          F.col("query_vector").alias("vector"))
-        right = stored.select(right_key.alias("key"), F.struct("chunk_id", "paper_id").alias("id"),
-                              F.col("dense_vector").alias("vector"))
-        return pair_blocks(pack_blocks(left), pack_blocks(right), limit)
-
-    found = matched(wanted.filter(F.col("scope").isNull()), F.lit(""), F.lit("")).unionByName(
-        matched(wanted.filter(F.col("scope").isNotNull()), F.col("scope"),
-                F.col("paper_id").cast("string")))
-    return top_k(
-        found.select(F.col("left_id").alias("query_id"), "right_id.chunk_id", "right_id.paper_id", "score"),
-        ["query_id"], _best_first("chunk_id"), limit)
+    return vectors.select("chunk_id", "paper_id", "dense_vector").mapInArrow(run, schema)
 
 
 def sparse_search(
@@ -137,17 +122,21 @@ def sparse_search(
     """Sum of query weight x document weight over shared terms; ties by chunk id.
 
     ``query_terms`` (``query_id, term, weight``) may carry a ``scope`` column (NULL: all
-    papers). Up to ``BROADCAST_TERMS`` of them travel to the sparse vectors: a task adds up its
-    chunks' scores and sends on only its own best ``limit`` per query. A larger query table, or
-    a ranking without a limit, is joined on the term instead.
+    papers). They go to the sparse vectors in blocks of about ``TERM_BLOCK``: a task adds up its
+    chunks' scores and sends on only its own best ``limit`` per query. A ranking without a limit
+    has no best rows to cut to, so it is a join on the term.
     """
     columns = ["query_id", "term", "weight"] + (["scope"] if "scope" in query_terms.columns else [])
     wanted = query_terms.select(*columns)
     if limit is None:
         return sparse_search_join(wanted, vectors, None)
-    first = wanted.limit(BROADCAST_TERMS + 1).toArrow()
-    if first.num_rows > BROADCAST_TERMS:
-        return sparse_search_join(wanted, vectors, limit)
+    parts = [_sparse_block(part, vectors, limit) for part in _blocks(wanted, TERM_BLOCK)]
+    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], _best_first("chunk_id"), limit)
+
+
+def _sparse_block(query_terms: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` of every task for one block of query terms."""
+    columns, first = query_terms.columns, query_terms.toArrow()
     entries = first.sort_by("term").combine_chunks()
     asked = entries.column("query_id").to_pylist()
     query_ids = list(dict.fromkeys(asked))
@@ -194,8 +183,7 @@ def sparse_search(
                 [pa.array([f[i] for f in found], type=field.type)
                  for i, field in enumerate(arrow_schema)], schema=arrow_schema)
 
-    found = vectors.select("chunk_id", "paper_id", "terms", "weights").mapInArrow(run, schema)
-    return top_k(found, ["query_id"], _best_first("chunk_id"), limit)
+    return vectors.select("chunk_id", "paper_id", "terms", "weights").mapInArrow(run, schema)
 
 
 def sparse_search_join(query_terms: DataFrame, vectors: DataFrame, limit: int | None) -> DataFrame:

@@ -90,8 +90,10 @@ def upsert_store(
 
 
 def write_report(scores: DataFrame, path: str, name: str, replace: bool = True) -> None:
-    """One JSON folder per report name and paper; without ``replace`` papers are added."""
-    scores.write.mode("overwrite" if replace else "append").partitionBy("paper_id").json(f"{path}/{name}")
+    """One JSON folder per report name and paper. The papers in ``scores`` are replaced, or added to
+    without ``replace``; those of other papers stay."""
+    (scores.write.option("partitionOverwriteMode", "dynamic").mode("overwrite" if replace else "append")
+     .partitionBy("paper_id").json(f"{path}/{name}"))
 
 
 def read_report(spark: SparkSession, path: str, name: str, schema: T.StructType = schemas.SCORES) -> DataFrame:

@@ -26,9 +26,11 @@ def stream_ingest(
         newest = batch.groupBy("paper_id").agg(
             F.max_by("html", order_by or "html").alias("html")).persist()
         papers = newest.select("paper_id", F.lit("").alias("title"), F.lit("").alias("abstract"))
-        ingest_to_store(batch.sparkSession, store, papers, newest, settings=settings, root=root,
-                        buckets=buckets)
-        newest.unpersist()
+        try:
+            ingest_to_store(batch.sparkSession, store, papers, newest, settings=settings, root=root,
+                            buckets=buckets)
+        finally:
+            newest.unpersist()
 
     writer = pages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -156,3 +156,19 @@ def test_evaluation_sets(spark, rows):
 def test_page_files(spark, tmp_path):
     (tmp_path / "2301.00001.html").write_text("<p>\nx</p>")
     assert load_page_files(spark, str(tmp_path)).collect() == [("2301.00001", "<p>\nx</p>")]
+
+
+def test_deep_markup_loses_no_page(spark):
+    pages = spark.createDataFrame(
+        [("a", "<section><h2>T</h2>" + "<span>" * 5000 + "deep text"), ("b", "<section><h2>U</h2><p>x</p></section>")],
+        "paper_id string, html string")
+    found = {(r.paper_id, r.section_name, r.text) for r in extract_blocks(pages).collect()}
+    assert found == {("a", "T", "deep text"), ("b", "U", "x")}
+
+
+def test_a_last_heading_leaves_no_body(spark):
+    rows = [("a", 0, 0, "before", 8.0, False), ("a", 0, 1, "Heading", 15.0, False), ("b", 0, 0, "plain", 8.0, False)]
+    lines = spark.createDataFrame(
+        [(*r, 12.0 * r[2], 12.0 * r[2] + 4, False) for r in rows],
+        "paper_id string, page int, line_no int, text string, max_font double, is_bold boolean, y0 double, y1 double, in_table boolean")
+    assert [(r.paper_id, r.section_name) for r in lines_to_blocks(lines).collect()] == [("b", "Body")]

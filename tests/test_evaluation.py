@@ -88,3 +88,15 @@ def test_latency(spark, rows):
     stages = spark.createDataFrame([("rerank", 0.5), ("rerank", 0.25), ("grade", 1.0)], "stage string, seconds double")
     calls = spark.createDataFrame([("x",), ("x",)], "provider string")
     assert rows(latency_report(stages, calls)) == [("calls", "x", 2.0), ("stage", "grade", 1.0), ("stage", "rerank", 0.75)]
+
+
+def test_short_passages_are_judged_too(spark, tmp_path):
+    from corrag.catalog.evaluation import verbatim_qrels
+
+    docs = [(1, "xx alpha beta gamma"), (2, "one alphabeta two"), (3, "nothing"), (4, None)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha"), (2, "alpha beta"), (3, "alpha beta gamma"), (4, "x alpha"), (5, None)], "item_id long, text string"
+                          ).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.query_id, r.chunk_id) for r in verbatim_qrels(spark, str(tmp_path)).collect()}
+    assert found == {("1", "1"), ("1", "2"), ("2", "1"), ("3", "1"), ("4", "1")}

@@ -13,7 +13,7 @@ from corrag.operators.embedding import embed, embed_children
 from corrag.operators.postings import (
     index_drift, sparse_encode_documents, sparse_encode_queries, stage_term_counts, term_statistics)
 from corrag.operators.search import (
-    ann_dense_search, ann_index, ann_recall, dense_search, dense_search_blocks, enrich_hits,
+    ann_dense_search, ann_index, ann_recall, dense_search, enrich_hits,
     hybrid_search, rrf_fuse, sparse_search)
 from corrag.operators.selection import (
     expand_parents, mmr_select, rerank, select_candidates, suggest_papers)
@@ -55,14 +55,8 @@ def test_dense_search_is_exact(asked, vectors):
     assert {tuple(r) for r in got.collect()} == nearest(7)
 
 
-def test_block_search_gives_the_same(asked, vectors, monkeypatch):
-    monkeypatch.setattr("corrag.operators.blockmatch.pack_blocks.__defaults__", (32,))
-    got = dense_search_blocks(asked, vectors, 7).select("query_id", "chunk_id", "rank")
-    assert {tuple(r) for r in got.collect()} == nearest(7)
-
-
-def test_large_query_tables_take_the_block_path(asked, vectors, monkeypatch):
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
+def test_query_tables_of_several_blocks(asked, vectors, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
     got = dense_search(asked, vectors, 7).select("query_id", "chunk_id", "rank")
     assert {tuple(r) for r in got.collect()} == nearest(7)
 
@@ -113,7 +107,7 @@ def bm25(query, k, idf, avg=None, scope=None):
 @pytest.mark.parametrize("joined", [True, False])
 def test_sparse_search_is_exact(spark, idf, staged_counts, joined, monkeypatch):
     if joined:
-        monkeypatch.setattr(search, "BROADCAST_TERMS", 1)
+        monkeypatch.setattr(search, "TERM_BLOCK", 1)
     docs = spark.createDataFrame(TEXTS, "chunk_id string, paper_id string, text string")
     queries = spark.createDataFrame(
         [("a", "The model attention", None), ("b", "unknown", None), ("c", "ünlü the", "p2"), ("d", "", None)],

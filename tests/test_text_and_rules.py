@@ -104,3 +104,10 @@ def test_routes(spark):
                    ("generate_deep_dive", "retrieve"), ("deep_dive_insufficient", "generate_ask")]
     assert values(spark, rules.route_after_classify(F.col("t")), ["chat", "odd", None]) == [
         "chat", "retrieve", "retrieve"]
+
+
+def test_white_space_of_every_kind_is_stripped(spark):
+    from corrag.functions.text import strip_ws
+
+    rows = spark.createDataFrame([("  　 a b \x85",), ("",)], "t string")
+    assert [r[0] for r in rows.select(strip_ws(rows.t)).collect()] == ["a b", ""]
