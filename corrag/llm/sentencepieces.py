@@ -119,7 +119,7 @@ class Codec:
         self._starts = np.array([p.piece.startswith(_SPACE) for p in model.pieces])
         self._many = getattr(self.backend, "encode_batch_fast", self.backend.encode_batch)
         self.differing: set[str] = set()
-        self._cache = PieceCache(self._encode, np.int32)
+        self._cache = PieceCache(np.int32)
 
     def _ours(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._many(texts, add_special_tokens=False)]
@@ -144,7 +144,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """All ids, the number per text, and whether each text has parity."""
         pieces = [self._cut(t) for t in texts]
-        ids, counts = self._cache.ids(pieces)
+        ids, counts = self._cache.ids(pieces, self._encode)
         return ids, counts, [not self.differing or self.differing.isdisjoint(p) for p in pieces]
 
     def decode(self, ids: list[list[int]]) -> list[str]:

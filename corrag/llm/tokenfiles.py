@@ -89,12 +89,12 @@ def word_encoder(path: str):
         stops = np.cumsum(lengths)
         return flat[np.arange(len(flat)) + np.repeat(starts - (stops - lengths), lengths)], lengths
 
-    bare_ids = PieceCache(encode_bare, dtype)
+    bare_ids = PieceCache(dtype)
 
     def encode_all(words):
         closed = np.fromiter((w[-1] in closing and len(w) > 1 and w[-2].isascii() and w[-2].isalpha() for w in words), bool, len(words))
         bare = [w[:-1] if c else w for w, c in zip(words, closed)]
-        flat, counts = bare_ids.lookup([w.lower() if w.isascii() else w for w in bare])
+        flat, counts = bare_ids.lookup([w.lower() if w.isascii() else w for w in bare], encode_bare)
         stops = np.cumsum(counts)
         flat = np.insert(flat, stops[closed], np.array([closing[w[-1]] for w, c in zip(words, closed) if c], dtype))
         return flat, counts + closed
@@ -148,13 +148,13 @@ def encode_to_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: i
             ids, texts = batch.column(0), batch.column(1)
             if writer is None:
                 encode, dtype = word_encoder(tokenizer_path)
-                cache = PieceCache(encode, dtype)
+                cache = PieceCache(dtype)
                 system, root = open_filesystem(folder)
                 name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
                 sink = system.open_output_stream(f"{root}/{name}")
                 writer = _Writer(sink, dtype)
             for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), BLOCK):
-                flat, counts = cache.ids([_word_pieces(t) for t in texts.slice(a, b - a).to_pylist()])
+                flat, counts = cache.ids([_word_pieces(t) for t in texts.slice(a, b - a).to_pylist()], encode)
                 ends = np.cumsum(counts)
                 writer.add(np.insert(flat, ends, dtype(end_id)))
                 counts = counts + 1

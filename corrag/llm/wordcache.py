@@ -46,24 +46,27 @@ def encode_words(words: list[str], encode: Callable, marks: np.ndarray, marks_en
 
 
 class PieceCache:
-    """``encode`` maps a list of pieces to all their ids and the number of each."""
+    """``encode``, given with each call, maps a list of pieces to all their ids and the number of each.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype):
-        self._encode, self._dtype = encode, dtype
+    The cache does not keep it, so that no circle of references outlives a task with its tables.
+    """
+
+    def __init__(self, dtype):
+        self._dtype = dtype
         self._clear()
 
     def _clear(self):
         self._place: dict[str, int] = {}
         self._flat, self._lengths = np.empty(0, self._dtype), np.empty(0, np.int64)
 
-    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, pieces: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces, and the number of ids per piece."""
         if len(self._place) > LIMIT:
             self._clear()
         place = self._place
         new = [piece for piece in dict.fromkeys(pieces) if piece not in place]
         if new:
-            flat, lengths = self._encode(new)
+            flat, lengths = encode(new)
             place.update(zip(new, range(len(place), len(place) + len(new))))
             self._flat = np.concatenate((self._flat, flat.astype(self._dtype)))
             self._lengths = np.concatenate((self._lengths, lengths))
@@ -74,9 +77,9 @@ class PieceCache:
         total = int(ends[-1]) if len(ends) else 0
         return self._flat[np.arange(total) + np.repeat(starts[at] - (ends - per_piece), per_piece)], per_piece
 
-    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: list[list[str]], encode: Callable) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each given as its pieces, and the number of ids per text."""
-        flat, per_piece = self.lookup(list(chain.from_iterable(texts)))
+        flat, per_piece = self.lookup(list(chain.from_iterable(texts)), encode)
         before = np.concatenate(([0], np.cumsum(per_piece)))
         text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         return flat, np.diff(before[text_ends], prepend=0)
