@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid, mixing, neardup, ngram_join, quality, sentencepieces, sharding, substring, tokenfiles, wrappers
+from corrag.llm import langid, mixing, neardup, ngram_join, oracles, quality, sentencepieces, sharding, substring, tokenfiles, wrappers
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query_ngram_join,
@@ -15,6 +15,8 @@ QUERIES = {
     "op10_mixing": mixing.query_mixing,
 }
 ORACLES: dict[str, str] = {
-    "op2_neardup": neardup.query_neardup,
+    "op1_ngram_join": oracles.NGRAM_JOIN,
+    "op2_neardup": oracles.NEARDUP,
     "op3_quality": quality.ORACLE_QUALITY,
+    "op9_substring": oracles.SUBSTRING,
 }
