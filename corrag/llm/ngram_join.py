@@ -9,8 +9,9 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|``. Equal sets form
    any other set has are done.
 2. Groups. Sets that share many tokens are checked against the smallest of them; connected ones form a
    group of similar documents, kept in parts of about ``GROUP_ROWS`` members.
-3. Matrix. Tokens of groups: a query set is held against a group it does not belong to where it shares
-   enough tokens with it. The group's shingle union then bounds the overlap: if
+3. Matrix. Token unions of groups: a query set is held against a group it does not belong to where one
+   of its rare tokens is a rare token there, and further only if it shares enough tokens with the
+   group's union. The group's shingle union then bounds the overlap: if
    ``|Q & union| < percent / 100 * |Q|`` no member can link with Q and the group stays closed.
 4. Qualifying groups are opened and their members compared exactly.
 
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corrag.llm.common import discard, mix, read_table, slices
 from corrag.llm.components import components
@@ -62,11 +63,15 @@ def differing(a, b, percent: int):
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def class_segments(k: int, percent: int) -> tuple[int, int]:
-    """Number of segments in a size class, and the slack for empty ones."""
-    most = differing(BOUNDS[k + 1] - 1, BOUNDS[k + 1] - 1, percent)
-    slack = int(np.ceil(0.02 * most)) + 2
-    return most + 1 + slack, slack
+def class_segments(k: int, percent: int) -> tuple[int, int, int]:
+    """Number of segments in a size class; the slack, how many of them are empty at most in nearly all
+    sets; and the rest, of which linked sets share all but one for each element they differ in."""
+    most = BOUNDS[k + 1] - 1
+    base, slack = differing(most, most, percent) + 1, 2
+    for _ in range(3):
+        empty = np.exp(-most / SPAN / (base + slack)) * (base + slack)
+        slack = int(np.ceil(empty + 4 * np.sqrt(empty))) + 2
+    return base + slack, slack, base
 
 
 def segment_tokens(elements: np.ndarray, percent: int) -> np.ndarray:
@@ -82,7 +87,7 @@ def segment_tokens(elements: np.ndarray, percent: int) -> np.ndarray:
     last = int(np.searchsorted(BOUNDS, n * 100 // percent, "right")) - 1
     mixed, tokens = mix(elements + np.uint64(0x632BE59BD9B4E019)), []
     for k in range(own, last + 1):
-        m, slack = class_segments(k, percent)
+        m, slack, _ = class_segments(k, percent)
         at = ((elements >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(m, np.uint64)
         # The elements are sorted, so segments are runs.
@@ -242,10 +247,10 @@ def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
 def _needed(percent: int):
     """Column: how many tokens of its class a set of ``n`` elements shares with any set it links with."""
     k = F.col("token").bitwiseAND(63).cast("int")
-    most = F.get(F.array(*(F.lit(differing(b - 1, b - 1, percent)) for b in BOUNDS[1:])), k)
+    base = F.get(F.array(*(F.lit(class_segments(i, percent)[2]) for i in range(len(BOUNDS) - 1))), k)
     largest = F.least(F.get(F.array(*(F.lit(b - 1) for b in BOUNDS[1:])), k), F.floor(F.col("n") * 100 / percent))
     apart = F.floor((F.col("n") + largest) * (100 - percent) / (100 + percent))
-    return F.greatest(F.lit(1), most + 1 - apart)
+    return F.greatest(F.lit(1), base - apart)
 
 
 def _promising(entries: DataFrame, percent: int) -> DataFrame:
@@ -265,26 +270,41 @@ def _group_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def _cross_links(entries: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between sets of different groups, through the token-group matrix."""
-    grouped = staged(entries.join(members, "rep"), "tokens")
-    meeting = grouped.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("token")
-    met = grouped.join(meeting, "token")
+    # Of the tokens that a set has to share, all but ``need - 1`` can be the more frequent ones: one of the
+    # others, its rare tokens, is shared with every set it links with, and is rare there as well.
+    of_set = ["rep", F.col("token").bitwiseAND(63)]
+    counted = entries.withColumns({
+        "need": _needed(percent), "_df": F.count("*").over(Window.partitionBy("token"))})
+    place = F.row_number().over(Window.partitionBy(*of_set).orderBy("_df", "token"))
+    ranked = counted.withColumns({"_place": place, "_have": F.count("*").over(Window.partitionBy(*of_set))})
+    rare = staged(ranked.filter(F.col("_place") <= F.col("_have") - F.col("need") + 1)
+                  .select("rep", "token", "need").join(members, "rep"), "rare-tokens")
+    meeting = rare.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("token")
+    met = rare.join(meeting, "token")
     matrix = met.select("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part")).distinct()
-    queries = met.select("token", "n", F.col("rep").alias("q"), F.col("comp").alias("q_comp"))
+    queries = met.select("token", "need", F.col("rep").alias("q"), F.col("comp").alias("q_comp"))
+    pairs = (queries.join(matrix, "token").filter(F.col("g_comp") < F.col("q_comp"))
+             .select("q", "g_comp", "g_part", "need", F.col("token").bitwiseAND(63).alias("k")).distinct())
+    # The token union of each part of a group, and the tokens of each query, by size class.
+    k = F.col("token").bitwiseAND(63).alias("k")
+    unions = (entries.join(members, "rep").groupBy(F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), k)
+              .agg(F.collect_set("token").alias("_group")))
+    own = entries.groupBy(F.col("rep").alias("q"), k).agg(F.collect_list("token").alias("_own"))
+    shared = F.size(F.array_intersect("_own", "_group"))
     candidates = staged(
-        queries.join(matrix, "token").filter(F.col("g_comp") < F.col("q_comp"))
-        .groupBy("q", "g_comp", "g_part", _needed(percent).alias("need"), F.col("token").bitwiseAND(63).alias("k"))
-        .agg(F.count("*").alias("shared")).filter("shared >= need").select("q", "g_comp", "g_part").distinct(), "candidates")
+        pairs.join(own, ["q", "k"]).join(unions, ["g_comp", "g_part", "k"]).filter(shared >= F.col("need"))
+        .select("q", "g_comp", "g_part").distinct(), "candidates")
     held = members.select("rep", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"))
     needed = held.join(candidates.select("g_comp", "g_part").distinct(), ["g_comp", "g_part"])
-    unions = needed.join(sets, "rep").groupBy("g_comp", "g_part").agg(
+    shingles = needed.join(sets, "rep").groupBy("g_comp", "g_part").agg(
         F.array_distinct(F.flatten(F.collect_list("elements"))).alias("_union"))  # about GROUP_ROWS sets
     query_sets = sets.select(F.col("rep").alias("q"), F.col("elements").alias("_q"))
     overlap = F.size(F.array_intersect("_q", "_union"))
-    opened = (candidates.join(query_sets, "q").join(unions, ["g_comp", "g_part"])
+    opened = (candidates.join(query_sets, "q").join(shingles, ["g_comp", "g_part"])
               .filter(100 * overlap >= percent * F.size("_q")).select("q", "g_comp", "g_part"))
-    pairs = staged(opened.join(held, ["g_comp", "g_part"]).select(F.col("q").alias("a"), F.col("rep").alias("b")), "opened")
-    links = staged(_verified(pairs, sets, percent), "cross-links")
-    discard(grouped, candidates, pairs)
+    opened_pairs = staged(opened.join(held, ["g_comp", "g_part"]).select(F.col("q").alias("a"), F.col("rep").alias("b")), "opened")
+    links = staged(_verified(opened_pairs, sets, percent), "cross-links")
+    discard(rare, candidates, opened_pairs)
     return links
 
 
