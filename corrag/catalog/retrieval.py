@@ -18,9 +18,10 @@ from corrag.operators.selection import (
     attach_vectors, expand_parents, mmr_select, rerank, select_candidates, suggest_papers)
 from corrag.operators.topk import top_k
 from corrag.plans.answer import gather_evidence, prepare_queries, summarize
-from corrag.plans.corpus import Settings, build_corpus
+from corrag.plans.corpus import Settings, build_corpus, open_corpus
 from corrag.plans.correct import build_reserve, corrective_search, search_reserve
-from corrag.session import staged
+from corrag.plans.ingest import ingest_blocks_to_store
+from corrag.session import new_shared_path, staged
 
 DIM = 64
 _PASSAGES = ("children", "chunk_id", "paper_id", "text")
@@ -236,6 +237,15 @@ def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
         "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("store_search", f"WITH {_HYBRID} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits")
+def store_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a corpus that was ingested into a store and opened again."""
+    docs, path = tables.documents(spark, sf), new_shared_path(spark, "search-store")
+    ingest_blocks_to_store(spark, path, tables.papers(docs), tables.blocks(docs), _settings(), buckets=16)
+    return _hits(spark, sf, open_corpus(spark, path, _settings())).select(
+        "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 _OWN = f"""{sql.children()}, {_DENSE_LEG}, {sql.bm25(*_PASSAGES, idf=False, avg_len="256")},
 best AS (SELECT query_id, min_by(paper_id, rank) AS own FROM (
   SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank

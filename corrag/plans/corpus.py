@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrag import schemas
 from corrag.functions.text import CHILD_OVERLAP, CHILD_TOKENS
 from corrag.operators.chunking import chunk_blocks, ingestion_status
 from corrag.operators.embedding import DEFAULT_DIM, Embedder, embed_children
@@ -14,6 +15,7 @@ from corrag.operators.filters import filter_blocks
 from corrag.operators.postings import (
     sparse_encode_documents, stage_term_counts, term_statistics)
 from corrag.session import staged
+from corrag.sources.store import STORE_BUCKETS, read_store
 
 
 @dataclass(frozen=True)
@@ -63,3 +65,15 @@ def build_corpus(papers: DataFrame, blocks: DataFrame, settings: Settings = Sett
     known = papers.drop("ingestion_status").join(
         status.select("paper_id", "ingestion_status"), "paper_id")
     return Corpus(known, chunks, vectors, stage_term_counts(children), settings)
+
+
+def open_corpus(spark: SparkSession, store: str, settings: Settings = Settings(),
+                papers: list[str] | None = None, buckets: int = STORE_BUCKETS) -> Corpus:
+    """The corpus that ingestion runs have left under ``store``; nothing is computed anew.
+
+    With ``papers`` only these are read, from their own buckets.
+    """
+    tables = (read_store(spark, f"{store}/{name}", schema, papers, buckets) for name, schema in (
+        ("papers", schemas.STORED_PAPERS), ("chunks", schemas.CHUNKS), ("vectors", schemas.VECTORS),
+        ("terms", schemas.TERM_COUNTS)))
+    return Corpus(*tables, settings)

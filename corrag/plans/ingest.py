@@ -1,45 +1,82 @@
-"""Ingestion: pages (with text lines as fallback) to chunks and vectors in a store."""
+"""Ingestion: pages (with text lines as fallback) to the chunk, vector, term and paper tables of a store."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corrag import schemas
 from corrag.operators.blocks import extract_blocks, extract_with_fallback, lines_to_blocks
 from corrag.operators.chunking import chunk_blocks, ingestion_status
 from corrag.operators.embedding import embed_children
 from corrag.operators.filters import filter_blocks
+from corrag.operators.postings import count_terms
 from corrag.plans.corpus import Settings
 from corrag.session import staged
 from corrag.sources.store import STORE_BUCKETS, papers_to_replace, upsert_store
 
 
+def ingest_blocks(
+    papers: DataFrame, blocks: DataFrame, settings: Settings = Settings(), failed: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(status, chunks, vectors)`` of the papers; chunks and vectors are computed once."""
+    chunks = staged(chunk_blocks(papers, filter_blocks(blocks), settings.max_tokens, settings.overlap),
+                    "ingested")
+    vectors = staged(embed_children(chunks, settings.embedder, dim=settings.dim), "ingested-vectors")
+    return ingestion_status(papers, chunks, failed), chunks, vectors
+
+
 def ingest_pages(
     papers: DataFrame, pages: DataFrame, lines: DataFrame | None = None,
-    settings: Settings = Settings(), root: str = "section",
+    settings: Settings = Settings(), root: str = "section", failed: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(status, chunks, vectors)`` of the papers."""
-    blocks = extract_blocks(pages, root)
+    """The same for pages, with text lines as fallback. Pages are taken apart once."""
+    blocks = staged(extract_blocks(pages, root), "blocks")
     if lines is not None:
         blocks = extract_with_fallback(blocks, lines_to_blocks(lines))
-    chunks = staged(chunk_blocks(papers, filter_blocks(blocks), settings.max_tokens, settings.overlap),
-                    "ingested")
-    vectors = embed_children(chunks, settings.embedder, dim=settings.dim)
-    return ingestion_status(papers, chunks), chunks, vectors
+    return ingest_blocks(papers, blocks, settings, failed)
+
+
+def write_run(
+    spark: SparkSession, store: str, papers: DataFrame, status: DataFrame, chunks: DataFrame,
+    vectors: DataFrame, buckets: int = STORE_BUCKETS,
+) -> None:
+    """Replace the papers of a run in the four tables of a store: chunks, vectors, terms and papers.
+
+    ``papers`` is written last: a run that broke off before leaves the old status, so it runs again.
+    """
+    known = papers.drop("ingestion_status").join(status.select("paper_id", "ingestion_status"), "paper_id")
+    known = known.select(*(
+        F.col(f.name) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schemas.STORED_PAPERS))
+    terms = count_terms(chunks.filter(F.col("chunk_type") == "child"))
+    for name, rows, schema in (("chunks", chunks, schemas.CHUNKS), ("vectors", vectors, schemas.VECTORS),
+                               ("terms", terms, schemas.TERM_COUNTS), ("papers", known, schemas.STORED_PAPERS)):
+        upsert_store(spark, f"{store}/{name}", rows, papers.select("paper_id"), schema, buckets, force=True)
 
 
 def ingest_to_store(
     spark: SparkSession, store: str, papers: DataFrame, pages: DataFrame,
     lines: DataFrame | None = None, settings: Settings = Settings(), root: str = "section",
     buckets: int = STORE_BUCKETS, existing_papers: DataFrame | None = None, force: bool = False,
+    failed: DataFrame | None = None,
 ) -> None:
-    """Replace the papers of this run in the chunk and vector tables under ``store``.
+    """Replace the papers of this run in the tables under ``store``.
 
-    Papers that ``existing_papers`` knows as ``full`` are not even parsed, unless forced.
+    Papers that ``existing_papers`` knows as ``full`` are not even parsed, unless forced. ``failed``
+    names papers whose page could not be had; they get that status.
     """
     ids = papers_to_replace(papers, existing_papers, force)
     fresh, mine = papers.join(ids, "paper_id", "left_semi"), pages.join(ids, "paper_id", "left_semi")
     read = None if lines is None else lines.join(ids, "paper_id", "left_semi")
-    _, chunks, vectors = ingest_pages(fresh, mine, read, settings, root)
-    for name, rows, schema in (("chunks", chunks, schemas.CHUNKS), ("vectors", vectors, schemas.VECTORS)):
-        upsert_store(spark, f"{store}/{name}", rows, ids, schema, buckets, force=True)
+    write_run(spark, store, fresh, *ingest_pages(fresh, mine, read, settings, root, failed), buckets)
+
+
+def ingest_blocks_to_store(
+    spark: SparkSession, store: str, papers: DataFrame, blocks: DataFrame, settings: Settings = Settings(),
+    buckets: int = STORE_BUCKETS, existing_papers: DataFrame | None = None, force: bool = False,
+) -> None:
+    """The same for papers that are blocks already."""
+    ids = papers_to_replace(papers, existing_papers, force)
+    fresh, mine = papers.join(ids, "paper_id", "left_semi"), blocks.join(ids, "paper_id", "left_semi")
+    write_run(spark, store, fresh, *ingest_blocks(fresh, mine, settings), buckets)

@@ -38,6 +38,12 @@ VECTORS = _struct(
 
 POSTINGS = _struct(term=STRING, chunk_id=STRING, paper_id=STRING, weight=DOUBLE)
 
+TERM_COUNTS = _struct(
+    chunk_id=STRING, paper_id=STRING, length=INT, terms=T.ArrayType(STRING), tfs=T.ArrayType(INT))
+
+STORED_PAPERS = _struct(
+    paper_id=STRING, title=STRING, abstract=STRING, published_date=STRING, ingestion_status=STRING)
+
 QUERIES = _struct(
     query_id=STRING, mode=STRING, paper_id=STRING, user_message=STRING,
     query_vector=VECTOR, retry_count=INT)

@@ -50,9 +50,15 @@ def write_store(rows: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> Non
         "bucket").mode("errorifexists").parquet(path)
 
 
-def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-                             ).parquet(path).filter(F.col("paper_id").isNotNull()).drop("bucket")
+def read_store(spark: SparkSession, path: str, schema: T.StructType, papers: list[str] | None = None,
+               buckets: int = STORE_BUCKETS) -> DataFrame:
+    """The table's rows; with ``papers`` only theirs, read from no bucket but their own."""
+    full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    rows = spark.read.schema(full).parquet(path).filter(F.col("paper_id").isNotNull())
+    if papers is not None:
+        own = [F.pmod(F.xxhash64(F.lit(p)), F.lit(buckets)).cast("int") for p in papers]
+        rows = rows.filter(F.col("bucket").isin(own) & F.col("paper_id").isin(papers))
+    return rows.drop("bucket")
 
 
 def upsert_store(

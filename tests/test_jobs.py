@@ -191,3 +191,21 @@ def test_every_query_has_sql_or_a_reason():
     from corrag import catalog
 
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"ann_recall", "corrective"}
+
+
+def test_a_store_knows_status_and_opens_by_paper(spark, tmp_path):
+    from corrag.plans.corpus import open_corpus
+    from corrag.plans.ingest import ingest_to_store
+
+    papers = spark.createDataFrame([(p, p.upper(), "") for p in "abc"], "paper_id string, title string, abstract string")
+    pages = spark.createDataFrame([("a", "<section><h2>T</h2><p>one two</p></section>"), ("b", "no section")], "paper_id string, html string")
+    failed = spark.createDataFrame([("c",)], "paper_id string")
+    ingest_to_store(spark, str(tmp_path), papers, pages, buckets=4, failed=failed)
+    corpus = open_corpus(spark, str(tmp_path), buckets=4)
+    assert {(r.paper_id, r.title, r.ingestion_status) for r in corpus.papers.collect()} == {
+        ("a", "A", "full"), ("b", "B", "abstract_only"), ("c", "C", "failed")}
+    one = open_corpus(spark, str(tmp_path), papers=["a"], buckets=4)
+    assert one.children.count() == one.vectors.count() == one.counts.count() == 1
+    assert "bucket IN" in one.chunks._jdf.queryExecution().toString() or "(bucket" in one.chunks._jdf.queryExecution().toString()
+    ingest_to_store(spark, str(tmp_path), papers, pages, buckets=4, existing_papers=corpus.papers)
+    assert open_corpus(spark, str(tmp_path), buckets=4).papers.count() == 3
