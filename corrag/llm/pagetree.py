@@ -14,27 +14,31 @@ _RAW = frozenset("script style noscript template textarea iframe object svg math
 _SPACE = frozenset("br td th img".split())
 #: Elements that are never article text, whatever they are called.
 _ASIDE = frozenset("head nav footer aside form menu dialog select option".split())
-#: Words in class, id or role that name what is not article text.
+#: Words in class, id or role that name what is not article text. A class or id counts if all of its words are among
+#: them ("sidebar", "cookie-notice", but not "no-sidebar"); ids of sections, headings and paragraphs are their titles.
 _ROLES = frozenset((
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices notification "
     "pager pagination popup promo promotion related replies reply respond search share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget").split())
+_TITLED = frozenset("section h1 h2 h3 h4 h5 h6 p li dt dd".split())
 #: An opening tag closes these open elements first.
 _CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr",), "body": ("head",)}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Depth beyond which nodes are not aligned, and cells of a matching table beyond which only the ends of two child lists are.
 DEPTH = 40
 CELLS = 200_000
 
 
 class Node:
-    __slots__ = ("tag", "sign", "parent", "children", "dropped", "text", "index")
+    """``dropped``: in an element that is never shown or never article text; ``named``: in one whose name says so."""
 
-    def __init__(self, tag, sign, parent, dropped, index):
-        self.tag, self.sign, self.parent, self.dropped, self.index = tag, sign, parent, dropped, index
+    __slots__ = ("tag", "sign", "parent", "children", "dropped", "named", "text", "index")
+
+    def __init__(self, tag, sign, parent, dropped, named, index):
+        self.tag, self.sign, self.parent, self.dropped, self.named, self.index = tag, sign, parent, dropped, named, index
         self.children: list[Node] = []
         self.text: list[str] = []
 
@@ -43,10 +47,11 @@ class Page:
     """``nodes`` in page order and ``blocks``: (node, text) in page order, white space made single."""
 
     def __init__(self, html: str | None):
-        self.nodes = [Node("", "", None, False, 0)]
+        self.nodes = [Node("", "", None, False, False, 0)]
         self.blocks: list[tuple[Node, str]] = []
         self._held: list[str] = []
         self._build(html or "")
+        self._name()
 
     def _flush(self, node):
         if self._held:
@@ -88,17 +93,17 @@ class Page:
                 self._held.append(" ")
                 continue
             block = name in _BLOCKS
-            sign, role = name, False
+            sign, named, hidden = name, False, False
             if len(token[3]) > 1:
-                sign, role = self._attributes(name, token[3], now)
-            if not block and (not role or name in _VOID):
+                sign, named, hidden = self._attributes(name, token[3])
+            if not block and (not (named or hidden) or name in _VOID):
                 continue
             self._flush(now)
             now = self._closed(now, name)
             if name in _VOID:
                 continue
             page_header = name == "header" and not any(p.tag in ("article", "main") for p in _line(now))
-            node = Node(name, sign, now, now.dropped or role or name in _ASIDE or page_header, len(self.nodes))
+            node = Node(name, sign, now, now.dropped or hidden or name in _ASIDE or page_header, named, len(self.nodes))
             now.children.append(node)
             self.nodes.append(node)
             now = node
@@ -117,19 +122,34 @@ class Page:
                 break
         return now
 
+    def _name(self):
+        """Hands names down. An element around the page's heading, its main part or its first article is layout,
+        whatever its name."""
+        first = {}
+        for node in self.nodes:
+            if node.tag in ("h1", "main", "article") and not node.dropped:
+                first.setdefault(node.tag, node)
+        for node in first.values():
+            for up in _line(node.parent):
+                up.named = False
+        for node in self.nodes[1:]:
+            node.named = node.named or node.parent.named
+
     @staticmethod
-    def _attributes(name, text, now):
+    def _attributes(name, text):
+        """Sign, whether the element is named as something else, whether it is hidden."""
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(text)}
         label = " ".join(found.get(k, "") for k in ("class", "id")).strip().lower()
-        words = set(re.split(r"[\s_-]+", f"{label} {found.get('role', '').lower()}"))
-        hidden = (found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                  or re.search(r"(?:^|\s)hidden(?:\s|/|$)", text) is not None)
-        role = bool(words & _ROLES) or hidden
+        hidden = ("hidden" in found or found.get("aria-hidden") == "true"
+                  or "display:none" in found.get("style", "").replace(" ", "").lower())
+        names = f"{found.get('class', '')} {'' if name in _TITLED else found.get('id', '')} {found.get('role', '')}".lower().split()
         if name in ("html", "body", "main"):
-            role = False
+            named = hidden = False
         elif name == "article":
-            role = hidden or bool(words & {"comment", "reply"})
-        return (f"{name}.{label}" if label else name), role
+            named = bool({"comment", "reply"} & set(names))
+        else:
+            named = any(_ROLES.issuperset(re.split("[_-]+", n)) for n in names)
+        return (f"{name}.{label}" if label else name), named, hidden
 
 
 def _line(node):

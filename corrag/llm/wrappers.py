@@ -4,7 +4,8 @@ Pages of one host are aligned with a typical page of that host (the one of media
 matching. Aligned nodes whose text stays the same over the pages are template; nodes whose text
 varies are slots. The article is the element that says so, or else the element that holds most of the
 varying text. Its blocks are the result, but for template nodes and for elements that are something
-else by their tag or name (menus, adverts, forms, comments and the like).
+else by their tag (menus, forms and the like) or hidden. Names of elements (sidebar, advert, comments)
+count outside the article's element; inside it they count only where the text is template too.
 
 A host with more than ``CHUNK`` pages is split by a hash of the page id into chunks of about that many,
 each of which induces its own wrapper, so no task ever holds more. Pages are shuffled once.
@@ -40,7 +41,7 @@ FOCUS = 0.6
 
 def _named_article(page: Page) -> Node | None:
     for tag in ("article", "main"):
-        found = [n for n in page.nodes if n.tag == tag and not n.dropped and not (tag == "article" and _inside(n.parent, "article"))]
+        found = [n for n in page.nodes if n.tag == tag and not n.dropped and not n.named and not (tag == "article" and _inside(n.parent, "article"))]
         if found:
             sizes = Counter()
             for node, text in page.blocks:
@@ -69,7 +70,7 @@ def _focus(page: Page, weight: dict[int, float]) -> Node:
             node = node.parent
     now = page.nodes[0]
     while True:
-        inner = [c for c in now.children if c.children and not c.dropped and mass[c.index] >= FOCUS * mass[0]]
+        inner = [c for c in now.children if c.children and not c.dropped and not c.named and mass[c.index] >= FOCUS * mass[0]]
         if not inner or not mass[0]:
             return now
         now = max(inner, key=lambda c: mass[c.index])
@@ -95,7 +96,7 @@ class Wrapper:
             text, same = texts[index].most_common(1)[0]
             if n >= MIN_PAGES and n >= len(different) / 2 and same >= CONSTANT * n:
                 self.template[index] = text
-            elif not self.typical.nodes[index].dropped:
+            elif not self.typical.nodes[index].dropped and not self.typical.nodes[index].named:
                 varying[index] = sum(len(t) * k for t, k in texts[index].items()) / n
         self.focus = _focus(self.typical, varying).index
 
@@ -111,7 +112,7 @@ class Wrapper:
             if root is None or root.index == 0:
                 weight = Counter()
                 for node, text in page.blocks:
-                    if not node.dropped and self.template.get(alignment.get(node.index)) != "\n".join(node.text):
+                    if not node.dropped and not node.named and self.template.get(alignment.get(node.index)) != "\n".join(node.text):
                         weight[node.index] += len(text)
                 root = _focus(page, weight)
         inside: dict[int, bool] = {root.index: True}
@@ -125,8 +126,10 @@ class Wrapper:
             inside.update(dict.fromkeys(line, answer))
             return answer
 
-        blocks = [(node, text) for node, text in page.blocks if not node.dropped and within(node)]
+        whole = root.tag in ("", "html", "body")  # no element of its own: names are all there is to go by
+        blocks = [(node, text) for node, text in page.blocks if not node.dropped and not (whole and node.named) and within(node)]
         template = [self.template.get(alignment.get(node.index)) == "\n".join(node.text) for node, _ in blocks]
+        blocks, template = zip(*[(b, t) for b, t in zip(blocks, template) if not (t and b[0].named)] or [((None, ""), True)])
         constant = sum(len(text) for (_, text), t in zip(blocks, template) if t)
         if constant > MOST_CONSTANT * sum(len(text) for _, text in blocks):
             template = [False] * len(blocks)

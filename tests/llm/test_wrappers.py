@@ -50,3 +50,16 @@ def test_tree_matching_is_the_largest_ordered_match():
     b = Page("<div><ul><li>x</li></ul><h2>h</h2><p>2</p></div>").nodes[0]
     assert match_trees(a, b)[0] == 5  # root, div, ul, li, p
     assert len(aligned(a, b)) == 5
+
+
+def test_a_name_inside_the_article_does_not_drop_text():
+    body = ('<section id="related-work"><h2 id="search">Search</h2><p id="notice-of-meeting">Meeting</p></section>'
+            '<p title="the hidden door">Door</p><div class="notice">Dear reader {i}</div><p hidden>Gone</p>')
+    for shell in ('<div class="content-sidebar-wrap">{}</div>', '<div class="no-sidebar">{}</div>', '<div class="widget">{}</div>'):
+        pages = [page(i, shell.format("<article>" + body.format(i=i) + "</article>"), tag=None) for i in range(3)]
+        assert extract_host(pages) == [f"Search\n\nMeeting\n\nDoor\n\nDear reader {i}" for i in range(3)]
+
+
+def test_a_constant_name_inside_the_article_goes():
+    pages = [page(i, f"<p>Text {i} {'word ' * (20 + i)}</p><div class='promo'>Subscribe</div>") for i in range(12)]
+    assert extract_host(pages) == [f"Text {i} {'word ' * (20 + i)}".strip() for i in range(12)]
