@@ -10,7 +10,10 @@ _BLOCKS = frozenset((
     "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody tfoot "
     "thead title tr ul").split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea iframe object svg math".split())
+#: Elements whose content is no markup; without a closing tag the first three reach to the end.
+_RAW = frozenset("script style textarea iframe".split())
+#: Elements that are not shown, up to their closing tag or the end of their parent. Without a closing tag they are left out alone.
+_UNSHOWN = frozenset("svg noscript template annotation annotation-xml".split())
 _SPACE = frozenset("br td th img".split())
 #: Elements that are never article text, whatever they are called.
 _ASIDE = frozenset("head nav footer aside form menu dialog select option".split())
@@ -63,17 +66,33 @@ class Page:
 
     def _build(self, html):
         now, at, find = self.nodes[0], 0, _TOKEN.search
+        unshown, open_unshown, closed = "", 0, {}
         while True:
             token = find(html, at)
             if token is None:
-                self._held.append(html[at:])
+                if not unshown:
+                    self._held.append(html[at:])
                 break
-            if token.start() > at:
+            if token.start() > at and not unshown:
                 self._held.append(html[at:token.start()])
             at, name = token.end(), token[2]
             if name is None:
                 continue
             name = name.lower()
+            self_closed = not token[1] and re.search(r"(?:^|[\s\"'])/$", token[3]) is not None
+            if unshown:
+                if name == unshown:
+                    open_unshown += -1 if token[1] else not self_closed
+                    unshown = unshown if open_unshown else ""
+                    continue
+                if token[1]:  # the end of an element around it
+                    ends = any(up.tag == name for up in _line(now))
+                else:  # in a drawing a block of the page
+                    ends = unshown == "svg" and name in _BLOCKS and name != "title"
+                if not ends and name not in _RAW:
+                    continue
+                if ends:
+                    unshown, open_unshown = "", 0
             if token[1]:
                 if name in _SPACE:
                     self._held.append(" ")
@@ -86,8 +105,17 @@ class Page:
                     now = up.parent
                 continue
             if name in _RAW:
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                again = re.compile(rf"<{name}\b", re.I).search(html, at) if self_closed else None
+                if self_closed and (close is None or again is not None and again.start() < close.start()):
+                    continue
+                at = close.end() if close else at if name == "iframe" else len(html)
+                continue
+            if name in _UNSHOWN:
+                if name not in closed:
+                    closed[name] = _closed_tags(html, name)
+                if not self_closed and token.start() in closed[name]:
+                    unshown, open_unshown = name, 1
                 continue
             if name in _SPACE:
                 self._held.append(" ")
@@ -152,6 +180,17 @@ class Page:
         return (f"{name}.{label}" if label else name), named, hidden
 
 
+def _closed_tags(html: str, name: str) -> set[int]:
+    """Where the opening tags of this name start that have a closing tag of their own."""
+    opened, out = [], set()
+    for tag in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", html, re.I):
+        if not tag[1]:
+            opened.append(tag.start())
+        elif opened:
+            out.add(opened.pop())
+    return out
+
+
 def _line(node):
     while node is not None:
         yield node

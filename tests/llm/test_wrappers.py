@@ -63,3 +63,18 @@ def test_a_name_inside_the_article_does_not_drop_text():
 def test_a_constant_name_inside_the_article_goes():
     pages = [page(i, f"<p>Text {i} {'word ' * (20 + i)}</p><div class='promo'>Subscribe</div>") for i in range(12)]
     assert extract_host(pages) == [f"Text {i} {'word ' * (20 + i)}".strip() for i in range(12)]
+
+
+def test_no_text_goes_behind_drawings_and_formulas():
+    bodies = {
+        '<p>a <svg viewBox="0 0 1 1"/> b<p>c': "a b\n\nc",
+        "<p>a <svg><text>t</text></svg> b<p>c": "a b\n\nc",
+        "<p>a <svg><path d=1><p>b<p>c <svg></svg>d": "a\n\nb\n\nc d",
+        "<div>a<svg></div><p>b</p><p>c</svg>": "a\n\nb\n\nc",
+        "<p>a <math/> b <math><mi>x</mi><annotation>\\x</annotation></math> c": "a b x c",
+        "<p>a <object data=o><p>b<template><p>c": "a\n\nb\n\nc",
+        "<div>a<template><p>t</p></template><iframe src=x /> b<noscript><img></noscript></div><iframe>c": "a b\n\nc",
+        "a<script src=x /><p>b<script>t</script>": "a\n\nb",
+    }
+    for body, text in bodies.items():
+        assert extract_host([f"<article>{body}</article>"]) == [text], body
