@@ -2,8 +2,9 @@
 
 Pages of one host are aligned with a typical page of that host (the one of median size) by simple tree
 matching. Aligned nodes whose text stays the same over the pages are template; nodes whose text
-varies are slots. The article is the element that says so, or else the element that holds most of the
-varying text. Its blocks are the result, but for template nodes and for elements that are something
+varies are slots. The article is the element that holds most of the varying text, narrowed or widened to
+``article`` or ``main`` elements (all siblings that vary). Hosts with few pages have no evidence; there
+``article`` and ``main`` decide, and an element beside them that holds most of the text stays. Its blocks are the result, but for template nodes and for elements that are something
 else by their tag (menus, forms and the like) or hidden. Names of elements (sidebar, advert, comments)
 count outside the article's element; inside it they count only where the text is template too.
 
@@ -37,37 +38,38 @@ CONSTANT = 0.9
 MOST_CONSTANT = 0.3
 #: Share of the varying text that the article's element holds.
 FOCUS = 0.6
+_WHOLE = ("", "html", "body")
 
 
-def _named_article(page: Page) -> Node | None:
+def _articles(page: Page, weight: dict[int, float]) -> list[Node]:
+    """The outermost ``article`` elements with text of weight, or else the ``main`` elements."""
+    mass = _mass(page, weight)
     for tag in ("article", "main"):
-        found = [n for n in page.nodes if n.tag == tag and not n.dropped and not n.named and not (tag == "article" and _inside(n.parent, "article"))]
+        found = [n for n in page.nodes if n.tag == tag and not n.dropped and not n.named and mass[n.index] > 0
+                 and not any(up.tag == tag for up in _above(n.parent))]
         if found:
-            sizes = Counter()
-            for node, text in page.blocks:
-                while node is not None:
-                    sizes[node.index] += len(text)
-                    node = node.parent
-            return max(found, key=lambda n: (sizes[n.index], -n.index))
-    return None
+            return found
+    return []
 
 
-def _inside(node: Node | None, tag: str) -> bool:
+def _above(node: Node | None):
     while node is not None:
-        if node.tag == tag:
-            return True
+        yield node
         node = node.parent
-    return False
+
+
+def _mass(page: Page, weight: dict[int, float]) -> Counter:
+    """The weight of every element with all that is in it."""
+    mass: Counter = Counter(weight)
+    for node in reversed(page.nodes):
+        if node.parent is not None and mass[node.index]:
+            mass[node.parent.index] += mass[node.index]
+    return mass
 
 
 def _focus(page: Page, weight: dict[int, float]) -> Node:
     """The deepest element with children that holds ``FOCUS`` of the weight."""
-    mass: Counter = Counter()
-    for index, w in weight.items():
-        node = page.nodes[index]
-        while node is not None:
-            mass[node.index] += w
-            node = node.parent
+    mass = _mass(page, weight)
     now = page.nodes[0]
     while True:
         inner = [c for c in now.children if c.children and not c.dropped and not c.named and mass[c.index] >= FOCUS * mass[0]]
@@ -98,42 +100,48 @@ class Wrapper:
                 self.template[index] = text
             elif not self.typical.nodes[index].dropped and not self.typical.nodes[index].named:
                 varying[index] = sum(len(t) * k for t, k in texts[index].items()) / n
+        self.evidence = len(different) >= MIN_PAGES
         self.focus = _focus(self.typical, varying).index
 
     def alignment(self, page: Page) -> dict[int, int]:
         found = self.alignments.get(id(page))
         return aligned(page.nodes[0], self.typical.nodes[0]) if found is None else found
 
+    def _roots(self, page: Page, alignment: dict[int, int], constant: set[int]) -> list[Node]:
+        """The elements whose text is the article: where the text varies, narrowed to ``article`` or ``main``."""
+        weight = Counter()
+        for node, text in page.blocks:
+            if not node.dropped and not node.named and node.index not in constant:
+                weight[node.index] += len(text)
+        mass = _mass(page, weight)
+        root = next((page.nodes[own] for own, index in alignment.items() if index == self.focus), None)
+        if root is None or root.index == 0 or not mass[root.index]:
+            root = _focus(page, weight)
+        articles = _articles(page, weight)
+        around = {up.index for up in _above(root)}
+        own = next((n for n in articles if n.index in around), None)
+        if own is not None:
+            return [n for n in articles if n.parent is own.parent]
+        inner = [n for n in articles if any(up is root for up in _above(n.parent))]
+        if sum(mass[n.index] for n in inner) >= FOCUS * mass[root.index] > 0 or inner and not self.evidence and root.tag in _WHOLE:
+            return inner
+        return [root] if self.evidence else [root, *articles]
+
     def text(self, page: Page) -> str:
         alignment = self.alignment(page)
-        root = _named_article(page)
-        if root is None:
-            root = next((page.nodes[own] for own, index in alignment.items() if index == self.focus), None)
-            if root is None or root.index == 0:
-                weight = Counter()
-                for node, text in page.blocks:
-                    if not node.dropped and not node.named and self.template.get(alignment.get(node.index)) != "\n".join(node.text):
-                        weight[node.index] += len(text)
-                root = _focus(page, weight)
-        inside: dict[int, bool] = {root.index: True}
-
-        def within(node):
-            line = []
-            while node is not None and node.index not in inside:
-                line.append(node.index)
-                node = node.parent
-            answer = node is not None and inside[node.index]
-            inside.update(dict.fromkeys(line, answer))
-            return answer
-
-        whole = root.tag in ("", "html", "body")  # no element of its own: names are all there is to go by
-        blocks = [(node, text) for node, text in page.blocks if not node.dropped and not (whole and node.named) and within(node)]
-        template = [self.template.get(alignment.get(node.index)) == "\n".join(node.text) for node, _ in blocks]
-        blocks, template = zip(*[(b, t) for b, t in zip(blocks, template) if not (t and b[0].named)] or [((None, ""), True)])
-        constant = sum(len(text) for (_, text), t in zip(blocks, template) if t)
-        if constant > MOST_CONSTANT * sum(len(text) for _, text in blocks):
-            template = [False] * len(blocks)
-        return "\n\n".join(text for (_, text), t in zip(blocks, template) if not t)
+        constant = {own for own, index in alignment.items() if self.template.get(index, "") == "\n".join(page.nodes[own].text) != ""}
+        roots = self._roots(page, alignment, constant)
+        whole = roots[0].tag in _WHOLE  # no element of its own: names are all there is to go by
+        inside = {n.index for n in roots}
+        for node in page.nodes[1:]:
+            if node.parent.index in inside:
+                inside.add(node.index)
+        blocks = [(node.index in constant, text) for node, text in page.blocks if node.index in inside and not node.dropped
+                  and not (node.named and (whole or node.index in constant))]
+        same = sum(len(text) for t, text in blocks if t)
+        if same > MOST_CONSTANT * sum(len(text) for _, text in blocks):
+            return "\n\n".join(text for _, text in blocks)
+        return "\n\n".join(text for t, text in blocks if not t)
 
 
 def extract_host(htmls: list[str | None]) -> list[str]:

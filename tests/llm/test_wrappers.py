@@ -78,3 +78,14 @@ def test_no_text_goes_behind_drawings_and_formulas():
     }
     for body, text in bodies.items():
         assert extract_host([f"<article>{body}</article>"]) == [text], body
+
+
+def test_sibling_articles_and_a_body_beside_a_teaser():
+    words = [f"Part {k} of {{i}} {'word ' * 9}".strip() for k in range(3)]
+    several = [page(i, "".join(f"<article><p>{w.format(i=i)}</p></article>" for w in words), tag=None) for i in range(12)]
+    assert extract_host(several) == ["\n\n".join(w.format(i=i) for w in words) for i in range(12)]
+    assert extract_host(several[:1]) == ["\n\n".join(w.format(i=0) for w in words)]
+    body = "<article><p>Read {i}</p></article><div class='text'><p>Body {i}</p><p>" + "long text " * 40 + "{i}</p></div>"
+    want = ["Body {i}\n\n".format(i=i) + "long text " * 40 + str(i) for i in range(12)]
+    assert extract_host([page(i, body.format(i=i), tag=None) for i in range(12)]) == want
+    assert want[0] in extract_host([page(0, body.format(i=0), tag=None)])[0]
