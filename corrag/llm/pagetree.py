@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from math import isqrt
+
+import numpy as np
 
 _BLOCKS = frozenset((
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -30,9 +33,6 @@ _CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("op
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-#: Depth beyond which nodes are not aligned, and cells of a matching table beyond which only the ends of two child lists are.
-DEPTH = 40
-CELLS = 200_000
 
 
 class Node:
@@ -197,56 +197,158 @@ def _line(node):
         node = node.parent
 
 
-def match_trees(a: Node, b: Node, depth: int = 0) -> tuple[int, list]:
-    """Simple tree matching: the size of the largest order-keeping match of two trees, and its pairs as
-    nested lists ``[a, b, pairs of children]``. Roots with different signs do not match."""
-    if a.sign != b.sign:
-        return 0, []
-    x, y = a.children, b.children
-    if not x or not y or depth >= DEPTH:
-        return 1, [a, b, []]
-    if len(x) * len(y) > CELLS:
-        n = min(len(x), len(y))
-        inner = [match_trees(u, v, depth + 1) for u, v in zip(x[:n], y[:n])]
-        return 1 + sum(w for w, _ in inner), [a, b, [p for w, p in inner if w]]
-    leaf = [not v.children for v in y]
-    table = [[0] * (len(y) + 1)]
-    picks = []
-    for u in x:
-        above, row, line = table[-1], [0], []
-        for j, v in enumerate(y):
-            if u.sign != v.sign:
-                found = None
-                best = 0
-            elif not u.children or leaf[j]:
-                found = (1, [u, v, []])
-                best = above[j] + 1
-            else:
-                found = match_trees(u, v, depth + 1)
-                best = above[j] + found[0]
-            line.append(found)
-            row.append(max(best, above[j + 1], row[j]))
-        table.append(row)
-        picks.append(line)
-    i, j, pairs = len(x), len(y), []
-    while i and j:
-        found = picks[i - 1][j - 1]
-        if found and table[i][j] == table[i - 1][j - 1] + found[0]:
-            pairs.append(found[1])
-            i, j = i - 1, j - 1
-        elif table[i][j] == table[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + table[-1][-1], [a, b, pairs[::-1]]
+def paths(page: Page, numbers: dict[tuple, int]) -> frozenset[int]:
+    """The kinds of places on a page: the tags and names on the way to a node, without numbers and titles of sections."""
+    at = [0]
+    for node in page.nodes[1:]:
+        if node.tag in ("html", "head", "body", "title"):
+            at.append(at[node.parent.index])
+            continue
+        step = node.tag if node.tag in _TITLED else re.sub(r"(?<=\s)\S*\d\S*|(?<=\.)\S*\d\S*", "", node.sign).strip()
+        at.append(numbers.setdefault((at[node.parent.index], step), len(numbers) + 1))
+    return frozenset(at) - {0}
+
+
+class _Matcher:
+    """The largest order-keeping match of subtrees. It depends on their shapes alone (signs in order), so every
+    pair of shapes is matched once; equal shapes match as they are."""
+
+    def __init__(self, a: Node, b: Node):
+        self._numbers: dict[tuple, int] = {}
+        self._inner: list[tuple[int, ...]] = []
+        self._sign: list[int] = []
+        self._size: list[int] = []
+        self._signs: dict[str, int] = {}
+        self.shape: dict[int, int] = {}
+        self._weights: dict[tuple[int, int], int] = {}
+        self._picks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for root in (a, b):
+            order = [root]
+            for node in order:
+                order += node.children
+            for node in reversed(order):
+                self._add(node)
+
+    def _add(self, node):
+        sign = self._signs.setdefault(node.sign, len(self._signs))
+        inner = tuple(self.shape[id(c)] for c in node.children)
+        number = self._numbers.setdefault((sign, inner), len(self._size))
+        if number == len(self._size):
+            self._inner.append(inner)
+            self._sign.append(sign)
+            self._size.append(1 + sum(self._size[c] for c in inner))
+        self.shape[id(node)] = number
+
+    def _known(self, p: int, q: int) -> int | None:
+        """The weight of two shapes, or None if their children must be matched first."""
+        if self._sign[p] != self._sign[q]:
+            return 0
+        if p == q:
+            return self._size[p]
+        if not self._inner[p] or not self._inner[q]:
+            return 1
+        return self._weights.get((p, q))
+
+    def weight(self, p: int, q: int) -> int:
+        todo = [(p, q)]
+        while todo:
+            u, v = todo[-1]
+            if self._known(u, v) is not None:
+                todo.pop()
+                continue
+            x, y = self._ends(u, v)
+            by_sign: dict[int, list[int]] = {}
+            for d in dict.fromkeys(y):
+                if self._inner[d]:
+                    by_sign.setdefault(self._sign[d], []).append(d)
+            open_pairs = [(c, d) for c in dict.fromkeys(x) if self._inner[c]
+                          for d in by_sign.get(self._sign[c], ()) if self._known(c, d) is None]
+            if open_pairs:
+                todo += open_pairs
+                continue
+            todo.pop()
+            self._match(u, v, x, y)
+        return self._known(p, q)
+
+    def _ends(self, u, v):
+        """Children of both without those at the end that are equal; these match each other in a largest match."""
+        x, y = self._inner[u], self._inner[v]
+        n = 0
+        while n < min(len(x), len(y)) and x[-1 - n] == y[-1 - n]:
+            n += 1
+        return x[:len(x) - n], y[:len(y) - n]
+
+    def _match(self, u, v, x, y):
+        """Fills in the weight of two shapes and the places of matched children, in memory of some rows."""
+        kinds, place = np.unique(np.array(y, np.int64), return_inverse=True)
+        kind_signs, kinds = np.array([self._sign[k] for k in kinds.tolist()], np.int64), kinds.tolist()
+        held: dict[int, np.ndarray] = {}
+
+        def weights(c):
+            if c not in held:
+                if len(held) * len(y) > 1 << 20:
+                    held.clear()
+                row = (kind_signs == self._sign[c]).astype(np.int64)
+                if self._inner[c]:
+                    for k in np.flatnonzero(row).tolist():
+                        row[k] = self._known(c, kinds[k])
+                held[c] = row[place]
+            return held[c]
+
+        def below(row, c):
+            w = weights(c)
+            best = np.concatenate(([0], np.maximum(row[1:], np.where(w > 0, row[:-1] + w, 0))))
+            return np.maximum.accumulate(best)
+
+        n, m = len(x), len(y)
+        step = isqrt(n) + 1
+        row = np.zeros(m + 1, np.int64)
+        marks = [row]
+        for i, c in enumerate(x, 1):
+            row = below(row, c)
+            if i % step == 0:
+                marks.append(row)
+        tail = len(self._inner[u]) - n
+        self._weights[u, v] = 1 + int(row[-1]) + sum(self._size[c] for c in self._inner[u][n:])
+        pairs = [(n + k, m + k) for k in range(tail - 1, -1, -1)]
+        i, j = n, m
+        while i and j:
+            base = (i - 1) // step
+            rows = [marks[base]]
+            for c in x[base * step:i]:
+                rows.append(below(rows[-1], c))
+            while j and i > base * step:
+                now, above, w = rows[i - base * step], rows[i - 1 - base * step], weights(x[i - 1])[j - 1]
+                if w and now[j] == above[j - 1] + w:
+                    pairs.append((i - 1, j - 1))
+                    i, j = i - 1, j - 1
+                elif now[j] == above[j]:
+                    i -= 1
+                else:
+                    j -= 1
+        self._picks[u, v] = pairs[::-1]
+
+    def pairs(self, p: int, q: int) -> list[tuple[int, int]]:
+        """Places of the children that match; the weight of the two shapes is known."""
+        if p == q:
+            return [(i, i) for i in range(len(self._inner[p]))]
+        return self._picks.get((p, q), [])
+
+
+def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Simple tree matching: the size of the largest order-keeping match of two trees, and its pairs of
+    nodes. Roots with different signs do not match. Exact for child lists of any length and any depth."""
+    matcher = _Matcher(a, b)
+    p, q = matcher.shape[id(a)], matcher.shape[id(b)]
+    size, pairs = matcher.weight(p, q), []
+    todo = [(a, b)] if size else []
+    while todo:
+        u, v = todo.pop()
+        pairs.append((u, v))
+        todo += [(u.children[i], v.children[j]) for i, j in matcher.pairs(matcher.shape[id(u)], matcher.shape[id(v)])]
+    return size, pairs
 
 
 def aligned(a: Node, b: Node) -> dict[int, int]:
     """Index of a node of ``a`` to the index of the matched node of ``b``."""
-    out, todo = {}, [match_trees(a, b)[1]]
-    while todo:
-        pair = todo.pop()
-        if pair:
-            out[pair[0].index] = pair[1].index
-            todo += pair[2]
-    return out
+    return {u.index: v.index for u, v in match_trees(a, b)[1]}

@@ -1,7 +1,8 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are aligned with a typical page of that host (the one of median size) by simple tree
-matching. Aligned nodes whose text stays the same over the pages are template; nodes whose text
+Pages of one host are dealt to layouts by the places they share. Pages of a layout are aligned with typical
+pages of it (the one of median size, and more until every place that half of the pages have is on one) by simple
+tree matching. Aligned nodes whose text stays the same over the pages are template; nodes whose text
 varies are slots. The article is the element that holds most of the varying text, narrowed or widened to
 ``article`` or ``main`` elements (all siblings that vary). Hosts with few pages have no evidence; there
 ``article`` and ``main`` decide, and an element beside them that holds most of the text stays. Its blocks are the result, but for template nodes and for elements that are something
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corrag.llm.common import read_table
-from corrag.llm.pagetree import Node, Page, aligned
+from corrag.llm.pagetree import Node, Page, aligned, paths
 from corrag.session import staged
 
 #: Pages of a host that one wrapper is induced from, about.
@@ -38,6 +39,8 @@ CONSTANT = 0.9
 MOST_CONSTANT = 0.3
 #: Share of the varying text that the article's element holds.
 FOCUS = 0.6
+#: Share of places that pages of one layout have in common, at least more than this.
+LAYOUT = 0.5
 _WHOLE = ("", "html", "body")
 
 
@@ -78,34 +81,76 @@ def _focus(page: Page, weight: dict[int, float]) -> Node:
         now = max(inner, key=lambda c: mass[c.index])
 
 
-class Wrapper:
-    """What the pages of one host have in common."""
+def _shared(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / (len(a | b) or 1)
+
+
+def _texts(page: Page) -> tuple[str, ...]:
+    return tuple(t for _, t in page.blocks)
+
+
+def layouts(pages: list[Page]) -> list[tuple[list[Page], list[frozenset]]]:
+    """The pages by layout, each with the places on it. Layouts of too few pages go to the nearest large one."""
+    numbers: dict[tuple, int] = {}
+    by_places: dict[frozenset, list[Page]] = {}
+    for page in pages:
+        by_places.setdefault(paths(page, numbers), []).append(page)
+    groups: dict[frozenset, list[frozenset]] = {}
+    for places in sorted(by_places, key=lambda x: (-len(by_places[x]), -len(x), sorted(x))):
+        near = max(groups, key=lambda x: _shared(x, places), default=None)
+        if near is None or _shared(near, places) <= LAYOUT and near != places:
+            groups[places] = [places]
+        else:
+            groups[near].append(places)
+    large = [x for x, inner in groups.items() if len({_texts(p) for y in inner for p in by_places[y]}) >= MIN_PAGES]
+    large = large or list(groups)[:1]
+    for x in [x for x in groups if x not in large]:
+        groups[max(large, key=lambda y: _shared(x, y))] += groups.pop(x)
+    return [([p for x in inner for p in by_places[x]], [x for x in inner for _ in by_places[x]]) for inner in groups.values()]
 
-    def __init__(self, pages: list[Page]):
-        different = list({tuple(t for _, t in p.blocks): p for p in pages}.values())
-        by_size = sorted(different, key=lambda p: (len(p.nodes), sum(len(t) for _, t in p.blocks), [t for _, t in p.blocks]))
-        self.typical = by_size[len(by_size) // 2]
-        self.alignments = {id(p): aligned(p.nodes[0], self.typical.nodes[0]) for p in different}
+
+class Wrapper:
+    """What the pages of one layout have in common."""
+
+    def __init__(self, pages: list[Page], places: list[frozenset]):
+        known = {id(p): x for p, x in zip(pages, places)}
+        different = list({_texts(p): p for p in pages}.values())
+        by_size = sorted(different, key=lambda p: (len(p.nodes), sum(len(t) for _, t in p.blocks), _texts(p)))
+        self.typical = [by_size[len(by_size) // 2]]
+        on = Counter(place for p in different for place in known[id(p)])
+        missing = {x for x, n in on.items() if 2 * n >= len(different)} - known[id(self.typical[0])]
+        while missing:
+            self.typical.append(max(by_size, key=lambda p: len(missing & known[id(p)])))
+            missing -= known[id(self.typical[-1])]
+        self.evidence = len(different) >= MIN_PAGES
+        self.alignments = {id(p): self._align(p) for p in different}
+        self.templates: list[dict[int, str]] = []
+        for k, typical in enumerate(self.typical):
+            template, varying = self._learn(k, typical, different)
+            self.templates.append(template)
+            if k == 0:
+                self.focus = _focus(typical, varying).index
+
+    def _align(self, page: Page) -> list[dict[int, int]]:
+        return [aligned(page.nodes[0], typical.nodes[0]) for typical in self.typical]
+
+    def _learn(self, k: int, typical: Page, different: list[Page]) -> tuple[dict[int, str], dict[int, float]]:
+        """Template texts and weights of varying nodes of one typical page."""
         seen, texts = Counter(), {}
         for page in different:
-            for own, index in self.alignments[id(page)].items():
+            for own, index in self.alignments[id(page)][k].items():
                 if page.nodes[own].text:
                     seen[index] += 1
                     texts.setdefault(index, Counter())["\n".join(page.nodes[own].text)] += 1
-        self.template: dict[int, str] = {}
+        template: dict[int, str] = {}
         varying: dict[int, float] = {}
         for index, n in seen.items():
             text, same = texts[index].most_common(1)[0]
             if n >= MIN_PAGES and n >= len(different) / 2 and same >= CONSTANT * n:
-                self.template[index] = text
-            elif not self.typical.nodes[index].dropped and not self.typical.nodes[index].named:
-                varying[index] = sum(len(t) * k for t, k in texts[index].items()) / n
-        self.evidence = len(different) >= MIN_PAGES
-        self.focus = _focus(self.typical, varying).index
-
-    def alignment(self, page: Page) -> dict[int, int]:
-        found = self.alignments.get(id(page))
-        return aligned(page.nodes[0], self.typical.nodes[0]) if found is None else found
+                template[index] = text
+            elif not typical.nodes[index].dropped and not typical.nodes[index].named:
+                varying[index] = sum(len(t) * c for t, c in texts[index].items()) / n
+        return template, varying
 
     def _roots(self, page: Page, alignment: dict[int, int], constant: set[int]) -> list[Node]:
         """The elements whose text is the article: where the text varies, narrowed to ``article`` or ``main``."""
@@ -128,9 +173,10 @@ class Wrapper:
         return [root] if self.evidence else [root, *articles]
 
     def text(self, page: Page) -> str:
-        alignment = self.alignment(page)
-        constant = {own for own, index in alignment.items() if self.template.get(index, "") == "\n".join(page.nodes[own].text) != ""}
-        roots = self._roots(page, alignment, constant)
+        alignments = self.alignments.get(id(page)) or self._align(page)
+        constant = {own for alignment, template in zip(alignments, self.templates) for own, index in alignment.items()
+                    if template.get(index, "") == "\n".join(page.nodes[own].text) != ""}
+        roots = self._roots(page, alignments[0], constant)
         whole = roots[0].tag in _WHOLE  # no element of its own: names are all there is to go by
         inside = {n.index for n in roots}
         for node in page.nodes[1:]:
@@ -147,9 +193,11 @@ class Wrapper:
 def extract_host(htmls: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     pages = {h: Page(h) for h in htmls}
-    wrapper = Wrapper(list(pages.values()))
-    texts = {h: wrapper.text(p) for h, p in pages.items()}
-    return [texts[h] for h in htmls]
+    texts = {}
+    for inner, places in layouts(list(pages.values())):
+        wrapper = Wrapper(inner, places)
+        texts.update((id(p), wrapper.text(p)) for p in inner)
+    return [texts[id(pages[h])] for h in htmls]
 
 
 def _extract(table: pa.Table) -> pa.Table:

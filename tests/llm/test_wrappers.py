@@ -89,3 +89,57 @@ def test_sibling_articles_and_a_body_beside_a_teaser():
     want = ["Body {i}\n\n".format(i=i) + "long text " * 40 + str(i) for i in range(12)]
     assert extract_host([page(i, body.format(i=i), tag=None) for i in range(12)]) == want
     assert want[0] in extract_host([page(0, body.format(i=0), tag=None)])[0]
+
+
+def test_long_lists_and_deep_trees_are_matched_exactly():
+    long = Page("<ul>" + "<li>a</li><p>b</p>" * 300 + "<h2>new</h2>" + "<li>a</li><p>b</p>" * 300 + "</ul>").nodes[0]
+    other = Page("<ul>" + "<li>a</li><p>b</p>" * 600 + "</ul>").nodes[0]
+    assert match_trees(long, other)[0] == 1202
+    deep = [Page("<div>" * 3000 + f"{x}<p>leaf</p>").nodes[0] for x in ("", "<h2>x</h2>")]
+    assert match_trees(*deep)[0] == 3002 and len(aligned(*deep)) == 3002
+
+
+def test_matching_equals_the_plain_recursion():
+    import random
+
+    def plain(a, b):
+        if a.sign != b.sign:
+            return 0
+        table = [[0] * (len(b.children) + 1)]
+        for u in a.children:
+            row = [0]
+            for j, v in enumerate(b.children):
+                w = plain(u, v)
+                row.append(max(table[-1][j] + w if w else 0, table[-1][j + 1], row[j]))
+            table.append(row)
+        return 1 + table[-1][-1]
+
+    rng = random.Random(3)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "ul", "section"], k=rng.randint(0, 4)))
+
+    for _ in range(200):
+        a, b = (Page(some(3)).nodes[0] for _ in range(2))
+        size, pairs = match_trees(a, b)
+        assert size == plain(a, b) == len(pairs) and all(u.sign == v.sign for u, v in pairs)
+        assert all((u.index < x.index) == (v.index < y.index) for u, v in pairs for x, y in pairs if u is not x)
+
+
+def test_constants_of_a_second_layout_and_of_places_missing_on_the_median_page():
+    def one(i, notice=True):
+        lead = "<aside></aside><div class='lead'><blockquote>Please read our terms</blockquote></div>" if notice else ""
+        return f"<body><div class='a'>{lead}<p>First {i} {'word ' * (20 + i % 7)}</p></div></body>"
+
+    def two(i):
+        return (f"<body><table class='t'><tr><td><div class='b'><h3>Constant head</h3><p>Second {i} {'word ' * (20 + i)}</p>"
+                "<h4>Constant end</h4></div></td></tr></table></body>")
+
+    def text(start, n):
+        return f"{start} {'word ' * n}".strip()
+
+    pages = [one(i) for i in range(30)] + [two(i) for i in range(10)]
+    assert extract_host(pages) == [text(f"First {i}", 20 + i % 7) for i in range(30)] + [text(f"Second {i}", 20 + i) for i in range(10)]
+    # The larger half of the pages lacks some nodes, so the median page does.
+    mixed = [one(i, i % 2 == 0).replace("<p>First", "<p>x</p>" * (0 if i % 2 == 0 else 5) + "<p>First") for i in range(31)]
+    assert not any("terms" in t for t in extract_host(mixed))
