@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrag.llm import langid, mixing, ngram_join, sentencepieces, substring
-from corrag.session import new_shared_path
+from corrag.session import new_shared_path, staged
 
 #: Least posterior of the best language.
 LANGUAGE_SCORE = 0.5
@@ -48,14 +48,16 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights (10): documents of low quality and toxic ones are thinned out to their
-    share; a document that is most likely clean stays at least once."""
+    share; a document that is most likely clean stays at least once. Rows are told apart by a number of
+    their own: ids may be null or repeat."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labelled = labels.select("doc_id", mixing.label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    mixed = mixing.mix_documents(docs.select("doc_id", "text"), labelled, MIXTURE, anchor=CLEAN)
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    mixed = mixing.mix_documents(rows.select("_row", "doc_id", "text"), labelled, MIXTURE, anchor=CLEAN, row_col="_row")
     clean = F.get("posterior", F.lit(sorted(MIXTURE).index(CLEAN))) >= 0.5
     times = F.when(clean, F.greatest("copies", F.lit(1))).otherwise(F.col("copies"))
-    taken = mixed.select("doc_id", times.alias("_times")).filter("_times > 0").dropDuplicates(["doc_id"])
-    return (docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    taken = mixed.select("_row", times.alias("_times")).filter("_times > 0")
+    return (rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
             .select(docs.columns))
 
 

@@ -147,16 +147,17 @@ def label_domain(quality, toxic):
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, total_tokens: float | None = None,
-                  anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, posterior, rate, copies.
+                  anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: id, n_tokens, posterior, rate, copies, and ``row_col`` if given.
 
     ``labelled`` has the id and ``domain``. The mixture has ``total_tokens``, by default as many as the
     corpus; with ``anchor`` instead that many that this domain keeps its natural total. ``copies`` is
-    the rate rounded up or down by a hash of the id, so that its mean is the rate.
+    the rate rounded up or down by a hash of the id, so that its mean is the rate; where the id is null, of
+    ``row_col``, a number of the row.
     """
     domains = sorted(targets)
     known = labelled.filter(F.col("domain").isin(domains)).select(F.col(id_col).alias("_id"), "domain")
-    slim = staged(with_features(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), text_col).drop(text_col), "features")
+    slim = staged(with_features(docs.select(F.col(id_col).alias("_id"), F.col(text_col), *([row_col] if row_col else [])), text_col).drop(text_col), "features")
     bases, weights = fit_domains(slim.join(known.hint("merge"), "_id"), domains)
     soft = staged(posteriors(slim, bases, weights), "posteriors")
     natural = soft.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), *(
@@ -167,7 +168,8 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float
     if anchor is not None:
         whole = natural[1 + domains.index(anchor)] * weight / targets[anchor]
     rated = fit_rates(soft, [whole * targets[d] / weight for d in domains])
-    chance = F.pmod(F.xxhash64(F.col("_id"), F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
+    drawn = F.coalesce(F.col("_id").cast("long"), F.col(row_col)) if row_col else F.col("_id")
+    chance = F.pmod(F.xxhash64(drawn, F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("long")).withColumnRenamed("_id", id_col)
 
 

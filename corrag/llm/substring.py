@@ -16,8 +16,8 @@ starts at two places or more of the whole table.
 4. The reports go back to the documents, which lose the covered words.
 
 Defined results: null text has no words; texts shorter than a window lose nothing. Equal texts of a
-window's length or more lose every word, and repeated rows count as copies. Rows are named by their
-id, so ids must be unique. Empty tables give no rows. Texts are read whole. Extra columns are not
+window's length or more lose every word, and repeated rows count as copies. Rows are named by a number of
+their own, so ids may be null or repeat; every row comes out once. Empty tables give no rows. Texts are read whole. Extra columns are not
 touched by ``remove_repeats`` and left out by ``repeat_digest``.
 """
 
@@ -76,7 +76,7 @@ def _as_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-_DESCRIBED = "id long, n_words long, sha256 string, pieces array<struct<anchor:long,piece:long,at:int,n:int>>"
+_DESCRIBED = "id long, name long, n_words long, sha256 string, pieces array<struct<anchor:long,piece:long,at:int,n:int>>"
 
 
 def _describe(batches):
@@ -90,10 +90,10 @@ def _describe(batches):
                 [pa.array(anchor.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(at, pa.int32()), pa.array(n, pa.int32())],
                 names=["anchor", "piece", "at", "n"])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(counts, pa.int64()),
+                [ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(counts, pa.int64()),
                  pa.array([hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts[a:b]]),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)],
-                names=["id", "n_words", "sha256", "pieces"])
+                names=["id", "name", "n_words", "sha256", "pieces"])
 
 
 def _combined(rows: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def _search(batches):
 
 
 def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``texts`` is id, text. Returns (described documents, id with its repeated window runs)."""
+    """``texts`` is id (a unique number), text, name. Returns (described documents, id with its repeated window runs)."""
     described = staged(texts.mapInArrow(_describe, _DESCRIBED), "pieces")
     n_pieces = described.agg(F.coalesce(F.sum(F.size("pieces")), F.lit(0))).first()[0]
     buckets = max(8, 1 << int(np.ceil(np.log2(n_pieces / BUCKET_ROWS + 1))))
@@ -264,6 +264,11 @@ def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return described, places.groupBy("id").agg(F.collect_list(F.struct("at", "mask")).alias("runs"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` written once with a number each, so that the numbers stay the same however often they are read."""
+    return staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def covered_words(n_words: int, runs) -> np.ndarray:
     """Which words a repeated window covers."""
     steps = np.zeros(n_words + 1, np.int64)
@@ -293,11 +298,12 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 [batch.column(0), pa.array([n for _, n in rows], pa.int64()),
                  pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in rows])], names=["id", "n_removed", "kept"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = _numbered(docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("text")))
+    texts = rows.select(F.col("_row").alias("id"), "text", "name")
     described, runs = find_repeats(texts)
-    touched = runs.join(texts, "id").select("id", "text", "runs").mapInArrow(digest, "id long, n_removed long, kept string")
-    return described.select("id", "n_words", "sha256").join(touched, "id", "left").select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+    touched = runs.join(texts.drop("name"), "id").select("id", "text", "runs").mapInArrow(digest, "id long, n_removed long, kept string")
+    return described.drop("pieces").join(touched, "id", "left").select(
+        F.col("name").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept", "sha256").alias("kept_sha256"))
 
 
@@ -309,11 +315,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             t if t is None or not r else b" ".join(_kept(t, r)[0]).decode("utf-8", "surrogatepass")
             for t, r in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
 
-    _, runs = find_repeats(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    runs = runs.select(F.col("id").alias("_id"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, F.col(id_col) == F.col("_id"), "left")
+    rows = _numbered(docs)
+    _, runs = find_repeats(rows.select(F.col("_row").alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("name")))
+    joined = rows.join(runs.select(F.col("id").alias("_row"), F.col("runs").alias("_runs")), "_row", "left")
     return joined.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(
-        kept(F.col(text_col), F.col("_runs")))).drop("_id", "_runs")
+        kept(F.col(text_col), F.col("_runs")))).drop("_row", "_runs")
 
 
 def query_substring(spark, sf_dir):

@@ -70,3 +70,14 @@ def test_empty_tables(spark, documents, table_folder):
 def test_one_query_per_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES)
     assert numbers == list(range(1, 11)) and set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_rows_with_null_and_repeated_ids_stay(spark, documents, prose, table_folder):
+    texts = [prose(40 + i, i) for i in range(30)]
+    docs = documents(texts, ids=[None if i % 5 == 0 else 7 if i % 5 == 1 else i for i in range(30)])
+    path = table_folder(labels=spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int"))
+    stages = dict(corpus_pipeline.STAGES)
+    want = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+    for name in ("repeats", "mixing"):
+        rows = stages[name](spark, docs, path)
+        assert rows.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in rows.collect()) == want, name

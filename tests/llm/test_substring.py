@@ -79,3 +79,14 @@ def test_index_counts_like_a_scan():
             for i in range(len(s) - window + 1):
                 want[a + i] = seen[tuple(s[i:i + window])] >= 2
         assert (repeated_windows(index, symbols, starts, ends, window, 2) == want).all()
+
+
+def test_null_and_repeated_ids(spark, documents, prose):
+    passage = prose(60, 5)
+    texts = [f"one {passage}", f"{passage} two", prose(50, 6), f"three {passage} four", prose(40, 7), prose(40, 7), None]
+    ids = [None, 4, None, 4, 4, 4, None]
+    want = brute(dict(enumerate(texts)))
+    found = [(r.doc_id, (r.n_words, r.n_removed, r.kept_sha256)) for r in substring.repeat_digest(documents(texts, ids=ids)).collect()]
+    assert sorted(found, key=repr) == sorted(((i, want[k]) for k, i in enumerate(ids)), key=repr)
+    kept = [(r.doc_id, r.text) for r in substring.remove_repeats(documents(texts, ids=ids)).collect()]
+    assert sorted(kept, key=repr) == sorted(zip(ids, ["one", "two", texts[2], "three four", "", "", None]), key=repr)
