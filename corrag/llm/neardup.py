@@ -1,10 +1,11 @@
 """Embedding near-duplicates: cross-polytope hashing after fast Hadamard rotations.
 
-1. Equal vectors form one class. Every class gets, in each of ``TABLES`` tables, a bucket from ``k``
+1. Equal vectors form one class. Every class gets, in each of some tables, a bucket from ``k``
    cross-polytopes: the vector is rotated by three rounds of random signs and a fast Hadamard
    transform, and the largest coordinate with its sign is the hash. ``k`` grows with the logarithm of
    the number of classes, so that buckets keep their size. Multiprobe adds, per polytope, the bucket
-   with the second-largest coordinate in its place.
+   with the second-largest coordinate in its place. There are ``TABLES`` tables, and more where ``k`` and the
+   dimension ask for it, so that at most ``MISS`` of the pairs at cosine ``least`` are expected to meet nowhere.
 2. Classes are compared in the buckets where they meet and one of them is at home. Buckets with one
    class send no vector. A large bucket is cut into chunks and the pairs of chunks go to different
    tasks. A pair counts in the first bucket in which it meets only.
@@ -26,7 +27,10 @@ from corrag.llm.common import mix, read_table
 from corrag.llm.components import components
 from corrag.session import staged
 
+#: Least number of tables.
 TABLES = 4
+#: Share of pairs at the threshold that may meet in no table.
+MISS = 0.002
 #: Classes that a bucket holds at home, about.
 BUCKET_ROWS = 512
 #: Classes of a chunk of a large bucket, about.
@@ -72,6 +76,31 @@ def bucket_keys(vectors: np.ndarray, k: int, tables: int = TABLES) -> np.ndarray
     return np.stack(keys, axis=1).view(np.int64)
 
 
+def tables_needed(k: int, dimensions: int, least: float) -> int:
+    """Tables after which pairs at cosine ``least`` are missed at a rate of ``MISS`` or less.
+
+    A pair meets in a table if all polytopes agree, or all but one whose probe agrees; how often one does is
+    drawn with fixed seeds, less two standard errors.
+    """
+    size = 1 << max(0, int(dimensions - 1).bit_length())
+    if size == 1 or not -1 < least < 1:
+        return TABLES
+    rng, left, agree, probed, drawn = np.random.default_rng(_SEED), 8192 if size <= 4096 else 512, 0, 0, 0
+    while left > 0:
+        n = min(left, max(1, (1 << 21) // size))
+        x, noise = rng.normal(size=(2, n, size))
+        y = least * x + np.sqrt(1 - least * least) * noise
+        (a, a2), (b, b2) = (np.split(2 * at + (np.take_along_axis(m, at, axis=1) < 0), 2, axis=1) for m, at in (
+            (m, np.argpartition(-np.abs(m), [0, 1] if size > 2 else 0, axis=1)[:, :2]) for m in (x, y)))
+        agree += int((a == b).sum())
+        probed += int(((a != b) & ((a == b2) | (a2 == b))).sum())
+        drawn, left = drawn + n, left - n
+    p, q = agree / drawn, probed / drawn
+    p = max(0.01, p - 2 * np.sqrt(p * (1 - p) / drawn))
+    meets = p ** k + k * p ** (k - 1) * q
+    return TABLES if meets >= 1 else max(TABLES, int(np.ceil(np.log(MISS) / np.log1p(-meets))))
+
+
 def _matrices(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     by_length: dict[int, list[int]] = {}
     for i, r in enumerate(rows):
@@ -79,14 +108,14 @@ def _matrices(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (np.array(at), np.array([rows[i] for i in at], np.float64)) for d, at in by_length.items()}
 
 
-def _signed(k: int):
+def _signed(k: int, tables: int):
     def run(batches):
         for batch in batches:
             vectors = batch.column(1).to_pylist()
-            keys = np.empty((len(vectors), TABLES * (k + 1)), np.int64)
+            keys = np.empty((len(vectors), tables * (k + 1)), np.int64)
             for at, matrix in _matrices(vectors).values():
                 # The scale does not change a bucket; it keeps huge and tiny vectors finite.
-                keys[at] = bucket_keys(matrix / np.abs(matrix).max(axis=1, keepdims=True), k)
+                keys[at] = bucket_keys(matrix / np.abs(matrix).max(axis=1, keepdims=True), k, tables)
             ends = np.arange(len(vectors) + 1) * keys.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))], names=["rep", "keys"])
@@ -97,7 +126,7 @@ def _signed(k: int):
 def _first_meeting(bucket: int, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     """Whether ``bucket`` is the first in which the classes with these keys meet, pair by pair."""
     done, here = np.zeros(len(a), bool), np.zeros(len(a), bool)
-    for table in range(TABLES):
+    for table in range(a.shape[1] // (k + 1)):
         x, y = (m[:, table * (k + 1):(table + 1) * (k + 1)] for m in (a, b))
         at_x, at_y = (y == x[:, :1]).any(axis=1), (x == y[:, :1]).any(axis=1)
         where = np.where(at_x & at_y, np.minimum(x[:, 0], y[:, 0]), np.where(at_x, x[:, 0], y[:, 0]))
@@ -184,9 +213,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
             & F.forall("v", lambda x: F.coalesce((x < inf) & (x > -inf), F.lit(False))) & F.exists("v", lambda x: x != 0))
     valid = rows.filter(F.coalesce(good, F.lit(False)))
     classes = staged(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "vectors")
-    n = classes.count()
+    n, dimensions = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     k = max(1, round(np.log(max(n, 1) / BUCKET_ROWS) / np.log(128)))
-    signed = staged(classes.select("rep", "v").mapInArrow(_signed(k), "rep long, keys array<long>"), "buckets")
+    signed = staged(classes.select("rep", "v").mapInArrow(_signed(k, tables_needed(k, dimensions, least)), "rep long, keys array<long>"), "buckets")
 
     light = signed.select("rep", F.explode(F.array_distinct("keys")).alias("bucket"))
     sizes = light.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")

@@ -62,3 +62,16 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(neardup.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(neardup.hadamard(neardup.hadamard(x)), x)
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_links_at_the_threshold_are_found_at_every_k(spark, monkeypatch, k):
+    rng, vectors = np.random.default_rng(k), []
+    for _ in range(300):
+        x, y = rng.normal(size=(2, 64))
+        y -= x * (x @ y) / (x @ x)
+        y *= np.linalg.norm(x) / np.linalg.norm(y)
+        vectors += [x.tolist(), (0.951 * x + np.sqrt(1 - 0.951 ** 2) * y).tolist()]
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", len(vectors) / 128 ** k)  # the size of table that needs k
+    got, want = run(spark, vectors), brute(vectors, 0.95)
+    assert sum(want[0]) == 600 and 594 <= sum(got[0]) <= 600
