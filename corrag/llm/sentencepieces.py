@@ -128,7 +128,7 @@ class Codec:
         return self._reference.encode(texts, num_threads=1)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces by both libraries; plain words go many to a text."""
+        """Ids of pieces by the backend, and by the library where the two differ; plain words go many to a text."""
         plain = [self._separable and p != "" and " " not in p for p in pieces]
         if all(plain):
             ours, counts = encode_words(pieces, self._ours, self._starts, False, np.int32)
@@ -138,8 +138,11 @@ class Codec:
             theirs, expected = flatten(self._theirs(pieces), np.int32)
         if not (np.array_equal(counts, expected) and np.array_equal(ours, theirs)):
             a, b = (np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((ours, counts), (theirs, expected)))
-            self.differing.update(p for p, x, y in zip(pieces, a, b) if not np.array_equal(x, y))
-        return theirs, expected
+            wrong = [not np.array_equal(x, y) for x, y in zip(a, b)]
+            self.differing.update(p for p, w in zip(pieces, wrong) if w)
+            mended = [y if w else x for x, y, w in zip(a, b, wrong)]
+            return np.concatenate(mended), np.array(list(map(len, mended)), counts.dtype)
+        return ours, counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """All ids, the number per text, and whether each text has parity."""

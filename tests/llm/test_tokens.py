@@ -68,3 +68,21 @@ def test_sentencepiece_ids_parity_and_decoding(spark, documents, texts):
 
 def test_sentencepiece_of_an_empty_table(spark, documents):
     assert sentencepieces.encode_documents(documents([]), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_ids_come_from_the_backend_and_from_the_library_on_a_difference(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from corrag.llm import sentencepieces
+
+    codec, made = sentencepieces.Codec(public_tokenizers.path("piece_bpe_32k.model")), []
+    monkeypatch.setattr(sentencepieces, "encode_words", lambda *a: made.append(encode_words(*a)) or made[-1])
+    encode_words = __import__("corrag.llm.wordcache", fromlist=["encode_words"]).encode_words
+    ids, _ = codec._encode(["some", "words"])
+    assert ids is made[0][0] and not codec.differing  # the first call is the backend's
+    right, counts = codec._encode(["some  x", "words"])
+    ours = codec._ours
+    monkeypatch.setattr(codec, "_ours", lambda texts: [[1] if t == "words" else i for t, i in zip(texts, ours(texts))])
+    ids, n = codec._encode(["some  x", "words"])
+    assert np.array_equal(ids, right) and np.array_equal(n, counts) and codec.differing == {"words"}
