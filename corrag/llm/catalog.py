@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import langid, mixing, neardup, ngram_join, oracles, quality, sentencepieces, sharding, substring, tokenfiles, wrappers
+from corrag.llm import langid, mixing, neardup, ngram_join, oracles, quality, sentencepieces, sharding, substring, tokenfiles, toxicity, wrappers
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query_ngram_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_files": tokenfiles.query_token_files,
     "op9_substring": substring.query_substring,
     "op10_mixing": mixing.query_mixing,
+    "op11_toxicity": toxicity.query_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": oracles.NGRAM_JOIN,
