@@ -54,3 +54,31 @@ SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
        (SELECT count(*) FROM gone WHERE gone.doc_id = w.doc_id) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS MATERIALIZED (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+spans AS (
+  SELECT lang, k, words[i:i + k - 1] AS phrase
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 5) t(k))),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(phrase, ' ') AS phrase, any_value(phrase) AS words, count(*) AS n FROM spans GROUP BY ALL
+      HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, phrase, words, n AS a FROM f WHERE k > 1),
+covered AS (
+  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, words, a, k, m, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 4) t(m) WHERE m < k) GROUP BY ALL),
+cuts AS MATERIALIZED (
+  SELECT c.lang, c.phrase, c.a, cut, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a) // (x.n + y.n) AS score
+  FROM candidates c, range(1, 4) t(cut)
+  JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(c.words[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(c.words[cut + 1:], ' ')
+  WHERE cut < c.k),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT l.* FROM least l LEFT JOIN covered c USING (lang, phrase) WHERE c.longer IS NULL OR 100 * c.longer < 80 * l.a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
