@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +45,11 @@ def discard(*frames: DataFrame) -> None:
     """Deletes the files of staged tables that nothing reads any more."""
     for frame in frames:
         spark = frame.sparkSession
-        for folder in {re.sub("/[^/]+=[^/]*$", "", file.rpartition("/")[0]) for file in frame.inputFiles()}:
+        for folder in {file.rpartition("/")[0] for file in frame.inputFiles()}:
             if folder.rpartition("/")[0].endswith("/corrag"):  # where staged() writes
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete_folder(spark, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

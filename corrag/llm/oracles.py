@@ -56,29 +56,38 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
 COLLOCATIONS = r"""
-WITH pieces AS MATERIALIZED (
-  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
-spans AS (
-  SELECT lang, k, words[i:i + k - 1] AS phrase
-  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 5) t(k))),
-f AS MATERIALIZED (SELECT lang, k, array_to_string(phrase, ' ') AS phrase, any_value(phrase) AS words, count(*) AS n FROM spans GROUP BY ALL
-      HAVING count(*) >= 30),
-totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
-candidates AS MATERIALIZED (SELECT lang, k, phrase, words, n AS a FROM f WHERE k > 1),
-covered AS (
-  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer
-  FROM (SELECT lang, words, a, k, m, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 4) t(m) WHERE m < k) GROUP BY ALL),
-cuts AS MATERIALIZED (
-  SELECT c.lang, c.phrase, c.a, cut, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a) // (x.n + y.n) AS score
-  FROM candidates c, range(1, 4) t(cut)
-  JOIN f x ON x.lang = c.lang AND x.k = cut AND x.phrase = array_to_string(c.words[1:cut], ' ')
-  JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.phrase = array_to_string(c.words[cut + 1:], ' ')
-  WHERE cut < c.k),
-least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-kept AS (SELECT l.* FROM least l LEFT JOIN covered c USING (lang, phrase) WHERE c.longer IS NULL OR 100 * c.longer < 80 * l.a)
-SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang)
-WHERE rank <= 2000
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, words
+  FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+        FROM (SELECT coalesce(lang, 'und') AS lang,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents))),
+w AS MATERIALIZED (
+  SELECT lang, word AS w1, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4
+  FROM (SELECT lang, piece, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM pieces) WINDOW p AS (PARTITION BY piece ORDER BY i)),
+totals AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 30),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS n FROM w WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS n FROM w WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+f4 AS MATERIALIZED (SELECT lang, w1, w2, w3, w4, count(*) AS n FROM w WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+f AS MATERIALIZED (
+  SELECT lang, w1 AS phrase, n FROM f1 UNION ALL SELECT lang, w1 || ' ' || w2, n FROM f2
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, n FROM f3 UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, n FROM f4),
+cuts AS (
+  SELECT lang, w1 || ' ' || w2 AS phrase, n AS a, 1 AS cut, w1 AS x, w2 AS y FROM f2
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, n, 1, w1, w2 || ' ' || w3 FROM f3
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, n, 2, w1 || ' ' || w2, w3 FROM f3
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, n, 1, w1, w2 || ' ' || w3 || ' ' || w4 FROM f4
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, n, 2, w1 || ' ' || w2, w3 || ' ' || w4 FROM f4
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, n, 3, w1 || ' ' || w2 || ' ' || w3, w4 FROM f4),
+scored AS (
+  SELECT c.*, l.n AS l, r.n AS r, (2000000::HUGEINT * a) // (l.n + r.n) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, unnest([w1 || ' ' || w2, w2 || ' ' || w3]) AS phrase, n FROM f3
+  UNION ALL SELECT lang, unnest([w1 || ' ' || w2, w2 || ' ' || w3, w3 || ' ' || w4, w1 || ' ' || w2 || ' ' || w3, w2 || ' ' || w3 || ' ' || w4]), n FROM f4),
+longer AS (SELECT lang, phrase, max(n) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT c.* FROM least c LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
