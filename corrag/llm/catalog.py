@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL counterparts."""
 
-from corrag.llm import collocations, langid, mixing, neardup, ngram_join, oracles, quality, sentencepieces, sharding, substring, tokenfiles, toxicity, wrappers
+from corrag.llm import alignment, collocations, langid, mixing, neardup, ngram_join, oracles, quality, sentencepieces, sharding, substring, tokenfiles, toxicity, wrappers
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query_ngram_join,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_substring": substring.query_substring,
     "op10_mixing": mixing.query_mixing,
     "op11_toxicity": toxicity.query_toxicity,
+    "op12_alignment": alignment.query_alignment,
     "op13_collocations": collocations.query_collocations,
 }
 ORACLES: dict[str, str] = {
