@@ -46,16 +46,17 @@ JOINED = 64
 #: Entries of pairs in a bucket, about, and entries that a task adds up at once.
 BUCKET_ROWS, ADDED = 1 << 22, 1 << 21
 _SPACE_CUT = re.compile(r"(?<=\S)(?= )")
+#: White space beside a space, or at an end of the text.
+_RUNS = re.compile(r"\s | \s|^\s|\s$")
 _SPACE = "▁"
 
 
 def text_pieces(text: str) -> list[str]:
     """The text with a space before it, cut in front of spaces: behind a character that is not white space,
     or any single space with something else than white space on its right."""
-    pieces = text.split(" ")
-    if "" in pieces or any(p[0].isspace() or p[-1].isspace() for p in pieces):
+    if _RUNS.search(text) or not text:
         return _SPACE_CUT.split(" " + text)
-    return [" " + p for p in pieces]
+    return [" " + p for p in text.split(" ")]
 
 
 def byte_level_side(path: str) -> Side:
@@ -95,10 +96,10 @@ class Side:
         self.encode, self.spelled = encode, spelled
         self.n_bytes = np.array([len(s) for s in spelled], np.int64)
 
-    def one(self, piece: str, raw: bytes) -> bytes | None:
-        """The ids of a piece as packed 16-bit numbers; None where their bytes differ from it."""
-        ids = self.encode([piece])[0]
-        return np.array(ids, np.uint16).tobytes() if b"".join([self.spelled[i] for i in ids]) == raw else None
+    def each(self, pieces: list[str], raws: list[bytes]) -> list[bytes | None]:
+        """The ids of each piece as packed 16-bit numbers; None where their bytes differ from it."""
+        return [np.array(ids, np.uint16).tobytes() if b"".join([self.spelled[i] for i in ids]) == raw else None
+                for ids, raw in zip(self.encode(pieces), raws)]
 
     def many(self, groups: list[list[str]], raws: list[list[bytes]]) -> list[list[bytes | None]]:
         """The same for groups of plain pieces, each group encoded as one text and cut where its pieces end."""
@@ -111,7 +112,7 @@ class Side:
                 packed, stops = np.array(ids, np.uint16).tobytes(), [0, *(2 * at + 2).tolist()]
                 out.append([packed[a:b] for a, b in zip(stops, stops[1:])])
             else:
-                out.append([self.one(p, r) for p, r in zip(pieces, raw)])
+                out.append(self.each(pieces, raw))
         return out
 
 
@@ -127,17 +128,17 @@ class Encoder:
         self._held = 0
 
     def _learn(self, pieces: list[str]) -> dict:
-        plain = [p for p in pieces if len(p) <= LONG_PIECE and p[1:].split() == [p[1:]]]
+        plain, odd = [], []  # a plain piece may stand behind and before any other one
+        for p in pieces:
+            (plain if 1 < len(p) <= LONG_PIECE and not p[1].isspace() and not p[-1].isspace() else odd).append(p)
         groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
         raws = [[p.encode("utf-8", "surrogatepass") for p in g] for g in groups]
         a, b = (side.many(groups, raws) for side in self.sides)
         found = {p: None if x is None or y is None else (x, y)
                  for g, xs, ys in zip(groups, a, b) for p, x, y in zip(g, xs, ys)}
-        for p in pieces:
-            if p not in found:
-                raw = p.encode("utf-8", "surrogatepass")
-                x, y = (side.one(p, raw) for side in self.sides)
-                found[p] = None if x is None or y is None else (x, y)
+        if odd:
+            raw = [p.encode("utf-8", "surrogatepass") for p in odd]
+            found.update((p, None if x is None or y is None else (x, y)) for p, x, y in zip(odd, *(side.each(odd, raw) for side in self.sides)))
         return found
 
     def ids(self, texts: list[list[str]]) -> tuple[list[bytes], list[bytes]]:
