@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from corrag.catalog import sqltext as sql
 from corrag.catalog import tables
 from corrag.catalog.registry import query
-from corrag.catalog.retrieval import DIM, _EVIDENCE, corpus_of, questions
+from corrag.catalog.retrieval import DIM, _EVIDENCE, corpus_of, questions, stored_impacts
 from corrag.functions.text import tokens
 from corrag.operators.evaluation import (
+    CUTOFF,
     attribute_answers, attribution_averages, build_run, comparison_report, grading_metrics,
-    latency_report, mrr, ndcg_at_k, recall_at_k, regressions, score_bands, score_histogram,
+    latency_report, mrr, ndcg_at_k, recall_at_k, mrr_of_ranks, regressions, score_bands, score_histogram,
     score_sheet)
 from corrag.operators.filters import grade
 from corrag.operators.postings import (
     sparse_encode_documents, sparse_encode_queries, stage_term_counts, term_statistics)
-from corrag.operators.search import sparse_search
+from corrag.operators.impacts import impact_search, ranks_of
 from corrag.plans.evaluate import retrieval_report
 from corrag.session import staged
 from corrag.sources.evalsets import load_eval_dataset_json, load_qrels_json, parse_flags
@@ -96,16 +97,20 @@ def verbatim_qrels_query(spark: SparkSession, sf: str) -> DataFrame:
 named AS (SELECT 'bm25' AS run_name, * FROM sparse), {_metrics("named")}
 SELECT query_id, metric, round(value, 6) AS value FROM values_""")
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Per query metrics of the full, uncut BM25 ranking over documents."""
+    """Per query metrics of the full BM25 ranking over documents: the best five and the ranks of judged
+    documents come from the impact index, so the ranking itself is never made."""
     docs = tables.documents(spark, sf).select(F.col("paper_id").alias("chunk_id"), "paper_id", "text")
     counts = stage_term_counts(docs)
-    terms = sparse_encode_queries(tables.questions(spark, sf), term_statistics(counts), docs.agg(F.count("*")).scalar())
-    run = staged(build_run(sparse_search(terms, sparse_encode_documents(docs, counts=counts), None), "bm25"), "run")
+    terms = staged(sparse_encode_queries(
+        tables.questions(spark, sf), term_statistics(counts), docs.agg(F.count("*")).scalar()), "terms")
+    vectors = staged(sparse_encode_documents(docs, counts=counts), "sparse")
+    index = stored_impacts(spark, vectors, terms)
     qrels = staged(verbatim_qrels(spark, sf), "qrels")
-    parts = [f(qrels, run).withColumn("metric", F.lit(name)) for name, f in
-             (("recall@5", recall_at_k), ("ndcg@5", ndcg_at_k), ("mrr", mrr))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
-        "query_id", "metric", F.round("value", 6).alias("value"))
+    best = staged(build_run(impact_search(terms, index, vectors, CUTOFF), "bm25"), "run")
+    ranks = staged(ranks_of(terms, index, vectors, qrels.filter("relevance > 0")), "ranks")
+    parts = [("recall@5", recall_at_k(qrels, best)), ("ndcg@5", ndcg_at_k(qrels, best)), ("mrr", mrr_of_ranks(qrels, ranks, "bm25"))]
+    named = [values.select("query_id", F.lit(name).alias("metric"), F.round("value", 6).alias("value")) for name, values in parts]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @query("comparison_report", f"""WITH {_QRELS}, {_EVIDENCE},

@@ -9,6 +9,7 @@ from corrag.catalog import sqltext as sql
 from corrag.catalog import tables
 from corrag.catalog.registry import query
 from corrag.operators.embedding import embed, hash_vector
+from corrag.operators.impacts import impact_report, impact_search, open_impacts, write_impacts
 from corrag.operators.postings import (
     postings, sparse_encode_documents, sparse_encode_queries, stage_term_counts, term_statistics)
 from corrag.operators.search import (
@@ -40,15 +41,52 @@ def _bm25_documents(spark: SparkSession, sf: str) -> DataFrame:
 _DOCS = ("papers", "paper_id", "paper_id", "text")
 
 
+def stored_impacts(spark: SparkSession, vectors: DataFrame, terms: DataFrame) -> DataFrame:
+    """The vectors' impact index, written and opened again for these query terms."""
+    path = new_shared_path(spark, "impacts")
+    write_impacts(vectors, path, buckets=16)
+    return open_impacts(spark, path, terms, buckets=16)
+
+
+def _bm25(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _bm25_documents(spark, sf)
+    counts = stage_term_counts(docs)
+    terms = staged(sparse_encode_queries(
+        tables.questions(spark, sf), term_statistics(counts), docs.agg(F.count("*")).scalar()), "terms")
+    vectors = staged(sparse_encode_documents(docs, counts=counts), "sparse")
+    return terms, stored_impacts(spark, vectors, terms), vectors
+
+
 @query("bm25_topk", f"""WITH {sql.PAPERS}, {sql.bm25(*_DOCS, idf=True)}, {sql.ranked("sparse", "top", 10)}
 SELECT query_id, chunk_id, score, rank FROM top""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _bm25_documents(spark, sf)
-    counts = stage_term_counts(docs)
-    terms = sparse_encode_queries(
-        tables.questions(spark, sf), term_statistics(counts), docs.agg(F.count("*")).scalar())
-    return sparse_search(terms, sparse_encode_documents(docs, counts=counts), 10).select(
-        "query_id", "chunk_id", "score", "rank")
+    """The best documents by the stored impact index."""
+    return impact_search(*_bm25(spark, sf), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+# The same postings in blocks by weight, and what a search with a floor has to open.
+_IMPACTS = f"""{sql.bm25(*_DOCS, idf=True)},
+placed AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY weight DESC, chunk_id) AS place FROM postings),
+blocked AS (SELECT *, CASE WHEN place <= 64 THEN 0 WHEN place <= 8192 THEN CAST(ceil(log2(place / 64.0)) AS INTEGER)
+                           ELSE 8 + (place - 8193) // 4096 END AS block FROM placed),
+blocks AS (SELECT term, block, max(weight) AS most, count(*) AS n FROM blocked GROUP BY ALL),
+reach AS (SELECT query_id, term, qw, qw * most AS top FROM query_terms JOIN blocks USING (term) WHERE block = 0),
+heads AS (SELECT query_id, chunk_id, round(sum(qw * weight), 6) AS score
+          FROM query_terms JOIN blocked USING (term) WHERE block = 0 GROUP BY ALL),
+tried AS (SELECT query_id, chunk_id FROM heads QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10),
+floors AS (SELECT query_id, min(score) AS floor FROM tried JOIN sparse USING (query_id, chunk_id) GROUP BY query_id HAVING count(*) = 10),
+ordered AS (SELECT *, sum(top) OVER (PARTITION BY query_id ORDER BY top, term ROWS UNBOUNDED PRECEDING) AS upto,
+                   sum(top) OVER (PARTITION BY query_id) AS total FROM reach),
+cells AS (SELECT query_id, n, floor IS NULL OR (upto >= floor - 2e-6 AND total - top + qw * most >= floor - 2e-6) AS open
+          FROM ordered LEFT JOIN floors USING (query_id) JOIN blocks USING (term))"""
+
+
+@query("bm25_opened", f"""WITH {sql.PAPERS}, {_IMPACTS}
+SELECT query_id, CAST(sum(n) AS BIGINT) AS postings, CAST(coalesce(sum(n) FILTER (WHERE open), 0) AS BIGINT) AS opened,
+       count(*) AS blocks, count(*) FILTER (WHERE open) AS opened_blocks FROM cells GROUP BY query_id""")
+def bm25_opened(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of its postings and blocks each question opens for its ten best documents."""
+    return impact_report(*_bm25(spark, sf), 10)
 
 
 @query("bm25_topk_noidf", f"""WITH {sql.children()}, {sql.bm25(*_PASSAGES, idf=False, avg_len="256")},

@@ -78,6 +78,14 @@ def mrr(qrels: DataFrame, runs: DataFrame) -> DataFrame:
         *keys, F.coalesce(1.0 / (F.col("_ahead") + 1), F.lit(0.0)).alias("value"))
 
 
+def mrr_of_ranks(qrels: DataFrame, ranks: DataFrame, name: str) -> DataFrame:
+    """``mrr`` from the ranks of judged items (``query_id, chunk_id, rank``), without any run."""
+    best = _judged(qrels, ranks).groupBy("query_id").agg(F.min("rank").alias("_rank"))
+    asked = qrels.filter(F.col("relevance") > 0).select("query_id").distinct()
+    return asked.join(best, "query_id", "left").select(
+        F.lit(name).alias("run_name"), "query_id", F.coalesce(1.0 / F.col("_rank"), F.lit(0.0)).alias("value"))
+
+
 def comparison_report(qrels: DataFrame, runs: DataFrame, k: int = CUTOFF) -> DataFrame:
     """``run_name, metric, value`` averaged over all judged queries."""
     parts = [(f"recall@{k}", recall_at_k(qrels, runs, k)), (f"ndcg@{k}", ndcg_at_k(qrels, runs, k)),

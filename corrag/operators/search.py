@@ -16,8 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corrag.functions.vectors import cosine
 from corrag.operators.blockmatch import (
     SCORE_DIGITS, BestPerQuery, matrix_of, score_block, unit_rows)
+from corrag.operators.impacts import impact_search
 from corrag.operators.postings import postings, sparse_encode_queries
 from corrag.operators.topk import top_k
+from corrag.session import staged
 
 SEARCH_LIMIT = 30
 RRF_K = 60
@@ -63,9 +65,11 @@ def dense_search(queries: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIM
 
 
 def _blocks(queries: DataFrame, rows: int) -> list[DataFrame]:
-    """The rows cut into parts of about ``rows`` by a hash of the query, which stays whole."""
-    n = max(1, -(-queries.count() // rows))
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    """The rows cut into parts of about ``rows`` by a hash of the query, which stays whole. They are
+    staged first: a plug-in that embeds queries is called once for each, not once for each part."""
+    held = staged(queries, "queries")
+    n = max(1, -(-held.count() // rows))
+    return [held.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
 
 def _dense_block(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
@@ -216,9 +220,10 @@ def rrf_fuse(ranked: list[DataFrame], k: int = RRF_K, limit: int | None = SEARCH
 def hybrid_search(
     queries: DataFrame, vectors: DataFrame, sparse: DataFrame | None, limit: int = SEARCH_LIMIT,
     use_sparse: bool = True, rrf_k: int = RRF_K, statistics: DataFrame | None = None,
-    n_docs: Column | None = None,
+    n_docs: Column | None = None, impacts: DataFrame | None = None,
 ) -> DataFrame:
-    """Dense and sparse top ``2 * limit`` fused to ``limit``; dense only without sparse.
+    """Dense and sparse top ``2 * limit`` fused to ``limit``; dense only without sparse. With ``impacts``
+    (see ``operators.impacts``) the sparse leg opens only blocks of this index that can matter, and completes scores from ``sparse``.
 
     Queries carry ``query_id, mode, paper_id, user_message, query_vector``. The paper filter
     of deep-dive queries applies before ranking. With ``statistics`` the sparse leg weighs
@@ -229,8 +234,8 @@ def hybrid_search(
         return dense_search(scoped, vectors, limit)
     terms = sparse_encode_queries(scoped, statistics, n_docs).join(
         scoped.select("query_id", "scope"), "query_id")
-    return rrf_fuse([dense_search(scoped, vectors, 2 * limit),
-                     sparse_search(terms, sparse, 2 * limit)], rrf_k, limit)
+    found = sparse_search(terms, sparse, 2 * limit) if impacts is None else impact_search(terms, impacts, sparse, 2 * limit)
+    return rrf_fuse([dense_search(scoped, vectors, 2 * limit), found], rrf_k, limit)
 
 
 # --- Approximate dense search -------------------------------------------------------------
