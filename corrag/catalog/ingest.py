@@ -22,6 +22,7 @@ from corrag.session import new_shared_path, staged
 from corrag.sources.feeds import parse_atom_entries
 from corrag.sources.store import (
     read_report, read_store, upsert_paper_chunks, upsert_store, write_report, write_store)
+from corrag.sources.tablelog import append_run, compact, read_table
 
 
 # --- Tokens and chunks --------------------------------------------------------------------
@@ -356,6 +357,23 @@ def store_upsert_twice(spark: SparkSession, sf: str) -> DataFrame:
     return read_store(spark, path, schemas.CHUNKS).select("chunk_id", "paper_id", "section_name")
 
 
+@query("run_log", f"""WITH {sql.children()}, flagged AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, max(toxic) AS toxic FROM labels GROUP BY ALL)
+SELECT c.chunk_id, c.paper_id, CASE WHEN l.toxic IS NULL THEN 'Body' ELSE 'Again' END AS section_name
+FROM children c LEFT JOIN flagged l USING (paper_id) WHERE l.toxic IS NULL OR l.toxic = 0""")
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Three committed runs over one store: all documents, the labelled ones anew, the toxic ones emptied; the
+    first two are compacted before the third."""
+    path = new_shared_path(spark, "log")
+    rows = staged(tables.children(tables.documents(spark, sf)), "children")
+    labels = tables.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("paper_id"), "toxic")
+    again = rows.withColumn("section_name", F.lit("Again")).join(labels, "paper_id", "left_semi").select(*rows.columns)
+    append_run(spark, path, {"chunks": rows}, rows.select("paper_id"), 16)
+    append_run(spark, path, {"chunks": again}, labels, 16)
+    compact(spark, path, {"chunks": schemas.CHUNKS}, 16)
+    append_run(spark, path, {"chunks": rows.limit(0)}, labels.filter("toxic = 1"), 16)
+    return read_table(spark, path, "chunks", schemas.CHUNKS).select("chunk_id", "paper_id", "section_name")
+
+
 #: Chunks of pages: the window rule of production, and one parent for each paper's (empty) abstract.
 PAGE_CHUNKS = rf"""{_PAGE_TEXT},
 kept AS (
@@ -379,8 +397,8 @@ def page_ingest(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("").alias("abstract"))
     path = new_shared_path(spark, "ingest")
     ingest_to_store(spark, path, papers, pages, root="article", buckets=16)
-    chunks = read_store(spark, f"{path}/chunks", schemas.CHUNKS)
-    vectors = read_store(spark, f"{path}/vectors", schemas.VECTORS)
+    chunks = read_table(spark, path, "chunks", schemas.CHUNKS)
+    vectors = read_table(spark, path, "vectors", schemas.VECTORS)
     return chunks.groupBy("paper_id", "chunk_type").agg(
         F.count("*").alias("n_chunks"), F.sum("token_count").alias("tokens")).join(
         vectors.groupBy("paper_id").agg(F.count("*").alias("n_vectors")), "paper_id", "left")

@@ -11,7 +11,7 @@ from corrag.catalog.ingest import PAGE_CHUNKS
 from corrag.catalog.dialogue import turn_events
 from corrag.catalog.registry import query
 from corrag.session import new_shared_path
-from corrag.sources.store import read_store
+from corrag.sources.tablelog import read_table
 from corrag.streaming.common import append_to, stream_table
 from corrag.streaming.ingest import stream_ingest
 from corrag.streaming.limits import rate_windows, stream_rate_limits
@@ -92,5 +92,5 @@ def stream_ingest_query(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "stream-ingest")
     stream_ingest(pages, path, f"{path}-checkpoint", root="article", buckets=16,
                   available_now=True).awaitTermination()
-    return read_store(spark, f"{path}/chunks", schemas.CHUNKS).groupBy("paper_id", "chunk_type").agg(
+    return read_table(spark, path, "chunks", schemas.CHUNKS).groupBy("paper_id", "chunk_type").agg(
         F.count("*").alias("n_chunks"), F.sum("token_count").alias("tokens"))

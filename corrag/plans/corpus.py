@@ -15,7 +15,11 @@ from corrag.operators.filters import filter_blocks
 from corrag.operators.postings import (
     sparse_encode_documents, stage_term_counts, term_statistics)
 from corrag.session import staged
-from corrag.sources.store import STORE_BUCKETS, read_store
+from corrag.sources.store import STORE_BUCKETS
+from corrag.sources.tablelog import compact, read_commits, read_table
+
+#: The tables of a store, in the order of ``Corpus``.
+TABLES = {"papers": schemas.STORED_PAPERS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "terms": schemas.TERM_COUNTS}
 
 
 @dataclass(frozen=True)
@@ -73,7 +77,11 @@ def open_corpus(spark: SparkSession, store: str, settings: Settings = Settings()
 
     With ``papers`` only these are read, from their own buckets.
     """
-    tables = (read_store(spark, f"{store}/{name}", schema, papers, buckets) for name, schema in (
-        ("papers", schemas.STORED_PAPERS), ("chunks", schemas.CHUNKS), ("vectors", schemas.VECTORS),
-        ("terms", schemas.TERM_COUNTS)))
+    commits = read_commits(spark, store)  # the same for all tables
+    tables = (read_table(spark, store, name, schema, papers, buckets, commits) for name, schema in TABLES.items())
     return Corpus(*tables, settings)
+
+
+def compact_corpus(spark: SparkSession, store: str, buckets: int = STORE_BUCKETS) -> int | None:
+    """Put the runs of a store together, so that readers list few folders and superseded rows go."""
+    return compact(spark, store, TABLES, buckets)

@@ -13,7 +13,8 @@ from corrag.operators.filters import filter_blocks
 from corrag.operators.postings import count_terms
 from corrag.plans.corpus import Settings
 from corrag.session import staged
-from corrag.sources.store import STORE_BUCKETS, papers_to_replace, upsert_store
+from corrag.sources.store import STORE_BUCKETS, papers_to_replace
+from corrag.sources.tablelog import append_run
 
 
 def ingest_blocks(
@@ -43,16 +44,17 @@ def write_run(
 ) -> None:
     """Replace the papers of a run in the four tables of a store: chunks, vectors, terms and papers.
 
-    ``papers`` is written last: a run that broke off before leaves the old status, so it runs again.
+    All four become visible with one commit. The cost follows the run's own rows.
     """
     known = papers.drop("ingestion_status").join(status.select("paper_id", "ingestion_status"), "paper_id")
     known = known.select(*(
         F.col(f.name) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schemas.STORED_PAPERS))
     terms = count_terms(chunks.filter(F.col("chunk_type") == "child"))
-    for name, rows, schema in (("chunks", chunks, schemas.CHUNKS), ("vectors", vectors, schemas.VECTORS),
-                               ("terms", terms, schemas.TERM_COUNTS), ("papers", known, schemas.STORED_PAPERS)):
-        upsert_store(spark, f"{store}/{name}", rows, papers.select("paper_id"), schema, buckets, force=True)
+    rows = {"chunks": (chunks, schemas.CHUNKS), "vectors": (vectors, schemas.VECTORS),
+            "terms": (terms, schemas.TERM_COUNTS), "papers": (known, schemas.STORED_PAPERS)}
+    append_run(spark, store, {name: table.select(*(f.name for f in schema.fields)) for name, (table, schema) in rows.items()},
+               papers, buckets)
 
 
 def ingest_to_store(

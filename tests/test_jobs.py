@@ -14,6 +14,7 @@ from corrag.plans.evaluate import check_baseline
 from corrag.plans.ingest import ingest_to_store
 from corrag.session import new_shared_path
 from corrag.sources.store import read_store, upsert_paper_chunks, upsert_store, write_store
+from corrag.sources.tablelog import read_table
 from corrag.streaming.common import append_to, stream_table
 from corrag.streaming.ingest import stream_ingest
 from corrag.streaming.limits import stream_rate_limits
@@ -58,9 +59,9 @@ def test_ingest_to_store(spark, rows):
     lines = spark.createDataFrame([("b", 0, 0, "Head", 14.0, False, 0.0, 5.0, False), ("b", 0, 1, "body", 9.0, False, 9.0, 12.0, False)], schemas.LINES)
     for _ in range(2):
         ingest_to_store(spark, path, papers, pages, lines, Settings(dim=8), buckets=2)
-    chunks = read_store(spark, f"{path}/chunks", schemas.CHUNKS)
+    chunks = read_table(spark, path, "chunks", schemas.CHUNKS)
     assert rows(chunks.filter("chunk_type = 'child'"), "paper_id", "section_name", "text") == [("a", "One", "alpha beta"), ("b", "Head", "body")]
-    assert rows(read_store(spark, f"{path}/vectors", schemas.VECTORS), "chunk_id") == [("a#0#0",), ("b#0#0",)]
+    assert rows(read_table(spark, path, "vectors", schemas.VECTORS), "chunk_id") == [("a#0#0",), ("b#0#0",)]
     assert chunks.filter("chunk_type = 'parent'").count() == 5
 
 
@@ -69,7 +70,7 @@ def test_full_papers_are_not_ingested_again(spark, rows):
     papers = spark.createDataFrame([("a", ""), ("b", "")], "paper_id string, abstract string")
     known = spark.createDataFrame([("a", "full"), ("b", "failed")], "paper_id string, ingestion_status string")
     pages = lambda text: spark.createDataFrame([(p, PAGE.format("S", text)) for p in "ab"], schemas.PAGES)
-    texts = lambda: rows(read_store(spark, f"{path}/chunks", schemas.CHUNKS).filter("chunk_type = 'child'"), "paper_id", "text")
+    texts = lambda: rows(read_table(spark, path, "chunks", schemas.CHUNKS).filter("chunk_type = 'child'"), "paper_id", "text")
     ingest_to_store(spark, path, papers, pages("one"), settings=Settings(dim=4), buckets=2)
     ingest_to_store(spark, path, papers, pages("two"), settings=Settings(dim=4), buckets=2, existing_papers=known)
     assert texts() == [("a", "one"), ("b", "two")]
@@ -170,7 +171,7 @@ def test_stream_ingest_replaces(spark, rows):
         spark.createDataFrame(batch, schemas.PAGES).coalesce(1).write.mode("append").parquet(source)
         stream_ingest(stream_table(spark, source, "*.parquet", schemas.PAGES), store, f"{store}-checkpoint",
                       Settings(dim=4), buckets=2, available_now=True).awaitTermination()
-    chunks = read_store(spark, f"{store}/chunks", schemas.CHUNKS)
+    chunks = read_table(spark, store, "chunks", schemas.CHUNKS)
     assert rows(chunks.filter("chunk_type = 'child'"), "paper_id", "text") == [("a", "second"), ("b", "bb")]
 
 
