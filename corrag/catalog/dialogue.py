@@ -18,6 +18,7 @@ from corrag.operators.sessions import (
 
 # --- Intents, routes, requests ------------------------------------------------------------
 
+# The patterns of intents and recency, as SQL needs them.
 _CHITCHAT = (r"(?i)^((hi|hii+|hey+|hello|hiya|yo|sup|howdy|gm|gn)( (there|everyone|all|folks))?"
              r"|good\s+(morning|afternoon|evening|night)|thanks?|thank\s+you|thx|ty|ok(ay)?|cool|nice|great"
              r"|awesome|lol|bye|goodbye|how\s+are\s+you|who\s+are\s+you|what\s+can\s+you\s+do)[\s!.?,]*$")

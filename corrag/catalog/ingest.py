@@ -79,6 +79,7 @@ def paper_status(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Filters ------------------------------------------------------------------------------
 
+# Section names that are dropped.
 _DROP = ("references", "bibliography", "acknowledgements", "acknowledgments", "funding", "appendix",
          "author contributions", "conflict of interest", "conflicts of interest", "data availability",
          "supplementary")
