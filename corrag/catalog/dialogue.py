@@ -188,8 +188,8 @@ cites AS (SELECT session_id, turn_id, count(*) AS n FROM te WHERE type = 'citati
 
 @query("turns", f"""WITH {_TURN_EVENTS}, {_TURN_TEXT}
 SELECT e.session_id, e.turn_id, md5(CASE WHEN e.done THEN coalesce(d.content, t.text, '')
-    WHEN e.limited THEN '⚠️ The assistant is rate-limited right now. Please wait a moment and try again.'
-    ELSE '⚠️ The assistant ran into an error. Please try again.' END) AS content_md5,
+    WHEN e.limited THEN '⚠️ Too many requests at the moment; this question can be asked again shortly.'
+    ELSE '⚠️ This question could not be answered; something failed on the way.' END) AS content_md5,
   CASE WHEN e.done THEN coalesce(c.n, 0) ELSE 0 END AS n_cited
 FROM ends e LEFT JOIN last_done d USING (session_id, turn_id) LEFT JOIN toks t USING (session_id, turn_id)
 LEFT JOIN cites c USING (session_id, turn_id)""")

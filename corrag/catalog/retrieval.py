@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corrag.catalog import sqltext as sql
 from corrag.catalog import tables
 from corrag.catalog.registry import query
+from corrag.functions.vectors import cosine, dot, l2_norm, l2_normalize
 from corrag.operators.embedding import embed, hash_vector
 from corrag.operators.impacts import impact_report, impact_search, open_impacts, write_impacts
 from corrag.operators.postings import (
@@ -150,6 +151,22 @@ def dense_single_label(spark: SparkSession, sf: str) -> DataFrame:
     return dense_search(scoped, vectors, 20).select("query_id", "chunk_id", "score", "rank")
 
 
+@query("vector_functions", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
+unit AS (SELECT vec_id, list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) AS u FROM v)
+SELECT x.vec_id, round(list_inner_product(x.a, y.a), 5) AS dot, round(list_cosine_similarity(x.a, y.a), 5) AS cosine,
+       round(sqrt(list_inner_product(x.a, x.a)), 5) AS norm, round(u[1], 5) AS first_unit, round(list_inner_product(u, u), 5) AS unit_norm
+FROM v x JOIN v y ON y.vec_id = x.vec_id + 1 JOIN unit ON unit.vec_id = x.vec_id""")
+def vector_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector with the next one: dot product, cosine, norm, and the vector at unit length."""
+    stored = tables.embeddings(spark, sf).select(F.col("chunk_id").alias("vec_id"), F.col("dense_vector").alias("a"))
+    following = stored.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    unit = l2_normalize(F.col("a"))
+    return stored.join(following, "vec_id").select(
+        "vec_id", F.round(dot(F.col("a"), F.col("b")), 5).alias("dot"), F.round(cosine(F.col("a"), F.col("b")), 5).alias("cosine"),
+        F.round(l2_norm(F.col("a")), 5).alias("norm"), F.round(F.get(unit, F.lit(0)), 5).alias("first_unit"),
+        F.round(dot(unit, unit), 5).alias("unit_norm"))
+
+
 @query("ann_recall")
 def ann_recall_query(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate search against exact search for the label prototypes."""

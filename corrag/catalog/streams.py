@@ -71,8 +71,8 @@ t AS (SELECT session_id, turn_id, run, max(ts) + INTERVAL 3 HOUR AS ended, bool_
     coalesce(string_agg(content, '' ORDER BY seq) FILTER (type = 'token'), '') AS text,
     count(*) FILTER (type = 'citation') AS n FROM runs GROUP BY ALL)
 SELECT session_id, turn_id, md5(CASE WHEN done THEN coalesce(final, text)
-    WHEN limited THEN '⚠️ The assistant is rate-limited right now. Please wait a moment and try again.'
-    ELSE '⚠️ The assistant ran into an error. Please try again.' END) AS content_md5,
+    WHEN limited THEN '⚠️ Too many requests at the moment; this question can be asked again shortly.'
+    ELSE '⚠️ This question could not be answered; something failed on the way.' END) AS content_md5,
   CAST(CASE WHEN done THEN n ELSE 0 END AS INTEGER) AS n_cited
 FROM t WHERE (done OR failed)
   AND ended <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""")

@@ -9,9 +9,9 @@ from corrag.functions.text import strip_ws
 from corrag.operators.topk import joined_in_order, top_k
 
 LIST_LIMIT, TITLE_CHARS = 50, 60
-ERROR_MESSAGE = "⚠️ The assistant ran into an error. Please try again."
+ERROR_MESSAGE = "⚠️ This question could not be answered; something failed on the way."
 RATE_LIMIT_MESSAGE = (
-    "⚠️ The assistant is rate-limited right now. Please wait a moment and try again.")
+    "⚠️ Too many requests at the moment; this question can be asked again shortly.")
 
 
 def session_title(title: Column, first_message: Column, mode: Column, paper_id: Column) -> Column:
