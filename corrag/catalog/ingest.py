@@ -17,7 +17,7 @@ from corrag.operators.chunking import ingestion_status
 from corrag.operators.embedding import embed_children
 from corrag.operators.filters import filter_blocks
 from corrag.operators.postings import index_drift
-from corrag.plans.ingest import ingest_to_store
+from corrag.plans.ingest import ingest_pages, ingest_to_store
 from corrag.session import new_shared_path, staged
 from corrag.sources.feeds import parse_atom_entries
 from corrag.sources.store import (
@@ -405,6 +405,19 @@ def page_ingest(spark: SparkSession, sf: str) -> DataFrame:
         vectors.groupBy("paper_id").agg(F.count("*").alias("n_vectors")), "paper_id", "left")
 
 
+@query("page_quarantine", f"""WITH {PAGE_CHUNKS}
+SELECT CAST(page_id AS VARCHAR) AS paper_id,
+       CASE WHEN length(html) % 5 = 0 THEN 'failed' WHEN page_id::VARCHAR IN (SELECT paper_id FROM kids) THEN 'full' ELSE 'abstract_only' END
+         AS ingestion_status
+FROM pages""")
+def page_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Status of all pages after a run in which a fifth of them has markup that cannot be read."""
+    pages = tables.pages(spark, sf).withColumn(
+        "html", F.when(F.length("html") % 5 == 0, F.concat("html", F.lit("<![bad[markup]]>"))).otherwise(F.col("html")))
+    papers = pages.select("paper_id", F.lit("").alias("title"), F.lit("").alias("abstract"))
+    return ingest_pages(papers, pages, root="article")[0].select("paper_id", "ingestion_status")
+
+
 @query("index_drift", f"""WITH {sql.children()},
 vec AS (
   SELECT c.chunk_id, c.paper_id FROM children c JOIN labels l ON CAST(l.doc_id AS VARCHAR) = c.paper_id

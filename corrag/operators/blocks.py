@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,7 +16,6 @@ from corrag.functions.text import strip_ws
 from corrag.operators.topk import joined_in_order
 from corrag.session import staged
 
-log = logging.getLogger(__name__)
 
 BLOCK_COLUMNS = ("paper_id", "block_idx", "section_name", "text", "content_type", "media_url")
 
@@ -153,6 +151,9 @@ def _raw_blocks(html: str, section_tag: str) -> Iterator[dict]:
         yield {"section_name": name, "kind": "text", "text": _joined(section)}
 
 
+#: The kind of a row that stands for a page that could not be read.
+_ERROR = "error"
+
 _RAW = T.StructType([
     T.StructField("paper_id", T.StringType()), T.StructField("block_idx", T.IntegerType()),
     T.StructField("section_name", T.StringType()), T.StructField("kind", T.StringType()),
@@ -161,11 +162,26 @@ _RAW = T.StructType([
 
 
 def extract_blocks(pages: DataFrame, root: str = "section", base: str = HTML_BASE) -> DataFrame:
-    """Headed sections of each page as text, table and figure blocks.
+    """``read_pages`` without the pages that cannot be read; these do not fail the job."""
+    return page_blocks_of(read_pages(pages, root, base))
+
+
+def page_blocks_of(read: DataFrame) -> DataFrame:
+    """The blocks among the rows of ``read_pages``."""
+    return read.filter(F.col("error").isNull()).drop("error")
+
+
+def unreadable(read: DataFrame) -> DataFrame:
+    """``paper_id, error`` of the pages among the rows of ``read_pages`` that could not be read."""
+    return read.filter(F.col("error").isNotNull()).select("paper_id", "error")
+
+
+def read_pages(pages: DataFrame, root: str = "section", base: str = HTML_BASE) -> DataFrame:
+    """Headed sections of each page as text, table and figure blocks, and ``error``.
 
     The worker only takes the markup apart; cleaning, table markdown and link rules are column
     expressions around it. ``root`` names the element that counts as a section. A page that
-    cannot be read yields no blocks and does not fail the job.
+    cannot be read yields one row with the message as ``error`` and nothing else.
     """
     arrow_schema = to_arrow_schema(_RAW)
 
@@ -175,9 +191,8 @@ def extract_blocks(pages: DataFrame, root: str = "section", base: str = HTML_BAS
             for paper_id, html in zip(*(records.column(c).to_pylist() for c in ("paper_id", "html"))):
                 try:
                     parts = list(_raw_blocks(html, root))
-                except Exception:
-                    log.warning("page %s could not be read", paper_id, exc_info=True)
-                    continue
+                except Exception as broken:
+                    parts = [{"kind": _ERROR, "text": f"{type(broken).__name__}: {broken}"}]
                 rows += [{"paper_id": paper_id, "block_idx": i, **part} for i, part in enumerate(parts)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
@@ -187,14 +202,15 @@ def extract_blocks(pages: DataFrame, root: str = "section", base: str = HTML_BAS
     table = rows_to_markdown(F.col("grid"))
     formatted = cleaned.mapInArrow(run, _RAW).select(
         "paper_id", "block_idx", "section_name",
-        F.when(F.col("kind") != "table", F.col("text"))
-        .when(table == "", F.lit(""))
+        F.when(~F.col("kind").isin("table", _ERROR), F.col("text"))
+        .when(F.coalesce(table, F.lit("")) == "", F.lit(""))
         .when(F.col("text") == "", table)
         .otherwise(F.concat("text", F.lit("\n\n"), table)).alias("text"),
         F.col("kind").alias("content_type"),
         F.when(F.col("kind") == "figure", resolve_media_url(F.col("src"), F.col("paper_id"), base))
-        .alias("media_url"))
-    return formatted.filter((F.col("text") != "") | F.col("media_url").isNotNull())
+        .alias("media_url"),
+        F.when(F.col("kind") == _ERROR, F.col("text")).alias("error"))
+    return formatted.filter((F.col("text") != "") | F.col("media_url").isNotNull() | F.col("error").isNotNull())
 
 
 def documents_to_blocks(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrag import schemas
-from corrag.operators.blocks import extract_blocks, extract_with_fallback, lines_to_blocks
+from corrag.operators.blocks import extract_with_fallback, lines_to_blocks, page_blocks_of, read_pages, unreadable
 from corrag.operators.chunking import chunk_blocks, ingestion_status
 from corrag.operators.embedding import embed_children
 from corrag.operators.filters import filter_blocks
@@ -31,10 +31,15 @@ def ingest_pages(
     papers: DataFrame, pages: DataFrame, lines: DataFrame | None = None,
     settings: Settings = Settings(), root: str = "section", failed: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same for pages, with text lines as fallback. Pages are taken apart once."""
-    blocks = staged(extract_blocks(pages, root), "blocks")
+    """The same for pages, with text lines as fallback. Pages are taken apart once; a page that cannot be
+    read, and has no lines to stand in, makes its paper ``failed``."""
+    read = staged(read_pages(pages, root), "blocks")
+    blocks, broken = page_blocks_of(read), unreadable(read).select("paper_id")
     if lines is not None:
-        blocks = extract_with_fallback(blocks, lines_to_blocks(lines))
+        spare = staged(lines_to_blocks(lines), "line-blocks")
+        blocks = extract_with_fallback(blocks, spare)
+        broken = broken.join(spare.select("paper_id").distinct(), "paper_id", "left_anti")
+    failed = broken if failed is None else failed.select("paper_id").unionByName(broken)
     return ingest_blocks(papers, blocks, settings, failed)
 
 

@@ -210,3 +210,21 @@ def test_a_store_knows_status_and_opens_by_paper(spark, tmp_path):
     assert "bucket IN" in one.chunks._jdf.queryExecution().toString() or "(bucket" in one.chunks._jdf.queryExecution().toString()
     ingest_to_store(spark, str(tmp_path), papers, pages, buckets=4, existing_papers=corpus.papers)
     assert open_corpus(spark, str(tmp_path), buckets=4).papers.count() == 3
+
+
+def test_a_page_that_cannot_be_read_fails_its_paper(spark, rows):
+    from corrag.operators.blocks import extract_blocks, read_pages, unreadable
+    from corrag.plans.ingest import ingest_pages
+
+    good, bad = "<section><h2>T</h2><p>one two</p></section>", "<section><h2>T</h2><p>x</p></section><![bad[markup]]>"
+    pages = spark.createDataFrame([("a", good), ("b", bad), ("c", bad), ("d", None)], "paper_id string, html string")
+    papers = spark.createDataFrame([(p, p, "") for p in "abcde"], "paper_id string, title string, abstract string")
+    read = read_pages(pages)
+    assert [r.paper_id for r in extract_blocks(pages).collect()] == ["a"]
+    assert {(r.paper_id, r.error.split(":")[0]) for r in unreadable(read).collect()} == {("b", "AssertionError"), ("c", "AssertionError")}
+    lines = spark.createDataFrame([("c", 1, i, t, 10.0, False, float(i), i + 1.0, False) for i, t in enumerate(["some", "lines"])],
+                                  schemas.LINES)
+    failed = spark.createDataFrame([("e",)], "paper_id string")
+    status = ingest_pages(papers, pages, lines, Settings(dim=4), failed=failed)[0]
+    assert rows(status, "paper_id", "ingestion_status") == [
+        ("a", "full"), ("b", "failed"), ("c", "full"), ("d", "abstract_only"), ("e", "failed")]
