@@ -7,22 +7,28 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|``. Equal sets form
    a token, so linked sets share a token, while a common passage alone hardly ever fills a segment.
    Sizes also tell how many tokens of a class they share at least; sets without so many tokens that
    any other set has are done.
-2. Groups. Sets that share many tokens are checked against the smallest of them; connected ones form a
-   group of similar documents, kept in parts of about ``GROUP_ROWS`` members.
-3. Matrix. Token unions of groups: a query set is held against a group it does not belong to where one
-   of its rare tokens is a rare token there, and further only if it shares enough tokens with the
-   group's union. The group's shingle union then bounds the overlap: if
-   ``|Q & union| < percent / 100 * |Q|`` no member can link with Q and the group stays closed.
-4. Qualifying groups are opened and their members compared exactly.
-
-Members of one group are connected already, so pairs within it are never listed: a third of all
-documents may be near copies of each other. Tokens are combined before they are shuffled, so a
-frequent one sends one entry per block of documents.
+2. Groups. A set follows the leader, the smallest set of one of its tokens, with which it shares most
+   tokens, whether they link or not. Links with leaders are checked and give clusters; clusters that
+   follow the same one are a group of similar documents, kept in parts of about ``PART_ROWS`` members.
+   A cluster larger than that has parts of its own.
+3. Matrix. Token unions of parts: two parts meet where a rare token of a member is a rare token of a
+   member of another cluster. A query set of the one is held against the other if it shares enough
+   tokens with its union. The part's shingle union then bounds the overlap: if
+   ``|Q & union| < percent / 100 * |Q|`` no member can link with Q and the part stays closed to it.
+4. Qualifying parts are opened and their members compared exactly, a pair of parts at a time. Links
+   that the pair already connects are not listed.
+
+Members of one cluster are connected already, so pairs within it are never tried: a third of all
+documents may be near copies of each other. Parts travel packed, so a family of similar texts that do
+not link costs rows by its parts, not by its members. Tokens are combined before they are shuffled, so
+a frequent one sends one entry per block of documents.
 
 Defined results: null text, and text without words, has the empty set and links with nothing. A text
 with fewer words than a shingle has its whole word sequence as its only element. Equal texts and
-repeated rows share a class. Empty tables give no rows. Texts are read whole. Only the id and the
-text are used of other columns.
+repeated rows share a class. Rows that repeat an id with other texts are rows of their own, linked by
+their own texts. A row with a null id takes part; its component is the smallest id that is not null,
+and null if there is none. Empty tables give no rows. Texts are read whole. Only the id and the text
+are used of other columns.
 """
 
 from __future__ import annotations
@@ -38,9 +44,9 @@ from corrag.session import staged
 
 #: Ratio of the largest to the smallest size in a class.
 SPAN = 1.5
-#: Members of a part of a group, on average.
-GROUP_ROWS = 32
-#: Share of the segments, about, that two sets have in common to be tried for one group.
+#: Members of a part of a group, and their elements, on average.
+PART_ROWS, PART_ELEMENTS = 256, 1 << 18
+#: Share of the segments, about, that two sets have in common to be of one group.
 GROUP_SHARE = 0.3
 #: Tokens that meet in one reducer block, for the number of buckets.
 BUCKET_ROWS = 1 << 18
@@ -108,8 +114,7 @@ def _describe(size: int, percent: int):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], BLOCK):
                 sets = shingle_sets(texts[a:b], size)
-                keys = np.array([(np.sum(mix(s), dtype=np.uint64) & np.uint64(_LOW), np.sum(mix(s ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64))
-                                 for s in sets], np.uint64).view(np.int64)
+                keys = np.array([_set_key(s) for s in sets], np.int64)
                 empty = np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
@@ -210,6 +215,12 @@ def _meet(batches):
         yield entries(now, held)
 
 
+def _set_key(elements: np.ndarray) -> tuple[np.int64, np.int64]:
+    """Two hashes of a set, of 48 and of 64 bits."""
+    one = np.sum(mix(elements), dtype=np.uint64) & np.uint64(_LOW)
+    return one.view(np.int64), np.sum(mix(elements ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64).view(np.int64)
+
+
 def _recompute(size: int):
     def run(batches):
         for batch in batches:
@@ -219,11 +230,28 @@ def _recompute(size: int):
                 ends = np.cumsum([len(s) for s in sets])
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["rep", "elements"])
+                keys = np.array([_set_key(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists],
+                    names=["first", "k1", "k2", "elements"])
 
     return run
 
 
+def _sets(texts: DataFrame, involved: DataFrame, size: int) -> DataFrame:
+    """``rep, elements`` of the classes in ``involved``, from the rows that have a class's first id."""
+    ids = involved.select("first").distinct()
+    wanted = texts.join(ids, F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    found = wanted.mapInArrow(_recompute(size), "first long, k1 long, k2 long, elements array<long>")
+    same = (found["k1"] == involved["k1"]) & (found["k2"] == involved["k2"]) & found["first"].eqNullSafe(involved["first"])
+    rows = staged(found.join(involved, same).select("rep", "elements", "rows"), "elements")
+    # Only a class of several rows can come more than once.
+    once = rows.filter("rows = 1").drop("rows").unionAll(rows.filter("rows > 1").dropDuplicates(["rep"]).drop("rows"))
+    sets = staged(once, "sets")
+    discard(rows)
+    return sets
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of set ids that link."""
     left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("_x"))
@@ -235,13 +263,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(close & ((100 + percent) * common >= percent * sizes)).select("a", "b")
 
 
-def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``rep, comp, part``: the group of every set and the part of the group that holds it."""
-    comp = F.coalesce("component", "rep")
-    members = sets.select("rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("rep", comp.alias("comp"))
-    sizes = members.groupBy("comp").agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / GROUP_ROWS)
-    return members.join(sizes, "comp").select("rep", "comp", F.pmod(F.xxhash64("rep"), parts).alias("part"))
+def _parted(sizes: DataFrame, links: DataFrame, near: DataFrame) -> DataFrame:
+    """``rep, comp, part``: the cluster of every set, and the part of its group that holds it."""
+    found = components(links).withColumnRenamed("node", "rep")
+    members = staged(sizes.join(found, "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("comp")), "clusters")
+    blocks = F.ceil(F.greatest(F.sum("count") / PART_ROWS, F.sum("n") / PART_ELEMENTS))
+    clusters = members.groupBy("comp").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    clusters = clusters.withColumn("own", F.ceil(F.greatest(F.col("count") / PART_ROWS, F.col("n") / PART_ELEMENTS)))
+    # A cluster follows the leader of its first set, or rather the cluster which that one is in.
+    leaders = near.groupBy(F.col("a").alias("comp")).agg(F.max(F.struct("shared", -F.col("b"))).alias("_best"))
+    leaders = leaders.select("comp", (-F.col("_best")["col2"]).alias("lead"))
+    leaders = leaders.join(members.select(F.col("rep").alias("lead"), F.col("comp").alias("group")), "lead").select("comp", "group")
+    grouped = staged(clusters.join(leaders, "comp", "left").withColumn("group", F.coalesce("group", "comp")), "led")
+    pools = grouped.filter("own = 1").groupBy("group").agg(blocks.alias("pool"))
+    placed = grouped.join(pools, "group", "left").select(
+        "comp", "own", F.xxhash64("group", F.pmod(F.xxhash64("comp"), "pool")).alias("pooled"))
+    part = F.when(F.col("own") > 1, F.xxhash64("comp", F.pmod(F.xxhash64("rep"), "own"), F.lit("own"))).otherwise(F.col("pooled"))
+    parted = staged(members.join(placed, "comp").select("rep", "comp", part.alias("part")), "parts")
+    discard(members, grouped)
+    return parted
 
 
 def _needed(percent: int):
@@ -260,51 +300,96 @@ def _promising(entries: DataFrame, percent: int) -> DataFrame:
     return entries.join(enough, "rep")
 
 
-def _group_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs for grouping: each set with the smallest one of its tokens, if they share many."""
+def _near_leaders(entries: DataFrame, percent: int) -> DataFrame:
+    """``a, b, shared``: each set with those that are the smallest of its tokens, if they share many."""
     lead = entries.groupBy("token").agg(F.min("rep").alias("lead"))
     shared = (entries.join(lead, "token").filter("rep != lead").groupBy(F.col("rep").alias("a"), F.col("lead").alias("b"), "n")
               .agg(F.count("*").alias("shared")))
-    return shared.filter(F.col("shared") >= GROUP_SHARE * 2 * F.col("n") * (100 - percent) / (100 + percent)).select("a", "b")
+    return shared.filter(F.col("shared") >= GROUP_SHARE * 2 * F.col("n") * (100 - percent) / (100 + percent)).select("a", "b", "shared")
+
+
+def _opened(percent: int):
+    """For a pair of parts: links between members of different clusters, as many as connect them."""
+    def members(column):
+        rows = column.combine_chunks().flatten()
+        lists = rows.field("elements")
+        ends = lists.offsets.to_numpy()
+        return rows.field("rep").to_numpy(), rows.field("comp").to_numpy(), lists.values.to_numpy(), ends
+
+    def run(table: pa.Table) -> pa.Table:
+        parts, group = table.column("part").to_numpy(), table.column("gp")[0].as_py()
+        at = int(np.flatnonzero(parts == group)[0])
+        reps, comps, values, ends = members(table.column("members").slice(at, 1))
+        q_reps, q_comps, q_values, q_ends = members(table.column("members").slice(len(parts) - 1 - at, 1))
+        sizes = np.diff(ends)
+        values = values[ends[0]:ends[-1]]
+        order = np.argsort(values, kind="stable")
+        ordered, owner = values[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        up: dict[int, int] = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        links = []
+        for q, comp, a, b in zip(q_reps.tolist(), q_comps.tolist(), q_ends[:-1], q_ends[1:]):
+            own = q_values[a:b]
+            lo, hi = np.searchsorted(ordered, own), np.searchsorted(ordered, own, "right")
+            if 100 * np.count_nonzero(hi > lo) < percent * len(own):
+                continue  # the union of the part has too little of the set
+            runs = hi - lo
+            stops = np.cumsum(runs)
+            common = np.bincount(owner[np.arange(stops[-1]) + np.repeat(lo - (stops - runs), runs)], minlength=len(sizes))
+            for i in np.flatnonzero(((100 + percent) * common >= percent * (sizes + len(own))) & (comps != comp)):
+                x, y = root(comp), root(int(comps[i]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    links.append((q, int(reps[i])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
 
 
 def _cross_links(entries: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of different groups, through the token-group matrix."""
+    """Links between sets of different clusters, through the matrix of tokens and parts."""
     # Of the tokens that a set has to share, all but ``need - 1`` can be the more frequent ones: one of the
     # others, its rare tokens, is shared with every set it links with, and is rare there as well.
-    of_set = ["rep", F.col("token").bitwiseAND(63)]
+    k = F.col("token").bitwiseAND(63)
+    of_set = ["rep", k]
     counted = entries.withColumns({
         "need": _needed(percent), "_df": F.count("*").over(Window.partitionBy("token"))})
     place = F.row_number().over(Window.partitionBy(*of_set).orderBy("_df", "token"))
     ranked = counted.withColumns({"_place": place, "_have": F.count("*").over(Window.partitionBy(*of_set))})
-    rare = staged(ranked.filter(F.col("_place") <= F.col("_have") - F.col("need") + 1)
-                  .select("rep", "token", "need").join(members, "rep"), "rare-tokens")
-    meeting = rare.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("token")
-    met = rare.join(meeting, "token")
-    matrix = met.select("token", F.col("comp").alias("g_comp"), F.col("part").alias("g_part")).distinct()
-    queries = met.select("token", "need", F.col("rep").alias("q"), F.col("comp").alias("q_comp"))
-    pairs = (queries.join(matrix, "token").filter(F.col("g_comp") < F.col("q_comp"))
-             .select("q", "g_comp", "g_part", "need", F.col("token").bitwiseAND(63).alias("k")).distinct())
-    # The token union of each part of a group, and the tokens of each query, by size class.
-    k = F.col("token").bitwiseAND(63).alias("k")
-    unions = (entries.join(members, "rep").groupBy(F.col("comp").alias("g_comp"), F.col("part").alias("g_part"), k)
-              .agg(F.collect_set("token").alias("_group")))
-    own = entries.groupBy(F.col("rep").alias("q"), k).agg(F.collect_list("token").alias("_own"))
-    shared = F.size(F.array_intersect("_own", "_group"))
+    rare = ranked.filter(F.col("_place") <= F.col("_have") - F.col("need") + 1).select("rep", "token")
+    cells = staged(rare.join(members, "rep").groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "cells")
+    meeting = cells.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo < _hi").select("token")
+    met = staged(cells.join(meeting, "token"), "met")
+    left = met.select("token", F.col("part").alias("qp"), F.col("lo").alias("_a"), F.col("hi").alias("_b"))
+    right = met.select("token", F.col("part").alias("gp"), F.col("lo").alias("_c"), F.col("hi").alias("_d"))
+    pairs = (left.join(right, "token").filter((F.col("qp") <= F.col("gp")) & (F.least("_a", "_c") < F.greatest("_b", "_d")))
+             .select("qp", "gp", k.alias("k")).distinct())
+    # By size class, the token union of each part and the tokens of its members.
+    of_parts = entries.join(members, "rep").join(met.select("part").distinct(), "part")
+    own = of_parts.groupBy("part", "rep", k.alias("k"), _needed(percent).alias("need")).agg(F.collect_list("token").alias("tokens"))
+    rows = staged(own.groupBy("part", "k").agg(
+        F.collect_list(F.struct("rep", "need", "tokens")).alias("own"),
+        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "matrix")
+    queries = rows.select(F.col("part").alias("qp"), "k", "own")
+    unions = rows.select(F.col("part").alias("gp"), "k", "union")
+    enough = F.filter("own", lambda q: F.size(F.array_intersect(q["tokens"], "union")) >= q["need"])["rep"]
     candidates = staged(
-        pairs.join(own, ["q", "k"]).join(unions, ["g_comp", "g_part", "k"]).filter(shared >= F.col("need"))
-        .select("q", "g_comp", "g_part").distinct(), "candidates")
-    held = members.select("rep", F.col("comp").alias("g_comp"), F.col("part").alias("g_part"))
-    needed = held.join(candidates.select("g_comp", "g_part").distinct(), ["g_comp", "g_part"])
-    shingles = needed.join(sets, "rep").groupBy("g_comp", "g_part").agg(
-        F.array_distinct(F.flatten(F.collect_list("elements"))).alias("_union"))  # about GROUP_ROWS sets
-    query_sets = sets.select(F.col("rep").alias("q"), F.col("elements").alias("_q"))
-    overlap = F.size(F.array_intersect("_q", "_union"))
-    opened = (candidates.join(query_sets, "q").join(shingles, ["g_comp", "g_part"])
-              .filter(100 * overlap >= percent * F.size("_q")).select("q", "g_comp", "g_part"))
-    opened_pairs = staged(opened.join(held, ["g_comp", "g_part"]).select(F.col("q").alias("a"), F.col("rep").alias("b")), "opened")
-    links = staged(_verified(opened_pairs, sets, percent), "cross-links")
-    discard(rare, candidates, opened_pairs)
+        pairs.join(queries, ["qp", "k"]).join(unions, ["gp", "k"]).select("qp", "gp", enough.alias("_q")).filter(F.size("_q") > 0)
+        .groupBy("qp", "gp").agg(F.array_distinct(F.flatten(F.collect_list("_q"))).alias("queries")), "candidates")
+    wanted = candidates.select(F.col("qp").alias("part")).unionAll(candidates.select(F.col("gp").alias("part"))).distinct()
+    packed = staged(members.join(wanted, "part").join(sets, "rep").groupBy("part").agg(
+        F.collect_list(F.struct("rep", "comp", "elements")).alias("members")), "packed")
+    held = candidates.select("qp", "gp", F.col("gp").alias("part")).join(packed, "part")
+    asking = (candidates.filter("qp != gp").withColumn("part", F.col("qp")).join(packed, "part")
+              .withColumn("members", F.filter("members", lambda m: F.array_contains("queries", m["rep"]))))
+    sides = asking.select("qp", "gp", "part", "members").unionAll(held.select("qp", "gp", "part", "members"))
+    links = staged(sides.groupBy("qp", "gp").applyInArrow(_opened(percent), "a long, b long"), "cross-links")
+    discard(cells, met, rows, candidates, packed)
     return links
 
 
@@ -313,29 +398,35 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     (smallest id with the same set)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = staged(texts.mapInArrow(_describe(size, percent), "id long, n_shingles long, k1 long, k2 long, tokens binary"), "sets")
-    classes = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    named = staged(rows.drop("tokens").join(classes, ["k1", "k2"], "left"), "classes")
+    classes = staged(rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(
+        F.min("id").alias("first"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     n_tokens = rows.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 8
     buckets = int(min(1 << 14, max(8, 1 << int(np.ceil(np.log2(n_tokens / BUCKET_ROWS + 1))))))
     shared = (rows.filter("n_shingles > 0").select("k1", "tokens").mapInArrow(_packed(buckets), _PACKED)
               .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "token long, key long").distinct())
-    one_of = named.filter(F.col("id") == F.col("rep")).select(F.col("k1").alias("key"), "rep", F.col("n_shingles").alias("n")).distinct()
-    entries = staged(shared.join(one_of, "key").drop("key"), "shared-tokens")
-    discard(rows)
+    entries = staged(shared.join(classes.select(F.col("k1").alias("key"), "rep", "n"), "key").drop("key"), "shared-tokens")
 
     kept = staged(_promising(entries, percent), "entries")
-    involved = staged(kept.select("rep").distinct(), "involved")  # broadcast if its files are small
-    wanted = texts.withColumnRenamed("id", "rep").join(involved, "rep", "left_semi")
-    sets = staged(wanted.mapInArrow(_recompute(size), "rep long, elements array<long>"), "elements")
-    links = staged(_verified(_group_pairs(kept, percent), sets, percent), "group-links")
-    members = staged(_grouped(sets, links), "groups")
+    sizes = staged(kept.select("rep", "n").distinct(), "involved")
+    sets = _sets(texts, classes.join(sizes.select("rep"), "rep", "left_semi"), size)
+    near = staged(_near_leaders(kept, percent), "near-leaders")
+    links = staged(_verified(near.select("a", "b"), sets, percent), "group-links")
+    members = _parted(sizes, links, near)
     across = _cross_links(kept, sets, members, percent)
     found = components(links.unionAll(across))
-    discard(entries, kept, involved, sets, links, members, across)
-    return named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"),
-        F.coalesce("rep", "id").alias("class_id"))
+    # Sets have numbers; a component is named by the smallest id in it.
+    nodes = found.unionAll(found.select(F.col("component").alias("node"), "component").distinct())
+    linked = staged(nodes.join(classes.select(F.col("rep").alias("node"), "first"), "node"), "linked")
+    names = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = linked.join(names, "component").select(F.col("node").alias("rep"), "component_id")
+    of_class = staged(classes.join(named, "rep", "left").select("k1", "k2", "first", F.coalesce("component_id", "first").alias("component_id")), "named")
+    result = staged(rows.select("id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left").select(
+        F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("id")).alias("class_id")), "components")
+    discard(rows, classes, entries, kept, sizes, sets, near, links, members, across, found, linked, of_class)
+    return result
 
 
 def query_ngram_join(spark, sf_dir):

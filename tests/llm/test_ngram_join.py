@@ -82,3 +82,35 @@ def test_empty_table_and_extra_columns(spark, documents, prose):
 def test_repeated_rows(spark, documents, prose):
     found = ngram_join.jaccard_components(documents([prose(30, 1)] * 2 + [prose(30, 2)], ids=[4, 4, 9])).collect()
     assert sorted((r.doc_id, r.component_id) for r in found) == [(4, 4), (4, 4), (9, 9)]
+
+
+def test_family_below_the_threshold(spark, documents, prose):
+    """Similar texts of which hardly any two link meet by parts: the candidates stay few."""
+    rng, base = random.Random(3), prose(300, 12).split()
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 6):
+            words[at] = f"w{i}x{at}"
+        texts.append(" ".join(words))
+    texts += [texts[3] + " tail", texts[50] + " tail", texts[50]]
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(documents(texts)).collect()}
+    assert found == {i: c for i, (_, c) in brute_components(dict(enumerate(texts)), 3, 90).items()}
+
+
+@pytest.mark.parametrize("rows,elements", [(4, 1 << 18), (256, 300)])
+def test_small_parts_lose_no_link(spark, documents, prose, monkeypatch, rows, elements):
+    monkeypatch.setattr(ngram_join, "PART_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "PART_ELEMENTS", elements)
+    texts = near_copies(prose, 6)
+    found = ngram_join.jaccard_components(documents(texts), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(dict(enumerate(texts)), 5, 80)
+
+
+def test_repeated_and_null_ids(spark, prose):
+    z, w, u = prose(60, 21), prose(60, 22), prose(60, 23)
+    rows = [(1, z), (1, w), (2, w + " more"), (None, w), (None, u), (7, u + " more"), (None, z + " " + u), (None, None), (4, None), (2, w + " more")]
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str)
+    assert got == sorted([(1, 58, 1), (1, 58, 1), (2, 59, 1), (2, 59, 1), (None, 58, 1), (None, 58, 7), (7, 59, 7), (None, 118, None),
+                          (None, 0, None), (4, 0, 4)], key=str)
