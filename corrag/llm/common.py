@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from corrag.session import staged
 
 #: What lies between two words, as a Java and Python pattern.
 GAP = r"[\x20\x09-\x0D]+"
@@ -41,6 +43,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def numbered(docs: DataFrame, column: str) -> DataFrame:
+    """``docs`` with a number for each row that stays the same however often the result is read.
+
+    Rows of Parquet files are named by file and place. Any other table is written once with its numbers.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        source = plan.relation()
+        if source.getClass().getSimpleName() == "HadoopFsRelation" and source.fileFormat().toString() == "Parquet":
+            place = docs.metadataColumn("_metadata")
+            files = docs.select(place["file_path"].alias("_in_file")).distinct()
+            files = staged(files.withColumn("_file_number", F.row_number().over(Window.orderBy("_in_file"))), "files")  # one row a file
+            rows = docs.withColumns({"_in_file": place["file_path"], column: place["row_index"]})
+            named = rows.join(files, "_in_file")
+            return named.withColumn(column, F.shiftleft(F.col("_file_number").cast("long"), 40) + F.col(column)).select(*docs.columns, column)
+    return staged(docs.withColumn(column, F.monotonically_increasing_id()), "rows")
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of staged tables that nothing reads any more."""
     for frame in frames:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corrag.llm.common import discard, mix, read_table, slices
+from corrag.llm.common import discard, mix, numbered, read_table, slices
 from corrag.llm.fmindex import FMIndex, repeated_windows
 from corrag.llm.shingles import BLOCK, _power_tables, shingle_hashes, text_words
 from corrag.session import staged
@@ -264,11 +264,6 @@ def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return described, places.groupBy("id").agg(F.collect_list(F.struct("at", "mask")).alias("runs"))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` written once with a number each, so that the numbers stay the same however often they are read."""
-    return staged(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-
-
 def covered_words(n_words: int, runs) -> np.ndarray:
     """Which words a repeated window covers."""
     steps = np.zeros(n_words + 1, np.int64)
@@ -298,8 +293,8 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 [batch.column(0), pa.array([n for _, n in rows], pa.int64()),
                  pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in rows])], names=["id", "n_removed", "kept"])
 
-    rows = _numbered(docs.select(F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("text")))
-    texts = rows.select(F.col("_row").alias("id"), "text", "name")
+    rows = numbered(docs, "_row")
+    texts = rows.select(F.col("_row").alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("name"))
     described, runs = find_repeats(texts)
     touched = runs.join(texts.drop("name"), "id").select("id", "text", "runs").mapInArrow(digest, "id long, n_removed long, kept string")
     return described.drop("pieces").join(touched, "id", "left").select(
@@ -315,7 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             t if t is None or not r else b" ".join(_kept(t, r)[0]).decode("utf-8", "surrogatepass")
             for t, r in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
 
-    rows = _numbered(docs)
+    rows = numbered(docs, "_row")
     _, runs = find_repeats(rows.select(F.col("_row").alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("name")))
     joined = rows.join(runs.select(F.col("id").alias("_row"), F.col("runs").alias("_runs")), "_row", "left")
     return joined.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(

@@ -90,3 +90,16 @@ def test_null_and_repeated_ids(spark, documents, prose):
     assert sorted(found, key=repr) == sorted(((i, want[k]) for k, i in enumerate(ids)), key=repr)
     kept = [(r.doc_id, r.text) for r in substring.remove_repeats(documents(texts, ids=ids)).collect()]
     assert sorted(kept, key=repr) == sorted(zip(ids, ["one", "two", texts[2], "three four", "", "", None]), key=repr)
+
+
+def test_rows_of_files_have_numbers_of_their_own(spark, documents, prose, tmp_path):
+    """Rows of a Parquet table are named by file and place, whatever their ids and extra columns; others by a copy."""
+    from corrag.llm.common import numbered
+
+    rows = documents([prose(10, i) for i in range(40)], ids=[7] * 40, _metadata=[str(i) for i in range(40)])
+    rows.repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for table in (docs, docs.filter("text is not null"), docs.limit(0)):
+        first, again = (dict(r) for r in ([(x["_row"], x["text"]) for x in t.collect()] for t in [numbered(table, "_row")] * 2))
+        assert first == again and len(first) == table.count()
+    assert numbered(docs, "_row").columns == [*docs.columns, "_row"]
