@@ -69,7 +69,7 @@ def test_empty_tables(spark, documents, table_folder):
 
 def test_one_query_per_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in catalog.QUERIES)
-    assert numbers == list(range(1, 11)) and set(catalog.ORACLES) <= set(catalog.QUERIES)
+    assert numbers == list(range(1, 14)) and set(catalog.ORACLES) <= set(catalog.QUERIES)
 
 
 def test_rows_with_null_and_repeated_ids_stay(spark, documents, prose, table_folder):
