@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from corrag.llm.common import read_table, slices
-from corrag.llm.wordcache import PieceCache, encode_words, flatten
+from corrag.llm.wordcache import PieceCache, encode_words, flatten, taken
 from corrag.session import new_shared_path, staged
 
 #: Ids of one sequence.
@@ -35,7 +36,8 @@ LENGTH = 2048
 #: Sequences of one record batch.
 BATCH = 512
 #: Bytes whose pieces are looked up at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 22
+_ASCII_LETTER = np.array([chr(i) in string.ascii_letters for i in range(256)])
 _MANIFEST = "file string, doc_id long, at long, n_tokens long"
 
 
@@ -46,60 +48,79 @@ def open_filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
-def _word_pieces(text: str | None) -> list[str]:
-    """The text cut at white space. ``str.split`` also cuts at four control marks that are none."""
-    if not text:
-        return []
-    if any(mark in text for mark in "\x1c\x1d\x1e\x1f"):
-        return [piece for piece in re.split(r"[ \t\n\r]+", text) if piece]
-    return text.split()
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and the number of each text; some words may be empty.
 
-
-def word_encoder(path: str):
-    """Encodes words with a tokenizer that drops white space and never joins across it, and its id type.
-
-    A closing full stop or comma behind an ASCII letter is a piece of its own to that tokenizer, so
-    words are encoded without it and it is put back. Words of letters alone are one piece each, whose
-    last id is marked as the end of a word; they go to the tokenizer many at a time.
+    Arrow also cuts at four control marks that are no white space to the tokenizer.
     """
-    from tokenizers import Tokenizer
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor share its cores
-    tokenizer = Tokenizer.from_file(path)
-    many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    size = tokenizer.get_vocab_size()
-    dtype = np.uint16 if size <= 1 << 16 else np.uint32
-    closing = {m: ids[0] for m in ".," if len(ids := tokenizer.encode(m, add_special_tokens=False).ids) == 1}
-    ends = np.zeros(size, bool)
-    suffix = tokenizer.model.end_of_word_suffix
-    if suffix:
-        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-
-    def encode(texts):
-        return [e.ids for e in many(texts, add_special_tokens=False)]
-
-    def encode_bare(words):
-        plain = np.fromiter((w.isalpha() for w in words), bool, len(words)) if suffix else np.zeros(len(words), bool)
-        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-        a, m = encode_words([w for w, p in zip(words, plain) if p], encode, ends, True, dtype)
-        b, n = flatten(encode([w for w, p in zip(words, plain) if not p]), dtype)
-        flat, counts = np.concatenate((a, b)), np.concatenate((m, n))
-        back = np.argsort(order)  # to the order asked for
-        starts, lengths = (np.cumsum(counts) - counts)[back], counts[back]
-        stops = np.cumsum(lengths)
-        return flat[np.arange(len(flat)) + np.repeat(starts - (stops - lengths), lengths)], lengths
-
-    bare_ids = PieceCache(dtype)
-
-    def encode_all(words):
-        closed = np.fromiter((w[-1] in closing and len(w) > 1 and w[-2].isascii() and w[-2].isalpha() for w in words), bool, len(words))
-        bare = [w[:-1] if c else w for w, c in zip(words, closed)]
-        flat, counts = bare_ids.lookup([w.lower() if w.isascii() else w for w in bare], encode_bare)
-        stops = np.cumsum(counts)
-        flat = np.insert(flat, stops[closed], np.array([closing[w[-1]] for w, c in zip(words, closed) if c], dtype))
-        return flat, counts + closed
-
-    return encode_all, dtype
+    texts = texts.fill_null("")
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+        lists = pa.array([re.split(r"[ \t\n\r]+", t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+
+def _stems_and_marks(words: pa.Array) -> pa.Array:
+    """Of every word its stem, ASCII letters in lower case if it has no others, and then its closing marks."""
+    words = words.cast(pa.large_string())
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    values = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    bare = pc.ascii_rtrim(words, string.punctuation)
+    middle = bounds[:-1] + pc.binary_length(bare).to_numpy()
+    cut = pc.utf8_is_alpha(bare).to_numpy(zero_copy_only=False)
+    cut[cut] = _ASCII_LETTER[values[middle[cut] - 1]]
+    ends = np.empty(2 * len(words) + 1, np.int64)
+    ends[::2], ends[1::2] = bounds, np.where(cut, middle, bounds[1:])
+    parts = pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(ends), words.buffers()[2])
+    return pc.if_else(pc.string_is_ascii(parts), pc.ascii_lower(parts), parts)
+
+
+class WordEncoder:
+    """Encodes texts with a tokenizer that drops white space and never joins across it.
+
+    A run of ASCII marks at the end of a word of letters is a piece of its own to that tokenizer if an
+    ASCII letter stands before it, so words are cut there. Each distinct piece is encoded once per
+    task. Pieces of letters alone have one id that ends a word; they go to the tokenizer many at a time.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor share its cores
+        tokenizer = Tokenizer.from_file(path)
+        self._many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        size = tokenizer.get_vocab_size()
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        suffix = tokenizer.model.end_of_word_suffix
+        self._ends = np.zeros(size, bool)
+        if suffix:
+            self._ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self._joins = bool(suffix)
+        self._cache = PieceCache(self.dtype)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._many(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [self._joins and p.isalpha() for p in pieces]
+        a, m = encode_words([p for p, one in zip(pieces, plain) if one], self._encode, self._ends, True, self.dtype)
+        b, n = flatten(self._encode([p for p, one in zip(pieces, plain) if not one]), self.dtype)
+        place = np.empty(len(pieces), np.int64)
+        place[np.argsort(~np.array(plain, bool), kind="stable")] = np.arange(len(pieces))
+        return taken(np.concatenate((a, b)), np.concatenate((m, n)), place)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the number of ids per text."""
+        words, per_text = split_words(texts)
+        words = words.dictionary_encode()
+        distinct, at = words.dictionary, words.indices.to_numpy()
+        pieces = _stems_and_marks(distinct).dictionary_encode()
+        flat, counts = self._cache.lookup(pieces.dictionary.to_pylist(), self._new)
+        flat, both = taken(flat, counts, pieces.indices.to_numpy())
+        flat, per_word = taken(flat, both.reshape(-1, 2).sum(axis=1), at)
+        before = np.concatenate(([0], np.cumsum(per_word)))
+        return flat, np.diff(before[np.cumsum(per_text)], prepend=0)
 
 
 class _Writer:
@@ -143,20 +164,19 @@ def encode_to_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: i
         from pyspark import TaskContext
 
         task, name = TaskContext.get(), None
-        place, size, writer, cache, dtype = 0, 0, None, None, None
+        place, writer, encoder = 0, None, None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             if writer is None:
-                encode, dtype = word_encoder(tokenizer_path)
-                cache = PieceCache(dtype)
+                encoder = WordEncoder(tokenizer_path)
                 system, root = open_filesystem(folder)
                 name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
                 sink = system.open_output_stream(f"{root}/{name}")
-                writer = _Writer(sink, dtype)
+                writer = _Writer(sink, encoder.dtype)
             for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), BLOCK):
-                flat, counts = cache.ids([_word_pieces(t) for t in texts.slice(a, b - a).to_pylist()], encode)
+                flat, counts = encoder.ids(texts.slice(a, b - a))
                 ends = np.cumsum(counts)
-                writer.add(np.insert(flat, ends, dtype(end_id)))
+                writer.add(np.insert(flat, ends, encoder.dtype(end_id)))
                 counts = counts + 1
                 starts = place + np.cumsum(counts) - counts
                 place += int(counts.sum())

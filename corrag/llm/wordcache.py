@@ -2,7 +2,8 @@
 
 For tokenizers whose result for a text is the joined result for its pieces. The pieces of a batch
 are looked up in a dictionary; only new ones go to the tokenizer. The dictionary is dropped when it
-holds ``LIMIT`` pieces, which bounds memory and changes no result.
+holds ``LIMIT`` pieces or ``LIMIT_CHARS`` characters, and pieces longer than ``LONG`` are not kept beyond
+the call, which bounds memory and changes no result.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 LIMIT = 400_000
+LIMIT_CHARS = 1 << 23
+LONG = 256
 #: Plain words that go to the tokenizer as one text.
 JOINED = 64
 
@@ -20,7 +24,14 @@ JOINED = 64
 def flatten(lists: Sequence[Sequence[int]], dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and the number of each list."""
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for ids in lists for i in ids), dtype, int(counts.sum())), counts
+    return np.fromiter(chain.from_iterable(lists), dtype, int(counts.sum())), counts
+
+
+def taken(flat: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at these places, given and returned as all their values and their lengths."""
+    ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).take(pa.array(at))
+    return lists.flatten().to_numpy(), counts[at]
 
 
 def encode_words(words: list[str], encode: Callable, marks: np.ndarray, marks_end: bool, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -57,25 +68,31 @@ class PieceCache:
 
     def _clear(self):
         self._place: dict[str, int] = {}
-        self._flat, self._lengths = np.empty(0, self._dtype), np.empty(0, np.int64)
+        self._flat, self._lengths, self._chars = np.empty(0, self._dtype), np.empty(0, np.int64), 0
 
     def lookup(self, pieces: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces, and the number of ids per piece."""
-        if len(self._place) > LIMIT:
+        if len(self._place) > LIMIT or self._chars > LIMIT_CHARS:
             self._clear()
-        place = self._place
+        place, kept = self._place, len(self._place)
         new = [piece for piece in dict.fromkeys(pieces) if piece not in place]
+        new.sort(key=lambda piece: len(piece) > LONG)  # long ones last: they go again
+        flat, lengths = self._flat, self._lengths
         if new:
-            flat, lengths = encode(new)
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-            self._flat = np.concatenate((self._flat, flat.astype(self._dtype)))
-            self._lengths = np.concatenate((self._lengths, lengths))
+            more, counts = encode(new)
+            place.update(zip(new, range(kept, kept + len(new))))
+            flat, lengths = np.concatenate((flat, more.astype(self._dtype))), np.concatenate((lengths, counts))
         at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-        starts = np.cumsum(self._lengths) - self._lengths
-        per_piece = self._lengths[at]
-        ends = np.cumsum(per_piece)
-        total = int(ends[-1]) if len(ends) else 0
-        return self._flat[np.arange(total) + np.repeat(starts[at] - (ends - per_piece), per_piece)], per_piece
+        short = len(new)
+        while short and len(new[short - 1]) > LONG:
+            short -= 1
+            del place[new[short]]
+        self._chars += sum(map(len, new[:short]))
+        self._lengths = lengths[:kept + short]
+        self._flat = flat[:int(self._lengths.sum())]
+        if short < len(new):
+            self._flat = self._flat.copy()  # lets go of the ids of long pieces
+        return taken(flat, lengths, at)
 
     def ids(self, texts: list[list[str]], encode: Callable) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each given as its pieces, and the number of ids per text."""

@@ -86,3 +86,36 @@ def test_ids_come_from_the_backend_and_from_the_library_on_a_difference(monkeypa
     monkeypatch.setattr(codec, "_ours", lambda texts: [[1] if t == "words" else i for t, i in zip(texts, ours(texts))])
     ids, n = codec._encode(["some  x", "words"])
     assert np.array_equal(ids, right) and np.array_equal(n, counts) and codec.differing == {"words"}
+
+
+def test_word_encoder_equals_the_tokenizer_on_odd_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), tokenfiles.WordEncoder(path)
+    rng = np.random.default_rng(5)
+    parts = ["a", "Zq", "é", "é", "Σ", "ς", "ß", "İ", ".", ",", "%%%", "'", "s", "'t", "_", "<|endoftext|>", "<|", "|>", "7", "漢字",
+             " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", " ", "​", "😀", "̸", "<", "\0"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(3000)] + [None, ""]
+    for block in (texts, [t for t in texts if "\x1c" not in (t or "")]):  # two ways to cut words
+        flat, counts = encoder.ids(pa.array(block, pa.string()))
+        got = np.split(flat, np.cumsum(counts)[:-1])
+        for text, ids in zip(block, got):
+            assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_texts_without_spaces_leave_nothing_in_the_cache():
+    import pyarrow as pa
+
+    from corrag.llm import wordcache
+
+    encoder = tokenfiles.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(6)
+    long = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 2000))) for _ in range(800)]  # 5 MB of UTF-8
+    before, _ = encoder.ids(pa.array(["known words"]))
+    encoder.ids(pa.array(long))
+    cache = encoder._cache
+    assert all(len(piece) <= wordcache.LONG for piece in cache._place) and cache._chars < 100
+    assert len(cache._lengths) == len(cache._place) and len(cache._flat) == cache._lengths.sum() < 100
+    assert encoder.ids(pa.array(["known words"]))[0].tolist() == before.tolist()
