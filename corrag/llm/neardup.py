@@ -14,7 +14,9 @@
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components links with
 nothing. Vectors of different lengths never link. Equal vectors link with each other whatever their
-norm. An empty table gives no rows. Ids must be unique. Labels and extra columns are not read.
+norm. An empty table gives no rows. Labels and extra columns are not read. Classes have numbers of their own, so ids
+may repeat or be null: every row comes out once and counts as a vector, and ``component_id`` is the smallest id that is not
+null. All rows with that id are kept; where a component has null ids only, ``component_id`` is null and all are kept.
 """
 
 from __future__ import annotations
@@ -212,7 +214,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     good = (F.col("v").isNotNull()
             & F.forall("v", lambda x: F.coalesce((x < inf) & (x > -inf), F.lit(False))) & F.exists("v", lambda x: x != 0))
     valid = rows.filter(F.coalesce(good, F.lit(False)))
-    classes = staged(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "vectors")
+    classes = staged(valid.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("mult"))
+                     .withColumn("rep", F.monotonically_increasing_id()), "vectors")
     n, dimensions = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     k = max(1, round(np.log(max(n, 1) / BUCKET_ROWS) / np.log(128)))
     signed = staged(classes.select("rep", "v").mapInArrow(_signed(k, tables_needed(k, dimensions, least)), "rep long, keys array<long>"), "buckets")
@@ -230,13 +233,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     tied = components(found.select(F.col("rep").alias("a"), F.col("tied").alias("b")))
-    per_class = (classes.join(links, "rep", "left").join(tied.withColumnRenamed("node", "rep"), "rep", "left")
+    inside = tied.unionAll(tied.select("component", "component").distinct()).toDF("rep", "component")
+    named = inside.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
+    names = inside.join(named, "component").select("rep", F.col("name"), F.lit(True).alias("tied"))
+    per_class = (classes.join(links, "rep", "left").join(names, "rep", "left")
                  .select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
-                         F.coalesce("component", "rep").alias("component_id")))
+                         F.when(F.col("tied"), F.col("name")).otherwise(F.col("least")).alias("component_id")))
     linked = valid.join(per_class, "v").select("id", "n_links", "component_id")
     alone = rows.filter(~F.coalesce(good, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionAll(alone).select(
-        F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+        F.col("id").alias(id_col), "n_links", "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def query_neardup(spark, sf_dir):

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corrag.llm import neardup
 
@@ -58,6 +59,19 @@ def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    x, y, z, w = (rng.normal(size=16) for _ in range(4))
+    rows = [(None, x), (2, x + 0.01 * y), (1, y), (1, z), (3, z + 0.01 * x), (3, z + 0.01 * x),
+            (None, w), (None, w), (None, w + 0.01 * x), (7, None), (None, None)]
+    frame = spark.createDataFrame([(i, None if v is None else v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in neardup.near_duplicates(frame).select(
+        F.coalesce("vec_id", F.lit(-1)), "n_links", F.coalesce("component_id", F.lit(-1)), "kept").collect())
+    assert found == sorted([
+        (-1, 1, 2, False), (2, 1, 2, True), (1, 0, 1, True), (1, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False),
+        (-1, 2, -1, True), (-1, 2, -1, True), (-1, 2, -1, True), (7, 0, 7, True), (-1, 0, -1, True)])
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(neardup.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
