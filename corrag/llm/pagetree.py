@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from math import isqrt
 
@@ -20,13 +21,17 @@ _UNSHOWN = frozenset("svg noscript template annotation annotation-xml".split())
 _SPACE = frozenset("br td th img".split())
 #: Elements that are never article text, whatever they are called.
 _ASIDE = frozenset("head nav footer aside form menu dialog select option".split())
-#: Words in class, id or role that name what is not article text. A class or id counts if all of its words are among
-#: them ("sidebar", "cookie-notice", but not "no-sidebar"); ids of sections, headings and paragraphs are their titles.
-_ROLES = frozenset((
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice notices notification "
-    "pager pagination popup promo promotion related replies reply respond search share sharing sidebar signup social "
-    "sponsor sponsored subscribe toolbar widget").split())
+#: Words in class, id or role that name what is not article text. A name counts if it has one of these words and no
+#: others but these and those of ``_HOLDERS`` ("comment-list", "ad-slot", but not "no-sidebar"); ids of sections,
+#: headings and paragraphs are their titles.
+_FURNITURE = frozenset((
+    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "disqus footer login masthead menu nav navbar navigation newsletter pager pagination popup promo promotion related "
+    "share sharing sidebar signup social sponsor sponsored subscribe").split())
+#: Words that also stand on article text: inside the article they count on template text and on lists of like parts only.
+_DOUBTFUL = frozenset("banner discussion modal notice notices notification replies reply respond responses search toolbar widget".split())
+_ROLES = _FURNITURE | _DOUBTFUL
+_HOLDERS = frozenset("area bar block box buttons container form holder item items link links list panel posts section slot thread unit wrap wrapper".split())
 _TITLED = frozenset("section h1 h2 h3 h4 h5 h6 p li dt dd".split())
 #: An opening tag closes these open elements first.
 _CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "tr": ("tr",), "body": ("head",)}
@@ -36,7 +41,8 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    """``dropped``: in an element that is never shown or never article text; ``named``: in one whose name says so."""
+    """``dropped``: in an element that is never shown or never article text; ``named``: in one whose name says so, 2 if
+    the name leaves no doubt or the element is a list of like parts, else 1."""
 
     __slots__ = ("tag", "sign", "parent", "children", "dropped", "named", "text", "index")
 
@@ -50,7 +56,7 @@ class Page:
     """``nodes`` in page order and ``blocks``: (node, text) in page order, white space made single."""
 
     def __init__(self, html: str | None):
-        self.nodes = [Node("", "", None, False, False, 0)]
+        self.nodes = [Node("", "", None, False, 0, 0)]
         self.blocks: list[tuple[Node, str]] = []
         self._held: list[str] = []
         self._build(html or "")
@@ -121,7 +127,7 @@ class Page:
                 self._held.append(" ")
                 continue
             block = name in _BLOCKS
-            sign, named, hidden = name, False, False
+            sign, named, hidden = name, 0, False
             if len(token[3]) > 1:
                 sign, named, hidden = self._attributes(name, token[3])
             if not block and (not (named or hidden) or name in _VOID):
@@ -159,9 +165,11 @@ class Page:
                 first.setdefault(node.tag, node)
         for node in first.values():
             for up in _line(node.parent):
-                up.named = False
+                up.named = 0
         for node in self.nodes[1:]:
-            node.named = node.named or node.parent.named
+            if node.named == 1 and repeats(node):
+                node.named = 2
+            node.named = max(node.named, node.parent.named)
 
     @staticmethod
     def _attributes(name, text):
@@ -172,14 +180,28 @@ class Page:
                   or "display:none" in found.get("style", "").replace(" ", "").lower())
         names = f"{found.get('class', '')} {'' if name in _TITLED else found.get('id', '')} {found.get('role', '')}".lower().split()
         if name in ("html", "body", "main"):
-            named = hidden = False
+            named, hidden = 0, False
         elif name == "article":
-            named = bool({"comment", "reply"} & set(names))
+            named = 2 if {"comment", "reply"} & set(names) else 0
         else:
-            named = any(_ROLES.issuperset(re.split("[_-]+", n)) for n in names)
+            named = max((_named(set(re.split("[_-]+", n))) for n in names), default=0)
         return (f"{name}.{label}" if label else name), named, hidden
 
 
+def _named(words: set[str]) -> int:
+    if not words & _ROLES or not words <= _ROLES | _HOLDERS:
+        return 0
+    return 2 if words & _FURNITURE else 1
+
+
+def repeats(node: Node) -> bool:
+    """Whether the element is a list of like parts: most of its elements have one sign, which is no mere paragraph."""
+    signs = Counter(c.sign for c in node.children)
+    sign, n = max(signs.items(), key=lambda x: (x[1], x[0]), default=("", 0))
+    like = [c for c in node.children if c.sign == sign]
+    return n >= 2 and 2 * n > len(node.children) and ("." in sign or sign == "li" or all(c.children for c in like))
+
+
 def _closed_tags(html: str, name: str) -> set[int]:
     """Where the opening tags of this name start that have a closing tag of their own."""
     opened, out = [], set()

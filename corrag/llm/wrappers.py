@@ -5,12 +5,17 @@ pages of it (the one of median size, and more until every place that half of the
 tree matching. Aligned nodes whose text stays the same over the pages are template; nodes whose text
 varies are slots. The article is the element that holds most of the varying text, narrowed or widened to
 ``article`` or ``main`` elements (all siblings that vary). Hosts with few pages have no evidence; there
-``article`` and ``main`` decide, and an element beside them that holds most of the text stays. Its blocks are the result, but for template nodes and for elements that are something
-else by their tag (menus, forms and the like) or hidden. Names of elements (sidebar, advert, comments)
-count outside the article's element; inside it they count only where the text is template too.
+``article`` and ``main`` decide, and an element beside them that holds most of the text stays. An ``article`` or ``main``
+with the page's heading is the article whatever stands beside it, and so is one beside a list of like parts. Its blocks
+are the result, but for template nodes and for elements that are something else by their tag (menus, forms and the like),
+hidden, or named as something else (sidebar, advert, comments); names that also stand on article text (notice, reply)
+count inside the article's element only where the text is template too or the element is a list of like parts.
 
-A host with more than ``CHUNK`` pages is split by a hash of the page id into chunks of about that many,
-each of which induces its own wrapper, so no task ever holds more. Pages are shuffled once.
+Template text within the article stays where pages are versions of one text: their ``h1`` does not vary and more than
+half of the article is the same on all of them.
+
+A host with more than ``CHUNK`` pages or ``CHUNK_BYTES`` of html is split by a hash of the page into chunks of about that
+size, each of which induces its own wrapper, so no task ever holds more. Pages are shuffled once.
 
 Defined results: null or empty html gives the empty text. A null or odd url counts as a host of its
 own name. A host with fewer than ``MIN_PAGES`` different pages has no template. Copies of a page vote once.
@@ -26,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corrag.llm.common import read_table
-from corrag.llm.pagetree import Node, Page, aligned, paths
+from corrag.llm.pagetree import Node, Page, aligned, paths, repeats
 from corrag.session import staged
 
 #: Pages of a host that one wrapper is induced from, about.
 CHUNK = 1000
+#: Bytes of html that one wrapper is induced from, about.
+CHUNK_BYTES = 16 << 20
 #: Different pages below which no node counts as template.
 MIN_PAGES = 8
 #: Share of pages in which a template node has the same text.
 CONSTANT = 0.9
-#: Share of the article up to which nodes may be template; beyond it the pages are versions of one text.
-MOST_CONSTANT = 0.3
 #: Share of the varying text that the article's element holds.
 FOCUS = 0.6
 #: Share of places that pages of one layout have in common, at least more than this.
@@ -55,6 +60,16 @@ def _articles(page: Page, weight: dict[int, float]) -> list[Node]:
     return []
 
 
+def _headed(page: Page, articles: list[Node], root: Node) -> list[Node]:
+    """The ``articles`` that hold a heading of the page's highest rank, unless ``root`` holds one too."""
+    headings = [n for n in page.nodes if n.tag in ("h1", "h2") and n.text and not n.dropped and not n.named]
+    top = min((n.tag for n in headings), default="")
+    around = [{id(up) for up in _above(n)} for n in headings if n.tag == top]
+    if any(id(root) in up for up in around):
+        return []
+    return [n for n in articles if any(id(n) in up for up in around)]
+
+
 def _above(node: Node | None):
     while node is not None:
         yield node
@@ -170,6 +185,10 @@ class Wrapper:
         inner = [n for n in articles if any(up is root for up in _above(n.parent))]
         if sum(mass[n.index] for n in inner) >= FOCUS * mass[root.index] > 0 or inner and not self.evidence and root.tag in _WHOLE:
             return inner
+        headed = _headed(page, articles, root)
+        if headed or articles and repeats(root):
+            first = (headed or articles)[0]
+            return [n for n in articles if n.parent is first.parent]
         return [root] if self.evidence else [root, *articles]
 
     def text(self, page: Page) -> str:
@@ -182,12 +201,13 @@ class Wrapper:
         for node in page.nodes[1:]:
             if node.parent.index in inside:
                 inside.add(node.index)
-        blocks = [(node.index in constant, text) for node, text in page.blocks if node.index in inside and not node.dropped
-                  and not (node.named and (whole or node.index in constant))]
-        same = sum(len(text) for t, text in blocks if t)
-        if same > MOST_CONSTANT * sum(len(text) for _, text in blocks):
-            return "\n\n".join(text for _, text in blocks)
-        return "\n\n".join(text for t, text in blocks if not t)
+        kept = [(node, text) for node, text in page.blocks if node.index in inside and not node.dropped and node.named < 2
+                and not (node.named and (whole or node.index in constant))]
+        titles = [node for node, _ in kept if node.tag == "h1"]
+        same = sum(len(text) for node, text in kept if node.index in constant)
+        if 2 * same > sum(len(text) for _, text in kept) and all(node.index in constant for node in titles):
+            return "\n\n".join(text for _, text in kept)
+        return "\n\n".join(text for node, text in kept if node.index not in constant)
 
 
 def extract_host(htmls: list[str | None]) -> list[str]:
@@ -207,15 +227,21 @@ def _extract(table: pa.Table) -> pa.Table:
         "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text, n_chars."""
+def dealt_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The pages with their host and the chunk of it that they go to."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("_host"))
+    chunks = F.ceil(F.greatest(F.col("_n") / CHUNK, F.col("_bytes") / CHUNK_BYTES))
     large = staged(
-        rows.groupBy("_host").agg(F.count("*").alias("_n")).filter(F.col("_n") > CHUNK)
-        .select("_host", F.ceil(F.col("_n") / CHUNK).alias("_chunks")), "large-hosts")  # few: broadcast if its files are small
-    chunk = F.pmod(F.xxhash64("page_id"), F.coalesce("_chunks", F.lit(1)))
-    dealt = rows.join(large, "_host", "left").withColumn("_chunk", chunk).drop("_chunks")
+        rows.groupBy("_host").agg(F.count("*").alias("_n"), F.sum(F.octet_length("html")).alias("_bytes"))
+        .select("_host", chunks.alias("_chunks")).filter("_chunks > 1"), "large-hosts")  # few: broadcast if its files are small
+    chunk = F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("_chunks", F.lit(1)))
+    return rows.join(large, "_host", "left").withColumn("_chunk", chunk).drop("_chunks")
+
+
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: id, url, text, n_chars."""
+    dealt = dealt_pages(pages, id_col, url_col, html_col)
     return dealt.groupBy("_host", "_chunk").applyInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

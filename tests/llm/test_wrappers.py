@@ -1,3 +1,5 @@
+import pytest
+
 from corrag.llm.pagetree import Page, aligned, match_trees
 from corrag.llm.wrappers import extract_host, extract_pages
 
@@ -143,3 +145,63 @@ def test_constants_of_a_second_layout_and_of_places_missing_on_the_median_page()
     # The larger half of the pages lacks some nodes, so the median page does.
     mixed = [one(i, i % 2 == 0).replace("<p>First", "<p>x</p>" * (0 if i % 2 == 0 else 5) + "<p>First") for i in range(31)]
     assert not any("terms" in t for t in extract_host(mixed))
+
+
+NAMES = ("comments", "comments-area", "comment-list", "sidebar", "related-posts", "share-buttons", "ad-slot", "widget-area",
+         "cookie-bar", "advert", "newsletter-box", "discussion", "reply-list")
+
+
+def prose(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+def furniture(name, i, entries=8, words=25):
+    parts = "".join(f'<div class="entry"><h4>{prose(f"{name}{i}{k}", 2)}</h4><p>{prose(f"{i}{name}{k}", words)}</p></div>' for k in range(entries))
+    return f'<div class="{name}">{parts}</div>'
+
+
+@pytest.mark.parametrize("pages", [20, 3])
+@pytest.mark.parametrize("name", NAMES)
+def test_furniture_goes_inside_and_beside_the_article_however_long(name, pages):
+    inner = [f"<h1>{prose(i, 4)}</h1><p>{prose(-i, 35)}</p>" for i in range(pages)]
+    want = [f"{prose(i, 4)}\n\n{prose(-i, 35)}" for i in range(pages)]
+    for shell in ("<article>{0}</article>{1}", "<article>{0}{1}</article>", '<div class="content">{0}{1}</div>',
+                  '<div class="content">{0}</div>{1}', "<main><article>{0}</article>{1}</main>"):
+        made = [f"<html><body><nav>Menu</nav>{shell.format(a, furniture(name, i, 4 + i % 5))}<footer>f</footer></body></html>"
+                for i, a in enumerate(inner)]
+        assert extract_host(made) == want, shell
+
+
+def test_an_unnamed_list_beside_a_headed_article_does_not_win():
+    made = [f"<body><article><h1>{prose(i, 4)}</h1><p>{prose(-i, 35)}</p></article>{furniture('talk', i)}</body>" for i in range(20)]
+    assert extract_host(made) == [f"{prose(i, 4)}\n\n{prose(-i, 35)}" for i in range(20)]
+
+
+@pytest.mark.parametrize("words", [160, 80, 40, 20])
+def test_a_legal_notice_goes_whatever_the_length_of_the_article(words):
+    legal = f"<p>{prose('legal', 40)}</p>"
+    made = [f"<body><article><h1>{prose(i, 4)}</h1><p>{prose(-i, words)}</p>{legal}</article></body>" for i in range(20)]
+    assert extract_host(made) == [f"{prose(i, 4)}\n\n{prose(-i, words)}" for i in range(20)]
+
+
+def test_notices_of_prose_and_odd_names_stay_in_the_article():
+    body = ('<h1>{0}</h1><div class="notice"><p>{1}</p></div><div class="no-sidebar"><p>{2}</p></div><p class="search">{3}</p>'
+            '<section id="comments"><h2>{4}</h2></section><div class="commentary"><p>{5}</p></div>')
+    parts = [[prose(f"{i}/{k}", 12) for k in range(6)] for i in range(12)]
+    made = [f"<body><article>{body.format(*p)}</article></body>" for p in parts]
+    assert extract_host(made) == ["\n\n".join(p) for p in parts]
+
+
+def test_chunks_are_bounded_by_bytes_and_null_ids_are_spread(spark, monkeypatch):
+    from corrag.llm import wrappers
+
+    monkeypatch.setattr(wrappers, "CHUNK_BYTES", 8000)
+    rows = [(None, "http://h.example/a", page(i, f"<h1>{prose(i, 3)}</h1><p>{prose(-i, 60)}</p>"), None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, extra string")
+    dealt = wrappers.dealt_pages(frame).groupBy("_host", "_chunk").agg({"html": "count"}).collect()
+    assert len(dealt) >= 4 and max(r[2] for r in dealt) <= 20
+    found = sorted(r.text for r in extract_pages(frame).collect())
+    assert found == sorted(f"{prose(i, 3)}\n\n{prose(-i, 60)}" for i in range(60))
