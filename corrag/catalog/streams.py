@@ -12,7 +12,7 @@ from corrag.catalog.dialogue import turn_events
 from corrag.catalog.registry import query
 from corrag.session import new_shared_path
 from corrag.sources.tablelog import read_table
-from corrag.streaming.common import append_to, stream_table
+from corrag.streaming.common import append_to, stream_parquet
 from corrag.streaming.ingest import stream_ingest
 from corrag.streaming.limits import rate_windows, stream_rate_limits
 from corrag.streaming.turns import stream_turns
@@ -32,7 +32,7 @@ def _requests(events: DataFrame) -> DataFrame:
 
 
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return stream_table(spark, sf, "events.parquet", tables.read(spark, sf, "events").schema)
+    return stream_parquet(spark, f"{sf}/events.parquet", tables.read(spark, sf, "events").schema)
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -87,7 +87,7 @@ def stream_turns_query(spark: SparkSession, sf: str) -> DataFrame:
 SELECT paper_id, chunk_type, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS tokens FROM page_chunks GROUP BY ALL""")
 def stream_ingest_query(spark: SparkSession, sf: str) -> DataFrame:
     """All pages as a stream into a fresh store; chunk counts per paper."""
-    pages = stream_table(spark, sf, "pages.parquet", tables.read(spark, sf, "pages").schema).select(
+    pages = stream_parquet(spark, f"{sf}/pages.parquet", tables.read(spark, sf, "pages").schema).select(
         F.col("page_id").cast("string").alias("paper_id"), "html")
     path = new_shared_path(spark, "stream-ingest")
     stream_ingest(pages, path, f"{path}-checkpoint", root="article", buckets=16,

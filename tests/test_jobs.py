@@ -15,7 +15,7 @@ from corrag.plans.ingest import ingest_to_store
 from corrag.session import new_shared_path
 from corrag.sources.store import read_store, upsert_paper_chunks, upsert_store, write_store
 from corrag.sources.tablelog import read_table
-from corrag.streaming.common import append_to, stream_table
+from corrag.streaming.common import append_to, stream_parquet, stream_table
 from corrag.streaming.ingest import stream_ingest
 from corrag.streaming.limits import stream_rate_limits
 from corrag.streaming.turns import stream_turns
@@ -175,6 +175,29 @@ def test_stream_ingest_replaces(spark, rows):
     assert rows(chunks.filter("chunk_type = 'child'"), "paper_id", "text") == [("a", "second"), ("b", "bb")]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_streams_as_one_file_or_as_a_folder(spark, rows, tmp_path, files):
+    from __spark_entry__ import queries
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"<article><h1>T</h1>word {i}</article>") for i in range(6)],
+                                  "page_id long, url string, html string").repartition(files)
+    pages.write.parquet(str(tmp_path / "pages.parquet" if files > 1 else tmp_path / "parts"))
+    if files == 1:
+        next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "pages.parquet")
+    streamed = stream_parquet(spark, str(tmp_path / "pages.parquet"), pages.schema)
+    out = run_on(spark, streamed.select("page_id"))
+    assert rows(out, "page_id") == [(i,) for i in range(6)]
+    columns = "paper_id", "chunk_type", "n_chunks", "tokens"
+    assert rows(queries()["stream_ingest"](spark, str(tmp_path)), *columns) == sorted(
+        [(str(i), "child", 1, 2) for i in range(6)] + [(str(i), "parent", 2, 2) for i in range(6)], key=repr)
+
+
+def run_on(spark, stream):
+    path = new_shared_path(spark, "streamed")
+    append_to(stream, path, f"{path}-checkpoint", available_now=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 SMOKE = ["bm25_topk", "dense_topk", "filter_blocks", "line_blocks", "page_blocks", "paper_upsert", "intent",
          "context_budget", "history_trim", "attribution", "grading_metrics", "sessions_list", "rate_windows"]
 
