@@ -18,6 +18,7 @@ from corrag.operators.blockmatch import (
     SCORE_DIGITS, BestPerQuery, matrix_of, score_block, unit_rows)
 from corrag.operators.impacts import impact_search
 from corrag.operators.postings import postings, sparse_encode_queries
+from corrag.operators.termmatch import TERM_BLOCK, scored_parts, term_block
 from corrag.operators.topk import top_k
 from corrag.session import staged
 
@@ -26,8 +27,6 @@ RRF_K = 60
 
 # Queries of a block, which travels to the workers with the task.
 QUERY_BLOCK = 4096
-# The same for the terms of queries.
-TERM_BLOCK = 200_000
 
 
 def _best_first(id_col: str) -> list[Column]:
@@ -140,48 +139,18 @@ def sparse_search(
 
 def _sparse_block(query_terms: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` of every task for one block of query terms."""
-    columns, first = query_terms.columns, query_terms.toArrow()
-    entries = first.sort_by("term").combine_chunks()
-    asked = entries.column("query_id").to_pylist()
-    query_ids = list(dict.fromkeys(asked))
-    place = {query: i for i, query in enumerate(query_ids)}
-    vocabulary = entries.column("term").unique()
-    term_of = pc.index_in(entries.column("term"), vocabulary).to_numpy()
-    scopes = dict(zip(asked, entries.column("scope").to_pylist())) if "scope" in columns else {}
-    shipped = query_terms.sparkSession.sparkContext.broadcast((
-        vocabulary, np.searchsorted(term_of, np.arange(len(vocabulary) + 1)),
-        np.array([place[q] for q in asked], dtype=np.int64), entries.column("weight").to_numpy(),
-        {place[q]: scope for q, scope in scopes.items() if scope is not None}))
+    shipped = query_terms.sparkSession.sparkContext.broadcast(term_block(query_terms.toArrow()))
     schema = _hit_schema(query_terms, vectors)
     arrow_schema = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, start_of, entry_query, entry_weight, scoped = shipped.value
-        best = BestPerQuery(len(query_ids), limit)
-        step = max(1, 4_000_000 // max(1, len(query_ids)))
-        for records in batches:
+        block = shipped.value
+        best = BestPerQuery(len(block.query_ids), limit)
+        for records in batches if block.query_ids else ():
             records = records.take(pc.sort_indices(records.column("chunk_id")))
-            for begin in range(0, records.num_rows if query_ids else 0, step):
-                part = records.slice(begin, step)
-                ids = list(zip(*(part.column(c).to_pylist() for c in ("chunk_id", "paper_id"))))
-                terms = part.column("terms")
-                found = pc.index_in(terms.flatten(), vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-                lengths = np.asarray(terms.value_lengths().fill_null(0), dtype=np.int64)
-                rows = np.repeat(np.arange(len(ids)), lengths)[found >= 0]
-                weights = part.column("weights").flatten().to_numpy(zero_copy_only=False)[found >= 0]
-                found = found[found >= 0]
-                # Every stored term meets each query that has it.
-                fan = start_of[found + 1] - start_of[found]
-                entry = np.arange(fan.sum()) + np.repeat(start_of[found] - (np.cumsum(fan) - fan), fan)
-                cell = entry_query[entry] * len(ids) + np.repeat(rows, fan)
-                scores = np.bincount(cell, np.repeat(weights, fan) * entry_weight[entry],
-                                     len(query_ids) * len(ids)).reshape(len(query_ids), len(ids))
-                scores = np.round(scores.astype(np.float64), SCORE_DIGITS)
-                scores[scores <= 0] = -np.inf
-                for query, scope in scoped.items():
-                    scores[query, [str(paper) != scope for _, paper in ids]] = -np.inf
+            for _, ids, scores in scored_parts(block, records):
                 best.offer(scores, ids)
-        found = [(query_ids[q], *hit, -minus) for q, hits in best.kept.items() for minus, hit in hits]
+        found = [(block.query_ids[q], *hit, -minus) for q, hits in best.kept.items() for minus, hit in hits]
         if found:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[i] for f in found], type=field.type)
