@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corrag.functions.text import (
-    CHILD_OVERLAP, CHILD_TOKENS, Tokenizer, count_tokens, spaced_tokens, split_tokens, tokens)
+    CHILD_OVERLAP, CHILD_TOKENS, Tokenizer, count_tokens, spaced_tokens, split_counted, split_tokens, tokens)
 
 _CHUNK_COLUMNS = ("chunk_id", "paper_id", "chunk_type", "content_type", "media_url",
                   "section_name", "text", "parent_chunk_id", "token_count")
@@ -32,17 +32,23 @@ def child_chunks(
 
     The outer explode keeps the planner from adding a filter that would cut every text twice.
     """
-    windows = F.when(
-        F.col("content_type") == "text",
-        split_tokens(F.col("text"), max_tokens, overlap, splitter)).otherwise(F.array("text"))
+    # Pieces with their white space are one token each, so a window's tokens need no second count.
+    counted = tokenizer is tokens and splitter is spaced_tokens
+    text = F.col("text")
+    if counted:
+        windows = F.when(F.col("content_type") == "text", split_counted(text, max_tokens, overlap)).otherwise(
+            F.array(F.struct("text", count_tokens(text).alias("n"))))
+    else:
+        windows = F.when(F.col("content_type") == "text", split_tokens(text, max_tokens, overlap, splitter)).otherwise(F.array("text"))
     cut = blocks.select(
         "paper_id", "content_type", "media_url", "section_name",
-        _parent_id().alias("parent_chunk_id"), F.posexplode_outer(windows).alias("child_idx", "text"))
-    return cut.filter(F.col("text").isNotNull()).select(
+        _parent_id().alias("parent_chunk_id"), F.posexplode_outer(windows).alias("child_idx", "_w"))
+    window = F.col("_w.text") if counted else F.col("_w")
+    return cut.filter(window.isNotNull()).select(
         F.concat_ws("#", "parent_chunk_id", F.col("child_idx").cast("string")).alias("chunk_id"),
         "paper_id", F.lit("child").alias("chunk_type"), "content_type", "media_url",
-        "section_name", "text", "parent_chunk_id",
-        count_tokens(F.col("text"), tokenizer).alias("token_count"))
+        "section_name", window.alias("text"), "parent_chunk_id",
+        (F.col("_w.n") if counted else count_tokens(window, tokenizer)).alias("token_count"))
 
 
 def abstract_chunks(papers: DataFrame, tokenizer: Tokenizer = tokens) -> DataFrame:

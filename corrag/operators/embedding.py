@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,37 +12,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrag.functions.text import words
+from corrag.operators.batches import WORDS_AT_ONCE, by_slices, list_lengths
+from corrag.operators.postings import stage_term_counts, tally_words
+from corrag.session import staged
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 DEFAULT_DIM = 256
 
 
-def hashed_features(text: Column, dim: int) -> Column:
-    """One code per word, ``2 * bucket + sign bit``, both taken from the word's MD5."""
-    def code(word: Column) -> Column:
-        digest = F.md5(word)
-        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
-        negative = F.conv(F.substring(digest, 9, 1), 16, 10).cast("bigint") % 2
-        return (bucket * 2 + negative).cast("int")
+def _codes(vocabulary: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of words, both taken from the word's MD5."""
+    digests = b"".join(hashlib.md5(word, usedforsecurity=False).digest() for word in vocabulary.cast(pa.binary()).to_pylist())
+    digests = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)
+    buckets = digests[:, :4].copy().view(">u4").ravel().astype(np.int64) % dim
+    return buckets, 1.0 - 2.0 * ((digests[:, 4] >> 4) & 1)
 
-    return F.transform(words(text), code)
 
+def hash_words(found: Column, dim: int = DEFAULT_DIM) -> Column:
+    """Signed feature counts of a list of words, scaled to unit length (Weinberger et al., 2009).
 
-def hash_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """Signed feature counts scaled to unit length (Weinberger et al., 2009).
-
-    Words and hashes are computed by the engine; only the integer codes go to the worker,
-    which counts a whole batch at once. Row by row, so no shuffle.
+    The worker hashes each distinct word of a slice once and counts the slice at once. Row by
+    row, so no shuffle.
     """
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def counts(codes: pa.Array) -> pa.Array:
-        rows = len(codes)
-        lengths = np.asarray(codes.value_lengths().fill_null(0), dtype=np.int64)
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        cells = np.repeat(np.arange(rows, dtype=np.int64), lengths) * dim + flat // 2
-        signs = 1.0 - 2.0 * (flat % 2)
-        matrix = np.bincount(cells, weights=signs, minlength=rows * dim)
+    def count(lists: pa.Array) -> pa.Array:
+        rows, lengths = len(lists), list_lengths(lists)
+        flat = lists.flatten().dictionary_encode()
+        buckets, signs = _codes(flat.dictionary, dim)
+        word = flat.indices.to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(rows, dtype=np.int64), lengths) * dim + buckets[word]
+        matrix = np.bincount(cells, weights=signs[word], minlength=rows * dim)
         matrix = matrix.astype(np.float64).reshape(rows, dim)
         norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
@@ -49,7 +49,16 @@ def hash_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
         return pa.ListArray.from_arrays(
             pa.array(offsets), pa.array(matrix.astype(np.float32).ravel()))
 
-    return counts(hashed_features(text, dim))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(lists: pa.Array) -> pa.Array:
+        return by_slices(lists, list_lengths(lists), WORDS_AT_ONCE, count)
+
+    return vectors(found)
+
+
+def hash_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """``hash_words`` of the words of a text, which the engine cuts."""
+    return hash_words(words(text), dim)
 
 
 def embed(
@@ -73,10 +82,28 @@ def embed(
     return df.mapInArrow(run, schema)
 
 
+VECTOR_COLUMNS = ("chunk_id", "paper_id", "section_name", "chunk_type", "content_type", "dense_vector")
+
+
 def embed_children(
     chunks: DataFrame, embedder: Embedder | None = None, batch: int = 128, dim: int = DEFAULT_DIM,
 ) -> DataFrame:
     """The vector table: children only, parents are never embedded."""
     children = chunks.filter(F.col("chunk_type") == "child")
-    return embed(children, "text", embedder, batch, dim).select(
-        "chunk_id", "paper_id", "section_name", "chunk_type", "content_type", "dense_vector")
+    return embed(children, "text", embedder, batch, dim).select(*VECTOR_COLUMNS)
+
+
+def index_children(
+    chunks: DataFrame, embedder: Embedder | None = None, dim: int = DEFAULT_DIM,
+) -> tuple[DataFrame, DataFrame]:
+    """The vector table and the term counts of the children, staged. Without a plug-in both come
+    from one pass, which cuts the words once."""
+    children = chunks.filter(F.col("chunk_type") == "child")
+    if embedder is not None:
+        return staged(embed_children(chunks, embedder, dim=dim), "vectors"), stage_term_counts(children)
+    split = children.select(*VECTOR_COLUMNS[:-1], words(F.coalesce("text", F.lit(""))).alias("_words"))
+    indexed = split.select(
+        *VECTOR_COLUMNS[:-1], hash_words(F.col("_words"), dim).alias("dense_vector"),
+        F.size("_words").alias("length"), tally_words(F.col("_words")).alias("_t"))
+    index = staged(indexed.select(*VECTOR_COLUMNS, "length", "_t.terms", "_t.tfs"), "index")
+    return index.select(*VECTOR_COLUMNS), index.select("chunk_id", "paper_id", "length", "terms", "tfs")

@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corrag.functions.text import strip_ws, words
+from corrag.operators.batches import WORDS_AT_ONCE, by_slices, list_lengths
 from corrag.session import staged
 
 # --- Fixed values -------------------------------------------------------------------------
@@ -16,20 +18,15 @@ BM25_K1, BM25_B = 1.2, 0.75
 
 
 def saturation(
-    tf: Column, length: Column, avg_len: Column, k1: float = BM25_K1, b: float = BM25_B,
-) -> Column:
+    tf: np.ndarray, length: np.ndarray, avg_len: np.ndarray, k1: float = BM25_K1, b: float = BM25_B,
+) -> np.ndarray:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
 
 
-def count_terms(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: ``chunk_id, paper_id, length, terms, tfs``.
-
-    The engine cuts the words; the worker tallies a whole batch of word lists at once. The
-    work is row by row, so building the index needs no shuffle.
-    """
-    @F.arrow_udf("struct<terms:array<string>,tfs:array<int>>")
-    def tally(lists: pa.Array) -> pa.Array:
-        lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+def tally_words(found: Column) -> Column:
+    """A list of words as ``terms, tfs``, counted in slices of a batch."""
+    def count(lists: pa.Array) -> pa.Array:
+        lengths = list_lengths(lists)
         flat = lists.flatten().dictionary_encode()
         size = max(1, len(flat.dictionary))
         rows = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
@@ -40,8 +37,22 @@ def count_terms(chunks: DataFrame) -> DataFrame:
             pa.ListArray.from_arrays(offsets, flat.dictionary.take(pa.array(keys % size))),
             pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))], ["terms", "tfs"])
 
+    @F.arrow_udf("struct<terms:array<string>,tfs:array<int>>")
+    def tally(lists: pa.Array) -> pa.Array:
+        return by_slices(lists, list_lengths(lists), WORDS_AT_ONCE, count)
+
+    return tally(found)
+
+
+def count_terms(chunks: DataFrame) -> DataFrame:
+    """One row per chunk: ``chunk_id, paper_id, length, terms, tfs``.
+
+    The engine cuts the words; the worker tallies word lists in slices of a batch. The
+    work is row by row, so building the index needs no shuffle.
+    """
     split = chunks.select("chunk_id", "paper_id", words(F.coalesce("text", F.lit(""))).alias("_words"))
-    tallied = split.select("chunk_id", "paper_id", F.size("_words").alias("length"), tally("_words").alias("_t"))
+    tallied = split.select(
+        "chunk_id", "paper_id", F.size("_words").alias("length"), tally_words(F.col("_words")).alias("_t"))
     return tallied.select("chunk_id", "paper_id", "length", "_t.terms", "_t.tfs")
 
 
@@ -61,9 +72,16 @@ def sparse_encode_documents(
     """
     counts = count_terms(chunks) if counts is None else counts
     mean = F.lit(float(avg_len)) if avg_len is not None else counts.agg(F.avg("length")).scalar()
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def weigh(tfs: pa.Array, length: pa.Array, mean: pa.Array) -> pa.Array:
+        sizes = list_lengths(tfs)
+        tf = tfs.flatten().to_numpy(zero_copy_only=False)
+        length, mean = (np.repeat(x.to_numpy(zero_copy_only=False), sizes) for x in (length, mean))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(saturation(tf, length, mean, k1, b), pa.float64()))
+
     base = counts.withColumn("_mean", mean)
-    return base.select("chunk_id", "paper_id", "terms", F.transform("tfs", lambda tf: saturation(
-        tf, F.col("length"), F.col("_mean"), k1, b)).alias("weights"))
+    return base.select("chunk_id", "paper_id", "terms", weigh("tfs", "length", "_mean").alias("weights"))
 
 
 def postings(vectors: DataFrame) -> DataFrame:

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from corrag import schemas
 from corrag.functions.text import CHILD_OVERLAP, CHILD_TOKENS
 from corrag.operators.chunking import chunk_blocks, ingestion_status
-from corrag.operators.embedding import DEFAULT_DIM, Embedder, embed_children
+from corrag.operators.embedding import DEFAULT_DIM, Embedder, index_children
 from corrag.operators.filters import filter_blocks
-from corrag.operators.postings import (
-    sparse_encode_documents, stage_term_counts, term_statistics)
+from corrag.operators.postings import sparse_encode_documents, term_statistics
 from corrag.session import staged
 from corrag.sources.store import STORE_BUCKETS
 from corrag.sources.tablelog import compact, read_commits, read_table
@@ -63,12 +62,11 @@ def build_corpus(papers: DataFrame, blocks: DataFrame, settings: Settings = Sett
     """Filter, chunk, embed and index. Each table is written once and read from then on."""
     chunks = staged(chunk_blocks(papers, filter_blocks(blocks), settings.max_tokens, settings.overlap),
                     "chunks")
-    vectors = staged(embed_children(chunks, settings.embedder, dim=settings.dim), "vectors")
-    children = chunks.filter(F.col("chunk_type") == "child")
+    vectors, counts = index_children(chunks, settings.embedder, settings.dim)
     status = ingestion_status(papers, chunks)
     known = papers.drop("ingestion_status").join(
         status.select("paper_id", "ingestion_status"), "paper_id")
-    return Corpus(known, chunks, vectors, stage_term_counts(children), settings)
+    return Corpus(known, chunks, vectors, counts, settings)
 
 
 def open_corpus(spark: SparkSession, store: str, settings: Settings = Settings(),

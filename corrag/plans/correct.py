@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corrag.functions.rules import MAX_RETRIES, wants_recent
 from corrag.operators.filters import filter_blocks
 from corrag.operators.chunking import chunk_blocks, ingestion_status
-from corrag.operators.embedding import embed_children
+from corrag.operators.embedding import index_children
 from corrag.operators.postings import (
     sparse_encode_documents, sparse_encode_queries, stage_term_counts, term_statistics)
 from corrag.operators.search import sparse_search
@@ -98,8 +98,7 @@ def ingest_into(corpus: Corpus, papers: DataFrame, blocks: DataFrame) -> Corpus:
     new_blocks = blocks.join(ids, "paper_id", "left_semi")
     chunks = staged(chunk_blocks(
         fresh, filter_blocks(new_blocks), settings.max_tokens, settings.overlap), "new-chunks")
-    vectors = staged(embed_children(chunks, settings.embedder, dim=settings.dim), "new-vectors")
-    counts = stage_term_counts(chunks.filter(F.col("chunk_type") == "child"), "new-terms")
+    vectors, counts = index_children(chunks, settings.embedder, settings.dim)
     status = ingestion_status(fresh, chunks).select("paper_id", "ingestion_status")
     rows = staged(fresh.drop("ingestion_status").join(status, "paper_id").select(
         *corpus.papers.columns), "new-rows")

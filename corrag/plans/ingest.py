@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from corrag import schemas
 from corrag.operators.blocks import extract_with_fallback, lines_to_blocks, page_blocks_of, read_pages, unreadable
 from corrag.operators.chunking import chunk_blocks, ingestion_status
-from corrag.operators.embedding import embed_children
+from corrag.operators.embedding import index_children
 from corrag.operators.filters import filter_blocks
-from corrag.operators.postings import count_terms
 from corrag.plans.corpus import Settings
 from corrag.session import staged
 from corrag.sources.store import STORE_BUCKETS, papers_to_replace
@@ -21,10 +20,16 @@ def ingest_blocks(
     papers: DataFrame, blocks: DataFrame, settings: Settings = Settings(), failed: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(status, chunks, vectors)`` of the papers; chunks and vectors are computed once."""
+    return _ingest_blocks(papers, blocks, settings, failed)[:3]
+
+
+def _ingest_blocks(
+    papers: DataFrame, blocks: DataFrame, settings: Settings, failed: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same and the term counts of the children."""
     chunks = staged(chunk_blocks(papers, filter_blocks(blocks), settings.max_tokens, settings.overlap),
                     "ingested")
-    vectors = staged(embed_children(chunks, settings.embedder, dim=settings.dim), "ingested-vectors")
-    return ingestion_status(papers, chunks, failed), chunks, vectors
+    return ingestion_status(papers, chunks, failed), chunks, *index_children(chunks, settings.embedder, settings.dim)
 
 
 def ingest_pages(
@@ -33,6 +38,12 @@ def ingest_pages(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same for pages, with text lines as fallback. Pages are taken apart once; a page that cannot be
     read, and has no lines to stand in, makes its paper ``failed``."""
+    return _ingest_pages(papers, pages, lines, settings, root, failed)[:3]
+
+
+def _ingest_pages(
+    papers: DataFrame, pages: DataFrame, lines: DataFrame | None, settings: Settings, root: str, failed: DataFrame | None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     read = staged(read_pages(pages, root), "blocks")
     blocks, broken = page_blocks_of(read), unreadable(read).select("paper_id")
     if lines is not None:
@@ -40,14 +51,14 @@ def ingest_pages(
         blocks = extract_with_fallback(blocks, spare)
         broken = broken.join(spare.select("paper_id").distinct(), "paper_id", "left_anti")
     failed = broken if failed is None else failed.select("paper_id").unionByName(broken)
-    return ingest_blocks(papers, blocks, settings, failed)
+    return _ingest_blocks(papers, blocks, settings, failed)
 
 
 def write_run(
     spark: SparkSession, store: str, papers: DataFrame, status: DataFrame, chunks: DataFrame,
-    vectors: DataFrame, buckets: int = STORE_BUCKETS,
+    vectors: DataFrame, counts: DataFrame, buckets: int = STORE_BUCKETS,
 ) -> None:
-    """Replace the papers of a run in the four tables of a store: chunks, vectors, terms and papers.
+    """Replace the papers of a run in the four tables of a store: chunks, vectors, terms (``counts``) and papers.
 
     All four become visible with one commit. The cost follows the run's own rows.
     """
@@ -55,9 +66,8 @@ def write_run(
     known = known.select(*(
         F.col(f.name) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schemas.STORED_PAPERS))
-    terms = count_terms(chunks.filter(F.col("chunk_type") == "child"))
     rows = {"chunks": (chunks, schemas.CHUNKS), "vectors": (vectors, schemas.VECTORS),
-            "terms": (terms, schemas.TERM_COUNTS), "papers": (known, schemas.STORED_PAPERS)}
+            "terms": (counts, schemas.TERM_COUNTS), "papers": (known, schemas.STORED_PAPERS)}
     append_run(spark, store, {name: table.select(*(f.name for f in schema.fields)) for name, (table, schema) in rows.items()},
                papers, buckets)
 
@@ -76,7 +86,7 @@ def ingest_to_store(
     ids = papers_to_replace(papers, existing_papers, force)
     fresh, mine = papers.join(ids, "paper_id", "left_semi"), pages.join(ids, "paper_id", "left_semi")
     read = None if lines is None else lines.join(ids, "paper_id", "left_semi")
-    write_run(spark, store, fresh, *ingest_pages(fresh, mine, read, settings, root, failed), buckets)
+    write_run(spark, store, fresh, *_ingest_pages(fresh, mine, read, settings, root, failed), buckets)
 
 
 def ingest_blocks_to_store(
@@ -86,4 +96,4 @@ def ingest_blocks_to_store(
     """The same for papers that are blocks already."""
     ids = papers_to_replace(papers, existing_papers, force)
     fresh, mine = papers.join(ids, "paper_id", "left_semi"), blocks.join(ids, "paper_id", "left_semi")
-    write_run(spark, store, fresh, *ingest_blocks(fresh, mine, settings), buckets)
+    write_run(spark, store, fresh, *_ingest_blocks(fresh, mine, settings), buckets)
