@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corrag.operators.batches import BYTES_AT_ONCE, by_slices, text_sizes
+
 
 def batch_scorer(score: Callable[[Sequence[str], Sequence[str]], Sequence[float]]) -> Callable[[Column, Column], Column]:
     """``score(queries, texts)`` for a batch of pairs, as a scorer for ``rerank``."""
@@ -25,11 +28,17 @@ def batch_scorer(score: Callable[[Sequence[str], Sequence[str]], Sequence[float]
 
 
 def batch_tokenizer(tokenize: Callable[[Sequence[str]], Sequence[Sequence[str]]]) -> Callable[[Column], Column]:
-    """``tokenize(texts)`` for a batch. Pieces that keep their white space can also serve as
+    """``tokenize(texts)`` for slices of a batch. Pieces that keep their white space can also serve as
     the splitter, since joined pieces then give the text back."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([list(pieces) for pieces in tokenize(text.fillna("").tolist())])
+    kind = pa.list_(pa.string())
+
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([list(pieces) for pieces in tokenize(texts.to_pylist())], kind)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(text: pa.Array) -> pa.Array:
+        known = text.fill_null("")
+        return by_slices(known, text_sizes(known), BYTES_AT_ONCE, cut)
 
     return run
 

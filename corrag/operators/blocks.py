@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corrag.functions.markup import HTML_BASE, clean_markup, resolve_media_url, rows_to_markdown
 from corrag.functions.text import strip_ws
+from corrag.operators.batches import BYTES_AT_ONCE, slices, text_sizes
 from corrag.operators.topk import joined_in_order
 from corrag.session import staged
 
@@ -187,15 +188,16 @@ def read_pages(pages: DataFrame, root: str = "section", base: str = HTML_BASE) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in batches:
-            rows = []
-            for paper_id, html in zip(*(records.column(c).to_pylist() for c in ("paper_id", "html"))):
-                try:
-                    parts = list(_raw_blocks(html, root))
-                except Exception as broken:
-                    parts = [{"kind": _ERROR, "text": f"{type(broken).__name__}: {broken}"}]
-                rows += [{"paper_id": paper_id, "block_idx": i, **part} for i, part in enumerate(parts)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+            for start, end in slices(text_sizes(records.column("html")), BYTES_AT_ONCE):
+                part, rows = records.slice(start, end - start), []
+                for paper_id, html in zip(*(part.column(c).to_pylist() for c in ("paper_id", "html"))):
+                    try:
+                        found = list(_raw_blocks(html, root))
+                    except Exception as broken:
+                        found = [{"kind": _ERROR, "text": f"{type(broken).__name__}: {broken}"}]
+                    rows += [{"paper_id": paper_id, "block_idx": i, **block} for i, block in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
     cleaned = pages.filter(F.col("html").isNotNull()).select(
         "paper_id", clean_markup(F.col("html")).alias("html"))
