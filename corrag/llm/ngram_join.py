@@ -11,17 +11,18 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|``. Equal sets form
    tokens, whether they link or not. Links with leaders are checked and give clusters; clusters that
    follow the same one are a group of similar documents, kept in parts of about ``PART_ROWS`` members.
    A cluster larger than that has parts of its own.
-3. Matrix. Token unions of parts: two parts meet where a rare token of a member is a rare token of a
-   member of another cluster. A query set of the one is held against the other if it shares enough
-   tokens with its union. The part's shingle union then bounds the overlap: if
-   ``|Q & union| < percent / 100 * |Q|`` no member can link with Q and the part stays closed to it.
-4. Qualifying parts are opened and their members compared exactly, a pair of parts at a time. Links
-   that the pair already connects are not listed.
+3. Sketches. Two parts meet where a rare token of a member is a rare token of a member of another
+   cluster. What travels then is one bit an element or two: the parity of the elements that fall on each
+   place. Places where two sketches are unlike are never more than elements that differ, so a pair of
+   sets with too many of them can not link. A part is held once against many that ask.
+4. The sets that this leaves are compared exactly, those of a part with all that ask it. Links that a
+   group of sets already connects are not listed.
 
 Members of one cluster are connected already, so pairs within it are never tried: a third of all
 documents may be near copies of each other. Parts travel packed, so a family of similar texts that do
-not link costs rows by its parts, not by its members. Tokens are combined before they are shuffled, so
-a frequent one sends one entry per block of documents.
+not link costs rows by its parts, not by its members, and elements travel only for sets with a sketch
+like their own elsewhere. Tokens are combined before they are shuffled, so a frequent one sends one entry
+per block of documents; they are computed on the way there and stored nowhere.
 
 Defined results: null text, and text without words, has the empty set and links with nothing. A text
 with fewer words than a shingle has its whole word sequence as its only element. Equal texts and
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corrag.llm.common import discard, mix, read_table, slices
@@ -46,8 +48,8 @@ from corrag.session import staged
 SPAN = 1.5
 #: Members of a part of a group, and their elements, on average.
 PART_ROWS, PART_ELEMENTS = 256, 1 << 18
-#: Share of the segments, about, that two sets have in common to be of one group.
-GROUP_SHARE = 0.3
+#: Sets that ask a part at once, on average.
+ASKING_ROWS = 1024
 #: Tokens that meet in one reducer block, for the number of buckets.
 BUCKET_ROWS = 1 << 18
 _LOW = np.int64((1 << 48) - 1)
@@ -107,24 +109,37 @@ def segment_tokens(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(tokens)
 
 
-def _describe(size: int, percent: int):
-    """Batches of (id, text) to one row per document: id, n_shingles, two hashes of the set, tokens."""
+def _described(batches, size: int):
+    """(ids, sets) of slices of batches of (id, text)."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for a, b in slices([len(t or "") for t in texts], BLOCK):
+            yield ids.slice(a, b - a), shingle_sets(texts[a:b], size)
+
+
+def _describe(size: int):
+    """Batches of (id, text) to one row per document: id, n_shingles, two hashes of the set."""
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], BLOCK):
-                sets = shingle_sets(texts[a:b], size)
-                keys = np.array([_set_key(s) for s in sets], np.int64)
-                empty = np.array([not len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(keys[:, 0], mask=empty), pa.array(keys[:, 1], mask=empty),
-                     pa.array([segment_tokens(s, percent).tobytes() for s in sets], pa.binary())],
-                    names=["id", "n_shingles", "k1", "k2", "tokens"])
+        for ids, sets in _described(batches, size):
+            keys = np.array([_set_key(s) for s in sets], np.int64)
+            empty = np.array([not len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(keys[:, 0], mask=empty), pa.array(keys[:, 1], mask=empty)],
+                names=["id", "n_shingles", "k1", "k2"])
 
     return run
 
 
+def _about_tokens(percent: int):
+    """Column: how many tokens a set of ``n_shingles`` elements has, about."""
+    n = F.col("n_shingles")
+    segments = F.array(*(F.lit(class_segments(i, percent)[0]) for i in range(len(BOUNDS) - 1)))
+    own = F.size(F.filter(F.array(*map(F.lit, BOUNDS)), lambda b: b <= n)) - 1
+    last = F.size(F.filter(F.array(*map(F.lit, BOUNDS)), lambda b: b <= n * 100 / percent)) - 1
+    return F.when(n > 0, F.get(segments, own) + F.when(last > own, F.get(segments, last)).otherwise(0)).otherwise(0)
+
+
 _PACKED = "bucket int, packed binary, token long, key long"
 
 
@@ -159,8 +174,8 @@ def _entries(tokens: np.ndarray, bucket, keys: np.ndarray):
     return pa.array(tokens.view(np.int64) & _LOW | np.int64(bucket) << np.int64(48)), pa.array(keys)
 
 
-def _packed(buckets: int):
-    """Tokens of a block of documents, dealt to buckets. Of a token that several have, one goes to the
+def _packed(size: int, percent: int, buckets: int):
+    """Tokens of a block of documents, from batches of (id, text), dealt to buckets. Of a token that several have, one goes to the
     shuffle; all its entries are known to be shared and go along as they are."""
     def rows(bucket, packed, token, key):
         return pa.RecordBatch.from_arrays(
@@ -181,9 +196,11 @@ def _packed(buckets: int):
 
     def run(batches):
         held, total = [], 0
-        for batch in batches:
-            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((key, tokens))
+        for _, sets in _described(batches, size):
+            for elements in sets:
+                tokens = segment_tokens(elements, percent).tobytes()
+                if tokens:
+                    held.append((_set_key(elements)[0], tokens))
                 total += len(tokens)
                 if total > 8 << 20:
                     yield from flush(held)
@@ -223,17 +240,12 @@ def _set_key(elements: np.ndarray) -> tuple[np.int64, np.int64]:
 
 def _recompute(size: int):
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], BLOCK):
-                sets = shingle_sets(texts[a:b], size)
-                ends = np.cumsum([len(s) for s in sets])
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                keys = np.array([_set_key(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists],
-                    names=["first", "k1", "k2", "elements"])
+        for ids, sets in _described(batches, size):
+            ends = np.cumsum([len(s) for s in sets])
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            keys = np.array([_set_key(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], names=["first", "k1", "k2", "elements"])
 
     return run
 
@@ -301,28 +313,74 @@ def _promising(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _near_leaders(entries: DataFrame, percent: int) -> DataFrame:
-    """``a, b, shared``: each set with those that are the smallest of its tokens, if they share many."""
+    """``a, b, shared, enough``: each set with those that are the smallest of its tokens, how many they
+    share, and whether these are enough to link."""
     lead = entries.groupBy("token").agg(F.min("rep").alias("lead"))
-    shared = (entries.join(lead, "token").filter("rep != lead").groupBy(F.col("rep").alias("a"), F.col("lead").alias("b"), "n")
-              .agg(F.count("*").alias("shared")))
-    return shared.filter(F.col("shared") >= GROUP_SHARE * 2 * F.col("n") * (100 - percent) / (100 + percent)).select("a", "b", "shared")
+    of_class = (entries.join(lead, "token").filter("rep != lead")
+                .groupBy(F.col("rep").alias("a"), F.col("lead").alias("b"), _needed(percent).alias("need"), F.col("token").bitwiseAND(63).alias("k"))
+                .agg(F.count("*").alias("shared")))
+    return of_class.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max(F.expr("shared >= need")).alias("enough"))
 
 
-def _opened(percent: int):
-    """For a pair of parts: links between members of different clusters, as many as connect them."""
-    def members(column):
-        rows = column.combine_chunks().flatten()
-        lists = rows.field("elements")
-        ends = lists.offsets.to_numpy()
-        return rows.field("rep").to_numpy(), rows.field("comp").to_numpy(), lists.values.to_numpy(), ends
+def sketch(elements: np.ndarray, k: int) -> np.ndarray:
+    """The parity of the elements on each place, packed to words; a power of two of places for the class."""
+    places = max(64, 1 << int(BOUNDS[k + 1] - 1).bit_length())
+    odd = np.bincount((mix(elements) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _sketches(batches):
+    """``rep, k, comp, part, elements`` to ``rep, k, comp, part, n, bits``."""
+    for batch in batches:
+        rep, k, comp, part, elements = (batch.column(i) for i in range(5))
+        sets = [elements[i].values.to_numpy().view(np.uint64) for i in range(len(batch))]
+        yield pa.RecordBatch.from_arrays(
+            [rep, k, comp, part, pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([sketch(s, i).tobytes() for s, i in zip(sets, k.to_pylist())], pa.binary())],
+            names=["rep", "k", "comp", "part", "n", "bits"])
 
+
+def _asked(percent: int):
+    """For a part and those that ask it: the sets of both sides with a sketch close to one of another cluster."""
     def run(table: pa.Table) -> pa.Table:
         parts, group = table.column("part").to_numpy(), table.column("gp")[0].as_py()
-        at = int(np.flatnonzero(parts == group)[0])
-        reps, comps, values, ends = members(table.column("members").slice(at, 1))
-        q_reps, q_comps, q_values, q_ends = members(table.column("members").slice(len(parts) - 1 - at, 1))
+        sizes = [len(x) for x in table.column("members")]
+        rows = table.column("members").combine_chunks().flatten()
+        rep, comp, n = (rows.field(c).to_numpy() for c in ("rep", "comp", "n"))
+        bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(rep), -1)
+        held = np.repeat(parts == group, sizes)
+        g, q = np.flatnonzero(held), np.arange(len(rep))
+        if not table.column("self")[0].as_py():
+            q = np.flatnonzero(~held)
+        asking, met = [], np.zeros(len(g), bool)
+        step = max(1, (1 << 20) // max(1, len(g) * bits.shape[1]))
+        for at in range(0, len(q), step):
+            some = q[at:at + step]
+            most = (n[some][:, None] + n[g]) * (100 - percent) // (100 + percent)
+            apart = np.bitwise_count(bits[some][:, None] ^ bits[g]).sum(axis=2, dtype=np.int64)
+            close = (apart <= most) & (np.abs(n[some][:, None] - n[g]) <= most) & (comp[some][:, None] != comp[g])
+            asking.append(some[close.any(axis=1)])
+            met |= close.any(axis=0)
+        asking = np.concatenate(asking) if asking else q[:0]
+        reps, comps = (np.concatenate((x[asking], x[g[met]])) for x in (rep, comp))
+        of_part = np.repeat([False, True], [len(asking), int(met.sum())])
+        first = table.slice(0, 1)
+        same = {c: pa.array(first.column(c).to_pylist() * len(reps), pa.int64()) for c in ("gp", "k", "slot")}
+        return pa.table({**same, "rep": reps, "comp": comps, "held": of_part})
+
+    return run
+
+
+def _opened(percent: int):
+    """For sets of a part and those that ask it: links between different clusters, as many as connect them."""
+    def members(table):
+        lists = table.column("elements").combine_chunks()
+        return table.column("rep").to_numpy(), table.column("comp").to_numpy(), lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, comps, values, ends = members(table.filter(table.column("held")))
+        q_reps, q_comps, q_values, q_ends = members(table.filter(pc.invert(table.column("held"))))
         sizes = np.diff(ends)
-        values = values[ends[0]:ends[-1]]
         order = np.argsort(values, kind="stable")
         ordered, owner = values[order], np.repeat(np.arange(len(sizes)), sizes)[order]
         up: dict[int, int] = {}
@@ -352,7 +410,7 @@ def _opened(percent: int):
 
 
 def _cross_links(entries: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between sets of different clusters, through the matrix of tokens and parts."""
+    """Links between sets of different clusters, through the parts that meet in tokens and their sketches."""
     # Of the tokens that a set has to share, all but ``need - 1`` can be the more frequent ones: one of the
     # others, its rare tokens, is shared with every set it links with, and is rare there as well.
     k = F.col("token").bitwiseAND(63)
@@ -362,34 +420,32 @@ def _cross_links(entries: DataFrame, sets: DataFrame, members: DataFrame, percen
     place = F.row_number().over(Window.partitionBy(*of_set).orderBy("_df", "token"))
     ranked = counted.withColumns({"_place": place, "_have": F.count("*").over(Window.partitionBy(*of_set))})
     rare = ranked.filter(F.col("_place") <= F.col("_have") - F.col("need") + 1).select("rep", "token")
-    cells = staged(rare.join(members, "rep").groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "cells")
-    meeting = cells.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).filter("_lo < _hi").select("token")
+    placed = staged(rare.join(members, "rep").select("rep", "token", "comp", "part"), "rare")
+    cells = placed.groupBy("token", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    meeting = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("token")
     met = staged(cells.join(meeting, "token"), "met")
     left = met.select("token", F.col("part").alias("qp"), F.col("lo").alias("_a"), F.col("hi").alias("_b"))
     right = met.select("token", F.col("part").alias("gp"), F.col("lo").alias("_c"), F.col("hi").alias("_d"))
     pairs = (left.join(right, "token").filter((F.col("qp") <= F.col("gp")) & (F.least("_a", "_c") < F.greatest("_b", "_d")))
              .select("qp", "gp", k.alias("k")).distinct())
-    # By size class, the token union of each part and the tokens of its members.
-    of_parts = entries.join(members, "rep").join(met.select("part").distinct(), "part")
-    own = of_parts.groupBy("part", "rep", k.alias("k"), _needed(percent).alias("need")).agg(F.collect_list("token").alias("tokens"))
-    rows = staged(own.groupBy("part", "k").agg(
-        F.collect_list(F.struct("rep", "need", "tokens")).alias("own"),
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "matrix")
-    queries = rows.select(F.col("part").alias("qp"), "k", "own")
-    unions = rows.select(F.col("part").alias("gp"), "k", "union")
-    enough = F.filter("own", lambda q: F.size(F.array_intersect(q["tokens"], "union")) >= q["need"])["rep"]
-    candidates = staged(
-        pairs.join(queries, ["qp", "k"]).join(unions, ["gp", "k"]).select("qp", "gp", enough.alias("_q")).filter(F.size("_q") > 0)
-        .groupBy("qp", "gp").agg(F.array_distinct(F.flatten(F.collect_list("_q"))).alias("queries")), "candidates")
-    wanted = candidates.select(F.col("qp").alias("part")).unionAll(candidates.select(F.col("gp").alias("part"))).distinct()
-    packed = staged(members.join(wanted, "part").join(sets, "rep").groupBy("part").agg(
-        F.collect_list(F.struct("rep", "comp", "elements")).alias("members")), "packed")
-    held = candidates.select("qp", "gp", F.col("gp").alias("part")).join(packed, "part")
-    asking = (candidates.filter("qp != gp").withColumn("part", F.col("qp")).join(packed, "part")
-              .withColumn("members", F.filter("members", lambda m: F.array_contains("queries", m["rep"]))))
-    sides = asking.select("qp", "gp", "part", "members").unionAll(held.select("qp", "gp", "part", "members"))
-    links = staged(sides.groupBy("qp", "gp").applyInArrow(_opened(percent), "a long, b long"), "cross-links")
-    discard(cells, met, rows, candidates, packed)
+    # By size class, the sketches of the members that have a token to meet with.
+    asking = placed.join(meeting, "token").select("rep", k.alias("k"), "comp", "part").distinct()
+    drawn = asking.join(sets, "rep").select("rep", "k", "comp", "part", "elements").mapInArrow(
+        _sketches, "rep long, k long, comp long, part long, n long, bits binary")
+    rows = staged(drawn.groupBy("part", "k").agg(
+        F.collect_list(F.struct("rep", "comp", "n", "bits")).alias("members"), F.count("*").alias("count")), "sketches")
+    # Those that ask a part come in slots; a part that asks itself has one of its own.
+    counted = pairs.join(rows.select(F.col("part").alias("qp"), "k", "count"), ["qp", "k"])
+    of_part = counted.filter("qp < gp").groupBy("gp", "k").agg(F.ceil(F.sum("count") / ASKING_ROWS).alias("slots"))
+    dealt = staged(counted.join(of_part, ["gp", "k"], "left").select(
+        "qp", "gp", "k", F.when(F.col("qp") < F.col("gp"), F.pmod(F.xxhash64("qp"), "slots")).otherwise(F.lit(-1)).alias("slot")), "pairs")
+    one = ["gp", "k", "slot"]
+    sides = (dealt.filter("qp < gp").select(F.col("qp").alias("part"), *one)
+             .unionAll(dealt.select(F.col("gp").alias("part"), *one).distinct())
+             .join(rows, ["part", "k"]).select(*one, "part", "members", (F.col("slot") < 0).alias("self")))
+    close = staged(sides.groupBy(*one).applyInArrow(_asked(percent), "gp long, k long, slot long, rep long, comp long, held boolean"), "close")
+    links = staged(close.join(sets, "rep").groupBy(*one).applyInArrow(_opened(percent), "a long, b long"), "cross-links")
+    discard(placed, met, rows, dealt, close)
     return links
 
 
@@ -397,14 +453,14 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), class_id
     (smallest id with the same set)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = staged(texts.mapInArrow(_describe(size, percent), "id long, n_shingles long, k1 long, k2 long, tokens binary"), "sets")
+    rows = staged(texts.mapInArrow(_describe(size), "id long, n_shingles long, k1 long, k2 long"), "sets")
     classes = staged(rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(
         F.min("id").alias("first"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
         .withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    n_tokens = rows.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // 8
+    n_tokens = rows.agg(F.coalesce(F.sum(_about_tokens(percent)), F.lit(0))).first()[0]
     buckets = int(min(1 << 14, max(8, 1 << int(np.ceil(np.log2(n_tokens / BUCKET_ROWS + 1))))))
-    shared = (rows.filter("n_shingles > 0").select("k1", "tokens").mapInArrow(_packed(buckets), _PACKED)
+    shared = (texts.mapInArrow(_packed(size, percent, buckets), _PACKED)
               .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "token long, key long").distinct())
     entries = staged(shared.join(classes.select(F.col("k1").alias("key"), "rep", "n"), "key").drop("key"), "shared-tokens")
 
@@ -412,7 +468,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     sizes = staged(kept.select("rep", "n").distinct(), "involved")
     sets = _sets(texts, classes.join(sizes.select("rep"), "rep", "left_semi"), size)
     near = staged(_near_leaders(kept, percent), "near-leaders")
-    links = staged(_verified(near.select("a", "b"), sets, percent), "group-links")
+    links = staged(_verified(near.filter("enough").select("a", "b"), sets, percent), "group-links")
     members = _parted(sizes, links, near)
     across = _cross_links(kept, sets, members, percent)
     found = components(links.unionAll(across))

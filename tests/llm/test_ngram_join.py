@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from corrag.llm import ngram_join
@@ -114,3 +115,51 @@ def test_repeated_and_null_ids(spark, prose):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str)
     assert got == sorted([(1, 58, 1), (1, 58, 1), (2, 59, 1), (2, 59, 1), (None, 58, 1), (None, 58, 7), (7, 59, 7), (None, 118, None),
                           (None, 0, None), (4, 0, 4)], key=str)
+
+
+def recorded(monkeypatch):
+    """The rows of the staged tables of the join by name."""
+    tables, staged = {}, ngram_join.staged
+
+    def record(frame, name):
+        found = staged(frame, name)
+        tables.setdefault(name, []).extend(r.asDict() for r in found.collect())
+        return found
+
+    monkeypatch.setattr(ngram_join, "staged", record)
+    return tables
+
+
+def test_texts_of_a_common_passage_share_parts(spark, documents, prose, monkeypatch):
+    """Texts that have a passage in common, and no links, meet by few parts; tokens are stored nowhere."""
+    passage = prose(60, 31)
+    texts = [prose(45 + i % 5, 900 + i) + " " + passage for i in range(240)]
+    texts += [texts[7] + " tail", texts[100].replace(" ", " new ", 1)]
+    tables = recorded(monkeypatch)
+    found = ngram_join.jaccard_components(documents(texts), 5, 80).collect()
+    want = brute_components(dict(enumerate(texts)), 5, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    parts = [r["part"] for r in tables["parts"]]
+    assert len(parts) > 100 and len(set(parts)) < len(parts) / 4
+    assert not any("tokens" in row for row in tables["sets"])
+    assert len(tables["close"]) < 20  # sets whose elements travel
+
+
+def test_sketches_never_differ_in_more_places_than_sets_in_elements():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40, 1000, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate((a[n // 9:], rng.integers(0, 1 << 63, n // 7 + 1, dtype=np.uint64)))
+        k = int(np.searchsorted(ngram_join.BOUNDS, n, "right")) - 1
+        apart = np.bitwise_count(ngram_join.sketch(a, k) ^ ngram_join.sketch(b, k)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+        assert ngram_join.sketch(a, k).tobytes() == ngram_join.sketch(a[::-1], k).tobytes()
+
+
+@pytest.mark.parametrize("asking", [1, 3])
+def test_many_slots_lose_no_link(spark, documents, prose, monkeypatch, asking):
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "ASKING_ROWS", asking)
+    texts = near_copies(prose, 9)
+    found = ngram_join.jaccard_components(documents(texts), 3, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(dict(enumerate(texts)), 3, 80)
