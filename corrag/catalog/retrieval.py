@@ -436,19 +436,20 @@ def suggest_papers_query(spark: SparkSession, sf: str) -> DataFrame:
     """Good documents are the corpus, unlabelled ones the reserve. Odd questions are deep dives
     into the paper that matches best."""
     docs = tables.documents(spark, sf)
-    children = staged(tables.children(docs), "children")
-    sparse = _sparse(children, 256.0)
     terms = sparse_encode_queries(tables.questions(spark, sf))
+    # One pass over the vectors ranks the corpus, the reserve and the other labelled documents apart.
+    good = tables.read(spark, sf, "labels").groupBy(F.col("doc_id").cast("string").alias("paper_id")).agg(
+        F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"))
+    side = F.when(F.col("good"), "corpus").when(~F.col("good"), "labelled").otherwise("reserve")
+    sided = _sparse(tables.children(docs), 256.0).join(good, "paper_id", "left").withColumn("side", side)
+    found = staged(sparse_search(terms, sided, 30, "side"), "hits")
     odd = F.col("query_id").cast("bigint") % 2 == 1
-    queries = staged(sparse_search(terms, sparse, 1).select(
-        "query_id", "paper_id", F.when(odd, "deep_dive").otherwise("ask").alias("mode")), "asked")
-    labels = tables.read(spark, sf, "labels").withColumn("paper_id", F.col("doc_id").cast("string"))
-    corpus = sparse.join(labels.filter("quality = 1").select("paper_id"), "paper_id", "left_semi")
-    reserve = sparse.join(labels.select("paper_id"), "paper_id", "left_anti")
-    hits = staged(sparse_search(terms, corpus, 3), "hits")
+    queries = top_k(found.drop("rank"), ["query_id"], [F.desc("score"), F.asc("chunk_id")], 1).select(
+        "query_id", "paper_id", F.when(odd, "deep_dive").otherwise("ask").alias("mode"))
+    hits = found.filter("side = 'corpus' AND rank <= 3")
     own = hits.join(queries.select("query_id", "paper_id"), ["query_id", "paper_id"], "left_semi")
-    papers = tables.papers(docs)
-    return suggest_papers(queries, hits, papers, own, sparse_search(terms, reserve, 30), papers)
+    papers = staged(tables.papers(docs).join(found.select("paper_id").distinct(), "paper_id", "left_semi"), "papers")
+    return suggest_papers(queries, hits, papers, own, found.filter("side = 'reserve'"), papers)
 
 
 @query("candidates", f"""WITH {sql.PAPERS},

@@ -120,43 +120,60 @@ def _dense_block(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFram
 
 
 def sparse_search(
-    query_terms: DataFrame, vectors: DataFrame, limit: int | None = SEARCH_LIMIT,
+    query_terms: DataFrame, vectors: DataFrame, limit: int | None = SEARCH_LIMIT, by: str | None = None,
 ) -> DataFrame:
     """Sum of query weight x document weight over shared terms; ties by chunk id.
 
     ``query_terms`` (``query_id, term, weight``) may carry a ``scope`` column (NULL: all
     papers). They go to the sparse vectors in blocks of about ``TERM_BLOCK``: a task adds up its
     chunks' scores and sends on only its own best ``limit`` per query. A ranking without a limit
-    has no best rows to cut to, so it is a join on the term.
+    has no best rows to cut to, so it is a join on the term. With ``by``, a column of the vectors,
+    each of its values has a ranking and a limit of its own, all from one pass; hits carry the column.
     """
     columns = ["query_id", "term", "weight"] + (["scope"] if "scope" in query_terms.columns else [])
     wanted = query_terms.select(*columns)
+    if limit is None and by is not None:
+        raise ValueError("rankings by a column need a limit")
     if limit is None:
         return sparse_search_join(wanted, vectors, None)
-    parts = [_sparse_block(part, vectors, limit) for part in _blocks(wanted, TERM_BLOCK)]
-    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], _best_first("chunk_id"), limit)
+    keys = [by] if by else []
+    parts = [_sparse_block(part, vectors, limit, keys) for part in _blocks(wanted, TERM_BLOCK)]
+    return top_k(reduce(DataFrame.unionByName, parts), ["query_id", *keys], _best_first("chunk_id"), limit)
 
 
-def _sparse_block(query_terms: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+def _sparse_block(query_terms: DataFrame, vectors: DataFrame, limit: int, keys: list[str]) -> DataFrame:
     """The best ``limit`` of every task for one block of query terms."""
     shipped = query_terms.sparkSession.sparkContext.broadcast(term_block(query_terms.toArrow()))
-    schema = _hit_schema(query_terms, vectors)
+    schema = T.StructType([*_hit_schema(query_terms, vectors), *(vectors.schema[c] for c in keys)])
     arrow_schema = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shipped.value
-        best = BestPerQuery(len(block.query_ids), limit)
+        best: dict[tuple, BestPerQuery] = {}
         for records in batches if block.query_ids else ():
             records = records.take(pc.sort_indices(records.column("chunk_id")))
-            for _, ids, scores in scored_parts(block, records):
-                best.offer(scores, ids)
-        found = [(block.query_ids[q], *hit, -minus) for q, hits in best.kept.items() for minus, hit in hits]
+            for key, some in _apart(records, keys):
+                kept = best.setdefault(key, BestPerQuery(len(block.query_ids), limit))
+                for _, ids, scores in scored_parts(block, some):
+                    kept.offer(scores, ids)
+        found = [(block.query_ids[q], *hit, -minus, *key)
+                 for key, of_key in best.items() for q, hits in of_key.kept.items() for minus, hit in hits]
         if found:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[i] for f in found], type=field.type)
                  for i, field in enumerate(arrow_schema)], schema=arrow_schema)
 
-    return vectors.select("chunk_id", "paper_id", "terms", "weights").mapInArrow(run, schema)
+    return vectors.select("chunk_id", "paper_id", "terms", "weights", *keys).mapInArrow(run, schema)
+
+
+def _apart(records: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The rows of each value of the column in ``keys``, in their order; without one all rows."""
+    if not keys:
+        yield (), records
+        return
+    values = records.column(keys[0]).dictionary_encode(null_encoding="encode")
+    for i, value in enumerate(values.dictionary.to_pylist()):
+        yield (value,), records.filter(pc.equal(values.indices, i))
 
 
 def sparse_search_join(query_terms: DataFrame, vectors: DataFrame, limit: int | None) -> DataFrame:

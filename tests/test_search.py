@@ -102,6 +102,24 @@ def bm25(query, k, idf, avg=None, scope=None):
     return [d for _, d in sorted(scores)[:k]]
 
 
+def test_rankings_by_a_column_come_from_one_pass(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame(
+        [(f"c{i:03d}", f"p{i % 9}", " ".join(rng.choices("abcdefgh", k=12)), [None, "x", "y"][i % 3]) for i in range(120)],
+        "chunk_id string, paper_id string, text string, side string").repartition(3)
+    sides = docs.select("chunk_id", "side")
+    terms = sparse_encode_queries(spark.createDataFrame([("1", "a b c"), ("2", "g h")], "query_id string, user_message string"))
+    stored = sparse_encode_documents(docs).join(sides, "chunk_id")
+    columns = ["query_id", "chunk_id", "paper_id", "score", "rank"]
+    together = sparse_search(terms, stored, 4, "side")
+    for side in (None, "x", "y"):
+        alone = sparse_search(terms, stored.filter(F.col("side").eqNullSafe(side)).drop("side"), 4)
+        got = together.filter(F.col("side").eqNullSafe(side)).select(columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, alone.select(columns).collect()))
+    with pytest.raises(ValueError):
+        sparse_search(terms, stored, None, "side")
+
+
 @pytest.mark.parametrize("idf", [True, False])
 @pytest.mark.parametrize("staged_counts", [True, False])
 @pytest.mark.parametrize("joined", [True, False])
