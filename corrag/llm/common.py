@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corrag.session import staged
@@ -34,6 +36,13 @@ def slices(lengths, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def text_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first row, row after the last, texts) of slices of about ``most`` bytes: a task holds a slice as
+    Python values, not the batch."""
+    for a, b in slices(pc.binary_length(texts).fill_null(0).to_pylist(), most):
+        yield a, b, texts.slice(a, b - a).to_pylist()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of ``h``."""
     h = h ^ (h >> np.uint64(30))

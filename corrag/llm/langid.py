@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corrag.llm.common import slices
+from corrag.llm.common import slices, text_slices
 
 #: Lengths of the n-grams, in code points.
 SIZES = (1, 2, 3)
@@ -79,11 +79,12 @@ def _count_batches(batches):
     """One row per (language, bucket) that this task has seen."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        by_language: dict[str, list[str]] = {}
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by_language.setdefault(lang, []).append(text)
-        for lang, texts in by_language.items():
-            counts[lang] = counts.get(lang, 0) + count_ngrams(texts)
+        for a, b, some in text_slices(batch.column(0), 4 * BLOCK):
+            by_language: dict[str, list[str]] = {}
+            for text, lang in zip(some, batch.column(1).slice(a, b - a).to_pylist()):
+                by_language.setdefault(lang, []).append(text)
+            for lang, texts in by_language.items():
+                counts[lang] = counts.get(lang, 0) + count_ngrams(texts)
     for lang, vector in counts.items():
         at = np.flatnonzero(vector)
         yield pa.RecordBatch.from_arrays(
@@ -129,14 +130,15 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text",
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def scored(texts: pa.Array) -> pa.Array:
-        texts = texts.to_pylist()
-        have = [i for i, t in enumerate(texts) if t]
         langs, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-        if have:
-            logs = score_texts([texts[i] for i in have], sent.value)
-            best = logs.argmax(axis=1)
-            langs[have] = names[best]
-            scores[have] = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        for a, _, some in text_slices(texts, 4 * BLOCK):
+            have = [i for i, t in enumerate(some) if t]
+            if not have:
+                continue
+            logs = score_texts([some[i] for i in have], sent.value)
+            best, at = logs.argmax(axis=1), a + np.array(have)
+            langs[at] = names[best]
+            scores[at] = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], fields=list(kind))
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

@@ -39,10 +39,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from corrag.llm.common import discard, mix, read_table, slices
+from corrag.llm.common import discard, mix, read_table, text_slices
 from corrag.llm.components import components
 from corrag.llm.shingles import BLOCK, shingle_sets
-from corrag.session import staged
+from corrag.session import TEXT_BATCH, staged
 
 #: Ratio of the largest to the smallest size in a class.
 SPAN = 1.5
@@ -112,9 +112,8 @@ def segment_tokens(elements: np.ndarray, percent: int) -> np.ndarray:
 def _described(batches, size: int):
     """(ids, sets) of slices of batches of (id, text)."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in slices([len(t or "") for t in texts], BLOCK):
-            yield ids.slice(a, b - a), shingle_sets(texts[a:b], size)
+        for a, b, texts in text_slices(batch.column(1), BLOCK):
+            yield batch.column(0).slice(a, b - a), shingle_sets(texts, size)
 
 
 def _describe(size: int):
@@ -256,7 +255,7 @@ def _sets(texts: DataFrame, involved: DataFrame, size: int) -> DataFrame:
     wanted = texts.join(ids, F.col("id").eqNullSafe(F.col("first")), "left_semi")
     found = wanted.mapInArrow(_recompute(size), "first long, k1 long, k2 long, elements array<long>")
     same = (found["k1"] == involved["k1"]) & (found["k2"] == involved["k2"]) & found["first"].eqNullSafe(involved["first"])
-    rows = staged(found.join(involved, same).select("rep", "elements", "rows"), "elements")
+    rows = staged(found.join(involved, same).select("rep", "elements", "rows"), "elements", TEXT_BATCH)
     # Only a class of several rows can come more than once.
     once = rows.filter("rows = 1").drop("rows").unionAll(rows.filter("rows > 1").dropDuplicates(["rep"]).drop("rows"))
     sets = staged(once, "sets")
@@ -433,7 +432,7 @@ def _cross_links(entries: DataFrame, sets: DataFrame, members: DataFrame, percen
     drawn = asking.join(sets, "rep").select("rep", "k", "comp", "part", "elements").mapInArrow(
         _sketches, "rep long, k long, comp long, part long, n long, bits binary")
     rows = staged(drawn.groupBy("part", "k").agg(
-        F.collect_list(F.struct("rep", "comp", "n", "bits")).alias("members"), F.count("*").alias("count")), "sketches")
+        F.collect_list(F.struct("rep", "comp", "n", "bits")).alias("members"), F.count("*").alias("count")), "sketches", TEXT_BATCH)
     # Those that ask a part come in slots; a part that asks itself has one of its own.
     counted = pairs.join(rows.select(F.col("part").alias("qp"), "k", "count"), ["qp", "k"])
     of_part = counted.filter("qp < gp").groupBy("gp", "k").agg(F.ceil(F.sum("count") / ASKING_ROWS).alias("slots"))
@@ -453,7 +452,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     """One row per document: id, n_shingles, component_id (smallest id reachable by links), class_id
     (smallest id with the same set)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = staged(texts.mapInArrow(_describe(size), "id long, n_shingles long, k1 long, k2 long"), "sets")
+    rows = staged(texts.mapInArrow(_describe(size), "id long, n_shingles long, k1 long, k2 long"), "sets", TEXT_BATCH)
     classes = staged(rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(
         F.min("id").alias("first"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
         .withColumn("rep", F.monotonically_increasing_id()), "classes")
@@ -462,7 +461,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     buckets = int(min(1 << 14, max(8, 1 << int(np.ceil(np.log2(n_tokens / BUCKET_ROWS + 1))))))
     shared = (texts.mapInArrow(_packed(size, percent, buckets), _PACKED)
               .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "token long, key long").distinct())
-    entries = staged(shared.join(classes.select(F.col("k1").alias("key"), "rep", "n"), "key").drop("key"), "shared-tokens")
+    entries = staged(shared.join(classes.select(F.col("k1").alias("key"), "rep", "n"), "key").drop("key"), "shared-tokens", TEXT_BATCH)
 
     kept = staged(_promising(entries, percent), "entries")
     sizes = staged(kept.select("rep", "n").distinct(), "involved")

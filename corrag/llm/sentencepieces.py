@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corrag.llm.common import read_table, slices
+from corrag.llm.common import read_table, text_slices
 from corrag.llm.wordcache import PieceCache, encode_words, flatten
 
 #: Characters whose pieces are looked up at once.
@@ -166,10 +166,9 @@ def encode_documents(df: DataFrame, model_path: str, outputs=tuple(_COLUMNS), te
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(model_path)
         for batch in batches:
-            texts = batch.to_pylist()
             parts = []
-            for a, b in slices([len(t or "") for t in texts], BLOCK):
-                ids, counts, parity = codec.encode(texts[a:b])
+            for _, _, texts in text_slices(batch, BLOCK):
+                ids, counts, parity = codec.encode(texts)
                 ends = np.cumsum(counts)
                 made = {"n_tokens": pa.array(counts, pa.int64()), "parity": pa.array(parity, pa.bool_())}
                 if "ids" in outputs:
@@ -180,7 +179,7 @@ def encode_documents(df: DataFrame, model_path: str, outputs=tuple(_COLUMNS), te
                     made["ids_crc32"] = pa.array([zlib.crc32(s.astype("<u4").tobytes()) for s in spans], pa.int64())
                 if "decoded_equal" in outputs:
                     back = codec.decode([s.tolist() for s in spans])
-                    made["decoded_equal"] = pa.array([d == (t or "") for d, t in zip(back, texts[a:b])], pa.bool_())
+                    made["decoded_equal"] = pa.array([d == (t or "") for d, t in zip(back, texts)], pa.bool_())
                 parts.append(pa.StructArray.from_arrays([made[name] for name in outputs], names=list(outputs)))
             yield pa.concat_arrays(parts)
 

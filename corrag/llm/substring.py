@@ -30,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corrag.llm.common import discard, mix, numbered, read_table, slices
+from corrag.llm.common import discard, mix, numbered, read_table, text_slices
 from corrag.llm.fmindex import FMIndex, repeated_windows
 from corrag.llm.shingles import BLOCK, _power_tables, shingle_hashes, text_words
-from corrag.session import staged
+from corrag.session import TEXT_BATCH, staged
 
 WINDOW = 35
 #: Words of an anchor.
@@ -81,9 +81,10 @@ _DESCRIBED = "id long, name long, n_words long, sha256 string, pieces array<stru
 
 def _describe(batches):
     for batch in batches:
-        ids, texts = batch.column(0), [_as_bytes(t) for t in batch.column(1).to_pylist()]
-        for a, b in slices(list(map(len, texts)), BLOCK):
-            _, _, _, words, counts = text_words(texts[a:b])
+        ids = batch.column(0)
+        for a, b, texts in text_slices(batch.column(1), BLOCK):
+            texts = list(map(_as_bytes, texts))
+            _, _, _, words, counts = text_words(texts)
             of, at, n, anchor, piece = find_pieces(words, counts)
             ends = np.searchsorted(of, np.arange(b - a + 1))
             rows = pa.StructArray.from_arrays(
@@ -91,7 +92,7 @@ def _describe(batches):
                 names=["anchor", "piece", "at", "n"])
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(counts, pa.int64()),
-                 pa.array([hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts[a:b]]),
+                 pa.array([hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)],
                 names=["id", "name", "n_words", "sha256", "pieces"])
 
@@ -176,23 +177,27 @@ def _cut(shards: int):
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = text.encode("utf-8", "surrogatepass").split()
-                for p in pieces:
-                    at, n = p["at"], p["n"]
-                    if not p["hot"]:
-                        out.append((shard_of(p["anchor"]), p["anchor"], p["piece"], p["weight"], 0, b" ".join(words[at:at + n + WINDOW - 1])))
-                        continue
-                    for i in range(n):
-                        cut = words[at + i:at + i + WINDOW]
-                        outer = hashlib.blake2b(b" ".join(cut[:4] + cut[-4:]), digest_size=8).digest()
-                        out.append((shard_of(p["anchor"], outer), p["anchor"], p["piece"], p["weight"], i, b" ".join(cut)))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(column, kind) for column, kind in zip(
-                        zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                    names=["shard", "anchor", "piece", "weight", "first", "words"])
+            for a, b, texts in text_slices(batch.column(0), BLOCK):
+                yield from of_slice(texts, batch.column(1).slice(a, b - a).to_pylist())
+
+    def of_slice(texts, cuts):
+        out = []
+        for text, pieces in zip(texts, cuts):
+            words = text.encode("utf-8", "surrogatepass").split()
+            for p in pieces:
+                at, n = p["at"], p["n"]
+                if not p["hot"]:
+                    out.append((shard_of(p["anchor"]), p["anchor"], p["piece"], p["weight"], 0, b" ".join(words[at:at + n + WINDOW - 1])))
+                    continue
+                for i in range(n):
+                    cut = words[at + i:at + i + WINDOW]
+                    outer = hashlib.blake2b(b" ".join(cut[:4] + cut[-4:]), digest_size=8).digest()
+                    out.append((shard_of(p["anchor"], outer), p["anchor"], p["piece"], p["weight"], i, b" ".join(cut)))
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(
+                    zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                names=["shard", "anchor", "piece", "weight", "first", "words"])
 
     return run
 
@@ -245,12 +250,12 @@ def _search(batches):
 
 def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``texts`` is id (a unique number), text, name. Returns (described documents, id with its repeated window runs)."""
-    described = staged(texts.mapInArrow(_describe, _DESCRIBED), "pieces")
+    described = staged(texts.mapInArrow(_describe, _DESCRIBED), "pieces", TEXT_BATCH)
     n_pieces = described.agg(F.coalesce(F.sum(F.size("pieces")), F.lit(0))).first()[0]
     buckets = max(8, 1 << int(np.ceil(np.log2(n_pieces / BUCKET_ROWS + 1))))
     repeated = staged(
         described.filter(F.size("pieces") > 0).select("id", "pieces").mapInArrow(_packed(buckets), "bucket int, packed binary")
-        .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, _REPEATED), "repeated")
+        .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, _REPEATED), "repeated", TEXT_BATCH)
     n_words = repeated.agg(F.coalesce(F.sum(F.when(F.col("hot"), F.col("n") * WINDOW).otherwise(F.col("n") + WINDOW)), F.lit(0))).first()[0]
     shards = max(8, -(-n_words // SHARD_WORDS))
     by_text = repeated.groupBy(F.col("doc").alias("id")).agg(
@@ -258,7 +263,7 @@ def find_repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = by_text.join(texts, "id").select("text", "cuts").mapInArrow(_cut(shards), _CUT)
     masks = staged(
         cut.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_search, "anchor long, piece long, mask long")
-        .groupBy("anchor", "piece").agg(F.bit_or("mask").alias("mask")), "masks")
+        .groupBy("anchor", "piece").agg(F.bit_or("mask").alias("mask")), "masks", TEXT_BATCH)
     discard(repeated)
     places = described.select("id", F.inline("pieces")).join(masks, ["anchor", "piece"])
     return described, places.groupBy("id").agg(F.collect_list(F.struct("at", "mask")).alias("runs"))
@@ -288,10 +293,11 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: id, n_words, n_removed, kept_sha256 (of the kept words joined by a space)."""
     def digest(batches):
         for batch in batches:
-            rows = [_kept(t, r) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for _, n in rows], pa.int64()),
-                 pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in rows])], names=["id", "n_removed", "kept"])
+            for a, b, texts in text_slices(batch.column(1), BLOCK):
+                rows = [_kept(t, r) for t, r in zip(texts, batch.column(2).slice(a, b - a).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([n for _, n in rows], pa.int64()),
+                     pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in rows])], names=["id", "n_removed", "kept"])
 
     rows = numbered(docs, "_row")
     texts = rows.select(F.col("_row").alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("name"))
@@ -306,9 +312,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` without the covered words; texts that lose none stay as they are, byte for byte."""
     @F.arrow_udf("string")
     def kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        return pa.array([
+        parts = [pa.array([
             t if t is None or not r else b" ".join(_kept(t, r)[0]).decode("utf-8", "surrogatepass")
-            for t, r in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
+            for t, r in zip(some, runs.slice(a, b - a).to_pylist())], pa.string()) for a, b, some in text_slices(texts, BLOCK)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     rows = numbered(docs, "_row")
     _, runs = find_repeats(rows.select(F.col("_row").alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("name")))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch of whole texts; the JVM and the Python worker hold one each for every task.
+TEXT_BATCH = 1 << 22
 
 
 def build_session(app_name: str = "corrag", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,16 +53,29 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/corrag/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of jobs that run inside hold about ``most`` bytes, or the session's own limit if that is lower."""
+    own = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, min(most, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, own)
+
+
+def staged(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
     Later branches read the files instead of recomputing, lost executors cost nothing but a
     re-read, and the planner sees real file sizes, so it broadcasts the table only when it
-    is under ``spark.sql.autoBroadcastJoinThreshold``.
+    is under ``spark.sql.autoBroadcastJoinThreshold``. ``batch_bytes`` bounds the Arrow batches
+    that go to Python meanwhile.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    with arrow_batches(spark, batch_bytes) if batch_bytes else nullcontext():
+        df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

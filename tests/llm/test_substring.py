@@ -1,12 +1,16 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corrag.llm import substring
 from corrag.llm.fmindex import FMIndex, repeated_windows
+from corrag.llm.shingles import BLOCK
+from corrag.session import TEXT_BATCH, staged
 
 W = substring.WINDOW
 
@@ -103,3 +107,41 @@ def test_rows_of_files_have_numbers_of_their_own(spark, documents, prose, tmp_pa
         first, again = (dict(r) for r in ([(x["_row"], x["text"]) for x in t.collect()] for t in [numbered(table, "_row")] * 2))
         assert first == again and len(first) == table.count()
     assert numbered(docs, "_row").columns == [*docs.columns, "_row"]
+
+
+def test_a_worker_holds_a_slice_of_a_batch(prose):
+    def peak(texts):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], names=["id", "text", "name"])
+        tracemalloc.start()
+        rows = sum(found.num_rows for found in substring._describe([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == len(texts)
+        return most
+
+    texts = [prose(8000, i) for i in range(8)] * 40
+    peak(texts[:40])  # tables that stay
+    assert peak(texts) < 1.2 * peak(texts[:40])
+
+
+def test_cuts_come_slice_by_slice(prose):
+    text = prose(20_000, 1)
+    cut = {"anchor": 1, "piece": 2, "weight": 2, "at": 0, "n": 19_000, "hot": False}
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 20), pa.array([[cut]] * 20)], names=["text", "cuts"])
+    found = list(substring._cut(8)([batch]))
+    assert sum(b.num_rows for b in found) == 20
+    assert max(b.nbytes for b in found) < 2 * BLOCK
+
+
+def test_staged_steps_bound_the_bytes_of_a_batch(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    long = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 10000) AS text").mapInArrow(sizes, "n long")
+    assert staged(long, "sizes", TEXT_BATCH).selectExpr("max(n)").first()[0] < 1.1 * TEXT_BATCH
+    assert spark.conf.get(key) == own
+    assert staged(long, "sizes").selectExpr("max(n)").first()[0] > 4 * TEXT_BATCH
