@@ -72,16 +72,17 @@ def split_tokens(
 
 
 def split_counted(text: Column, max_tokens: int = CHILD_TOKENS, overlap: int = CHILD_OVERLAP) -> Column:
-    """The windows of ``split_tokens`` as structs of ``text`` and ``n``, its number of tokens."""
+    """``text`` itself and then the windows of ``split_tokens``, as structs of ``text`` and ``n``, its number of tokens."""
     step = max_tokens - overlap
 
     def windows(pieces: Column) -> Column:
         starts = F.sequence(
             F.lit(0), F.greatest(F.lit(0), F.size(pieces) - F.lit(overlap + 1)), F.lit(step))
-        return F.when(F.size(pieces) == 0, F.array(F.struct(text.alias("text"), F.lit(0).alias("n")))).otherwise(F.transform(
-            starts, lambda start: F.struct(
+        whole = F.array(F.struct(text.alias("text"), F.size(pieces).alias("n")))
+        return F.concat(whole, F.when(F.size(pieces) == 0, F.array(F.struct(text.alias("text"), F.lit(0).alias("n")))).otherwise(
+            F.transform(starts, lambda start: F.struct(
                 F.array_join(F.slice(pieces, start + 1, F.lit(max_tokens)), "").alias("text"),
-                F.least(F.lit(max_tokens), F.size(pieces) - start).alias("n"))))
+                F.least(F.lit(max_tokens), F.size(pieces) - start).alias("n")))))
 
     return let(spaced_tokens(text), windows)
 

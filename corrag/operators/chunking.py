@@ -16,39 +16,44 @@ def _parent_id():
     return F.concat_ws("#", "paper_id", F.col("block_idx").cast("string"))
 
 
-def parent_chunks(blocks: DataFrame, tokenizer: Tokenizer = tokens) -> DataFrame:
-    return blocks.select(
-        _parent_id().alias("chunk_id"), "paper_id", F.lit("parent").alias("chunk_type"),
-        "content_type", "media_url", "section_name", "text",
-        F.lit(None).cast("string").alias("parent_chunk_id"),
-        count_tokens(F.col("text"), tokenizer).alias("token_count"))
-
-
-def child_chunks(
+def block_chunks(
     blocks: DataFrame, max_tokens: int = CHILD_TOKENS, overlap: int = CHILD_OVERLAP,
     tokenizer: Tokenizer = tokens, splitter: Tokenizer = spaced_tokens,
 ) -> DataFrame:
-    """Prose is cut into overlapping windows; tables and figures stay whole.
+    """Every block as a parent and its children: prose is cut into overlapping windows; tables and
+    figures stay whole.
 
-    The outer explode keeps the planner from adding a filter that would cut every text twice.
+    A parent stands right before its children, whose texts repeat its own, so that the files of a
+    table hold a text about once. The outer explode keeps the planner from adding a filter that
+    would cut every text twice.
     """
     # Pieces with their white space are one token each, so a window's tokens need no second count.
     counted = tokenizer is tokens and splitter is spaced_tokens
-    text = F.col("text")
+    text, prose = F.col("text"), F.col("content_type") == "text"
     if counted:
-        windows = F.when(F.col("content_type") == "text", split_counted(text, max_tokens, overlap)).otherwise(
-            F.array(F.struct("text", count_tokens(text).alias("n"))))
+        pieces = F.when(prose, split_counted(text, max_tokens, overlap)).otherwise(
+            F.array_repeat(F.struct("text", count_tokens(text).alias("n")), 2))
     else:
-        windows = F.when(F.col("content_type") == "text", split_tokens(text, max_tokens, overlap, splitter)).otherwise(F.array("text"))
+        windows = F.when(prose, split_tokens(text, max_tokens, overlap, splitter)).otherwise(F.array("text"))
+        pieces = F.concat(F.array("text"), F.coalesce(windows, F.array().cast("array<string>")))
     cut = blocks.select(
-        "paper_id", "content_type", "media_url", "section_name",
-        _parent_id().alias("parent_chunk_id"), F.posexplode_outer(windows).alias("child_idx", "_w"))
-    window = F.col("_w.text") if counted else F.col("_w")
-    return cut.filter(window.isNotNull()).select(
-        F.concat_ws("#", "parent_chunk_id", F.col("child_idx").cast("string")).alias("chunk_id"),
-        "paper_id", F.lit("child").alias("chunk_type"), "content_type", "media_url",
-        "section_name", window.alias("text"), "parent_chunk_id",
-        (F.col("_w.n") if counted else count_tokens(window, tokenizer)).alias("token_count"))
+        "paper_id", "content_type", "media_url", "section_name", _parent_id().alias("_parent"),
+        F.posexplode_outer(pieces).alias("_at", "_w"))
+    piece, parent = F.col("_w.text") if counted else F.col("_w"), F.col("_at") == 0
+    return cut.filter(parent | piece.isNotNull()).select(
+        F.when(parent, F.col("_parent")).otherwise(
+            F.concat_ws("#", "_parent", (F.col("_at") - 1).cast("string"))).alias("chunk_id"),
+        "paper_id", F.when(parent, "parent").otherwise("child").alias("chunk_type"), "content_type", "media_url",
+        "section_name", piece.alias("text"), F.when(~parent, F.col("_parent")).alias("parent_chunk_id"),
+        (F.col("_w.n") if counted else count_tokens(piece, tokenizer)).alias("token_count"))
+
+
+def child_chunks(
+    blocks: DataFrame, max_tokens: int = CHILD_TOKENS, overlap: int = CHILD_OVERLAP,
+    tokenizer: Tokenizer = tokens, splitter: Tokenizer = spaced_tokens,
+) -> DataFrame:
+    """The children of ``block_chunks``."""
+    return block_chunks(blocks, max_tokens, overlap, tokenizer, splitter).filter(F.col("chunk_type") == "child")
 
 
 def abstract_chunks(papers: DataFrame, tokenizer: Tokenizer = tokens) -> DataFrame:
@@ -68,12 +73,10 @@ def chunk_blocks(
     splitter: Tokenizer = spaced_tokens,
 ) -> DataFrame:
     """All chunks of the papers. Ids follow from block and window position, so a re-run
-    gives the same ids. The work is row by row: no shuffle."""
+    gives the same ids. The work is row by row, and one pass over the blocks: no shuffle."""
     return (
-        parent_chunks(blocks, tokenizer).select(*_CHUNK_COLUMNS)
-        .unionByName(abstract_chunks(papers, tokenizer).select(*_CHUNK_COLUMNS))
-        .unionByName(child_chunks(blocks, max_tokens, overlap, tokenizer, splitter)
-                     .select(*_CHUNK_COLUMNS)))
+        block_chunks(blocks, max_tokens, overlap, tokenizer, splitter).select(*_CHUNK_COLUMNS)
+        .unionByName(abstract_chunks(papers, tokenizer).select(*_CHUNK_COLUMNS)))
 
 
 def ingestion_status(

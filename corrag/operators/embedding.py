@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corrag.functions.text import words
-from corrag.operators.batches import WORDS_AT_ONCE, by_slices, list_lengths
+from corrag.operators.batches import WORDS_AT_ONCE, by_slices, list_lengths, slices
 from corrag.operators.postings import stage_term_counts, tally_words
 from corrag.session import staged
 
@@ -35,27 +35,42 @@ def hash_words(found: Column, dim: int = DEFAULT_DIM) -> Column:
     The worker hashes each distinct word of a slice once and counts the slice at once. Row by
     row, so no shuffle.
     """
-    def count(lists: pa.Array) -> pa.Array:
-        rows, lengths = len(lists), list_lengths(lists)
-        flat = lists.flatten().dictionary_encode()
-        buckets, signs = _codes(flat.dictionary, dim)
-        word = flat.indices.to_numpy(zero_copy_only=False)
-        cells = np.repeat(np.arange(rows, dtype=np.int64), lengths) * dim + buckets[word]
-        matrix = np.bincount(cells, weights=signs[word], minlength=rows * dim)
-        matrix = matrix.astype(np.float64).reshape(rows, dim)
-        norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-        offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(
-            pa.array(offsets), pa.array(matrix.astype(np.float32).ravel()))
-
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def vectors(lists: pa.Array) -> pa.Array:
-        return by_slices(lists, list_lengths(lists), WORDS_AT_ONCE, count)
+        return by_slices(lists, list_lengths(lists), WORDS_AT_ONCE, lambda some: _hashed(some, None, dim))
 
     return vectors(found)
 
 
+def hash_counts(terms: Column, tfs: Column, dim: int = DEFAULT_DIM) -> Column:
+    """``hash_words`` from the distinct words of a list and how often it has each: the same vector, since sums
+    of whole numbers are exact."""
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(terms: pa.Array, tfs: pa.Array) -> pa.Array:
+        parts = [_hashed(terms.slice(start, end - start), tfs.slice(start, end - start), dim)
+                 for start, end in slices(list_lengths(terms), WORDS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else _hashed(terms, tfs, dim)
+
+    return vectors(terms, tfs)
+
+
+def _hashed(lists: pa.Array, times: pa.Array | None, dim: int) -> pa.Array:
+    """Unit vectors of lists of words, each counted once or as often as ``times`` says."""
+    rows, lengths = len(lists), list_lengths(lists)
+    flat = lists.flatten().dictionary_encode()
+    buckets, signs = _codes(flat.dictionary, dim)
+    word = flat.indices.to_numpy(zero_copy_only=False)
+    cells = np.repeat(np.arange(rows, dtype=np.int64), lengths) * dim + buckets[word]
+    weights = signs[word] if times is None else signs[word] * times.flatten().to_numpy(zero_copy_only=False)
+    matrix = np.bincount(cells, weights=weights, minlength=rows * dim)
+    matrix = matrix.astype(np.float64).reshape(rows, dim)
+    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(matrix.astype(np.float32).ravel()))
+
+
 def hash_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """``hash_words`` of the words of a text, which the engine cuts."""
     return hash_words(words(text), dim)
@@ -93,6 +108,11 @@ def embed_children(
     return embed(children, "text", embedder, batch, dim).select(*VECTOR_COLUMNS)
 
 
+def embed_counts(counts: DataFrame, dim: int = DEFAULT_DIM) -> DataFrame:
+    """The vector table of hashed words from term counts that carry its columns; no text is read."""
+    return counts.select(*VECTOR_COLUMNS[:-1], hash_counts(F.col("terms"), F.col("tfs"), dim).alias("dense_vector"))
+
+
 def index_children(
     chunks: DataFrame, embedder: Embedder | None = None, dim: int = DEFAULT_DIM,
 ) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corrag.functions.text import strip_ws, words
 from corrag.operators.batches import WORDS_AT_ONCE, by_slices, list_lengths
@@ -17,12 +16,6 @@ BM25_K1, BM25_B = 1.2, 0.75
 # -----------------------------------------------------------------------------------------
 
 
-def saturation(
-    tf: np.ndarray, length: np.ndarray, avg_len: np.ndarray, k1: float = BM25_K1, b: float = BM25_B,
-) -> np.ndarray:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
-
-
 def tally_words(found: Column) -> Column:
     """A list of words as ``terms, tfs``, counted in slices of a batch."""
     def count(lists: pa.Array) -> pa.Array:
@@ -44,16 +37,16 @@ def tally_words(found: Column) -> Column:
     return tally(found)
 
 
-def count_terms(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: ``chunk_id, paper_id, length, terms, tfs``.
+def count_terms(chunks: DataFrame, *also: str) -> DataFrame:
+    """One row per chunk: ``chunk_id, paper_id, length, terms, tfs``, and the chunk's columns named in ``also``.
 
     The engine cuts the words; the worker tallies word lists in slices of a batch. The
     work is row by row, so building the index needs no shuffle.
     """
-    split = chunks.select("chunk_id", "paper_id", words(F.coalesce("text", F.lit(""))).alias("_words"))
+    split = chunks.select("chunk_id", "paper_id", *also, words(F.coalesce("text", F.lit(""))).alias("_words"))
     tallied = split.select(
-        "chunk_id", "paper_id", F.size("_words").alias("length"), tally_words(F.col("_words")).alias("_t"))
-    return tallied.select("chunk_id", "paper_id", "length", "_t.terms", "_t.tfs")
+        "chunk_id", "paper_id", *also, F.size("_words").alias("length"), tally_words(F.col("_words")).alias("_t"))
+    return tallied.select("chunk_id", "paper_id", "length", "_t.terms", "_t.tfs", *also)
 
 
 def stage_term_counts(chunks: DataFrame, name: str = "terms") -> DataFrame:
@@ -72,16 +65,11 @@ def sparse_encode_documents(
     """
     counts = count_terms(chunks) if counts is None else counts
     mean = F.lit(float(avg_len)) if avg_len is not None else counts.agg(F.avg("length")).scalar()
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def weigh(tfs: pa.Array, length: pa.Array, mean: pa.Array) -> pa.Array:
-        sizes = list_lengths(tfs)
-        tf = tfs.flatten().to_numpy(zero_copy_only=False)
-        length, mean = (np.repeat(x.to_numpy(zero_copy_only=False), sizes) for x in (length, mean))
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(saturation(tf, length, mean, k1, b), pa.float64()))
-
-    base = counts.withColumn("_mean", mean)
-    return base.select("chunk_id", "paper_id", "terms", weigh("tfs", "length", "_mean").alias("weights"))
+    # By the engine: a worker for this would hold each batch besides the worker that scores it.
+    relative = F.coalesce(F.try_divide(F.lit(b) * F.col("length"), mean), F.lit(float("inf")))
+    base = counts.withColumn("_flat", F.lit(k1) * (F.lit(1 - b) + relative))
+    weights = F.transform("tfs", lambda tf: tf * F.lit(k1 + 1) / (tf + F.col("_flat")))
+    return base.select("chunk_id", "paper_id", "terms", weights.alias("weights"))
 
 
 def postings(vectors: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
 #: Bytes of an Arrow batch of whole texts; the JVM and the Python worker hold one each for every task.
 TEXT_BATCH = 1 << 22
 
@@ -54,14 +56,29 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
-    """Arrow batches of jobs that run inside hold about ``most`` bytes, or the session's own limit if that is lower."""
-    own = spark.conf.get(_BATCH_CONF)
-    spark.conf.set(_BATCH_CONF, min(most, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own)))
+def _set(spark: SparkSession, key: str, value: str | int) -> Iterator[None]:
+    own = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH_CONF, own)
+        spark.conf.set(key, own)
+
+
+def arrow_batches(spark: SparkSession, most: int) -> AbstractContextManager[None]:
+    """Arrow batches of jobs that run inside hold about ``most`` bytes, or the session's own limit if that is lower."""
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_CONF))
+    return _set(spark, _BATCH_CONF, min(most, own))
+
+
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """The shuffle files of a job that runs inside go as it ends, not when the driver happens to collect its garbage."""
+    return _set(spark, _CLEANUP_CONF, "true")
+
+
+def open_files(spark: SparkSession, most: int) -> AbstractContextManager[None]:
+    """Tasks of jobs that run inside write to so many partitions of a table at once, and sort only rows of further ones."""
+    return _set(spark, _WRITERS_CONF, most)
 
 
 def staged(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:

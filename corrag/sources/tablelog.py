@@ -20,15 +20,22 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corrag.session import arrow_batches, open_files, shuffles_dropped
 from corrag.sources.store import STORE_BUCKETS
 
+#: Buckets that a task writes to without a sort; a split of rows that lie by bucket has few.
+_OPEN_FILES = 16
+#: Bytes of the Arrow batches of such a task: slices of words are whole, and no batch is much larger than they are.
+_BATCH_BYTES = 1 << 24
+#: Of the files: children repeat their parent's text, and most chunks share words.
+_CODEC = "zstd"
 _COMMITS, _REPLACED = "_commits", "replaced"
 _PAPER = T.StructType([T.StructField("paper_id", T.StringType())])
 
@@ -98,23 +105,65 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).cast("int")
 
 
+def _placed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.filter(F.col("paper_id").isNotNull()).withColumn("bucket", _bucket(buckets))
+
+
 def _write(rows: DataFrame, path: str, buckets: int) -> None:
-    (rows.filter(F.col("paper_id").isNotNull()).withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
-     .write.partitionBy("bucket").parquet(path))
+    with shuffles_dropped(rows.sparkSession):
+        _files_of(_placed(rows, buckets).hint("rebalance", "bucket"), path)
+
+
+def _files_of(rows: DataFrame, path: str) -> None:
+    rows.write.partitionBy("bucket").option("compression", _CODEC).parquet(path)
+
+
+@dataclass
+class Run:
+    """The tables of one run, written one after the other; nothing is visible before ``commit``."""
+
+    spark: SparkSession
+    store: str
+    buckets: int = STORE_BUCKETS
+    id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    tables: list[str] = field(default_factory=list)
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        _write(rows, self._path(name), self.buckets)
+        self.tables.append(name)
+
+    def gather(self, rows: DataFrame) -> DataFrame:
+        """The rows with those of a bucket next to each other, for a table that is made from them row by row."""
+        return _placed(rows, self.buckets).hint("rebalance", "bucket").drop("bucket")
+
+    def derive(self, name: str, rows: DataFrame) -> None:
+        """A table that was made row by row from what ``gather`` or ``read`` gave. Its rows come bucket by bucket as
+        they lie there, so they are written where they are, in about as many files, without another exchange."""
+        with shuffles_dropped(self.spark), arrow_batches(self.spark, _BATCH_BYTES), open_files(self.spark, _OPEN_FILES):
+            _files_of(_placed(rows, self.buckets), self._path(name))
+        self.tables.append(name)
+
+    def read(self, name: str, schema: T.StructType) -> DataFrame:
+        """The rows of a table of this run."""
+        return _rows(self.spark, self.store, name, schema, [self.id], None, self.buckets).select(*schema.names)
+
+    def commit(self, replaced: DataFrame, base: bool = False, version: int | None = None) -> int:
+        """Make the run visible; returns the version. ``replaced`` lists all papers of the run: one without new
+        rows still loses its old ones. Rows of other papers must not have been written."""
+        _write(replaced.select(F.col("paper_id").cast("string").alias("paper_id")).distinct(), self._path(_REPLACED), self.buckets)
+        return _commit(self.spark, self.store, self.id, sorted(self.tables), base, version)
+
+    def _path(self, name: str) -> str:
+        return f"{self.store}/{name}/run={self.id}"
 
 
 def append_run(spark: SparkSession, store: str, tables: dict[str, DataFrame], replaced: DataFrame,
                buckets: int = STORE_BUCKETS, base: bool = False, version: int | None = None) -> int:
-    """Write the rows of a run and commit them together; returns the version.
-
-    ``replaced`` lists all papers of the run: one without new rows still loses its old ones. Rows of
-    other papers must not be given.
-    """
-    run = uuid.uuid4().hex
+    """Write the rows of a run and commit them together, as ``Run.commit`` says; returns the version."""
+    run = Run(spark, store, buckets)
     for name, rows in tables.items():
-        _write(rows, f"{store}/{name}/run={run}", buckets)
-    _write(replaced.select(F.col("paper_id").cast("string").alias("paper_id")).distinct(), f"{store}/{_REPLACED}/run={run}", buckets)
-    return _commit(spark, store, run, sorted(tables), base, version)
+        run.write(name, rows)
+    return run.commit(replaced, base, version)
 
 
 def _rows(spark: SparkSession, store: str, name: str, schema: T.StructType, runs: list[str],

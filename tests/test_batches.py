@@ -83,3 +83,28 @@ def test_tokens_of_windows_are_counted_with_the_windows(spark):
     assert len(found) > 15 and all(r.token_count == len(re.findall(r"\S+", r.text)) for r in found)
     plan = child_chunks(blocks, 4, 1)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") <= 3
+
+
+def test_vectors_from_counts_equal_those_from_texts(spark):
+    from corrag.operators.embedding import embed_counts
+
+    texts = ["One two one", "", "Über drei; zwei 3 zwei zwei", "x " * 400, None, " ".join(f"w{i % 97}" for i in range(1000))]
+    chunks = spark.createDataFrame([(f"c{i}", "p", "S", "child", "text", t) for i, t in enumerate(texts)],
+                                   "chunk_id string, paper_id string, section_name string, chunk_type string, content_type string, text string")
+    counts = count_terms(chunks, "section_name", "chunk_type", "content_type")
+    got = dict(embed_counts(counts, 16).select("chunk_id", "dense_vector").collect())
+    assert got == dict(index_children(chunks, dim=16)[0].select("chunk_id", "dense_vector").collect())
+
+
+def test_a_parent_stands_before_its_children(spark):
+    from corrag.operators.chunking import chunk_blocks
+
+    blocks = spark.createDataFrame([("p", i, "S", t, k, None) for i, (t, k) in enumerate(
+        [("a b c d e f", "text"), ("", "text"), ("a b c d e f", "table"), (None, "text"), (None, "table"), ("g", None)])],
+        "paper_id string, block_idx int, section_name string, text string, content_type string, media_url string").coalesce(1)
+    papers = spark.createDataFrame([("p", "x y")], "paper_id string, abstract string").coalesce(1)
+    found = [(r.chunk_id, r.text, r.parent_chunk_id) for r in chunk_blocks(papers, blocks, 4, 1).collect()]
+    assert found == [
+        ("p#0", "a b c d e f", None), ("p#0#0", "a b c d", "p#0"), ("p#0#1", " d e f", "p#0"), ("p#1", "", None), ("p#1#0", "", "p#1"),
+        ("p#2", "a b c d e f", None), ("p#2#0", "a b c d e f", "p#2"), ("p#3", None, None), ("p#4", None, None), ("p#5", "g", None),
+        ("p#5#0", "g", "p#5"), ("p#abstract", "x y", None)]

@@ -251,3 +251,49 @@ def test_a_page_that_cannot_be_read_fails_its_paper(spark, rows):
     status = ingest_pages(papers, pages, lines, Settings(dim=4), failed=failed)[0]
     assert rows(status, "paper_id", "ingestion_status") == [
         ("a", "full"), ("b", "failed"), ("c", "full"), ("d", "abstract_only"), ("e", "failed")]
+
+
+def test_a_run_writes_every_table_once_and_leaves_no_shuffle_files(spark, rows, tmp_path, monkeypatch):
+    """Texts go into the store and nowhere else; blocks of other papers, and without a paper, stay out."""
+    import os
+    import time
+
+    from corrag.plans.ingest import ingest_blocks_to_store
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        listed = disk.getAllFiles().iterator()
+        found = set()
+        while listed.hasNext():
+            name = listed.next().getName()
+            found |= {name} if name.startswith("shuffle_") else set()
+        return found
+
+    text = " ".join(f"w{i}" for i in range(300))
+    papers = spark.createDataFrame([(p, "T", "") for p in ("a", "b", "b", None)], "paper_id string, title string, abstract string")
+    blocks = spark.createDataFrame([(p, 0, "S", text, "text", None) for p in ("a", "b", "x", None)], schemas.BLOCKS)
+    before = shuffled()
+    monkeypatch.setattr("corrag.session.shared_folder", lambda spark: str(tmp_path / "shared"))
+    ingest_blocks_to_store(spark, str(tmp_path / "store"), papers, blocks, Settings(128, 16, 8), buckets=4)
+    files = [os.path.join(d, f) for d, _, names in os.walk(tmp_path / "shared") for f in names if f.endswith(".parquet")]
+    assert all("text" not in spark.read.parquet(f).columns and "terms" not in spark.read.parquet(f).columns for f in files)
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    chunks = read_table(spark, str(tmp_path / "store"), "chunks", schemas.CHUNKS)
+    windows = ("#0", "#0#0", "#0#1", "#0#2")
+    assert rows(chunks.filter("section_name = 'S'"), "chunk_id") == sorted(((p + w,) for p in "ab" for w in windows), key=repr)
+    vectors, terms = (read_table(spark, str(tmp_path / "store"), name, schema) for name, schema in (("vectors", schemas.VECTORS), ("terms", schemas.TERM_COUNTS)))
+    assert rows(vectors, "chunk_id", "section_name", "chunk_type", "content_type") == sorted(((p + w, "S", "child", "text") for p in "ab" for w in windows[1:]), key=repr)
+    assert rows(terms, "chunk_id", "length") == sorted(((p + w, n) for p in "ab" for w, n in zip(windows[1:], (128, 128, 76))), key=repr)
+
+
+def test_a_plugged_in_embedder_fills_the_vectors_of_a_run(spark, rows, tmp_path):
+    from corrag.plans.ingest import ingest_blocks_to_store
+
+    papers = spark.createDataFrame([("a", "T", "")], "paper_id string, title string, abstract string")
+    blocks = spark.createDataFrame([("a", 0, "S", "one two", "text", None)], schemas.BLOCKS)
+    ingest_blocks_to_store(spark, str(tmp_path), papers, blocks, Settings(embedder=lambda texts: [[float(len(t))] for t in texts]), buckets=4)
+    assert rows(read_table(spark, str(tmp_path), "vectors", schemas.VECTORS), "chunk_id", "dense_vector") == [("a#0#0", [7.0])]
