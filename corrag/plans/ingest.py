@@ -13,7 +13,7 @@ from corrag.operators.embedding import VECTOR_COLUMNS, embed_children, embed_cou
 from corrag.operators.filters import filter_blocks
 from corrag.operators.postings import count_terms
 from corrag.plans.corpus import Settings
-from corrag.session import staged
+from corrag.session import shuffles_dropped, staged
 from corrag.sources.store import STORE_BUCKETS, papers_to_replace
 from corrag.sources.tablelog import Run
 
@@ -117,5 +117,6 @@ def ingest_blocks_to_store(
 def _without_others(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of papers in ``ids``, which are nearly all: the others are found by their ids alone and left out,
     so that texts stay where they are unless very many papers have to go."""
-    others = rows.select("paper_id").distinct().join(ids, "paper_id", "left_anti")
-    return rows.filter(F.col("paper_id").isNotNull()).join(staged(others, "other-papers"), "paper_id", "left_anti")
+    with shuffles_dropped(rows.sparkSession):
+        others = staged(rows.select("paper_id").distinct().join(ids, "paper_id", "left_anti"), "other-papers")
+    return rows.filter(F.col("paper_id").isNotNull()).join(others, "paper_id", "left_anti")
